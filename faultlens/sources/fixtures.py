@@ -29,7 +29,11 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``ts`` is the store's ingest time (pushdown target); ``line`` is the raw text.
     """
-    ev = read_table(spark, sf_dir, "events")
+    return raw_log_from(read_table(spark, sf_dir, "events"))
+
+
+def raw_log_from(ev: DataFrame) -> DataFrame:
+    """The raw-log projection of an events DataFrame (batch or streaming)."""
     e, u = F.col("event_id"), F.col("user_id")
     k = e % 8
     filename = (
