@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from faultlens.functions import logs as L
 from faultlens.functions.metrics import literal_map
 from faultlens.functions.time import epoch_micros
-from faultlens.operators.ordering import with_previous
+from faultlens.operators.ordering import exact_median, materialize, with_previous
 from faultlens.plans import dims
 
 
 def straggler_rank(task_lines: DataFrame, threshold: float = 1.5) -> DataFrame:
     """Span of each (task, node) against the median span of all; ratio above ``threshold`` flags it.
 
-    Spans are one aggregate row per (task, node); the median is an exact percentile over
-    that small table (scalar subquery)."""
-    spans = task_lines.groupBy("task_id", "node").agg(
-        ((epoch_micros(F.max("line_ts")) - epoch_micros(F.min("line_ts"))) / F.lit(1e6)).alias("span_s"))
-    median = spans.agg(F.percentile("span_s", 0.5)).scalar()
+    Spans are one aggregate row per (task, node), materialised once; the exact median is
+    found from global positions (no single buffer of all spans)."""
+    spans = materialize(task_lines.groupBy("task_id", "node").agg(
+        ((epoch_micros(F.max("line_ts")) - epoch_micros(F.min("line_ts"))) / F.lit(1e6)).alias("span_s")))
+    median = exact_median(spans, "span_s", ["task_id", "node"])
     ratio = F.try_divide(F.col("span_s"), median)
     return spans.select("task_id", "node", F.round("span_s", 6).alias("span_s"), F.round(median, 6).alias("median_s"),
                         F.round(ratio, 6).alias("ratio"), (ratio > F.lit(threshold)).alias("straggler"))

@@ -121,3 +121,16 @@ def global_order_number(df: DataFrame, order_cols: list[Column | str], col: str
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33) + F.lit(1)
     return (ranged.join(F.broadcast(offsets), "_pid")
             .withColumn(col, (local + F.col("_off")).cast("long")).drop("_pid", "_mid", "_off"))
+
+
+def exact_median(df: DataFrame, value_col: str, key_cols: list[str]) -> Column:
+    """Exact median (linear interpolation, like ``percentile(x, 0.5)``) as a scalar subquery,
+    computed from global positions instead of one buffer holding every value.
+    ``key_cols`` make the order unique."""
+    vals = df.select(value_col, *key_cols).where(F.col(value_col).isNotNull())
+    numbered = global_order_number(vals, [value_col, *key_cols], col="_k")
+    n = numbered.agg(F.count(F.lit(1))).scalar()
+    lo = F.floor((n + F.lit(1)) / F.lit(2))
+    hi = F.floor(n / F.lit(2)) + F.lit(1)
+    middle = numbered.where((F.col("_k") == lo) | (F.col("_k") == hi))
+    return middle.agg(F.avg(value_col)).scalar()

@@ -258,6 +258,6 @@ def data_quality(spark: SparkSession, sf_dir: str):
     store = L.store_records(fx.raw_log(spark, sf_dir))
     actual = store.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
     expected = dims.node_roles(spark).select("node", F.explode("roles").alias("component"))
-    out = F.broadcast(expected).join(actual, ["node", "component"], "left")
+    out = expected.join(actual, ["node", "component"], "left")
     return out.select("node", "component", F.coalesce("n", F.lit(0)).alias("rows"),
                       (F.coalesce("n", F.lit(0)) > 0).alias("present"))

@@ -37,3 +37,12 @@ def test_global_order_number(spark):
     got = global_order_number(df, ["ts", "id"], num_partitions=5).select("id", "k").collect()
     ref = df.select("id", F.row_number().over(Window.orderBy("ts", "id")).alias("k")).collect()
     assert {(r.id, r.k) for r in got} == {(r.id, r.k) for r in ref}
+
+
+def test_exact_median_matches_percentile(spark):
+    from faultlens.operators.ordering import exact_median
+    for n in (1, 2, 7, 10):
+        df = spark.range(n).select(F.col("id"), ((F.col("id") * 37) % 11).cast("double").alias("x"))
+        want = df.agg(F.percentile("x", 0.5)).first()[0]
+        got = spark.range(1).select(exact_median(df, "x", ["id"]).alias("m")).first().m
+        assert got == want
