@@ -31,8 +31,10 @@ def tokenize(spark: SparkSession, sf_dir: str):
     return mr.tokenize(fx.text_line(spark, sf_dir))
 
 
-@register("wordcount", oracle=cte(text_line=fx.TEXT_LINE_SQL, tokens=TOKENS_SQL)
-          + "SELECT word, count(*) AS n FROM tokens GROUP BY word")
+WORDCOUNT_SQL = cte(text_line=fx.TEXT_LINE_SQL, tokens=TOKENS_SQL) + "SELECT word, count(*) AS n FROM tokens GROUP BY word"
+
+
+@register("wordcount", oracle=WORDCOUNT_SQL)
 def wordcount(spark: SparkSession, sf_dir: str):
     prepare(spark)
     return mr.word_count(mr.tokenize(fx.text_line(spark, sf_dir), keep=()))

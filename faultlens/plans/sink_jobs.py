@@ -1,4 +1,4 @@
-"""Registered queries: sinks and file sources (SNK1-SNK4, SRC8-SRC9) as write-then-read round trips."""
+"""Registered queries: sinks and file sources (SNK1-SNK5, SNK7, SRC8-SRC9) as write-then-read round trips."""
 
 from __future__ import annotations
 
@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultlens.operators import logs as L
+from faultlens.operators import detect as D
+from faultlens.operators import runs as RO
+from faultlens.plans import metric_jobs as MJ
+from faultlens.plans import detect_jobs as DJ
+from faultlens.plans import run_jobs as RJ
+from faultlens.plans import mapreduce_jobs as MR
 from faultlens.plans import sqlfrag as S
 from faultlens.plans.catalog import cte, register
 from faultlens.plans.log_jobs import RANGE_END, RANGE_START, RAW, UNION_SQL
 from faultlens.session import prepare, scratch_path
-from faultlens.sinks.files import read_partitioned_csv, write_partitioned_csv
+from faultlens.sinks.files import (read_json_lines, read_key_value_text, read_partitioned_csv, write_json_lines,
+                                  write_key_value_text, write_partitioned_csv)
 from faultlens.sources import fixtures as fx
 
 LOG_CSV_SCHEMA = T.StructType([
@@ -36,3 +43,90 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str):
     back = read_partitioned_csv(spark, path, LOG_CSV_SCHEMA)
     return back.select("event_id", "timestamp", "timestamp_ns", F.col("component").cast("string"),
                        F.col("node").cast("string"), "filename", "level", "task_id", "message", "source")
+
+
+# --- metric sink (per host x metric folders) ---------------------------------------
+
+METRIC_CSV_SCHEMA = T.StructType([
+    T.StructField("timestamp", T.StringType()),
+    T.StructField("timestamp_us", T.LongType()),
+    T.StructField("category", T.StringType()),
+    T.StructField("service", T.StringType()),
+    T.StructField("device", T.StringType()),
+    T.StructField("mode", T.StringType()),
+    T.StructField("mountpoint", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+])
+
+
+@register("metric_csv_roundtrip", oracle=cte(**MJ.MS) + MJ.FLAT_SQL)
+def metric_csv_roundtrip(spark: SparkSession, sf_dir: str):
+    """Flattened samples written as per-(hostname, metric) CSV folders, read back."""
+    prepare(spark)
+    flat = MJ._flat(spark, sf_dir)
+    path = scratch_path(spark, "metric_csv")
+    write_partitioned_csv(flat, path, ["hostname", "metric"], ["timestamp_us"], salt_source="timestamp_us")
+    back = read_partitioned_csv(spark, path, METRIC_CSV_SCHEMA)
+    return back.select("timestamp", "timestamp_us", F.col("metric").cast("string"), "category",
+                       F.col("hostname").cast("string"), "service", "device", "mode", "mountpoint",
+                       F.round("value", 6).alias("value"))
+
+
+# --- reclassified-log sink (per hostname x output name) ------------------------------
+
+RECLASS_CSV_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()),
+    T.StructField("timestamp", T.StringType()),
+    T.StructField("timestamp_ns", T.LongType()),
+    T.StructField("log_type", T.StringType()),
+    T.StructField("level", T.StringType()),
+    T.StructField("message", T.StringType()),
+])
+
+
+@register("reclass_csv_roundtrip", oracle=cte(raw_log=fx.RAW_LOG_SQL, store=S.STORE_SQL) + f"""
+SELECT s.event_id, s.timestamp, s.timestamp_ns, r.log_type, r.hostname, s.level, s.message, r.out_name
+FROM ({DJ.RECLASS_SQL}) r JOIN store s ON s.event_id = r.event_id""")
+def reclass_csv_roundtrip(spark: SparkSession, sf_dir: str):
+    """Records re-homed by the IP in their message, written per (hostname, output name), read back."""
+    prepare(spark)
+    rec = D.reclassify_by_ip(L.store_records(fx.raw_log(spark, sf_dir)))
+    rows = rec.select("event_id", "timestamp", "timestamp_ns", "log_type", "hostname", "level", "message", "out_name")
+    path = scratch_path(spark, "reclass_csv")
+    write_partitioned_csv(rows, path, ["hostname", "out_name"], ["timestamp_ns", "event_id"], salt_source="event_id")
+    back = read_partitioned_csv(spark, path, RECLASS_CSV_SCHEMA)
+    return back.select("event_id", "timestamp", "timestamp_ns", "log_type", F.col("hostname").cast("string"),
+                       "level", "message", F.col("out_name").cast("string"))
+
+
+# --- run summary as JSON lines -----------------------------------------------------------
+
+SUMMARY_SCHEMA = T.StructType([
+    T.StructField("fault_type", T.StringType()),
+    T.StructField("total_runs", T.LongType()),
+    T.StructField("successful_runs", T.LongType()),
+    T.StructField("failed_runs", T.LongType()),
+    T.StructField("start_time", T.TimestampNTZType()),
+])
+
+
+@register("summary_json_roundtrip", oracle=cte(**RJ.BASE) + RJ.RESULTS_SQL)
+def summary_json_roundtrip(spark: SparkSession, sf_dir: str):
+    """Outcome totals written as JSON lines and read back with an explicit schema."""
+    prepare(spark)
+    runs = RO.job_runs(L.task_records(fx.raw_log(spark, sf_dir)))
+    path = scratch_path(spark, "summary_json")
+    write_json_lines(RO.outcome_counts(RO.run_results(runs)), path)
+    return read_json_lines(spark, path, SUMMARY_SCHEMA)
+
+
+# --- job output as key<TAB>value text ----------------------------------------------------
+
+
+@register("wordcount_text_roundtrip", oracle=MR.WORDCOUNT_SQL)
+def wordcount_text_roundtrip(spark: SparkSession, sf_dir: str):
+    """Word-count output replaced on write as ``word<TAB>n`` part files, read back."""
+    prepare(spark)
+    path = scratch_path(spark, "wordcount_text")
+    write_key_value_text(MR.wordcount(spark, sf_dir), path, "word", "n")
+    return read_key_value_text(spark, path, "word", "n")

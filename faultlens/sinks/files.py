@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CSV_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"', "multiLine": "true",
-               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+               # NULL as \N keeps NULL and '' apart (absent labels are '', missing task ids NULL)
+               "nullValue": "\\N"}
 
 
 def write_partitioned_csv(df: DataFrame, path: str, partition_cols: list[str], sort_cols: list[str],
@@ -35,10 +37,22 @@ def read_partitioned_csv(spark: SparkSession, path: str, schema: T.StructType) -
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    df.write.mode(mode).json(path)
+    """One JSON object per row (NULL fields kept as explicit nulls)."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
     return path
 
 
+def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def read_key_value_text(spark: SparkSession, path: str, key: str, value: str,
+                        value_type: str = "long") -> DataFrame:
+    lines = spark.read.text(path)
+    return lines.select(F.split_part("value", F.lit("\t"), F.lit(1)).alias(key),
+                        F.split_part("value", F.lit("\t"), F.lit(2)).cast(value_type).alias(value))
+
+
 def write_key_value_text(df: DataFrame, path: str, key: str, value: str, mode: str = "overwrite") -> str:
     """Replace-on-write ``key<TAB>value`` text output (the MapReduce job's part files)."""
     df.select(F.concat_ws("\t", F.col(key).cast("string"), F.col(value).cast("string")).alias("value")) \
