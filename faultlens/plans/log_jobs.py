@@ -158,3 +158,22 @@ def task_window_logs(spark: SparkSession, sf_dir: str):
         .select("event_id", "filename", "component", "node", "timestamp_ns", "line_ts")
     return range_join(comp, windows, "line_ts").select(
         "task_id", "event_id", "filename", "component", "node", "timestamp_ns")
+
+
+COLLECT_LIMIT = 10_000   # the collector's per-file default
+
+
+@register("collect_logs", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL) + f"""
+SELECT {RECORD_COLS}, 'component' AS source FROM (
+  SELECT *, row_number() OVER (PARTITION BY filename ORDER BY line_ts, event_id) AS rn FROM store
+  WHERE {IN_RANGE} AND task_id IS NULL AND component <> 'unknown')
+WHERE rn <= {COLLECT_LIMIT}
+UNION ALL
+SELECT {RECORD_COLS}, 'task' AS source FROM parsed
+WHERE contains(filename, 'application_') AND task_id IS NOT NULL
+  AND filename IN (SELECT filename FROM raw_log WHERE ts >= TIMESTAMP '{RANGE_START}' AND ts < TIMESTAMP '{RANGE_END}')""")
+def collect_logs(spark: SparkSession, sf_dir: str):
+    """Time-range log collection: component logs capped per file plus whole task files."""
+    from faultlens.plans.collect import collect_logs as collect
+    prepare(spark)
+    return collect(fx.raw_log(spark, sf_dir), RANGE_START, RANGE_END, COLLECT_LIMIT).drop("line_ts")
