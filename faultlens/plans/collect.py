@@ -55,10 +55,26 @@ def collect_metrics(responses: DataFrame, categories: list[str] | None = None) -
     return M.flatten_metric_responses(responses).where(F.col("category").isin(categories))
 
 
+def log_file_key(task_col: str = "task_id", component_col: str = "component"):
+    """Per-node file key: ``<component>`` for daemon logs, ``task_<id>`` for task logs."""
+    return F.coalesce(F.concat(F.lit("task_"), F.col(task_col)), F.col(component_col))
+
+
+LOG_FILE_COLUMNS = ["event_id", "timestamp", "timestamp_ns", "component", "filename", "level", "task_id", "message",
+                    "source"]
+
+
+def write_logs(logs: DataFrame, path: str) -> str:
+    """``<path>/node=<n>/log_file=<component | task_<id>>/*.csv``, each file sorted by time; the
+    file columns are :data:`LOG_FILE_COLUMNS` in that order (CSV readers map by position)."""
+    keyed = logs.select(*LOG_FILE_COLUMNS, "node", log_file_key().alias("log_file"))
+    return write_partitioned_csv(keyed, path, ["node", "log_file"], ["timestamp_ns", "event_id"],
+                                 salt_source="event_id")
+
+
 def write_dataset(logs: DataFrame, metrics: DataFrame | None, root: str) -> str:
-    """``<root>/logs/node=<n>/component=<c>/*.csv`` and ``<root>/metrics/hostname=<h>/metric=<m>/*.csv``."""
-    write_partitioned_csv(logs.drop("line_ts"), f"{root}/logs", ["node", "component"], ["timestamp_ns", "event_id"],
-                          salt_source="event_id")
+    """``<root>/logs/node=<n>/log_file=<f>/*.csv`` and ``<root>/metrics/hostname=<h>/metric=<m>/*.csv``."""
+    write_logs(logs, f"{root}/logs")
     if metrics is not None:
         write_partitioned_csv(metrics, f"{root}/metrics", ["hostname", "metric"], ["timestamp_unix"],
                               salt_source="timestamp_unix")

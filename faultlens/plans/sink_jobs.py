@@ -16,6 +16,7 @@ from faultlens.plans import mapreduce_jobs as MR
 from faultlens.plans import sqlfrag as S
 from faultlens.plans.catalog import cte, register
 from faultlens.plans.log_jobs import RANGE_END, RANGE_START, RAW, UNION_SQL
+from faultlens.plans.collect import LOG_FILE_COLUMNS, write_logs
 from faultlens.session import prepare, scratch_path
 from faultlens.sinks.files import (read_json_lines, read_key_value_text, read_partitioned_csv, write_json_lines,
                                   write_key_value_text, write_partitioned_csv)
@@ -25,23 +26,25 @@ LOG_CSV_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("timestamp", T.StringType()),
     T.StructField("timestamp_ns", T.LongType()),
+    T.StructField("component", T.StringType()),
     T.StructField("filename", T.StringType()),
     T.StructField("level", T.StringType()),
     T.StructField("task_id", T.StringType()),
     T.StructField("message", T.StringType()),
     T.StructField("source", T.StringType()),
 ])
+assert [f.name for f in LOG_CSV_SCHEMA.fields] == LOG_FILE_COLUMNS
 
 
 @register("csv_roundtrip", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL) + UNION_SQL)
 def csv_roundtrip(spark: SparkSession, sf_dir: str):
-    """Collected logs written as per-(node, component) CSV folders in the shared folder, read back."""
+    """Collected logs written as per-node component / task CSV folders in the shared folder, read back."""
     prepare(spark)
     logs = L.union_logs(fx.raw_log(spark, sf_dir), RANGE_START, RANGE_END).drop("line_ts")
     path = scratch_path(spark, "csv_roundtrip")
-    write_partitioned_csv(logs, path, ["node", "component"], ["timestamp_ns", "event_id"], salt_source="event_id")
+    write_logs(logs, path)
     back = read_partitioned_csv(spark, path, LOG_CSV_SCHEMA)
-    return back.select("event_id", "timestamp", "timestamp_ns", F.col("component").cast("string"),
+    return back.select("event_id", "timestamp", "timestamp_ns", "component",
                        F.col("node").cast("string"), "filename", "level", "task_id", "message", "source")
 
 

@@ -34,3 +34,5 @@ def test_write_dataset_layout(spark):
     root = write_dataset(logs, None, scratch_path(spark, "dataset_test"))
     folders = {d for d in os.listdir(root.replace("file:", "") + "/logs") if d.startswith("node=")}
     assert {"node=cpf-1", "node=cpf-2"} <= folders
+    kinds = {d for n in folders for d in os.listdir(root.replace("file:", "") + "/logs/" + n)}
+    assert "log_file=datanode" in kinds and any(k.startswith("log_file=task_") for k in kinds)
