@@ -29,10 +29,14 @@ def parse_lines(raw: DataFrame, line_col: str = "line", keep=("event_id", "filen
     level (from message text), message, plus the path tags.
     """
     keep = [c for c in keep if c in raw.columns]
-    parts = L.line_parts(F.col(line_col))
-    staged = raw.select(*keep, parts.alias("_p")).where(F.size("_p") == 3)
-    parsed = staged.select(*keep, L.parse_line_time(F.get("_p", 0), F.get("_p", 1)).alias("line_ts"),
-                           L.message_of(F.col("_p")).alias("message")).where(F.col("line_ts").isNotNull())
+    staged = raw.select(*keep, L.line_parts(F.col(line_col)).alias("_p"))
+    line_ts = L.parse_line_time(F.get("_p", 0), F.get("_p", 1))
+    # The validity test needs the parsed time.  A Filter on it would be pushed below the
+    # projection with the whole parse inlined (and below an input repartition), running the
+    # parse twice; a generator over a 0/1-element array evaluates it once per line.
+    rec = F.struct((F.size("_p") == 3).alias("_ok"), line_ts.alias("line_ts"),
+                   L.message_of(F.col("_p")).alias("message"))
+    parsed = staged.select(*keep, F.inline(F.filter(F.array(rec), lambda r: r["_ok"] & r["line_ts"].isNotNull())))
     out = parsed.select(*keep, "line_ts", ts_text_ms("line_ts").alias("timestamp"),
                         epoch_nanos("line_ts").alias("timestamp_ns"),
                         L.level_from_message(F.col("message")).alias("level"), "message")
