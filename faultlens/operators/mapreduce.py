@@ -82,10 +82,14 @@ def first_field(record: Column) -> Column:
     return F.split_part(record, F.lit("\t"), F.lit(1))
 
 
-def identity_shuffle(records: DataFrame, num_partitions: int = 8, record_col: str = "record") -> DataFrame:
-    """Shuffle by the key field into ``num_partitions`` and sort inside each (``-reducer cat``)."""
+def identity_shuffle(records: DataFrame, num_partitions: int | None = None, record_col: str = "record") -> DataFrame:
+    """Shuffle by the key field and sort inside each partition (``-reducer cat``).
+
+    ``num_partitions`` defaults to the session's shuffle partitions (the reference fixes 8
+    reducers; at scale the count must follow the data)."""
     keyed = records.withColumn("key", first_field(F.col(record_col)))
-    return keyed.repartition(num_partitions, "key").sortWithinPartitions("key")
+    n = num_partitions or int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition(n, "key").sortWithinPartitions("key")
 
 
 def partition_of(key: Column, num_partitions: int = 8) -> Column:

@@ -112,8 +112,9 @@ def counter_windows(samples: DataFrame, series: list[str], value_col: str, start
     first/last value and time, sample count, and the sum of values lost at resets."""
     start_us, end_us = _us(start), _us(end)
     step_us, rng_us = step_seconds * 1_000_000, range_seconds * 1_000_000
+    # bucket no narrower than the window: per-(series, bucket) carry rows stay far fewer than samples
     prev = with_previous(samples.select(*series, ts_col, tiebreak, value_col), series, ts_col, tiebreak,
-                         [value_col])
+                         [value_col], bucket_seconds=max(3600, range_seconds))
     us = epoch_micros(ts_col)
     fanned = prev.select(*series, us.alias("_us"), F.col(tiebreak), F.col(value_col).alias("_v"),
                          epoch_micros("prev_" + ts_col).alias("_pus"), F.col("prev_" + value_col).alias("_pv"),

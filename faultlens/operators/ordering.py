@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from faultlens.functions.time import time_bucket
 
 BROADCAST_ROW_LIMIT = 2_000_000
+BROADCAST_BYTES_KEY = "faultlens.broadcast.maxBytes"
+DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_BUCKET_SECONDS = 3600
 
 
@@ -32,9 +34,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_budget(spark) -> int:
+    """Bytes a broadcast side may take: ``faultlens.broadcast.maxBytes`` if set, else 64 MiB."""
+    return int(spark.conf.get(BROADCAST_BYTES_KEY, str(DEFAULT_BROADCAST_BYTES)))
+
+
 def maybe_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast a *materialised* side only when its counted size is within the limit."""
-    return F.broadcast(small) if small.count() <= row_limit else small
+    """Broadcast a *materialised* side only when its counted size is within the limits.
+
+    The size is measured, not estimated from plan statistics: rows are counted on the
+    materialised data, and bytes are rows x Spark's default per-row width of the schema.
+    Beyond either limit the side is returned unhinted, so the join shuffles (and AQE may
+    still split skewed partitions).
+    """
+    rows = small.count()
+    width = int(small._jdf.schema().defaultSize())
+    if rows <= row_limit and rows * width <= broadcast_budget(small.sparkSession):
+        return F.broadcast(small)
+    return small
 
 
 def _bucketed(df: DataFrame, ts_col: str, bucket_seconds: int) -> DataFrame:

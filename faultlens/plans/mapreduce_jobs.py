@@ -123,7 +123,7 @@ def bloat_check(spark: SparkSession, sf_dir: str):
           + "SELECT doc_id, line_no, copy, record, split_part(record, chr(9), 1) AS key FROM expanded")
 def identity_shuffle(spark: SparkSession, sf_dir: str):
     prepare(spark)
-    return mr.identity_shuffle(mr.bloat_expand(fx.text_line(spark, sf_dir), copies=4), num_partitions=8)
+    return mr.identity_shuffle(mr.bloat_expand(fx.text_line(spark, sf_dir), copies=4))
 
 
 @register("gen_skew", oracle=gen.SKEW_SUMMARY_SQL)

@@ -46,3 +46,16 @@ def test_exact_median_matches_percentile(spark):
         want = df.agg(F.percentile("x", 0.5)).first()[0]
         got = spark.range(1).select(exact_median(df, "x", ["id"]).alias("m")).first().m
         assert got == want
+
+
+def test_maybe_broadcast_checks_rows_and_bytes(spark):
+    from faultlens.operators.ordering import BROADCAST_BYTES_KEY, materialize, maybe_broadcast
+    small = materialize(spark.range(100).withColumn("s", F.lit("x")))
+    plan = lambda d: d._jdf.queryExecution().logical().toString()
+    assert "broadcast" in plan(maybe_broadcast(small)).lower()
+    assert "broadcast" not in plan(maybe_broadcast(small, row_limit=10)).lower()
+    spark.conf.set(BROADCAST_BYTES_KEY, "100")
+    try:
+        assert "broadcast" not in plan(maybe_broadcast(small)).lower()
+    finally:
+        spark.conf.unset(BROADCAST_BYTES_KEY)
