@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.functions.text import hot_cold_key, py_strip, tokens
+from faultlens.operators.ordering import materialize
 
 
 def tokenize(lines: DataFrame, line_col: str = "line", keep=("doc_id", "line_no")) -> DataFrame:
@@ -99,7 +100,8 @@ def partition_of(key: Column, num_partitions: int = 8) -> Column:
 
 def key_shares(pairs: DataFrame, key: str = "key") -> DataFrame:
     """Skew profile per key: rows, share of all rows, and max/mean of key sizes."""
-    per_key = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    # one pass over the pairs; the totals read the materialised per-key table
+    per_key = materialize(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
     total = per_key.agg(F.sum("n")).scalar()
     max_over_mean = per_key.agg(F.max("n") / F.avg("n")).scalar()
     return per_key.select(key, "n", F.round(F.col("n") / total, 6).alias("share"),
@@ -108,7 +110,7 @@ def key_shares(pairs: DataFrame, key: str = "key") -> DataFrame:
 
 def partition_shares(pairs: DataFrame, key: str = "key", num_partitions: int = 8) -> DataFrame:
     """Rows per reducer partition under hash partitioning of ``key``, with shares."""
-    per_part = (pairs.groupBy(partition_of(F.col(key), num_partitions).alias("partition"))
-                .agg(F.count(F.lit(1)).alias("n")))
+    per_part = materialize(pairs.groupBy(partition_of(F.col(key), num_partitions).alias("partition"))
+                           .agg(F.count(F.lit(1)).alias("n")))
     total = per_part.agg(F.sum("n")).scalar()
     return per_part.select("partition", "n", F.round(F.col("n") / total, 6).alias("share"))

@@ -22,8 +22,10 @@ from faultlens.operators.ordering import BROADCAST_ROW_LIMIT, materialize, maybe
 
 def range_join(facts: DataFrame, windows: DataFrame, ts_col: str, start_col: str = "window_start",
                end_col: str = "window_end", bucket_seconds: int = 3600,
-               broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    windows = materialize(windows)
+               broadcast_rows: int = BROADCAST_ROW_LIMIT, materialized: bool = False) -> DataFrame:
+    """``materialized=True`` when the caller already cut the windows' lineage (reused windows)."""
+    if not materialized:
+        windows = materialize(windows)
     exploded = windows.withColumn("_b", F.explode(F.sequence(
         time_bucket(F.col(start_col), bucket_seconds), time_bucket(F.col(end_col), bucket_seconds))))
     side = maybe_broadcast(exploded, broadcast_rows)

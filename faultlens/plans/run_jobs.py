@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from faultlens.operators import logs as L
 from faultlens.operators import runs as ops
+from faultlens.operators.ordering import materialize
 from faultlens.operators.rangejoin import range_join
 from faultlens.plans import dims
 from faultlens.plans import sqlfrag as S
@@ -110,10 +111,10 @@ def collection_summary(spark: SparkSession, sf_dir: str):
     """Per run: log files and rows, metric series and rows collected in its window."""
     prepare(spark)
     raw = fx.raw_log(spark, sf_dir)
-    windows = ops.run_windows(ops.job_runs(L.task_records(raw))).select("run_id", "window_start", "window_end")
-    logs = range_join(L.store_records(raw).select("filename", "line_ts"), windows, "line_ts") \
+    windows = materialize(ops.run_windows(ops.job_runs(L.task_records(raw))).select("run_id", "window_start", "window_end"))
+    logs = range_join(L.store_records(raw).select("filename", "line_ts"), windows, "line_ts", materialized=True) \
         .groupBy("run_id").agg(F.count_distinct("filename").alias("log_files"), F.count(F.lit(1)).alias("log_rows"))
-    mets = range_join(fx.metric_sample(spark, sf_dir).select("hostname", "mode", "ts"), windows, "ts") \
+    mets = range_join(fx.metric_sample(spark, sf_dir).select("hostname", "mode", "ts"), windows, "ts", materialized=True) \
         .groupBy("run_id").agg(F.count_distinct("hostname", "mode").alias("metric_series"),
                                F.count(F.lit(1)).alias("metric_rows"))
     out = windows.select("run_id").join(logs, "run_id", "left").join(mets, "run_id", "left")
@@ -127,7 +128,7 @@ FROM windows WHERE contains(run_id, '_job_') ORDER BY run_id DESC LIMIT 5""")
 def recent_runs(spark: SparkSession, sf_dir: str):
     """Latest five run folders with a job id (name order) and how many there are (top-k)."""
     prepare(spark)
-    with_job = _windows(spark, sf_dir).where(F.col("run_id").contains("_job_"))
+    with_job = materialize(_windows(spark, sf_dir).where(F.col("run_id").contains("_job_")))
     total = with_job.agg(F.count(F.lit(1))).scalar()
     return with_job.orderBy(F.col("run_id").desc()).limit(5).select("run_id", total.alias("total"))
 

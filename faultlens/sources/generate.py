@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.operators import mapreduce as mr
+from faultlens.operators.ordering import materialize
 
 # --- fixed values (the reference's generator parameters) -------------------------
 HOT_KEY, COLD_KEY = "hot_key", "cold_key"
@@ -90,7 +91,7 @@ def bloat_lines(spark: SparkSession, target_bytes: int = REFERENCE_TARGET_BYTES,
 
 def summarise_skew(lines: DataFrame) -> DataFrame:
     """The skew job over generated lines: (key, total, share)."""
-    sums = mr.key_sum(mr.skew_map(lines, keep=()))
+    sums = materialize(mr.key_sum(mr.skew_map(lines, keep=())))
     total = sums.agg(F.sum("total")).scalar()
     return sums.select("key", "total", F.round(F.col("total") / total, 6).alias("share"))
 
