@@ -48,3 +48,10 @@ def log_responses(store: DataFrame, page_rows: int = 100) -> DataFrame:
                               F.struct(F.lit("streams").alias("resultType"), F.col("result").alias("result"))
                               .alias("data")))
     return pages.select("page", body.alias("body"))
+
+
+def read_response_lines(spark, path: str, body_col: str = "body") -> DataFrame:
+    """Landed API responses, one JSON document per line (as a scraper appends them), as a
+    ``body`` column for :func:`faultlens.operators.logs.flatten_log_responses` or the metric
+    flatten.  Line-delimited files split across tasks; no whole-file reads."""
+    return spark.read.text(path).withColumnRenamed("value", body_col)
