@@ -16,7 +16,7 @@ The per-(group, bucket) tables are materialised with ``checkpoint()`` (reliable,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.time import time_bucket
@@ -29,9 +29,16 @@ DEFAULT_BUCKET_SECONDS = 3600
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: reliable checkpoint into the session's shared checkpoint folder."""
+    return materialize_counted(df)[0]
+
+
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Checkpoint and return the row count, observed during the checkpoint job itself."""
     from faultlens.session import shared_dir
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    obs = Observation("faultlens_rows")
+    done = df.observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    return done, int(obs.get["rows"])
 
 
 def broadcast_budget(spark) -> int:
@@ -39,7 +46,7 @@ def broadcast_budget(spark) -> int:
     return int(spark.conf.get(BROADCAST_BYTES_KEY, str(DEFAULT_BROADCAST_BYTES)))
 
 
-def maybe_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+def maybe_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT, rows: int | None = None) -> DataFrame:
     """Broadcast a *materialised* side only when its counted size is within the limits.
 
     The size is measured, not estimated from plan statistics: rows are counted on the
@@ -47,7 +54,7 @@ def maybe_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT) -> D
     Beyond either limit the side is returned unhinted, so the join shuffles (and AQE may
     still split skewed partitions).
     """
-    rows = small.count()
+    rows = small.count() if rows is None else rows
     width = int(small._jdf.schema().defaultSize())
     if rows <= row_limit and rows * width <= broadcast_budget(small.sparkSession):
         return F.broadcast(small)
@@ -72,9 +79,9 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak:
     counts = b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
     before = F.coalesce(F.sum("_cnt").over(
         Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    keep = materialize(counts.withColumn("_before", before).where(F.col("_before") < n)
-                       .select(*group_cols, "_bucket", "_before"))
-    kept = b.join(maybe_broadcast(keep), [*group_cols, "_bucket"], "inner")
+    keep, keep_rows = materialize_counted(counts.withColumn("_before", before).where(F.col("_before") < n)
+                                          .select(*group_cols, "_bucket", "_before"))
+    kept = b.join(maybe_broadcast(keep, rows=keep_rows), [*group_cols, "_bucket"], "inner")
     local = F.row_number().over(Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak))
     return (kept.withColumn("_rn", local)
             .where((F.col("_rn") <= n) & (F.col("_rn") + F.col("_before") <= n))
@@ -87,11 +94,11 @@ def running_rank(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: st
     """Row number within each group by (ts, tiebreak) without one task per group."""
     b = _bucketed(df, ts_col, bucket_seconds)
     counts = b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = materialize(counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(
+    offsets, offset_rows = materialize_counted(counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(
         Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).drop("_cnt"))
     local = F.row_number().over(Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak))
-    return (b.join(maybe_broadcast(offsets), [*group_cols, "_bucket"], "inner")
+    return (b.join(maybe_broadcast(offsets, rows=offset_rows), [*group_cols, "_bucket"], "inner")
             .withColumn(rank_col, (local + F.col("_before")).cast("long"))
             .drop("_before", "_bucket"))
 
@@ -108,10 +115,10 @@ def with_previous(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: s
     last = b.groupBy(*group_cols, "_bucket").agg(
         F.max(F.struct(*[F.col(c) for c in carried])).alias("_last"))
     w_b = Window.partitionBy(*group_cols).orderBy("_bucket")
-    carry = materialize(last.withColumn("_carry", F.lag("_last").over(w_b)).drop("_last"))
+    carry, carry_rows = materialize_counted(last.withColumn("_carry", F.lag("_last").over(w_b)).drop("_last"))
     w = Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak)
     prev = F.coalesce(F.lag(F.struct(*[F.col(c) for c in carried])).over(w), F.col("_carry"))
-    out = b.join(maybe_broadcast(carry), [*group_cols, "_bucket"], "inner").withColumn("_prev", prev)
+    out = b.join(maybe_broadcast(carry, rows=carry_rows), [*group_cols, "_bucket"], "inner").withColumn("_prev", prev)
     for c in [ts_col, *cols]:
         out = out.withColumn(prefix + c, F.col("_prev")[c])
     return out.drop("_prev", "_carry", "_bucket")

@@ -17,18 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.functions.time import time_bucket
-from faultlens.operators.ordering import BROADCAST_ROW_LIMIT, materialize, maybe_broadcast
+from faultlens.operators.ordering import BROADCAST_ROW_LIMIT, materialize_counted, maybe_broadcast
 
 
 def range_join(facts: DataFrame, windows: DataFrame, ts_col: str, start_col: str = "window_start",
                end_col: str = "window_end", bucket_seconds: int = 3600,
-               broadcast_rows: int = BROADCAST_ROW_LIMIT, materialized: bool = False) -> DataFrame:
-    """``materialized=True`` when the caller already cut the windows' lineage (reused windows)."""
-    if not materialized:
-        windows = materialize(windows)
+               broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """The window side is exploded into its buckets and checkpointed once (its row count is
+    observed in the same job), so a window table reused by several joins is built once."""
     exploded = windows.withColumn("_b", F.explode(F.sequence(
         time_bucket(F.col(start_col), bucket_seconds), time_bucket(F.col(end_col), bucket_seconds))))
-    side = maybe_broadcast(exploded, broadcast_rows)
+    exploded, rows = materialize_counted(exploded)
+    side = maybe_broadcast(exploded, broadcast_rows, rows=rows)
     keyed = facts.withColumn("_b", time_bucket(F.col(ts_col), bucket_seconds))
     return (keyed.join(side, "_b", "inner")
             .where((F.col(ts_col) >= F.col(start_col)) & (F.col(ts_col) < F.col(end_col)))

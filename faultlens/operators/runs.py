@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultlens.functions import runs as R
-from faultlens.operators.ordering import global_order_number
+from faultlens.operators.ordering import global_order_number, materialize
 from faultlens.plans import dims
 
 # Fault types that have an injection script (others fail with "script missing").
@@ -88,7 +88,8 @@ def first_job_id(lines: DataFrame, group_cols: list[str], order_cols: list[str],
 def expand_plan(entries: DataFrame, position_col: str = "position", random_seed: int | None = None) -> DataFrame:
     """Run plan: enabled entries (absent = enabled), ordered by ``order`` (absent = 999) and
     file position - or by a seeded hash - one row per repetition, numbered k of total."""
-    enabled = entries.where(F.coalesce(F.col("enabled"), F.lit(True)))
+    # the plan is small; one materialisation serves the total, the range sampling and numbering
+    enabled = materialize(entries.where(F.coalesce(F.col("enabled"), F.lit(True))))
     reps = enabled.withColumn("order_key", F.coalesce(F.col("order"), F.lit(dims.DEFAULT_ORDER))) \
         .withColumn("i", F.explode(F.when(F.col("count") > 0, F.sequence(F.lit(1), F.col("count")))
                                    .otherwise(F.array().cast("array<int>"))))
