@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.functions import logs as L
-from faultlens.functions.text import py_strip
 from faultlens.functions.time import epoch_nanos, from_epoch_micros, ts_text_ms, ts_text_s
 
 RECORD_COLUMNS = ["timestamp", "timestamp_ns", "component", "node", "filename", "level", "task_id", "message"]
