@@ -177,3 +177,15 @@ def collect_logs(spark: SparkSession, sf_dir: str):
     from faultlens.plans.collect import collect_logs as collect
     prepare(spark)
     return collect(fx.raw_log(spark, sf_dir), RANGE_START, RANGE_END, COLLECT_LIMIT).drop("line_ts")
+
+
+@register("log_file_scan", oracle=cte(**RAW, parsed=S.PARSED_SQL)
+          + "SELECT timestamp, timestamp_ns, component, node, filename, level, task_id, message FROM parsed")
+def log_file_scan(spark: SparkSession, sf_dir: str):
+    """Raw lines landed as text files per original path, scanned back as files, parsed and tagged."""
+    from faultlens.session import scratch_path
+    from faultlens.sources.files import read_log_tree, write_log_tree
+    prepare(spark)
+    root = write_log_tree(fx.raw_log(spark, sf_dir), scratch_path(spark, "log_files"))
+    return ops.parse_lines(read_log_tree(spark, root), keep=("filename",)) \
+        .select("timestamp", "timestamp_ns", "component", "node", "filename", "level", "task_id", "message")

@@ -36,3 +36,18 @@ def test_write_dataset_layout(spark):
     assert {"node=cpf-1", "node=cpf-2"} <= folders
     kinds = {d for n in folders for d in os.listdir(root.replace("file:", "") + "/logs/" + n)}
     assert "log_file=datanode" in kinds and any(k.startswith("log_file=task_") for k in kinds)
+
+
+def test_read_log_files_uses_real_paths(spark, tmp_path):
+    from faultlens.sources.files import read_log_files
+    d = tmp_path / "hdfs-nfs" / "application_17_0002"
+    d.mkdir(parents=True)
+    (d / "cpf-3_45454").write_text("2024-01-05 10:20:30,123 INFO a\n  at frame\n2024-01-05 10:20:31 WARN b\n")
+    (tmp_path / "yarn-nodemanager-cpf-2.log").write_text("2024-01-05 10:00:00,001 ERROR c\n")
+    raw = read_log_files(spark, str(tmp_path))
+    recs = L.parse_lines(raw, keep=("filename",)).collect()
+    got = sorted((r.node, r.task_id, r.component, r.level) for r in recs)
+    assert got == [("cpf-2", None, "nodemanager", "ERROR"), ("cpf-3", "17_0002", "mapreduce", "INFO"),
+                   ("cpf-3", "17_0002", "mapreduce", "WARN")]
+    missing = read_log_files(spark, [str(tmp_path / "yarn-nodemanager-cpf-2.log"), str(tmp_path / "gone.log")])
+    assert missing.count() == 1
