@@ -59,3 +59,23 @@ def test_maybe_broadcast_checks_rows_and_bytes(spark):
         assert "broadcast" not in plan(maybe_broadcast(small)).lower()
     finally:
         spark.conf.unset(BROADCAST_BYTES_KEY)
+
+
+def test_shuffle_path_when_broadcast_refused(spark):
+    """Beyond the broadcast budget the joins shuffle; results must not change."""
+    from faultlens.operators.ordering import BROADCAST_BYTES_KEY
+    from faultlens.plans.catalog import QUERIES, load_all
+    from tests.harness import rows_of_spark
+    load_all()
+    sf = "/root/testdata/sf0.001"
+    names = ["task_window_logs", "log_topn_per_file", "log_sorted_rank", "metric_rate", "silence_gaps"]
+    want = {n: rows_of_spark(QUERIES[n](spark, sf)) for n in names}
+    spark.conf.set(BROADCAST_BYTES_KEY, "1")
+    try:
+        for n in names:
+            df = QUERIES[n](spark, sf)
+            plan = df._jdf.queryExecution().logical().toString().lower()
+            assert "broadcast" not in plan, n
+            assert rows_of_spark(df) == want[n], n
+    finally:
+        spark.conf.unset(BROADCAST_BYTES_KEY)
