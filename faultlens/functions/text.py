@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE_SPACE = r"^\s+|\s+$"
+# --- fixed values: the characters Python's str.strip() removes (str.isspace) -------
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
+# -------------------------------------------------------------------------------
 
 
 def py_strip(col: Column) -> Column:
-    """``str.strip()``: drop leading/trailing whitespace (not just spaces)."""
-    return F.regexp_replace(col, _EDGE_SPACE, "")
+    """``str.strip()``: drop leading/trailing whitespace (a character-set trim, no regex)."""
+    return F.btrim(col, F.lit(PY_WHITESPACE))
 
 
 def tokens(col: Column) -> Column:

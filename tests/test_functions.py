@@ -84,3 +84,10 @@ def test_ip_reclassify_rows(spark):
     df = spark.createDataFrame(rows, "message string, component string, task_id string, node string")
     got = [(r.hostname, r.out_name) for r in reclassify_by_ip(df).collect()]
     assert got == [("cpf-1", "datanode"), ("1.2.3.4", "task_17_1"), ("unknown", "namenode"), ("cpf-1", "yarn_logs")]
+
+
+def test_py_strip_matches_python(spark):
+    from faultlens.functions.text import PY_WHITESPACE, py_strip
+    assert sorted(PY_WHITESPACE) == sorted(chr(c) for c in range(0x110000) if chr(c).isspace())
+    vals = ["  a b  ", "\t　x \n", "", "\x1cq\x85", "no-space"]
+    assert _one(spark, py_strip, vals) == [v.strip() for v in vals]
