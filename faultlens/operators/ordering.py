@@ -2,8 +2,9 @@
 
 A plain ``Window.partitionBy(g).orderBy(t)`` sends a whole group to one task; with a
 group holding a third of all rows that task is the job.  These helpers split each
-group into time buckets, solve the problem per bucket, and stitch buckets together
-with a small per-(group, bucket) aggregate:
+group into time buckets - refining any bucket that is itself too big - solve the
+problem per bucket, and stitch buckets together with a small per-(group, bucket)
+aggregate:
 
 * :func:`top_n_per_group` - first N rows per group (cutoff bucket found from counts),
 * :func:`running_rank` - row number within the group (bucket offsets + local rank),
@@ -19,12 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from faultlens.functions.time import time_bucket
+from faultlens.functions.time import epoch_micros
 
 BROADCAST_ROW_LIMIT = 2_000_000
 BROADCAST_BYTES_KEY = "faultlens.broadcast.maxBytes"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_BUCKET_SECONDS = 3600
+MAX_BUCKET_ROWS = 5_000_000          # rows one task may sort for one bucket
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -61,26 +63,61 @@ def maybe_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT, rows
     return small
 
 
-def _bucketed(df: DataFrame, ts_col: str, bucket_seconds: int) -> DataFrame:
-    return df.withColumn("_bucket", time_bucket(F.col(ts_col), bucket_seconds))
+def _adaptive_buckets(df: DataFrame, group_cols: list[str], ts_col: str, bucket_seconds: int,
+                      max_bucket_rows: int, extra_aggs=()) -> tuple[DataFrame, DataFrame, int]:
+    """Time buckets no bigger than ``max_bucket_rows`` rows (unless one instant holds more).
+
+    Rows get the start (epoch micros) of a ``bucket_seconds`` bucket.  Per-(group, bucket)
+    counts are materialised; only buckets above the limit are cut into aligned finer
+    buckets (minute, second, millisecond, microsecond) until every bucket fits.  Bucket
+    starts sort in time order across levels because finer buckets tile their parent.
+    Returns the bucketed rows, the materialised per-bucket stats (``_cnt`` plus
+    ``extra_aggs``) and the stats' row count.  Without hot buckets this is one pass.
+    """
+    us = epoch_micros(F.col(ts_col))
+    top = bucket_seconds * 1_000_000
+    widths = [top] + [w for w in (60_000_000, 1_000_000, 1_000, 1) if w < top and top % w == 0]
+
+    def start(width: int) -> Column:
+        return (us - F.pmod(us, F.lit(width))).cast("long")
+
+    def stats(frame: DataFrame):
+        return materialize_counted(frame.groupBy(*group_cols, "_bucket")
+                                   .agg(F.count(F.lit(1)).alias("_cnt"), *extra_aggs))
+
+    b = df.withColumn("_bucket", start(widths[0]))
+    st, st_rows = stats(b)
+    for width in widths[1:]:
+        hot, n_hot = materialize_counted(st.where(F.col("_cnt") > max_bucket_rows)
+                                         .select(*group_cols, "_bucket", F.lit(True).alias("_hot")))
+        if n_hot == 0:
+            break
+        b = (b.join(maybe_broadcast(hot, rows=n_hot), [*group_cols, "_bucket"], "left")
+             .withColumn("_bucket", F.when(F.col("_hot"), start(width)).otherwise(F.col("_bucket")))
+             .drop("_hot"))
+        st, st_rows = stats(b)
+    return b, st, st_rows
+
+
+def _rows_before(group_cols: list[str]) -> Column:
+    return F.coalesce(F.sum("_cnt").over(
+        Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: str, n: int,
-                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS, rank_col: str = "rank") -> DataFrame:
+                    bucket_seconds: int = DEFAULT_BUCKET_SECONDS, rank_col: str = "rank",
+                    max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """First ``n`` rows per group by (ts, tiebreak), with their rank; exact.
 
-    1. rows per (group, bucket) - map-side combined, tiny shuffle;
+    1. rows per (group, bucket) - map-side combined, tiny shuffle (hot buckets refined);
     2. rows in earlier buckets per group -> keep buckets that start before rank n;
        buckets wholly inside the top n have at most n rows, the one cutoff bucket is
        trimmed by a group-limited window (partial limit runs before the shuffle);
     3. rank = rows before the bucket + rank inside it.
     """
-    b = _bucketed(df, ts_col, bucket_seconds)
-    counts = b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = F.coalesce(F.sum("_cnt").over(
-        Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    keep, keep_rows = materialize_counted(counts.withColumn("_before", before).where(F.col("_before") < n)
-                                          .select(*group_cols, "_bucket", "_before"))
+    b, st, _ = _adaptive_buckets(df, group_cols, ts_col, bucket_seconds, max_bucket_rows)
+    keep, keep_rows = materialize_counted(st.withColumn("_before", _rows_before(group_cols))
+                                          .where(F.col("_before") < n).select(*group_cols, "_bucket", "_before"))
     kept = b.join(maybe_broadcast(keep, rows=keep_rows), [*group_cols, "_bucket"], "inner")
     local = F.row_number().over(Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak))
     return (kept.withColumn("_rn", local)
@@ -90,13 +127,11 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak:
 
 
 def running_rank(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: str,
-                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS, rank_col: str = "rank") -> DataFrame:
-    """Row number within each group by (ts, tiebreak) without one task per group."""
-    b = _bucketed(df, ts_col, bucket_seconds)
-    counts = b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets, offset_rows = materialize_counted(counts.withColumn("_before", F.coalesce(F.sum("_cnt").over(
-        Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0))).drop("_cnt"))
+                 bucket_seconds: int = DEFAULT_BUCKET_SECONDS, rank_col: str = "rank",
+                 max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
+    """Row number within each group by (ts, tiebreak) without one task per group or bucket."""
+    b, st, _ = _adaptive_buckets(df, group_cols, ts_col, bucket_seconds, max_bucket_rows)
+    offsets, offset_rows = materialize_counted(st.withColumn("_before", _rows_before(group_cols)).drop("_cnt"))
     local = F.row_number().over(Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak))
     return (b.join(maybe_broadcast(offsets, rows=offset_rows), [*group_cols, "_bucket"], "inner")
             .withColumn(rank_col, (local + F.col("_before")).cast("long"))
@@ -104,18 +139,19 @@ def running_rank(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: st
 
 
 def with_previous(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: str, cols: list[str],
-                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS, prefix: str = "prev_") -> DataFrame:
+                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS, prefix: str = "prev_",
+                  max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """Adds ``prev_<c>`` for ``ts_col`` and each of ``cols``: the previous row of the group.
 
     NULL for the first row of a group.  The lag runs per (group, bucket); the first row
     of a bucket takes the last row of the previous non-empty bucket of its group.
     """
     carried = [ts_col, tiebreak, *[c for c in cols if c not in (ts_col, tiebreak)]]
-    b = _bucketed(df, ts_col, bucket_seconds)
-    last = b.groupBy(*group_cols, "_bucket").agg(
-        F.max(F.struct(*[F.col(c) for c in carried])).alias("_last"))
+    last = F.max(F.struct(*[F.col(c) for c in carried])).alias("_last")
+    b, st, _ = _adaptive_buckets(df, group_cols, ts_col, bucket_seconds, max_bucket_rows, extra_aggs=[last])
     w_b = Window.partitionBy(*group_cols).orderBy("_bucket")
-    carry, carry_rows = materialize_counted(last.withColumn("_carry", F.lag("_last").over(w_b)).drop("_last"))
+    carry, carry_rows = materialize_counted(st.withColumn("_carry", F.lag("_last").over(w_b))
+                                            .select(*group_cols, "_bucket", "_carry"))
     w = Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak)
     prev = F.coalesce(F.lag(F.struct(*[F.col(c) for c in carried])).over(w), F.col("_carry"))
     out = b.join(maybe_broadcast(carry, rows=carry_rows), [*group_cols, "_bucket"], "inner").withColumn("_prev", prev)

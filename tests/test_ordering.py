@@ -79,3 +79,22 @@ def test_shuffle_path_when_broadcast_refused(spark):
             assert rows_of_spark(df) == want[n], n
     finally:
         spark.conf.unset(BROADCAST_BYTES_KEY)
+
+
+def test_hot_bucket_is_refined(spark):
+    """One hour of one group holds most rows: buckets are cut finer, results unchanged."""
+    from faultlens.operators.ordering import _adaptive_buckets
+    base = dt.datetime(2024, 1, 1, 5)
+    rows = [(i, "hot", base + dt.timedelta(microseconds=(i * 7919) % 3_000_000_000)) for i in range(2000)]
+    rows += [(10_000 + i, "cold", base + dt.timedelta(hours=i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, g string, ts timestamp_ntz")
+    b, st, _ = _adaptive_buckets(df, ["g"], "ts", 3600, max_bucket_rows=100)
+    assert st.agg(F.max("_cnt")).first()[0] <= 100 and st.count() > 20
+    w = Window.partitionBy("g").orderBy("ts", "id")
+    ref_rank = {(r.id, r.rk) for r in df.select("id", F.row_number().over(w).alias("rk")).collect()}
+    ref_prev = {(r.id, r.p) for r in df.select("id", F.lag("ts").over(w).alias("p")).collect()}
+    assert {(r.id, r.rank) for r in running_rank(df, ["g"], "ts", "id", max_bucket_rows=100).collect()} == ref_rank
+    assert {(r.id, r.rank) for r in top_n_per_group(df, ["g"], "ts", "id", 150, max_bucket_rows=100).collect()} \
+        == {x for x in ref_rank if x[1] <= 150}
+    assert {(r.id, r.prev_ts) for r in with_previous(df, ["g"], "ts", "id", [], max_bucket_rows=100).collect()} \
+        == ref_prev
