@@ -58,7 +58,7 @@ def bloat_expand(lines: DataFrame, copies: int = 4, line_col: str = "line",
     """Each stripped line ``copies`` times as ``<line>\\t<i>`` (blank lines included)."""
     keep = [c for c in keep if c in lines.columns]
     return (lines.select(*keep, py_strip(F.col(line_col)).alias("_text"),
-                         F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+                         F.explode(F.sequence(F.lit(0), F.lit(copies - 1)).cast("array<bigint>")).alias("copy"))
             .select(*keep, "copy", F.concat_ws("\t", "_text", F.col("copy").cast("string")).alias("record")))
 
 

@@ -85,7 +85,7 @@ def text_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as text lines: (doc_id, line_no, line), line_no from 1."""
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")) \
-        .select("doc_id", (F.col("pos") + 1).alias("line_no"), "line")
+        .select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 TEXT_LINE_SQL = """
