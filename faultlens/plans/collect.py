@@ -4,6 +4,7 @@
   file (oldest first) plus every task file listed in the range, read whole.
 * :func:`collect_task_logs` - task-driven collection: the task's own files fix the window
   (first/last line widened by minutes), component logs in that window plus the task files.
+* :func:`collect_recent` - the quick mode: the last N minutes before an anchor.
 * :func:`collect_metrics` - range-query pages flattened, pruned to the requested categories.
 * :func:`write_dataset` - the per-node folder layout (CSV, salted writers) under one root.
 """
@@ -24,11 +25,19 @@ DEFAULT_PER_FILE_LIMIT = 10_000
 OUT_COLUMNS = ["event_id", *L.RECORD_COLUMNS, "source"]
 
 
-def collect_logs(store: DataFrame, start: str, end: str, per_file_limit: int = DEFAULT_PER_FILE_LIMIT) -> DataFrame:
+def collect_logs(store: DataFrame, start: str, end: str, per_file_limit: int = DEFAULT_PER_FILE_LIMIT,
+                 task_source: str = "files") -> DataFrame:
+    """``task_source="files"``: task files listed in range are read whole and their lines parsed
+    (level from the text).  ``"store"``: task logs come from the store like daemon logs - in
+    range, capped per file, level from the store label (the batch runner's variant)."""
     comp = L.component_records(store, start, end)
     capped = top_n_per_group(comp, ["filename"], "line_ts", "event_id", per_file_limit).drop("rank")
-    listed = L.files_in_range(store, start, end).where(F.col("filename").contains("application_"))
-    task = L.task_records(store.join(listed, "filename", "left_semi"))
+    if task_source == "store":
+        in_range = L.store_records(L.time_range(store, start, end)).where(F.col("task_id").isNotNull())
+        task = top_n_per_group(in_range, ["filename"], "line_ts", "event_id", per_file_limit).drop("rank")
+    else:
+        listed = L.files_in_range(store, start, end).where(F.col("filename").contains("application_"))
+        task = L.task_records(store.join(listed, "filename", "left_semi"))
     return (capped.withColumn("source", F.lit("component")).select(*OUT_COLUMNS)
             .unionByName(task.withColumn("source", F.lit("task")).select(*OUT_COLUMNS)))
 
@@ -50,6 +59,23 @@ def collect_task_logs(store: DataFrame, task_id: str, minutes_before: int = 3, m
             .unionByName(task.withColumn("source", F.lit("task")).select(*OUT_COLUMNS)))
 
 
+def collect_recent(store: DataFrame, minutes: int, anchor: str | None = None,
+                   per_file_limit: int = DEFAULT_PER_FILE_LIMIT) -> DataFrame:
+    """Quick collection of the last ``minutes`` before ``anchor`` (default: the newest stored row).
+
+    The anchor is one scalar read on the driver so that the range stays a literal
+    comparison and is pushed into the scan."""
+    import datetime as dt
+    if anchor is None:
+        newest = store.agg(F.max("ts")).first()[0]
+        end = newest + dt.timedelta(microseconds=1)
+    else:
+        end = dt.datetime.fromisoformat(anchor)
+    start = end - dt.timedelta(minutes=minutes)
+    fmt = "%Y-%m-%d %H:%M:%S.%f"
+    return collect_logs(store, start.strftime(fmt), end.strftime(fmt), per_file_limit)
+
+
 def collect_metrics(responses: DataFrame, categories: list[str] | None = None) -> DataFrame:
     categories = categories or dims.DEFAULT_METRIC_CATEGORIES
     return M.flatten_metric_responses(responses).where(F.col("category").isin(categories))

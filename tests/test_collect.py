@@ -51,3 +51,22 @@ def test_read_log_files_uses_real_paths(spark, tmp_path):
                    ("cpf-3", "17_0002", "mapreduce", "WARN")]
     missing = read_log_files(spark, [str(tmp_path / "yarn-nodemanager-cpf-2.log"), str(tmp_path / "gone.log")])
     assert missing.count() == 1
+
+
+def test_collect_recent_and_store_task_source(spark):
+    from pyspark.sql import functions as F
+
+    from faultlens.plans.collect import collect_logs, collect_recent
+    raw = fx.raw_log(spark, SF)
+    newest = raw.agg(F.max("ts")).first()[0]
+    recent = collect_recent(raw, 600)
+    comp = recent.where(F.col("source") == "component").select("event_id").collect()
+    con = duck(SF)
+    want = con.sql(cte(raw_log=fx.RAW_LOG_SQL, store=S.STORE_SQL) + f"""
+        SELECT event_id FROM store WHERE task_id IS NULL AND component <> 'unknown'
+        AND line_ts > TIMESTAMP '{newest}' - INTERVAL 600 MINUTE""").fetchall()
+    assert sorted(r.event_id for r in comp) == sorted(w[0] for w in want)
+    via_store = collect_logs(raw, "2024-01-01 00:00:00", "2024-02-01 00:00:00", task_source="store")
+    tasks = via_store.where(F.col("source") == "task")
+    # every stored task-file row comes back (unparsed lines included), level from the store label
+    assert tasks.count() == raw.where(F.col("filename").contains("application_")).count()
