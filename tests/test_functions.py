@@ -91,3 +91,9 @@ def test_py_strip_matches_python(spark):
     assert sorted(PY_WHITESPACE) == sorted(chr(c) for c in range(0x110000) if chr(c).isspace())
     vals = ["  a b  ", "\t　x \n", "", "\x1cq\x85", "no-space"]
     assert _one(spark, py_strip, vals) == [v.strip() for v in vals]
+
+
+def test_tokens_match_python_split(spark):
+    from faultlens.functions.text import tokens
+    vals = ["a  b\tc", " x　y\xa0z ", "\x1cq\x1dr", "", "one"]
+    assert _one(spark, tokens, vals) == [v.split() for v in vals]
