@@ -97,3 +97,11 @@ def test_tokens_match_python_split(spark):
     from faultlens.functions.text import tokens
     vals = ["a  b\tc", " x　y\xa0z ", "\x1cq\x1dr", "", "one"]
     assert _one(spark, tokens, vals) == [v.split() for v in vals]
+
+
+def test_split_class_is_exactly_isspace(spark):
+    from faultlens.functions.text import _SPLIT_RUNS
+    chars = [chr(i) for i in range(0x3100)]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    splits = {r.c for r in df.where(F.size(F.split(F.concat(F.lit("a"), "c", F.lit("b")), _SPLIT_RUNS)) == 2).collect()}
+    assert splits == {c for c in chars if c.isspace()}
