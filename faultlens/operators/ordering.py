@@ -36,11 +36,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
     """Checkpoint and return the row count, observed during the checkpoint job itself."""
+    done, seen = materialize_observed(df)
+    return done, seen["rows"]
+
+
+def materialize_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """Checkpoint; the row count and any extra aggregate ``metrics`` are observed in the same job."""
     from faultlens.session import shared_dir
     shared_dir(df.sparkSession)
-    obs = Observation("faultlens_rows")
-    done = df.observe(obs, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
-    return done, int(obs.get["rows"])
+    obs = Observation("faultlens_observed")
+    named = [F.count(F.lit(1)).alias("rows"), *[m.alias(k) for k, m in metrics.items()]]
+    done = df.observe(obs, *named).checkpoint(eager=True)
+    seen = dict(obs.get)
+    seen["rows"] = int(seen["rows"])
+    return done, seen
 
 
 def broadcast_budget(spark) -> int:
@@ -82,12 +91,16 @@ def _adaptive_buckets(df: DataFrame, group_cols: list[str], ts_col: str, bucket_
         return (us - F.pmod(us, F.lit(width))).cast("long")
 
     def stats(frame: DataFrame):
-        return materialize_counted(frame.groupBy(*group_cols, "_bucket")
-                                   .agg(F.count(F.lit(1)).alias("_cnt"), *extra_aggs))
+        done, seen = materialize_observed(frame.groupBy(*group_cols, "_bucket")
+                                          .agg(F.count(F.lit(1)).alias("_cnt"), *extra_aggs),
+                                          biggest=F.max("_cnt"))
+        return done, seen["rows"], seen["biggest"] or 0
 
     b = df.withColumn("_bucket", start(widths[0]))
-    st, st_rows = stats(b)
+    st, st_rows, biggest = stats(b)
     for width in widths[1:]:
+        if biggest <= max_bucket_rows:
+            break
         hot, n_hot = materialize_counted(st.where(F.col("_cnt") > max_bucket_rows)
                                          .select(*group_cols, "_bucket", F.lit(True).alias("_hot")))
         if n_hot == 0:
@@ -95,7 +108,7 @@ def _adaptive_buckets(df: DataFrame, group_cols: list[str], ts_col: str, bucket_
         b = (b.join(maybe_broadcast(hot, rows=n_hot), [*group_cols, "_bucket"], "left")
              .withColumn("_bucket", F.when(F.col("_hot"), start(width)).otherwise(F.col("_bucket")))
              .drop("_hot"))
-        st, st_rows = stats(b)
+        st, st_rows, biggest = stats(b)
     return b, st, st_rows
 
 
