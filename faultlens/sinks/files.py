@@ -14,7 +14,8 @@ from pyspark.sql import types as T
 
 CSV_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"', "multiLine": "true",
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
-               # NULL as \N keeps NULL and '' apart (absent labels are '', missing task ids NULL)
+               # NULL as \N keeps NULL and '' apart (absent labels are '', missing task ids NULL);
+               # only a field that is exactly \N would read back as NULL
                "nullValue": "\\N"}
 
 
