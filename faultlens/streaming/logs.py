@@ -68,3 +68,26 @@ def run_available_now(df: DataFrame, sink_path: str, checkpoint_path: str, outpu
 
 def stream_raw_log(spark: SparkSession, folder: str) -> DataFrame:
     return raw_log_from(event_stream(spark, folder))
+
+
+def stream_to_csv_layout(records: DataFrame, root: str, checkpoint_path: str, timeout_s: int = 600) -> str:
+    """Tagged log records from a stream into the per-node CSV layout, one folder per micro-batch.
+
+    ``foreachBatch`` overwrites ``<root>/epoch=<id>`` for each batch, so a retried batch
+    replaces its own output: together with the checkpoint this is exactly-once.
+    """
+    from faultlens.plans.collect import write_logs
+
+    def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        source = F.when(F.col("task_id").isNotNull(), F.lit("task")).otherwise(F.lit("component"))
+        write_logs(batch.withColumn("source", source), f"{root}/epoch={epoch_id}")
+
+    q = (records.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
+         .trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError(f"stream did not drain within {timeout_s}s")
+    if q.exception() is not None:
+        raise q.exception()
+    return root

@@ -36,3 +36,19 @@ def test_window_counts_multi_batch_with_late_file(spark):
     want = {(r.w.start, r.component, r.node): r["count"] for r in want_rows}
     assert got == want          # the late Jan-5 file contributed nothing
     assert len(got) > 1000
+
+
+def test_stream_to_csv_layout_equals_batch(spark):
+    from faultlens.plans.collect import LOG_FILE_COLUMNS
+    from faultlens.sinks.files import read_partitioned_csv
+    from pyspark.sql import types as T
+    sf = "/root/testdata/sf0.001"
+    root = scratch_path(spark, "stream_csv")
+    records = st.tag_stream(st.stream_raw_log(spark, sf))
+    st.stream_to_csv_layout(records, root + "/data", root + "/ckpt")
+    schema = T.StructType([T.StructField(c, T.LongType() if c in ("event_id", "timestamp_ns") else T.StringType())
+                           for c in LOG_FILE_COLUMNS])
+    back = read_partitioned_csv(spark, root + "/data", schema)
+    got = sorted((r.event_id, r.node, r.message) for r in back.collect())
+    want = sorted((r.event_id, r.node, r.message) for r in L.parse_lines(fx.raw_log(spark, sf)).collect())
+    assert got == want and len(got) > 0
