@@ -47,3 +47,34 @@ def test_rate_extrapolation_hand_case(spark):
     # sampled 10, avg 10, threshold 11; to_start 40 -> zero point 10*10/10=10 < 40 -> 10 (< 11, extend 10);
     # to_end 10 < 11 extend 10 -> 30 s; 10 * 30/10 / 60
     assert r2.rate == pytest.approx(10 * 3 / 60)
+
+
+def test_flatten_real_shaped_metric_response(spark):
+    import math
+    body = ('{"status":"success","data":{"resultType":"matrix","result":['
+            '{"metric":{"__name__":"node_load1","instance":"cpf-2:9100"},'
+            '"values":[[1704067207.179,"0.5"],[1704067222.179,"NaN"],[1704067237.179,"+Inf"],[1704067252.179,"x"]]},'
+            '{"metric":{"instance":"cpf-9:9404","device":"sda"},"value":[1704067207,"7"]},'
+            '{"metric":{"instance":""},"values":[[1704067207,"1"]]}]}}')
+    df = spark.createDataFrame([("node_load1", body)], "query string, body string")
+    rows = M.flatten_metric_responses(df).orderBy("timestamp_us").collect()
+    # ordered by time: the instant-form point (…207.000) first; "x" and the blank-instance series dropped
+    assert [(r.hostname, r.service) for r in rows] == [("cpf-9", "nodemanager"), ("cpf-2", "node_exporter"),
+                                                       ("cpf-2", "node_exporter"), ("cpf-2", "node_exporter")]
+    assert rows[0].timestamp == "2024-01-01 00:00:07" and rows[0].timestamp_us == 1704067207000000
+    assert rows[1].timestamp_us == 1704067207179000
+    values = [r.value for r in rows]
+    assert values[0] == 7.0 and values[1] == 0.5 and math.isnan(values[2]) and values[3] == float("inf")
+    assert rows[0].device == "sda" and rows[1].device == "" and rows[1].category == "cpu"
+
+
+def test_flatten_real_shaped_log_response(spark):
+    from faultlens.operators.logs import flatten_log_responses
+    body = ('{"status":"success","data":{"resultType":"streams","result":['
+            '{"stream":{"filename":"/var/log/hadoop/hdfs-datanode-cpf-2.log","level":"info"},'
+            '"values":[["1704067207179575000","2024-01-01 00:00:07,179 INFO ok"],["oops","dropped"]]},'
+            '{"stream":{"filename":"/hdfs-nfs/x/application_1_2/cpf-3_1"},"values":[["1704067207000000000","task"]]},'
+            '{"stream":{"filename":"/var/log/syslog"},"values":[["1704067208000000000","no level label"]]}]}}')
+    rows = flatten_log_responses(spark.createDataFrame([(body,)], "body string")).orderBy("timestamp_ns").collect()
+    assert [(r.component, r.node, r.level, r.timestamp) for r in rows] == [
+        ("datanode", "cpf-2", "info", "2024-01-01 00:00:07"), ("mapreduce", "unknown", "unknown", "2024-01-01 00:00:08")]
