@@ -25,6 +25,12 @@ REFERENCE_TARGET_BYTES = 3_200_000_000
 # -------------------------------------------------------------------------------
 
 ROWS_PER_PARTITION = 2_000_000
+MAX_PARTITIONS = 100_000      # at 100 TB-scale targets, bigger partitions rather than millions of tasks
+
+
+def _partitions(rows: int) -> int:
+    """Generated rows stream through each task (nothing is held), so only the task count is capped."""
+    return max(1, min(MAX_PARTITIONS, math.ceil(rows / ROWS_PER_PARTITION)))
 
 
 def corpus_bytes(documents: DataFrame, text_col: str = "text") -> int:
@@ -43,8 +49,7 @@ def skew_lines(spark: SparkSession, target_bytes: int = REFERENCE_TARGET_BYTES,
     """Batches of ``hot`` hot-key lines then ``cold`` cold-key lines until the size is reached."""
     per_batch = hot + cold
     rows = skew_batches(target_bytes, hot, cold) * per_batch
-    parts = max(1, math.ceil(rows / ROWS_PER_PARTITION))
-    ids = spark.range(0, rows, 1, parts)
+    ids = spark.range(0, rows, 1, _partitions(rows))
     line = F.when(F.col("id") % per_batch < hot, F.lit(HOT_KEY)).otherwise(F.lit(COLD_KEY))
     return ids.select(F.col("id").alias("line_id"), line.alias("line"))
 
@@ -83,8 +88,7 @@ def bloat_rows(target_bytes: int, per_batch: int = BLOAT_PER_BATCH) -> int:
 def bloat_lines(spark: SparkSession, target_bytes: int = REFERENCE_TARGET_BYTES,
                 per_batch: int = BLOAT_PER_BATCH) -> DataFrame:
     rows = bloat_rows(target_bytes, per_batch)
-    parts = max(1, math.ceil(rows / ROWS_PER_PARTITION))
-    ids = spark.range(0, rows, 1, parts)
+    ids = spark.range(0, rows, 1, _partitions(rows))
     line = F.concat(F.lit(BLOAT_KEY_PREFIX), F.col("id").cast("string"), F.lit("\t" + BLOAT_TEXT))
     return ids.select(F.col("id").alias("line_id"), line.alias("line"))
 
