@@ -16,10 +16,12 @@ def straggler_rank(task_lines: DataFrame, threshold: float = 1.5) -> DataFrame:
     """Span of each (task, node) against the median span of all; ratio above ``threshold`` flags it.
 
     Spans are one aggregate row per (task, node), materialised once; the exact median is
-    found from global positions (no single buffer of all spans)."""
+    found from global positions (no single buffer of all spans) and read as one scalar."""
     spans = materialize(task_lines.groupBy("task_id", "node").agg(
         ((epoch_micros(F.max("line_ts")) - epoch_micros(F.min("line_ts"))) / F.lit(1e6)).alias("span_s")))
-    median = exact_median(spans, "span_s", ["task_id", "node"])
+    # one number, evaluated once (it is used three times below)
+    median_value = spans.sparkSession.range(1).select(exact_median(spans, "span_s", ["task_id", "node"])).first()[0]
+    median = F.lit(median_value).cast("double")
     ratio = F.try_divide(F.col("span_s"), median)
     return spans.select("task_id", "node", F.round("span_s", 6).alias("span_s"), F.round(median, 6).alias("median_s"),
                         F.round(ratio, 6).alias("ratio"), (ratio > F.lit(threshold)).alias("straggler"))
