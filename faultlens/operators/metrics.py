@@ -29,14 +29,16 @@ def flatten_metric_responses(responses: DataFrame, query_col: str = "query", bod
     instance_hosts = instance_hosts or dims.INSTANCE_TO_HOST
     service_ports = service_ports or dims.SERVICE_PORTS
     doc = F.from_json(F.col(body_col), METRIC_RESPONSE_SCHEMA)
-    series = responses.select(F.col(query_col).alias("query"), F.explode(doc["data"]["result"]).alias("r"))
+    query = F.col(query_col) if query_col in responses.columns else F.lit(None).cast("string")
+    series = responses.select(query.alias("query"), F.explode(doc["data"]["result"]).alias("r"))
     pts = F.when(F.size("r.values") > 0, F.col("r.values")) \
         .when(F.col("r.value").isNotNull(), F.array(F.col("r.value"))) \
         .otherwise(F.array().cast("array<array<string>>"))
     labels = F.col("r.metric")
     instance = F.coalesce(F.element_at(labels, F.lit("instance")), F.lit(""))
+    # the name comes from the query text; without one, from the series' __name__ label
     rows = series.select(
-        M.metric_name(F.col("query")).alias("metric"),
+        F.coalesce(M.metric_name(F.col("query")), F.element_at(labels, F.lit("__name__"))).alias("metric"),
         M.host_from_instance(instance, instance_hosts).alias("hostname"),
         M.service_from_instance(instance, service_ports).alias("service"),
         M.label(labels, "device").alias("device"),

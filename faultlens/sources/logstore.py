@@ -51,7 +51,20 @@ def log_responses(store: DataFrame, page_rows: int = 100) -> DataFrame:
 
 
 def read_response_lines(spark, path: str, body_col: str = "body") -> DataFrame:
-    """Landed API responses, one JSON document per line (as a scraper appends them), as a
-    ``body`` column for :func:`faultlens.operators.logs.flatten_log_responses` or the metric
-    flatten.  Line-delimited files split across tasks; no whole-file reads."""
-    return spark.read.text(path).withColumnRenamed("value", body_col)
+    """Landed API responses, one JSON document per line (as a scraper appends them).
+
+    A line is either a bare response or an envelope ``{"query": ..., "response": {...}}``
+    (metric collectors keep the query text: the metric name comes from it).  Returns
+    ``(query, body)``; ``query`` is NULL for bare responses.  Line-delimited files split
+    across tasks; no whole-file reads."""
+    raw = spark.read.text(path)
+    response = F.get_json_object(F.col("value"), "$.response")
+    return raw.select(F.get_json_object(F.col("value"), "$.query").alias("query"),
+                      F.coalesce(response, F.col("value")).alias(body_col))
+
+
+def envelope_lines(pages: DataFrame, query_col: str = "query", body_col: str = "body") -> DataFrame:
+    """``(query, body)`` pages as envelope lines ``{"query": ..., "response": ...}`` (``value``)."""
+    head = F.to_json(F.struct(F.col(query_col).alias("query")))          # {"query":"..."} - escaped
+    return pages.select(F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"response":'), F.col(body_col),
+                                 F.lit("}")).alias("value"))
