@@ -32,17 +32,25 @@ def main() -> None:
     load_all()
     spark = build_session(shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")))
     times: dict[str, float] = {}
+    failed: dict[str, str] = {}
     for name in names:
         def run():
             t0 = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             return time.perf_counter() - t0
-        run()  # warm
-        times[name] = round(statistics.median(run() for _ in range(reps)), 3)
-        print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
+        try:
+            run()  # warm
+            times[name] = round(statistics.median(run() for _ in range(reps)), 3)
+            print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
+        except Exception as exc:  # one broken query must not lose the whole measurement
+            failed[name] = repr(exc)[:300]
+            print(f"{name}: FAILED {failed[name]}", file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir).replace("sf", "")
-    print(json.dumps({"metric": "sum_median_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf}))
+    line = {"metric": "sum_median_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
+            "queries": times, "sf": sf}
+    if failed:
+        line["failed"] = failed
+    print(json.dumps(line))
 
 
 if __name__ == "__main__":
