@@ -97,10 +97,14 @@ def labelled_records(spark: SparkSession, sf_dir: str):
                          F.array_contains("affected_nodes", F.col("node")).alias("in_affected"), "nodes_known")
 
 
-@register("collection_summary", oracle=cte(**BASE, **STORE, metric_sample=fx.METRIC_SAMPLE_SQL) + """
-SELECT w.run_id, coalesce(l.log_files, 0) AS log_files, coalesce(l.log_rows, 0) AS log_rows,
+@register("collection_summary", oracle=cte(**BASE, **STORE, metric_sample=fx.METRIC_SAMPLE_SQL,
+                                           catalogue=CATALOGUE_SQL, info=FAULT_INFO_SQL) + """
+SELECT w.run_id, w.fault_type, w.job_id, w.description, array_to_string(w.affected_nodes, ', ') AS affected_nodes,
+       array_to_string(w.affected_services, ', ') AS affected_services, w.injection_method,
+       w.window_start, w.window_end,
+       coalesce(l.log_files, 0) AS log_files, coalesce(l.log_rows, 0) AS log_rows,
        coalesce(m.metric_series, 0) AS metric_series, coalesce(m.metric_rows, 0) AS metric_rows
-FROM windows w
+FROM info w
 LEFT JOIN (SELECT w.run_id, count(DISTINCT s.filename) AS log_files, count(*) AS log_rows
            FROM windows w JOIN store s ON s.line_ts >= w.window_start AND s.line_ts < w.window_end
            GROUP BY w.run_id) l ON l.run_id = w.run_id
@@ -108,18 +112,22 @@ LEFT JOIN (SELECT w.run_id, count(DISTINCT (m.hostname, m.mode)) AS metric_serie
            FROM windows w JOIN metric_sample m ON m.ts >= w.window_start AND m.ts < w.window_end
            GROUP BY w.run_id) m ON m.run_id = w.run_id""")
 def collection_summary(spark: SparkSession, sf_dir: str):
-    """Per run: log files and rows, metric series and rows collected in its window."""
+    """Per run: fault information, collection window, and log/metric files and rows collected in it."""
     prepare(spark)
     raw = fx.raw_log(spark, sf_dir)
-    windows = materialize(ops.run_windows(ops.job_runs(L.task_records(raw))).select("run_id", "window_start", "window_end"))
+    info = materialize(ops.with_fault_info(ops.run_windows(ops.job_runs(L.task_records(raw)))).select(
+        "run_id", "fault_type", "job_id", "description", F.array_join("affected_nodes", ", ").alias("affected_nodes"),
+        F.array_join("affected_services", ", ").alias("affected_services"), "injection_method",
+        "window_start", "window_end"))
+    windows = info.select("run_id", "window_start", "window_end")
     logs = range_join(L.store_records(raw).select("filename", "line_ts"), windows, "line_ts") \
         .groupBy("run_id").agg(F.count_distinct("filename").alias("log_files"), F.count(F.lit(1)).alias("log_rows"))
     mets = range_join(fx.metric_sample(spark, sf_dir).select("hostname", "mode", "ts"), windows, "ts") \
         .groupBy("run_id").agg(F.count_distinct("hostname", "mode").alias("metric_series"),
                                F.count(F.lit(1)).alias("metric_rows"))
-    out = windows.select("run_id").join(logs, "run_id", "left").join(mets, "run_id", "left")
-    return out.select("run_id", *[F.coalesce(c, F.lit(0)).alias(c)
-                                  for c in ("log_files", "log_rows", "metric_series", "metric_rows")])
+    out = info.join(logs, "run_id", "left").join(mets, "run_id", "left")
+    return out.select(*info.columns, *[F.coalesce(c, F.lit(0)).alias(c)
+                                       for c in ("log_files", "log_rows", "metric_series", "metric_rows")])
 
 
 @register("recent_runs", oracle=cte(**BASE) + """
