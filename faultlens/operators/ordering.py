@@ -182,7 +182,12 @@ def global_order_number(df: DataFrame, order_cols: list[Column | str], col: str
     The order columns must form a unique key.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if num_partitions is None:
+        # about a million rows per range partition, at most the session's shuffle width
+        df, rows = materialize_counted(df)
+        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        num_partitions = max(1, min(cap, -(-rows // 1_000_000)))
+    n = num_partitions
     # monotonically_increasing_id = (partition id << 33) + position inside the partition,
     # so after a local sort it is the in-partition rank; the checkpoint pins it down.
     ranged = materialize(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
