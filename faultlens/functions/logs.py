@@ -81,6 +81,7 @@ def parse_line_time(date_part: Column, time_part: Column) -> Column:
 
 
 def message_of(parts: Column) -> Column:
+    """The stripped text after date and time of a split line."""
     return py_strip(F.get(parts, 2))
 
 

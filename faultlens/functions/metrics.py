@@ -45,6 +45,7 @@ def metric_name(query: Column) -> Column:
 
 
 def metric_category(name: Column) -> Column:
+    """Category of a metric name by the ordered substring rules."""
     expr = None
     for category, words in CATEGORY_RULES:
         cond = None

@@ -28,6 +28,7 @@ def from_epoch_micros(col) -> Column:
 
 
 def from_epoch_seconds(col) -> Column:
+    """TIMESTAMP_NTZ from (fractional) epoch seconds, at microsecond precision."""
     return from_epoch_micros((_c(col) * F.lit(1_000_000)).cast("long"))
 
 

@@ -28,6 +28,7 @@ _MODULES = [
 
 
 def register(name: str, oracle: str | None = None, note: str | None = None):
+    """Decorator registering a query under ``name`` with its optional oracle SQL."""
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
@@ -41,6 +42,7 @@ def register(name: str, oracle: str | None = None, note: str | None = None):
 
 
 def load_all() -> None:
+    """Import every query module so that the registry is complete."""
     for m in _MODULES:
         try:
             importlib.import_module(m)

@@ -77,6 +77,7 @@ def collect_recent(store: DataFrame, minutes: int, anchor: str | None = None,
 
 
 def collect_metrics(responses: DataFrame, categories: list[str] | None = None) -> DataFrame:
+    """Flattened samples of the requested categories (default cpu and memory)."""
     categories = categories or dims.DEFAULT_METRIC_CATEGORIES
     return M.flatten_metric_responses(responses).where(F.col("category").isin(categories))
 

@@ -102,19 +102,23 @@ FAULT_SCHEMA = T.StructType([
 
 
 def fault_catalogue(spark: SparkSession) -> DataFrame:
+    """The fault catalogue as a DataFrame (6 rows)."""
     rows = [(k, *v) for k, v in FAULT_CATALOGUE.items()]
     return spark.createDataFrame(rows, FAULT_SCHEMA)
 
 
 def node_roles(spark: SparkSession) -> DataFrame:
+    """Node -> roles (4 rows)."""
     return spark.createDataFrame(list(NODE_ROLES.items()), "node string, roles array<string>")
 
 
 def service_endpoints(spark: SparkSession) -> DataFrame:
+    """Service -> host:port endpoints (5 rows)."""
     return spark.createDataFrame(list(SERVICE_ENDPOINTS.items()), "service string, endpoints array<string>")
 
 
 def metric_catalogue(spark: SparkSession) -> DataFrame:
+    """Metric category -> query text (32 rows)."""
     rows = [(cat, q) for cat, qs in METRIC_CATALOGUE.items() for q in qs]
     return spark.createDataFrame(rows, "category string, query string")
 

@@ -6,16 +6,19 @@ from faultlens.functions import logs as L
 
 
 def node(f: str) -> str:
+    """Node of a log path (DuckDB form of the Spark expression)."""
     cands = ", ".join(f"nullif(regexp_extract({f}, '{p}', 1), '')" for p in L.NODE_PATTERNS)
     return (f"CASE WHEN {f} IS NULL OR {f} = '' THEN 'unknown' ELSE coalesce({cands}, "
             f"'cpf-' || nullif(regexp_extract({f}, '{L.TASK_NODE_PATTERN}', 1), ''), 'unknown') END")
 
 
 def task_id(f: str) -> str:
+    """Task id of a log path, NULL when absent."""
     return f"nullif(regexp_extract({f}, '{L.TASK_ID_PATTERN}', 1), '')"
 
 
 def component(f: str) -> str:
+    """Daemon component of a log path."""
     return (f"CASE WHEN {f} IS NULL OR {f} = '' THEN 'unknown' "
             f"WHEN contains({f}, 'datanode') THEN 'datanode' "
             f"WHEN contains({f}, 'namenode') AND contains({f}, 'secondary') THEN 'secondarynamenode' "
@@ -25,11 +28,13 @@ def component(f: str) -> str:
 
 
 def level(m: str) -> str:
+    """Level word found in a message."""
     whens = " ".join(f"WHEN contains(upper({m}), '{w}') THEN '{lv}'" for w, lv in L.LEVEL_ORDER)
     return f"CASE WHEN {m} IS NULL OR {m} = '' THEN 'unknown' {whens} ELSE '{L.DEFAULT_LEVEL}' END"
 
 
 def tags(f: str = "filename") -> str:
+    """component, node and task_id select items for a path column."""
     return f"{component(f)} AS component, {node(f)} AS node, {task_id(f)} AS task_id"
 
 

@@ -22,6 +22,7 @@ CSV_OPTIONS = {"header": "true", "quoteAll": "true", "escape": '"', "multiLine":
 def write_partitioned_csv(df: DataFrame, path: str, partition_cols: list[str], sort_cols: list[str],
                           salt_source: str, salt_buckets: int = 16, max_records_per_file: int = 1_000_000,
                           mode: str = "overwrite") -> str:
+    """Write CSV folders per partition value; hot values are salted over several writers."""
     salt = F.pmod(F.xxhash64(F.col(salt_source)), F.lit(salt_buckets))
     laid_out = (df.withColumn("_salt", salt)
                 .repartition(*[F.col(c) for c in partition_cols], F.col("_salt"))
@@ -44,11 +45,13 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Read JSON lines with an explicit schema (no inference pass)."""
     return spark.read.schema(schema).json(path)
 
 
 def read_key_value_text(spark: SparkSession, path: str, key: str, value: str,
                         value_type: str = "long") -> DataFrame:
+    """Read ``key<TAB>value`` text back into two typed columns."""
     lines = spark.read.text(path)
     return lines.select(F.split_part("value", F.lit("\t"), F.lit(1)).alias(key),
                         F.split_part("value", F.lit("\t"), F.lit(2)).cast(value_type).alias(value))

@@ -30,6 +30,7 @@ def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def read_log_files(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
+    """Lines of plain log files (paths, folders or globs) with their real path as ``filename``."""
     paths = existing_paths(spark, paths if isinstance(paths, list) else [paths])
     reader = (spark.read.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
               .option("recursiveFileLookup", str(recursive).lower()))
@@ -50,5 +51,6 @@ def write_log_tree(lines: DataFrame, root: str, path_col: str = "filename", line
 
 
 def read_log_tree(spark: SparkSession, root: str, path_col: str = "filename") -> DataFrame:
+    """Lines of a landing tree written by :func:`write_log_tree`, with the original path."""
     df = spark.read.option("ignoreMissingFiles", "true").text(root)
     return df.select(F.col(path_col).cast("string").alias("filename"), F.col("value").alias("line"))

@@ -40,6 +40,7 @@ def corpus_bytes(documents: DataFrame, text_col: str = "text") -> int:
 
 
 def skew_batches(target_bytes: int, hot: int = SKEW_HOT_PER_BATCH, cold: int = SKEW_COLD_PER_BATCH) -> int:
+    """Whole batches written until the byte size reaches the target."""
     batch_bytes = hot * (len(HOT_KEY) + 1) + cold * (len(COLD_KEY) + 1)
     return max(0, math.ceil(target_bytes / batch_bytes))
 
@@ -65,6 +66,7 @@ def _digit_total(rows: int) -> int:
 
 
 def bloat_line_bytes(rows: int) -> int:
+    """Bytes of the first ``rows`` bloat lines, newlines included."""
     fixed = len(BLOAT_KEY_PREFIX) + 1 + len(BLOAT_TEXT) + 1   # prefix, tab, text, newline
     return rows * fixed + _digit_total(rows)
 
@@ -87,6 +89,7 @@ def bloat_rows(target_bytes: int, per_batch: int = BLOAT_PER_BATCH) -> int:
 
 def bloat_lines(spark: SparkSession, target_bytes: int = REFERENCE_TARGET_BYTES,
                 per_batch: int = BLOAT_PER_BATCH) -> DataFrame:
+    """Unique-key bloat lines ``bloat_key_<n><TAB><text>`` up to the target size."""
     rows = bloat_rows(target_bytes, per_batch)
     ids = spark.range(0, rows, 1, _partitions(rows))
     line = F.concat(F.lit(BLOAT_KEY_PREFIX), F.col("id").cast("string"), F.lit("\t" + BLOAT_TEXT))

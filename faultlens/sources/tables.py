@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """A landed parquet table; under-split single-file inputs are spread (see below)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if spread is None:
         spread = os.environ.get("FAULTLENS_SPREAD_INPUT", "1") != "0"

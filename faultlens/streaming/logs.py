@@ -27,6 +27,7 @@ EVENTS_SCHEMA = T.StructType([
 
 def event_stream(spark: SparkSession, folder: str, glob: str = "events*.parquet",
                  max_files_per_trigger: int | None = None) -> DataFrame:
+    """File-stream source over landed event files (new files become micro-batches)."""
     reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -67,6 +68,7 @@ def run_available_now(df: DataFrame, sink_path: str, checkpoint_path: str, outpu
 
 
 def stream_raw_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Streaming raw log lines (the batch projection applied to the event stream)."""
     return raw_log_from(event_stream(spark, folder))
 
 
