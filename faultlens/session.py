@@ -32,7 +32,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # checkpoints of intermediate tables are removed once their DataFrames are gone
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints",
+                os.environ.get("FAULTLENS_CLEAN_CHECKPOINTS", "true"))
         .config("spark.driver.memory", os.environ.get("FAULTLENS_DRIVER_MEM", "16g"))
     )
     spark = builder.getOrCreate()
