@@ -6,7 +6,9 @@
 * :func:`read_log_tree` - a landing tree partitioned by the original path
   (``filename=<escaped path>/part-*.txt``): the path comes back by partition discovery.
 
-Text files split across tasks by size; nothing is read whole on the driver.
+Text files split across tasks by size; nothing is read whole on the driver.  Bytes that are
+not valid UTF-8 are dropped, as a reader decoding with ``errors="ignore"`` does (they surface
+as U+FFFD; a genuine U+FFFD in the text is dropped too).
 """
 
 from __future__ import annotations
@@ -14,6 +16,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_REPLACEMENT = "\ufffd"
+
+
+def _decoded(value_col: str = "value"):
+    return F.translate(F.col(value_col), _REPLACEMENT, "")
+
 
 def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
     """Paths (or globs with at least one match) that exist: a metadata check, no data read."""
@@ -38,7 +46,7 @@ def read_log_files(spark: SparkSession, paths: str | list[str], recursive: bool
         return spark.createDataFrame([], "filename string, line string")
     df = reader.text(paths)
     path = F.regexp_replace(F.col("_metadata.file_path"), r"^file:", "")
-    return df.select(path.alias("filename"), F.col("value").alias("line"))
+    return df.select(path.alias("filename"), _decoded().alias("line"))
 
 
 def write_log_tree(lines: DataFrame, root: str, path_col: str = "filename", line_col: str = "line") -> str:
@@ -53,4 +61,4 @@ def write_log_tree(lines: DataFrame, root: str, path_col: str = "filename", line
 def read_log_tree(spark: SparkSession, root: str, path_col: str = "filename") -> DataFrame:
     """Lines of a landing tree written by :func:`write_log_tree`, with the original path."""
     df = spark.read.option("ignoreMissingFiles", "true").text(root)
-    return df.select(F.col(path_col).cast("string").alias("filename"), F.col("value").alias("line"))
+    return df.select(F.col(path_col).cast("string").alias("filename"), _decoded().alias("line"))

@@ -70,3 +70,11 @@ def test_collect_recent_and_store_task_source(spark):
     tasks = via_store.where(F.col("source") == "task")
     # every stored task-file row comes back (unparsed lines included), level from the store label
     assert tasks.count() == raw.where(F.col("filename").contains("application_")).count()
+
+
+def test_invalid_utf8_bytes_are_dropped(spark, tmp_path):
+    from faultlens.sources.files import read_log_files
+    raw = b"2024-01-05 10:20:30 INFO ok\xff\xfe bytes\n2024-01-05 10:20:31 WARN caf\xc3\xa9\n"
+    (tmp_path / "x.log").write_bytes(raw)
+    got = sorted(r.line for r in read_log_files(spark, str(tmp_path)).collect())
+    assert got == sorted(raw.decode("utf-8", errors="ignore").splitlines())
