@@ -74,10 +74,12 @@ def line_parts(line: Column) -> Column:
 
 
 def parse_line_time(date_part: Column, time_part: Column) -> Column:
-    """Line time as TIMESTAMP_NTZ, NULL when unparsable (the row is then dropped)."""
+    """Line time as TIMESTAMP_NTZ, NULL when unparsable (the row is then dropped).
+
+    A comma in the time part selects the fractional format, as in the reference."""
     text = F.concat(date_part, F.lit(" "), time_part)
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in LINE_TS_FORMATS]
-    return F.coalesce(*parsed).cast("timestamp_ntz")
+    with_fraction, whole_seconds = (F.try_to_timestamp(text, F.lit(fmt)) for fmt in LINE_TS_FORMATS)
+    return F.when(time_part.contains(","), with_fraction).otherwise(whole_seconds).cast("timestamp_ntz")
 
 
 def message_of(parts: Column) -> Column:
