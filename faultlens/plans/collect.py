@@ -107,3 +107,25 @@ def write_dataset(logs: DataFrame, metrics: DataFrame | None, root: str) -> str:
                               salt_source="timestamp_unix")
     return root
 
+
+
+def summary_report(summary: DataFrame) -> DataFrame:
+    """Human-readable collection report per run (one multi-line text value per run), from the
+    rows of the ``collection_summary`` query: fault, window, and collected files and rows."""
+    def line(label: str, col: str):
+        return F.concat(F.lit(f"{label}: "), F.coalesce(F.col(col).cast("string"), F.lit("-")))
+    text = F.concat_ws("\n",
+                       line("run", "run_id"), line("fault type", "fault_type"), line("description", "description"),
+                       line("job id", "job_id"), line("affected nodes", "affected_nodes"),
+                       line("affected services", "affected_services"), line("injection method", "injection_method"),
+                       F.concat(F.lit("window: "), F.col("window_start").cast("string"), F.lit(" - "),
+                                F.col("window_end").cast("string")),
+                       line("log files", "log_files"), line("log rows", "log_rows"),
+                       line("metric series", "metric_series"), line("metric rows", "metric_rows"))
+    return summary.select("run_id", text.alias("value"))
+
+
+def write_summary_report(summary: DataFrame, root: str) -> str:
+    """``<root>/run_id=<id>/part-*.txt``: each run's report in its own folder."""
+    summary_report(summary).write.mode("overwrite").partitionBy("run_id").text(root)
+    return root

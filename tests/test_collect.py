@@ -78,3 +78,17 @@ def test_invalid_utf8_bytes_are_dropped(spark, tmp_path):
     (tmp_path / "x.log").write_bytes(raw)
     got = sorted(r.line for r in read_log_files(spark, str(tmp_path)).collect())
     assert got == sorted(raw.decode("utf-8", errors="ignore").splitlines())
+
+
+def test_summary_report_per_run(spark):
+    import glob
+
+    from faultlens.plans.catalog import QUERIES, load_all
+    from faultlens.plans.collect import write_summary_report
+    load_all()
+    summary = QUERIES["collection_summary"](spark, SF)
+    root = write_summary_report(summary, scratch_path(spark, "report_test"))
+    folders = glob.glob(root.replace("file:", "") + "/run_id=*")
+    assert len(folders) == summary.count() > 0
+    text = open(glob.glob(folders[0] + "/part-*")[0]).read()
+    assert text.startswith("run: ") and "log rows: " in text and "window: " in text
