@@ -29,6 +29,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst",
+                os.environ.get("FAULTLENS_PARALLELISM_FIRST", "true"))
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # checkpoints of intermediate tables are removed once their DataFrames are gone
