@@ -37,10 +37,6 @@ def _norm(v):
         return "[" + ",".join(_norm(x) for x in v) + "]"
     if isinstance(v, dict):
         return "{" + ",".join(f"{k}:{_norm(x)}" for k, x in sorted(v.items())) + "}"
-    if isinstance(v, bool):
-        return str(v)
-    if isinstance(v, (int,)):
-        return f"{float(v):.6f}" if False else str(v)
     return str(v)
 
 
