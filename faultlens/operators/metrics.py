@@ -154,10 +154,10 @@ def counter_rate(samples: DataFrame, series: list[str], value_col: str, start: s
     if not extrapolate:
         return w.select(*series, "t", "samples", (inc / F.lit(float(range_seconds))).alias("rate"))
     sampled = (F.col("_last_us") - F.col("_first_us")) / F.lit(1e6)
-    avg_gap = sampled / (F.col("samples") - F.lit(1))
+    avg_gap = F.try_divide(sampled, F.col("samples") - F.lit(1))
     to_start0 = (F.col("_first_us") - (F.col("_t_us") - F.lit(range_seconds * 1_000_000))) / F.lit(1e6)
     to_end = (F.col("_t_us") - F.col("_last_us")) / F.lit(1e6)
-    to_zero = sampled * (F.col("_first_v") / F.col("_inc"))
+    to_zero = sampled * F.try_divide(F.col("_first_v"), F.col("_inc"))
     to_start = F.when((F.col("_inc") > 0) & (F.col("_first_v") >= 0) & (to_zero < to_start0), to_zero) \
         .otherwise(to_start0)
     threshold = avg_gap * F.lit(1.1)
@@ -166,4 +166,5 @@ def counter_rate(samples: DataFrame, series: list[str], value_col: str, start: s
                + F.when(to_end < threshold, to_end).otherwise(avg_gap / 2))
     return (w.withColumn("_inc", inc).withColumn("_to_start", to_start)
             .select(*series, "t", "samples",
-                    (F.col("_inc") * (stretch / sampled) / F.lit(float(range_seconds))).alias("rate")))
+                    # two samples at one instant (sampled = 0) give NULL, not an ANSI error
+                    (F.col("_inc") * F.try_divide(stretch, sampled) / F.lit(float(range_seconds))).alias("rate")))

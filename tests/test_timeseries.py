@@ -78,3 +78,10 @@ def test_flatten_real_shaped_log_response(spark):
     rows = flatten_log_responses(spark.createDataFrame([(body,)], "body string")).orderBy("timestamp_ns").collect()
     assert [(r.component, r.node, r.level, r.timestamp) for r in rows] == [
         ("datanode", "cpf-2", "info", "2024-01-01 00:00:07"), ("mapreduce", "unknown", "unknown", "2024-01-01 00:00:08")]
+
+
+def test_rate_with_duplicate_instant_is_null_not_error(spark):
+    rows = [(0, T0 + dt.timedelta(seconds=30), "h", 1.0), (1, T0 + dt.timedelta(seconds=30), "h", 3.0)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, host string, v double")
+    out = M.counter_rate(df, ["host"], "v", "2024-01-01 00:01:00", "2024-01-01 00:01:00", 60, 60).collect()
+    assert len(out) == 1 and out[0].rate is None
