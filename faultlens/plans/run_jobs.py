@@ -97,6 +97,23 @@ def labelled_records(spark: SparkSession, sf_dir: str):
                          F.array_contains("affected_nodes", F.col("node")).alias("in_affected"), "nodes_known")
 
 
+@register("labelled_metrics", oracle=cte(**BASE, metric_sample=fx.METRIC_SAMPLE_SQL, catalogue=CATALOGUE_SQL,
+                                         info=FAULT_INFO_SQL) + """
+SELECT i.run_id, m.event_id, m.hostname, m.mode, round(m.g, 6) AS g, i.fault_type,
+       list_contains(i.affected_nodes, m.hostname) AS in_affected, i.nodes_known
+FROM info i JOIN metric_sample m ON m.ts >= i.window_start AND m.ts < i.window_end""")
+def labelled_metrics(spark: SparkSession, sf_dir: str):
+    """Every metric sample inside a run's window, labelled with the run's fault (range join + dim)."""
+    prepare(spark)
+    raw = fx.raw_log(spark, sf_dir)
+    info = ops.with_fault_info(ops.run_windows(ops.job_runs(L.task_records(raw))))
+    samples = fx.metric_sample(spark, sf_dir).select("event_id", "hostname", "mode", "g", "ts")
+    joined = range_join(samples, info.select("run_id", "fault_type", "affected_nodes", "nodes_known",
+                                             "window_start", "window_end"), "ts")
+    return joined.select("run_id", "event_id", "hostname", "mode", F.round("g", 6).alias("g"), "fault_type",
+                         F.array_contains("affected_nodes", F.col("hostname")).alias("in_affected"), "nodes_known")
+
+
 @register("collection_summary", oracle=cte(**BASE, **STORE, metric_sample=fx.METRIC_SAMPLE_SQL,
                                            catalogue=CATALOGUE_SQL, info=FAULT_INFO_SQL) + """
 SELECT w.run_id, w.fault_type, w.job_id, w.description, array_to_string(w.affected_nodes, ', ') AS affected_nodes,
