@@ -17,7 +17,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app_name: str = "faultlens") -> SparkSession:
+                  app_name: str = "faultlens", extra: dict | None = None) -> SparkSession:
     """Session used by tests and bench (local mode); cluster jobs bring their own."""
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     builder = (
@@ -38,6 +38,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
                 os.environ.get("FAULTLENS_CLEAN_CHECKPOINTS", "true"))
         .config("spark.driver.memory", os.environ.get("FAULTLENS_DRIVER_MEM", "16g"))
     )
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     shared_dir(spark)
