@@ -27,6 +27,7 @@ def _events(log_dir: str):
 
 
 def stage_summary(log_dir: str) -> list[dict]:
+    """One dict per completed stage: tasks, wall time, shuffle bytes, longest/median task time."""
     stages, tasks = {}, {}
     for line in _events(log_dir):
         ev = json.loads(line)
