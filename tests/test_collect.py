@@ -92,3 +92,19 @@ def test_summary_report_per_run(spark):
     assert len(folders) == summary.count() > 0
     text = open(glob.glob(folders[0] + "/part-*")[0]).read()
     assert text.startswith("run: ") and "log rows: " in text and "window: " in text
+
+
+def test_collect_metrics_prunes_categories_and_writes_layout(spark):
+    import os
+
+    from faultlens.plans.collect import collect_metrics, write_dataset
+    body = ('{"status":"success","data":{"resultType":"matrix","result":['
+            '{"metric":{"instance":"cpf-2:9100","device":"sda"},"values":[[1704067207,"5"],[1704067222,"6"]]}]}}')
+    pages = spark.createDataFrame([("node_disk_read_bytes_total", body), ("node_load1", body)], "query string, body string")
+    kept = collect_metrics(pages)                       # default categories: cpu, memory
+    assert sorted({r.metric for r in kept.collect()}) == ["node_load1"]
+    assert collect_metrics(pages, ["disk"]).count() == 2
+    logs = L.union_logs(fx.raw_log(spark, SF), "2024-01-01 00:00:00", "2024-02-01 00:00:00")
+    root = write_dataset(logs, kept, scratch_path(spark, "dataset_metrics"))
+    base = root.replace("file:", "")
+    assert os.listdir(base + "/metrics") and any(d.startswith("hostname=cpf-2") for d in os.listdir(base + "/metrics"))
