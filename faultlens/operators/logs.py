@@ -83,11 +83,19 @@ def files_in_range(store: DataFrame, start: str, end: str) -> DataFrame:
     return time_range(store, start, end).select("filename").distinct()
 
 
+def listed_task_files(store: DataFrame, start: str, end: str) -> DataFrame:
+    """Task-file names with rows in range, materialised and broadcast only within the measured
+    budget (a file list is small; beyond the budget the semi join shuffles)."""
+    from faultlens.operators.ordering import materialize_counted, maybe_broadcast
+    listed, rows = materialize_counted(
+        files_in_range(store, start, end).where(F.col("filename").contains("application_")))
+    return maybe_broadcast(listed, rows=rows)
+
+
 def union_logs(store: DataFrame, start: str, end: str) -> DataFrame:
     """Component records in range plus whole task files listed in range, one schema."""
     comp = component_records(store, start, end).withColumn("source", F.lit("component"))
-    listed = files_in_range(store, start, end).where(F.col("filename").contains("application_"))
-    task_raw = store.join(listed, "filename", "left_semi")
+    task_raw = store.join(listed_task_files(store, start, end), "filename", "left_semi")
     task = task_records(task_raw).withColumn("source", F.lit("task"))
     cols = ["event_id", "line_ts", *RECORD_COLUMNS, "source"]
     return comp.select(*cols).unionByName(task.select(*cols), allowMissingColumns=True)

@@ -36,8 +36,7 @@ def collect_logs(store: DataFrame, start: str, end: str, per_file_limit: int = D
         in_range = L.store_records(L.time_range(store, start, end)).where(F.col("task_id").isNotNull())
         task = top_n_per_group(in_range, ["filename"], "line_ts", "event_id", per_file_limit).drop("rank")
     else:
-        listed = L.files_in_range(store, start, end).where(F.col("filename").contains("application_"))
-        task = L.task_records(store.join(listed, "filename", "left_semi"))
+        task = L.task_records(store.join(L.listed_task_files(store, start, end), "filename", "left_semi"))
     return (capped.withColumn("source", F.lit("component")).select(*OUT_COLUMNS)
             .unionByName(task.withColumn("source", F.lit("task")).select(*OUT_COLUMNS)))
 
