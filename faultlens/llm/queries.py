@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlens.llm import exact_dedup, langid, packing, pii, simhash
+from faultlens.llm import ann_adaptive, exact_dedup, langid, line_dedup, packing, pii, simhash, substring_dedup
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,37 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 FROM d""")
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@_register()
+def op2_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_adaptive.search(table(spark, sf_dir, "embeddings"))
+
+
+@_register(r"""
+WITH d AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM d),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT k.doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id""")
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+@_register(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS start FROM w WHERE len(words) >= 50),
+h AS (SELECT doc_id, start, sha256(array_to_string(words[start:start + 49], ' ')) AS win FROM s),
+g AS (SELECT win, min(doc_id) AS low FROM h GROUP BY win),
+r AS (SELECT DISTINCT doc_id, unnest(range(start, start + 50)) AS pos FROM h JOIN g USING (win) WHERE low < doc_id),
+p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+k AS (SELECT p.doc_id, count(*) FILTER (r.pos IS NOT NULL) AS gone,
+             string_agg(word, ' ' ORDER BY p.pos) FILTER (r.pos IS NULL) AS kept
+      FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.pos = r.pos GROUP BY p.doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON w.doc_id = k.doc_id""")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
