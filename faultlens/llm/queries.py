@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlens.llm import ann_adaptive, exact_dedup, langid, line_dedup, packing, pii, simhash, substring_dedup
+from faultlens.llm import (ann_adaptive, exact_dedup, html_extract, langid, line_dedup, packing, pii, sentencepiece_codec, simhash,
+                           substring_dedup)
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +86,14 @@ SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(gone, 0) AS n_removed,
 FROM w LEFT JOIN k ON w.doc_id = k.doc_id""")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@_register()
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_register()
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
