@@ -171,8 +171,10 @@ class Codec:
         self.by_word = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix \
             and self.tokenizer.pre_tokenizer is not None and not self.model.of_type(USER_DEFINED)
         self.whole_every = whole_every
-        #: word -> (ids as bytes, same ids as the reference, decoded equal)
-        self.known: dict[str, tuple[bytes, bool, bool]] = {}
+        #: ids of known words, as bytes; words whose ids the reference doesn't give; words that decoding doesn't give back
+        self.known: dict[str, bytes] = {}
+        self.unlike: set[str] = set()
+        self.changed: set[str] = set()
 
     def _whole(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -189,19 +191,25 @@ class Codec:
         back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         for group, line, e, own, again, same in zip(groups, lines, got, ids, back, self.reference.encode(lines, num_threads=1) if lines else []):
             if own != same or again != line:
-                self.known.update(zip(group, self._whole(group)))
+                for word, (one, parity, again_equal) in zip(group, self._whole(group)):
+                    self.known[word] = one
+                    if not parity:
+                        self.unlike.add(word)
+                    if not again_equal:
+                        self.changed.add(word)
                 continue
             data = np.array(own, "<u4").tobytes()
             begins = np.fromiter((o[0] for o in e.offsets), np.int64, len(own))
             ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1) - 1
             lo = 0
             for word, hi in zip(group, (4 * np.searchsorted(begins, ends)).tolist()):
-                self.known[word], lo = (data[lo:hi], True, True), hi
+                self.known[word], lo = data[lo:hi], hi
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """``(little-endian 32-bit ids, parity, round trip)`` of each text."""
         if len(self.known) > KEPT:
-            self.known.clear()
+            for kept in (self.known, self.unlike, self.changed):
+                kept.clear()
         split = [t.split(" ") if self.by_word else [""] for t in texts]
         split = [None if "" in w else w for w in split]
         self._learn(list(set(chain.from_iterable(w for w in split if w)).difference(self.known)))
@@ -212,8 +220,8 @@ class Codec:
             if words is None:
                 out.append(whole[k])
                 continue
-            ids, parity, again = zip(*map(self.known.__getitem__, words))
-            own = b"".join(ids), False not in parity, False not in again
+            own = (b"".join(map(self.known.__getitem__, words)), not self.unlike or self.unlike.isdisjoint(words),
+                   not self.changed or self.changed.isdisjoint(words))
             if k in whole:  # the words together must give what the whole text gives
                 own = own[0], own[1] and whole[k][1] and whole[k][0] == own[0], own[2] and whole[k][2]
             out.append(own)
