@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from faultlens.llm.common import land, pick, settle
 
 GRAM = 8
+#: A region's first word is its place divided by this, its number of windows the remainder.
+PLACE = 1 << 16
 #: Reference words of a shard, and words that one slice streams.
 SHARD_WORDS = 60_000
 #: An anchor with more distinct region texts is reduced to its shared windows.
@@ -171,7 +173,10 @@ class Automaton:
 
 
 def _scan(docs: DataFrame, window: int) -> DataFrame:
-    """A row for each region, and one with a null anchor for each document: its word count in ``start`` and its digest."""
+    """A row for each region, and one with a null anchor for each document: its digest, and its word count as ``place``.
+
+    A region's ``place`` holds its first word and its number of windows in one long (fewer bytes to shuffle).
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -181,51 +186,49 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
                 counts.append(len(words))
                 digests.append(hashlib.sha256(b" ".join(words)).digest())
                 if ids[k] is not None and len(words) >= window:
-                    got = regions(codes_of(words), window)
-                    cols.append(got)
-                    row.append(np.full(len(got[0]), k))
-            everyone = np.arange(batch.num_rows)
-            at = pa.array(np.concatenate([everyone, *row]).astype(np.int64))
-            none = pa.nulls(len(everyone), pa.int64())
-            flat = [np.concatenate([c[j] for c in cols] or [np.zeros(0, np.int64)]) for j in range(4)]
-
-            def column(head, tail, kind):
-                return pa.concat_arrays([head.cast(kind), pa.array(tail.astype(np.uint64).view(np.int64)).cast(kind)])
-
+                    anchor, region, start, windows = regions(codes_of(words), window)
+                    cols.append((anchor.view(np.int64), region.view(np.int64), start * PLACE + windows))
+                    row.append(np.full(len(anchor), k))
+            everyone = len(counts)
+            at = pa.array(np.concatenate([np.arange(everyone), *row]).astype(np.int64))
+            flat = [np.concatenate([c[j] for c in cols] or [np.zeros(0, np.int64)]) for j in range(3)]
+            none = pa.nulls(everyone, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), column(none, flat[0], pa.int64()),
-                 column(none, flat[1], pa.int64()), column(pa.array(counts, pa.int64()), flat[2], pa.int64()),
-                 column(pa.nulls(len(everyone), pa.int32()), flat[3], pa.int32()),
-                 pa.concat_arrays([pa.array(digests, pa.binary()), pa.nulls(len(at) - len(everyone), pa.binary())])],
-                ["id", "key", "anchor", "region", "start", "windows", "digest"])
+                [batch.column(0).take(at), batch.column(1).take(at), pa.concat_arrays([none, pa.array(flat[0])]),
+                 pa.concat_arrays([none, pa.array(flat[1])]), pa.concat_arrays([pa.array(counts, pa.int64()), pa.array(flat[2])]),
+                 pa.concat_arrays([pa.array(digests, pa.binary()), pa.nulls(len(at) - everyone, pa.binary())])],
+                ["id", "key", "anchor", "region", "place", "digest"])
 
-    return docs.mapInArrow(run, "id long, key long, anchor long, region long, start long, windows int, digest binary")
+    return docs.mapInArrow(run, "id long, key long, anchor long, region long, place long, digest binary")
 
 
-def _texts_with(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``texts(id, key, text)`` joined with one row of lists for each document."""
-    return texts.join(wanted, ["id", "key"])
-
-
-def _contents(texts: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
-    """The word codes of chosen regions ``(id, key, anchor, region, start, windows, low, high)``."""
-    listed = chosen.groupBy("id", "key").agg(
-        F.collect_list(F.struct("anchor", "region", "start", "windows", "low", "high", "many")).alias("own"))
+def _contents(docs: DataFrame, listed: DataFrame, window: int) -> DataFrame:
+    """The texts of the documents in ``listed(id, key, own)``, and the word codes of each one's own regions.
 
+    A row has either a text or a region's ``anchor, region, low, high, many, words``.
+    """
     def run(batches):
         for batch in batches:
-            for text, own in zip(batch.column(0), batch.column(1)):
-                codes = codes_of(words_of(text.as_py()))
-                own = own.values
-                starts = own.field("start").to_numpy()
-                stops = starts + own.field("windows").to_numpy() + window - 1
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), *[pa.nulls(n, pa.int64())] * 4, pa.nulls(n, pa.bool_()),
+                 pa.nulls(n, pa.binary())], heading)
+            for k in range(n):
+                if not batch.column(3)[k].is_valid:
+                    continue
+                own = batch.column(3)[k].values
+                codes = codes_of(words_of(batch.column(2)[k].as_py()))
+                starts, windows = np.divmod(own.field("place").to_numpy(), PLACE)
+                stops = starts + windows + window - 1
                 data = [codes[a:b].tobytes() for a, b in zip(starts.tolist(), stops.tolist())]
+                m = len(data)
                 yield pa.RecordBatch.from_arrays(
-                    [own.field("anchor"), own.field("region"), own.field("low"), own.field("high"), own.field("many"),
-                     pa.array(data, pa.binary())], ["anchor", "region", "low", "high", "many", "words"])
+                    [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.string()), own.field("anchor"), own.field("region"),
+                     own.field("low"), own.field("high"), own.field("many"), pa.array(data, pa.binary())], heading)
 
-    return _texts_with(texts, listed).select("text", "own").mapInArrow(
-        run, "anchor long, region long, low long, high long, many boolean, words binary")
+    names = ("id long", "key long", "text string", "anchor long", "region long", "low long", "high long", "many boolean", "words binary")
+    heading = [x.split()[0] for x in names]
+    return docs.join(listed, ["id", "key"]).select("id", "key", "text", "own").mapInArrow(run, ", ".join(names))
 
 
 def _shared_windows(contents: DataFrame, window: int) -> DataFrame:
@@ -240,60 +243,82 @@ def _shared_windows(contents: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, v)) for v in (anchor, region, low, high)]
                     + [pa.array(hashes.view(np.int64)), pa.array(starts.astype(np.int32))],
-                    ["anchor", "region", "low", "high", "hash", "place"])
+                    ["anchor", "region", "low", "high", "hash", "first"])
 
     rows = contents.select("anchor", "region", "low", "high", "words").mapInArrow(
-        run, "anchor long, region long, low long, high long, hash long, place int")
+        run, "anchor long, region long, low long, high long, hash long, first int")
     shared = rows.groupBy("anchor", "hash").agg(F.min("low").alias("low"), F.max("high").alias("high"),
-                                                F.min(F.struct("region", "place")).alias("one")).where("low < high")
+                                                F.min(F.struct("region", "first")).alias("one")).where("low < high")
     texts = contents.select("anchor", "region", "words")
-    return (shared.select("anchor", F.col("one.region").alias("region"), F.col("one.place").alias("place"), "low")
+    return (shared.select("anchor", F.col("one.region").alias("region"), F.col("one.first").alias("first"), "low")
             .join(texts, ["anchor", "region"])
-            .select("anchor", "region", "low", F.expr(f"substring(words, place * 8 + 1, {8 * window})").alias("words")))
+            .select("anchor", "region", "low", F.expr(f"substring(words, first * 8 + 1, {8 * window})").alias("words")))
+
+
+#: What a row is to a shard's automaton: a reference, a reference whose own windows are asked for too, or only asked.
+_TOLD, _BOTH, _ASKED = range(3)
 
 
-def _smallest(references: DataFrame, streams: DataFrame, window: int) -> DataFrame:
-    """``(anchor, region, firsts)``: for each window of each streamed region, the smallest id that holds it."""
-    spark = streams.sparkSession
-    total = references.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+def _smallest(contents: DataFrame, window: int) -> DataFrame:
+    """``(anchor, region, firsts)``: for each window of each region, the smallest id that holds it."""
+    spark = contents.sparkSession
+    extra = settle(_shared_windows(contents.where("many"), window))
+    total = contents.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, total // (8 * SHARD_WORDS))
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    streams, references = streams.select(shard, "*"), references.select(shard, "*")
-    slices = streams.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words")) / (8 * 4 * SHARD_WORDS)).cast("int").alias("slices"))
-    slices = settle(slices)
-    asked = streams.join(slices, "shard").select(
-        "shard", F.pmod(F.xxhash64("region"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("role"),
-        "anchor", "region", "low", "words")
-    told = references.join(slices, "shard").select(
-        "shard", F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"), F.lit(0).alias("role"), "anchor", "region", "low", "words")
+    slices = settle(contents.groupBy(shard).agg(
+        F.ceil(F.sum(F.octet_length("words")) / (8 * 4 * SHARD_WORDS)).cast("int").alias("slices")))
+    rows = contents.select(shard, "anchor", "region", "low", "words", F.when(F.col("many"), _ASKED).otherwise(_BOTH).alias("role"))
+    rows = rows.unionByName(extra.select(shard, "anchor", "region", "low", "words", F.lit(_TOLD).alias("role"))).join(slices, "shard")
+    # each slice needs all references of its shard and its own part of the rows that are asked for
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("region"), F.col("slices")).cast("int"))
+    rows = rows.withColumn("slice", F.explode(F.when(F.col("role") == _ASKED, F.array("own")).otherwise(F.expr("sequence(0, slices - 1)"))))
+    rows = rows.withColumn("role", F.when((F.col("role") == _BOTH) & (F.col("slice") != F.col("own")), _TOLD).otherwise(F.col("role")))
 
     def run(batches):
-        now, automaton, ready = None, None, False
-        for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(7)]
-            out = []
-            for shard, piece, role, anchor, region, low, words in zip(*columns):
-                if (shard, piece) != now:
-                    now, automaton, ready = (shard, piece), Automaton(), False
-                codes = np.frombuffer(words, np.uint64).tolist()
-                if role == 0:
-                    automaton.add(codes, low)
-                    continue
+        now, automaton, waiting, ready = None, None, [], False
+
+        def answers():
+            nonlocal waiting, ready
+            if waiting or not ready:
                 if not ready:
                     automaton.finish()
                     ready = True
-                out.append((anchor, region, automaton.smallest(codes, window)))
-            yield pa.RecordBatch.from_arrays(
+                done = [(a, r, automaton.smallest(c, window)) for a, r, c in waiting]
+                waiting = []
+                return done
+            return []
+
+        def table(out):
+            return pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
                  pa.array([o[2] for o in out], pa.list_(pa.int64()))], ["anchor", "region", "firsts"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return (told.unionByName(asked).repartition(parts, "shard", "slice").sortWithinPartitions("shard", "slice", "role")
-            .mapInArrow(run, "anchor long, region long, firsts array<long>"))
+        for batch in batches:
+            out = []
+            for shard, piece, role, anchor, region, low, words in zip(*[batch.column(k).to_pylist() for k in range(7)]):
+                if (shard, piece) != now:
+                    if automaton is not None:
+                        out += answers()
+                    now, automaton, waiting, ready = (shard, piece), Automaton(), [], False
+                codes = np.frombuffer(words, np.uint64).tolist()
+                if role != _ASKED:
+                    automaton.add(codes, low)
+                if role != _TOLD:
+                    waiting.append((anchor, region, codes))
+                if role == _ASKED:
+                    out += answers()
+            yield table(out)
+        if automaton is not None:
+            yield table(answers())
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.select("shard", "slice", "role", "anchor", "region", "low", "words").repartition(parts, "shard", "slice")
+            .sortWithinPartitions("shard", "slice", "role").mapInArrow(run, "anchor long, region long, firsts array<long>"))
 
 
 def _removed(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """``(id, key, n_removed, digest)`` of documents that lose words; ``spans`` has lists of half-open word spans."""
+    """``(id, key, gone, rest)`` of documents that lose words; ``spans(id, key, span)`` has half-open word spans."""
     def run(batches):
         for batch in batches:
             counts, digests = [], []
@@ -311,7 +336,7 @@ def _removed(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 ["id", "key", "gone", "rest"])
 
     listed = spans.groupBy("id", "key").agg(F.collect_list("span").alias("spans"))
-    return _texts_with(texts, listed).select("id", "key", "text", "spans").mapInArrow(
+    return texts.join(listed, ["id", "key"]).select("id", "key", "text", "spans").mapInArrow(
         run, "id long, key long, gone long, rest binary")
 
 
@@ -322,32 +347,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Ids must be integers; a row without id neither loses words nor takes them from others, and rows that repeat
     an id don't take words from each other. An empty table gives no rows; extra columns are ignored.
     """
-    if window < GRAM:
-        raise ValueError(f"a window has at least {GRAM} words")
+    if not GRAM <= window < PLACE:
+        raise ValueError(f"a window has {GRAM} to {PLACE - 1} words")
     own = pick(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     own = own.select("id", F.xxhash64("id", "text").alias("key"), "text")
     scan = land(_scan(own, window), "substring-scan")
     anchors = scan.where("anchor is not null").drop("digest")
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    found = settle(anchors.join(shared, "anchor"))
-    affected = found.select("id", "key").distinct()
-    texts = land(own.join(affected, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]), "substring-texts")
+    found = land(anchors.join(shared, "anchor"), "substring-shared")
 
-    distinct = found.groupBy("anchor", "region").agg(
-        F.min(F.struct("id", "key", "start", "windows")).alias("one"), F.max("id").alias("high"))
+    distinct = found.groupBy("anchor", "region").agg(F.min(F.struct("id", "key", "place")).alias("one"), F.max("id").alias("high"))
+    distinct = settle(distinct.select("anchor", "region", "one.*", "high"))
     busy = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {MANY}").select("anchor", F.lit(True).alias("many"))
-    distinct = distinct.join(busy, "anchor", "left").select(
-        F.col("one.id").alias("id"), F.col("one.key").alias("key"), "anchor", "region", F.col("one.start").alias("start"),
-        F.col("one.windows").alias("windows"), F.col("one.id").alias("low"), "high", F.coalesce("many", F.lit(False)).alias("many"))
-    contents = land(_contents(texts, distinct, window), "substring-regions")
-    streams = contents.select("anchor", "region", "low", "words")
-    references = contents.where("not many").select("anchor", "region", "low", "words").unionByName(
-        _shared_windows(contents.where("many"), window))
-    references = land(references, "substring-references")
-    firsts = settle(_smallest(references, streams, window))
+    chosen = distinct.join(busy, "anchor", "left").groupBy("id", "key").agg(F.collect_list(F.struct(
+        "anchor", "region", "place", F.col("id").alias("low"), "high", F.coalesce("many", F.lit(False)).alias("many"))).alias("own"))
+    listed = found.select("id", "key").distinct().join(chosen, ["id", "key"], "left")
+    both = land(_contents(own, listed, window), "substring-texts")
+    firsts = settle(_smallest(both.where("anchor is not null").drop("id", "key", "text"), window))
+
     # the runs of windows that have a smaller document, as word spans
     flags = found.join(firsts, ["anchor", "region"]).select(
-        "id", "key", "start", F.expr("transform(firsts, f -> coalesce(f < id, false))").alias("flags"))
+        "id", "key", F.expr(f"place div {PLACE}").alias("start"), F.expr("transform(firsts, f -> coalesce(f < id, false))").alias("flags"))
     heads = flags.where("exists(flags, f -> f)").select(
         "id", "key", "start", "flags",
         F.expr("filter(sequence(0, size(flags) - 1), i -> flags[i] and (i = 0 or not flags[i - 1]))").alias("heads"))
@@ -356,8 +376,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "coalesce(nullif(array_position(slice(flags, i + 1, size(flags)), false), 0) - 1, size(flags) - i) "
         f"+ {window - 1} as stop))").alias("spans"))
     spans = hits.select("id", "key", F.explode("spans").alias("span"))
-    changed = _removed(texts, spans)
-    every = scan.where("anchor is null").select("id", "key", F.col("start").alias("n_words"), "digest")
+    changed = _removed(both.where("text is not null").select("id", "key", "text"), spans).dropDuplicates(["id", "key"])
+    every = scan.where("anchor is null").select("id", "key", F.col("place").alias("n_words"), "digest")
     joined = every.join(changed, ["id", "key"], "left")
     return joined.select(
         F.col("id").alias(id_col), "n_words", F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"),
