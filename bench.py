@@ -15,7 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "wordcount", "skew_sum", "skew_sum_salted", "bloat_check", "gen_skew",
+    "wordcount", "skew_sum", "skew_sum_salted", "bloat_check", "identity_shuffle",
     "log_parse_lines", "log_stream_flatten", "log_topn_per_file", "log_sorted_rank", "log_union",
     "task_window_logs", "metric_flatten", "metric_instant", "metric_rate",
     "labelled_records", "collection_summary", "silence_gaps", "reclass_rollup", "fault_plan",

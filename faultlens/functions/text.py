@@ -22,9 +22,14 @@ def py_strip(col: Column) -> Column:
     return F.btrim(col, F.lit(PY_WHITESPACE))
 
 
+def split_runs(col: Column) -> Column:
+    """The parts between runs of Python whitespace; of a stripped, non-empty line none is empty."""
+    return F.split(col, _SPLIT_RUNS)
+
+
 def tokens(col: Column) -> Column:
-    """``str.split()`` on a stripped line: runs of Python whitespace, no empty tokens."""
-    return F.filter(F.split(py_strip(col), _SPLIT_RUNS), lambda w: w != "")
+    """``str.split()`` on any line: runs of Python whitespace, no empty tokens."""
+    return F.filter(split_runs(py_strip(col)), lambda w: w != "")
 
 
 def hot_cold_key(col: Column) -> Column:

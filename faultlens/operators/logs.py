@@ -31,8 +31,8 @@ def parse_lines(raw: DataFrame, line_col: str = "line", keep=("event_id", "filen
     staged = raw.select(*keep, L.line_parts(F.col(line_col)).alias("_p"))
     line_ts = L.parse_line_time(F.get("_p", 0), F.get("_p", 1))
     # The validity test needs the parsed time.  A Filter on it would be pushed below the
-    # projection with the whole parse inlined (and below an input repartition), running the
-    # parse twice; a generator over a 0/1-element array evaluates it once per line.
+    # projection with the whole parse inlined, running the parse twice; a generator over a
+    # 0/1-element array evaluates it once per line.
     rec = F.struct((F.size("_p") == 3).alias("_ok"), line_ts.alias("line_ts"),
                    L.message_of(F.col("_p")).alias("message"))
     parsed = staged.select(*keep, F.inline(F.filter(F.array(rec), lambda r: r["_ok"] & r["line_ts"].isNotNull())))
@@ -86,10 +86,10 @@ def files_in_range(store: DataFrame, start: str, end: str) -> DataFrame:
 def listed_task_files(store: DataFrame, start: str, end: str) -> DataFrame:
     """Task-file names with rows in range, materialised and broadcast only within the measured
     budget (a file list is small; beyond the budget the semi join shuffles)."""
-    from faultlens.operators.ordering import materialize_counted, maybe_broadcast
-    listed, rows = materialize_counted(
+    from faultlens.operators.ordering import materialize_sized, maybe_broadcast
+    listed, seen = materialize_sized(
         files_in_range(store, start, end).where(F.col("filename").contains("application_")))
-    return maybe_broadcast(listed, rows=rows)
+    return maybe_broadcast(listed, rows=seen["rows"], size=seen["bytes"])
 
 
 def union_logs(store: DataFrame, start: str, end: str) -> DataFrame:
@@ -101,9 +101,9 @@ def union_logs(store: DataFrame, start: str, end: str) -> DataFrame:
     return comp.select(*cols).unionByName(task.select(*cols), allowMissingColumns=True)
 
 
-def task_time_span(task_lines: DataFrame) -> DataFrame:
-    """Per task: first and last parsed line time and the line count (min/max are algebraic)."""
-    return task_lines.groupBy("task_id").agg(
+def task_time_span(task_lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per task (or other keys): first and last parsed line time and the line count (min/max are algebraic)."""
+    return task_lines.groupBy(*(by or ["task_id"])).agg(
         F.min("line_ts").alias("first_ts"), F.max("line_ts").alias("last_ts"),
         F.count(F.lit(1)).alias("lines"))
 
@@ -120,7 +120,7 @@ def flatten_log_responses(responses: DataFrame, body_col: str = "body") -> DataF
         F.get("v", 0).try_cast("long").alias("timestamp_ns"),
         F.get("v", 1).alias("message"),
     ).where(F.col("timestamp_ns").isNotNull())
-    ts = from_epoch_micros(F.floor(F.col("timestamp_ns") / F.lit(1000)).cast("long"))
+    ts = from_epoch_micros(F.expr("(timestamp_ns - pmod(timestamp_ns, 1000)) div 1000"))
     out = tag_paths(rows.withColumn("timestamp", ts_text_s(ts)))
     return (out.where(F.col("task_id").isNull() & (F.col("component") != "unknown"))
             .select("timestamp", "timestamp_ns", "component", "node", "filename", "level", "message"))

@@ -1,15 +1,18 @@
 """Metric ETL: response flatten, label derivation, step-aligned instant values, counter increase/rate.
 
-Time-series evaluation without one task per series: every sample is sent to the (few)
-grid points whose look-back window contains it, and each grid point is an aggregate
-of algebraic pieces (min/max-by, sums, counts), so partial aggregation runs before the
-shuffle and a dense series spreads over all reducers.  The fan-out per sample is
-bounded by ``window / step``, a fixed parameter, not by the data.
+Time-series evaluation without one task per series.  Samples outside the evaluated range are
+filtered first, by literal times that reach the scan.  Instant values keep the latest sample of each
+(series, step) - an aggregate with map-side combine - and only those are carried to later grid
+points.  Counter windows send a sample to the grid points whose window contains it and aggregate
+algebraic pieces (min/max-by on one ordering number, sums, counts) in hash aggregates.  That fan-out
+is bounded by ``window / step``, a fixed parameter, not by the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions import metrics as M
@@ -17,6 +20,9 @@ from faultlens.functions.time import epoch_micros, from_epoch_micros, ts_text_s
 from faultlens.operators.ordering import with_previous
 from faultlens.plans import dims
 
+#: Seconds since 1970 up to the year 9999 either way.
+MAX_UNIX = 253_402_300_800
+
 
 def flatten_metric_responses(responses: DataFrame, query_col: str = "query", body_col: str = "body",
                              instance_hosts: dict | None = None, service_ports: dict | None = None) -> DataFrame:
@@ -48,11 +54,11 @@ def flatten_metric_responses(responses: DataFrame, query_col: str = "query", bod
     ).where(F.col("hostname") != "unknown")
     unix = F.get("p", 0).try_cast("double")
     value = F.get("p", 1).try_cast("double")
-    ts = from_epoch_micros(F.round(unix * F.lit(1e6)).cast("long"))
-    out = rows.select("*", unix.alias("timestamp_unix"), value.alias("value"), ts.alias("_ts")) \
-        .where(F.col("timestamp_unix").isNotNull() & F.col("value").isNotNull())
-    return out.select(ts_text_s("_ts").alias("timestamp"), "timestamp_unix",
-                      F.round(F.col("timestamp_unix") * F.lit(1e6)).cast("long").alias("timestamp_us"),
+    # a time that is no number, NaN or beyond the range of microseconds has no place on the time axis
+    micros = F.when(F.abs(unix) < F.lit(MAX_UNIX), F.round(unix * F.lit(1e6)).try_cast("long"))
+    out = rows.select("*", unix.alias("timestamp_unix"), value.alias("value"), micros.alias("timestamp_us")) \
+        .where(F.col("timestamp_us").isNotNull() & F.col("value").isNotNull())
+    return out.select(ts_text_s(from_epoch_micros(F.col("timestamp_us"))).alias("timestamp"), "timestamp_unix", "timestamp_us",
                       "metric", M.metric_category(F.col("metric")).alias("category"),
                       "hostname", "service", "device", "mode", "mountpoint", "value")
 
@@ -85,6 +91,18 @@ def _grid_points(ts_us: Column, start_us: int, end_us: int, step_us: int, window
     return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))
 
 
+def _between(samples: DataFrame, ts_col: str, after_us: int, until_us: int) -> DataFrame:
+    """Samples with ``after < ts <= until``: literal comparisons on the stored time, pushed to the scan."""
+    def at(us):
+        return from_epoch_micros(F.lit(us))
+    return samples.where((F.col(ts_col) > at(after_us)) & (F.col(ts_col) <= at(until_us)))
+
+
+def _order(us: Column, tiebreak: Column) -> Column:
+    """(time, integer tiebreak) as one ordering number: a fixed-width value, so that max_by stays a hash aggregate."""
+    return us.cast("decimal(38,0)") * F.lit(Decimal(20_000_000_000_000_000_000)) + tiebreak.cast("decimal(20,0)")
+
+
 def _us(ts: str) -> int:
     import datetime as dt
     d = dt.datetime.fromisoformat(ts).replace(tzinfo=dt.timezone.utc)
@@ -98,13 +116,18 @@ def instant_values(samples: DataFrame, series: list[str], value_col: str, start:
     the series with t - lookback < ts <= t; no row when there is none."""
     start_us, end_us = _us(start), _us(end)
     step_us, lb_us = step_seconds * 1_000_000, lookback_seconds * 1_000_000
+    near = _between(samples, ts_col, start_us - lb_us, end_us)
     us = epoch_micros(ts_col)
-    fanned = samples.select(*series, F.struct(F.col(ts_col), F.col(tiebreak), F.col(value_col)).alias("_s"),
-                            F.explode(_grid_points(us, start_us, end_us, step_us, lb_us)).alias("_k"))
-    latest = fanned.groupBy(*series, "_k").agg(F.max("_s").alias("_s"))
+    step = F.greatest(-F.floor((F.lit(start_us) - us) / F.lit(step_us)), F.lit(0)).cast("long")
+    latest = near.select(*series, step.alias("_k"), us.alias("_us"), _order(us, F.col(tiebreak)).alias("_o"),
+                         F.col(value_col).alias("_v")) \
+        .groupBy(*series, "_k").agg(F.max("_us").alias("_us"), F.max_by("_v", "_o").alias("_v"))
+    # carried until the next step with a sample, the end of the grid or of the look-back
+    until = F.least(F.lead("_k").over(Window.partitionBy(*series).orderBy("_k")) - 1, F.lit((end_us - start_us) // step_us),
+                    (-F.floor((F.lit(start_us) - F.col("_us") - F.lit(lb_us)) / F.lit(step_us)) - 1).cast("long"))
+    steps = latest.withColumn("_until", until).where("_k <= _until").withColumn("_k", F.explode(F.expr("sequence(_k, _until)")))
     t = from_epoch_micros(F.lit(start_us) + F.col("_k") * F.lit(step_us))
-    return latest.select(*series, t.alias("t"), F.col("_s")[ts_col].alias("sample_ts"),
-                         F.col("_s")[value_col].alias("value"))
+    return steps.select(*series, t.alias("t"), from_epoch_micros(F.col("_us")).alias("sample_ts"), F.col("_v").alias("value"))
 
 
 def counter_windows(samples: DataFrame, series: list[str], value_col: str, start: str, end: str,
@@ -114,25 +137,25 @@ def counter_windows(samples: DataFrame, series: list[str], value_col: str, start
     first/last value and time, sample count, and the sum of values lost at resets."""
     start_us, end_us = _us(start), _us(end)
     step_us, rng_us = step_seconds * 1_000_000, range_seconds * 1_000_000
+    # a sample before the first window is in none, and as a previous value it never counts as a reset
+    samples = _between(samples, ts_col, start_us - rng_us, end_us)
     # bucket no narrower than the window: per-(series, bucket) carry rows stay far fewer than samples
     prev = with_previous(samples.select(*series, ts_col, tiebreak, value_col), series, ts_col, tiebreak,
                          [value_col], bucket_seconds=max(3600, range_seconds))
     us = epoch_micros(ts_col)
-    fanned = prev.select(*series, us.alias("_us"), F.col(tiebreak), F.col(value_col).alias("_v"),
+    fanned = prev.select(*series, us.alias("_us"), _order(us, F.col(tiebreak)).alias("_o"), F.col(value_col).alias("_v"),
                          epoch_micros("prev_" + ts_col).alias("_pus"), F.col("prev_" + value_col).alias("_pv"),
                          F.explode(_grid_points(us, start_us, end_us, step_us, rng_us)).alias("_k"))
     t_us = F.lit(start_us) + F.col("_k") * F.lit(step_us)
     reset = F.when((F.col("_pus") > t_us - F.lit(rng_us)) & (F.col("_v") < F.col("_pv")), F.col("_pv"))
     return fanned.groupBy(*series, "_k").agg(
-        F.min(F.struct("_us", tiebreak, "_v")).alias("_first"),
-        F.max(F.struct("_us", tiebreak, "_v")).alias("_last"),
+        F.min("_us").alias("_first_us"), F.min_by("_v", "_o").alias("_first_v"),
+        F.max("_us").alias("_last_us"), F.max_by("_v", "_o").alias("_last_v"),
         F.count(F.lit(1)).alias("samples"),
         F.coalesce(F.sum(reset), F.lit(0.0)).alias("resets"),
     ).select(*series, from_epoch_micros(F.lit(start_us) + F.col("_k") * F.lit(step_us)).alias("t"),
              (F.lit(start_us) + F.col("_k") * F.lit(step_us)).alias("_t_us"),
-             F.col("_first._us").alias("_first_us"), F.col("_first._v").alias("_first_v"),
-             F.col("_last._us").alias("_last_us"), F.col("_last._v").alias("_last_v"),
-             "samples", "resets")
+             "_first_us", "_first_v", "_last_us", "_last_v", "samples", "resets")
 
 
 def counter_increase(samples: DataFrame, series: list[str], value_col: str, start: str, end: str,

@@ -17,6 +17,8 @@ The per-(group, bucket) tables are materialised with ``checkpoint()`` (reliable,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -52,64 +54,87 @@ def materialize_observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, d
     return done, seen
 
 
+def materialize_sized(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As :func:`materialize_observed`, with ``bytes``: the size of all rows as JSON text, measured in the same job."""
+    done, seen = materialize_observed(df, bytes=F.sum(F.octet_length(F.to_json(F.struct("*")))), **metrics)
+    seen["bytes"] = int(seen["bytes"] or 0)
+    return done, seen
+
+
 def broadcast_budget(spark) -> int:
     """Bytes a broadcast side may take: ``faultlens.broadcast.maxBytes`` if set, else 64 MiB."""
     return int(spark.conf.get(BROADCAST_BYTES_KEY, str(DEFAULT_BROADCAST_BYTES)))
 
 
-def maybe_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT, rows: int | None = None) -> DataFrame:
-    """Broadcast a *materialised* side only when its counted size is within the limits.
+def maybe_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT, rows: int | None = None,
+                    size: int | None = None) -> DataFrame:
+    """Broadcast a *materialised* side only when its measured size is within the limits.
 
-    The size is measured, not estimated from plan statistics: rows are counted on the
-    materialised data, and bytes are rows x Spark's default per-row width of the schema.
-    Beyond either limit the side is returned unhinted, so the join shuffles (and AQE may
+    ``rows`` and ``size`` come from :func:`materialize_sized`; without them both are measured here, on the
+    materialised data.  Beyond either limit the side is returned unhinted, so the join shuffles (and AQE may
     still split skewed partitions).
     """
-    rows = small.count() if rows is None else rows
-    width = int(small._jdf.schema().defaultSize())
-    if rows <= row_limit and rows * width <= broadcast_budget(small.sparkSession):
+    if rows is None or size is None:
+        row = small.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+        rows, size = row[0], row[1] or 0
+    if rows <= row_limit and size <= broadcast_budget(small.sparkSession):
         return F.broadcast(small)
     return small
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join where NULL keys match each other: rows with a NULL group or time are never lost.
+
+    A null-safe comparison of plain columns is a hash or sort-merge join like an equality.
+    """
+    side = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return left.join(side, on, how).drop(*[f"__{k}" for k in keys])
+
+
 def _adaptive_buckets(df: DataFrame, group_cols: list[str], ts_col: str, bucket_seconds: int,
-                      max_bucket_rows: int, extra_aggs=()) -> tuple[DataFrame, DataFrame, int]:
+                      max_bucket_rows: int, extra_aggs=()) -> tuple[DataFrame, DataFrame, dict]:
     """Time buckets no bigger than ``max_bucket_rows`` rows (unless one instant holds more).
 
-    Rows get the start (epoch micros) of a ``bucket_seconds`` bucket.  Per-(group, bucket)
-    counts are materialised; only buckets above the limit are cut into aligned finer
-    buckets (minute, second, millisecond, microsecond) until every bucket fits.  Bucket
-    starts sort in time order across levels because finer buckets tile their parent.
-    Returns the bucketed rows, the materialised per-bucket stats (``_cnt`` plus
-    ``extra_aggs``) and the stats' row count.  Without hot buckets this is one pass.
+    Rows get the start (epoch micros) of a ``bucket_seconds`` bucket; rows without a time share the
+    NULL bucket, which sorts first as in a plain window.  Per-(group, bucket) counts are
+    materialised; only buckets above the limit are cut into aligned finer buckets (minute, second,
+    millisecond, microsecond), and only their rows are counted again.  Bucket starts sort in time order
+    across levels because finer buckets tile their parent.  Returns the bucketed rows, the
+    materialised per-bucket stats (``_cnt`` plus ``extra_aggs``) and the stats' measured size.
+    Without hot buckets this is one pass.
     """
     us = epoch_micros(F.col(ts_col))
     top = bucket_seconds * 1_000_000
     widths = [top] + [w for w in (60_000_000, 1_000_000, 1_000, 1) if w < top and top % w == 0]
+    keys = [*group_cols, "_bucket"]
 
     def start(width: int) -> Column:
         return (us - F.pmod(us, F.lit(width))).cast("long")
 
     def stats(frame: DataFrame):
-        done, seen = materialize_observed(frame.groupBy(*group_cols, "_bucket")
-                                          .agg(F.count(F.lit(1)).alias("_cnt"), *extra_aggs),
-                                          biggest=F.max("_cnt"))
-        return done, seen["rows"], seen["biggest"] or 0
+        return materialize_sized(frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"), *extra_aggs),
+                                 biggest=F.max("_cnt"))
 
     b = df.withColumn("_bucket", start(widths[0]))
-    st, st_rows, biggest = stats(b)
+    st, seen = stats(b)
+    settled = []
     for width in widths[1:]:
-        if biggest <= max_bucket_rows:
+        if (seen["biggest"] or 0) <= max_bucket_rows:
             break
-        hot, n_hot = materialize_counted(st.where(F.col("_cnt") > max_bucket_rows)
-                                         .select(*group_cols, "_bucket", F.lit(True).alias("_hot")))
-        if n_hot == 0:
+        over = (F.col("_cnt") > max_bucket_rows) & F.col("_bucket").isNotNull()
+        hot, size = materialize_sized(st.where(over).select(*keys, F.lit(True).alias("_hot")))
+        if size["rows"] == 0:
             break
-        b = (b.join(maybe_broadcast(hot, rows=n_hot), [*group_cols, "_bucket"], "left")
-             .withColumn("_bucket", F.when(F.col("_hot"), start(width)).otherwise(F.col("_bucket")))
-             .drop("_hot"))
-        st, st_rows, biggest = stats(b)
-    return b, st, st_rows
+        side = maybe_broadcast(hot, rows=size["rows"], size=size["bytes"])
+        b = (join_null_safe(b, side, keys, "left").withColumn("_again", F.coalesce("_hot", F.lit(False)))
+             .withColumn("_bucket", F.when(F.col("_again"), start(width)).otherwise(F.col("_bucket"))).drop("_hot"))
+        settled.append(st.where(~over))
+        st, seen = stats(b.where("_again"))
+        b = b.drop("_again")
+    if settled:
+        st, seen = materialize_sized(reduce(DataFrame.unionByName, settled, st))
+    return b, st, seen
 
 
 def _rows_before(group_cols: list[str]) -> Column:
@@ -129,9 +154,9 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak:
     3. rank = rows before the bucket + rank inside it.
     """
     b, st, _ = _adaptive_buckets(df, group_cols, ts_col, bucket_seconds, max_bucket_rows)
-    keep, keep_rows = materialize_counted(st.withColumn("_before", _rows_before(group_cols))
-                                          .where(F.col("_before") < n).select(*group_cols, "_bucket", "_before"))
-    kept = b.join(maybe_broadcast(keep, rows=keep_rows), [*group_cols, "_bucket"], "inner")
+    keep, seen = materialize_sized(st.withColumn("_before", _rows_before(group_cols))
+                                   .where(F.col("_before") < n).select(*group_cols, "_bucket", "_before"))
+    kept = join_null_safe(b, maybe_broadcast(keep, rows=seen["rows"], size=seen["bytes"]), [*group_cols, "_bucket"])
     local = F.row_number().over(Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak))
     return (kept.withColumn("_rn", local)
             .where((F.col("_rn") <= n) & (F.col("_rn") + F.col("_before") <= n))
@@ -144,9 +169,9 @@ def running_rank(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: st
                  max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """Row number within each group by (ts, tiebreak) without one task per group or bucket."""
     b, st, _ = _adaptive_buckets(df, group_cols, ts_col, bucket_seconds, max_bucket_rows)
-    offsets, offset_rows = materialize_counted(st.withColumn("_before", _rows_before(group_cols)).drop("_cnt"))
+    offsets, seen = materialize_sized(st.withColumn("_before", _rows_before(group_cols)).drop("_cnt"))
     local = F.row_number().over(Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak))
-    return (b.join(maybe_broadcast(offsets, rows=offset_rows), [*group_cols, "_bucket"], "inner")
+    return (join_null_safe(b, maybe_broadcast(offsets, rows=seen["rows"], size=seen["bytes"]), [*group_cols, "_bucket"])
             .withColumn(rank_col, (local + F.col("_before")).cast("long"))
             .drop("_before", "_bucket"))
 
@@ -163,11 +188,12 @@ def with_previous(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: s
     last = F.max(F.struct(*[F.col(c) for c in carried])).alias("_last")
     b, st, _ = _adaptive_buckets(df, group_cols, ts_col, bucket_seconds, max_bucket_rows, extra_aggs=[last])
     w_b = Window.partitionBy(*group_cols).orderBy("_bucket")
-    carry, carry_rows = materialize_counted(st.withColumn("_carry", F.lag("_last").over(w_b))
-                                            .select(*group_cols, "_bucket", "_carry"))
+    carry, seen = materialize_sized(st.withColumn("_carry", F.lag("_last").over(w_b))
+                                    .select(*group_cols, "_bucket", "_carry"))
     w = Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak)
     prev = F.coalesce(F.lag(F.struct(*[F.col(c) for c in carried])).over(w), F.col("_carry"))
-    out = b.join(maybe_broadcast(carry, rows=carry_rows), [*group_cols, "_bucket"], "inner").withColumn("_prev", prev)
+    side = maybe_broadcast(carry, rows=seen["rows"], size=seen["bytes"])
+    out = join_null_safe(b, side, [*group_cols, "_bucket"]).withColumn("_prev", prev)
     for c in [ts_col, *cols]:
         out = out.withColumn(prefix + c, F.col("_prev")[c])
     return out.drop("_prev", "_carry", "_bucket")
@@ -181,12 +207,10 @@ def global_order_number(df: DataFrame, order_cols: list[Column | str], col: str
     counts of earlier partitions (one small row per partition, safe to broadcast).
     The order columns must form a unique key.
     """
-    spark = df.sparkSession
     if num_partitions is None:
-        # about a million rows per range partition, at most the session's shuffle width
+        # about a million rows per range partition, however many that takes
         df, rows = materialize_counted(df)
-        cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        num_partitions = max(1, min(cap, -(-rows // 1_000_000)))
+        num_partitions = max(1, -(-rows // 1_000_000))
     n = num_partitions
     # monotonically_increasing_id = (partition id << 33) + position inside the partition,
     # so after a local sort it is the in-partition rank; the checkpoint pins it down.

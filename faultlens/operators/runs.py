@@ -97,7 +97,8 @@ def expand_plan(entries: DataFrame, position_col: str = "position", random_seed:
     if random_seed is None:
         order = [F.col("order_key"), F.col(position_col), F.col("i")]
     else:
-        reps = reps.withColumn("_shuffle", F.xxhash64(F.lit(random_seed), F.col(position_col)))
+        seeded = F.concat(F.lit(f"{random_seed}:"), F.col(position_col).cast("string"))
+        reps = reps.withColumn("_shuffle", F.md5(seeded.cast("binary")))
         order = [F.col("_shuffle"), F.col(position_col), F.col("i")]
     numbered = global_order_number(reps, order, col="k")
     return numbered.select(

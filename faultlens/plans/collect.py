@@ -21,20 +21,34 @@ from faultlens.operators.rangejoin import range_join
 from faultlens.plans import dims
 from faultlens.sinks.files import write_partitioned_csv
 
-DEFAULT_PER_FILE_LIMIT = 10_000
 OUT_COLUMNS = ["event_id", *L.RECORD_COLUMNS, "source"]
 
 
-def collect_logs(store: DataFrame, start: str, end: str, per_file_limit: int = DEFAULT_PER_FILE_LIMIT,
+def _capped(records: DataFrame, per_file_limit: int | None) -> DataFrame:
+    if per_file_limit is None:
+        return records
+    return top_n_per_group(records, ["filename"], "line_ts", "event_id", per_file_limit).drop("rank")
+
+
+def dropped_rows(store: DataFrame, start: str, end: str, per_file_limit: int) -> DataFrame:
+    """``filename, dropped``: the component rows that a per-file limit leaves out, for each file that it cuts."""
+    counts = L.component_records(store, start, end).groupBy("filename").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > per_file_limit).select("filename", (F.col("_n") - per_file_limit).alias("dropped"))
+
+
+def collect_logs(store: DataFrame, start: str, end: str, per_file_limit: int | None = None,
                  task_source: str = "files") -> DataFrame:
-    """``task_source="files"``: task files listed in range are read whole and their lines parsed
+    """Everything in range by default; with ``per_file_limit`` the oldest rows of each file, and
+    :func:`dropped_rows` tells what the limit leaves out.
+
+    ``task_source="files"``: task files listed in range are read whole and their lines parsed
     (level from the text).  ``"store"``: task logs come from the store like daemon logs - in
     range, capped per file, level from the store label (the batch runner's variant)."""
     comp = L.component_records(store, start, end)
-    capped = top_n_per_group(comp, ["filename"], "line_ts", "event_id", per_file_limit).drop("rank")
+    capped = _capped(comp, per_file_limit)
     if task_source == "store":
         in_range = L.store_records(L.time_range(store, start, end)).where(F.col("task_id").isNotNull())
-        task = top_n_per_group(in_range, ["filename"], "line_ts", "event_id", per_file_limit).drop("rank")
+        task = _capped(in_range, per_file_limit)
     else:
         task = L.task_records(store.join(L.listed_task_files(store, start, end), "filename", "left_semi"))
     return (capped.withColumn("source", F.lit("component")).select(*OUT_COLUMNS)
@@ -59,7 +73,7 @@ def collect_task_logs(store: DataFrame, task_id: str, minutes_before: int = 3, m
 
 
 def collect_recent(store: DataFrame, minutes: int, anchor: str | None = None,
-                   per_file_limit: int = DEFAULT_PER_FILE_LIMIT) -> DataFrame:
+                   per_file_limit: int | None = None) -> DataFrame:
     """Quick collection of the last ``minutes`` before ``anchor`` (default: the newest stored row).
 
     The anchor is one scalar read on the driver so that the range stays a literal

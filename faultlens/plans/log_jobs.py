@@ -16,6 +16,8 @@ from faultlens.sources.logstore import BAD_TIME_EVERY, UNLABELLED_PATH, log_resp
 
 # Collection window used by the registered queries (inside the data's month).
 RANGE_START, RANGE_END = "2024-01-10 00:00:00", "2024-01-20 00:00:00"
+# The whole month, for counts over everything collected.
+ALL_START, ALL_END = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 TOP_N_PER_FILE = 50
 TASK_MINUTES_BEFORE, TASK_MINUTES_AFTER = 3, 3
 
@@ -93,39 +95,47 @@ def log_sorted_rank(spark: SparkSession, sf_dir: str):
         .select("event_id", "component", "node", "timestamp_ns", "rank")
 
 
-UNION_SQL = f"""
+def union_sql(start: str, end: str) -> str:
+    """Component records in range plus the whole task files listed in range."""
+    return f"""
 SELECT {RECORD_COLS}, 'component' AS source FROM store
-WHERE {IN_RANGE} AND task_id IS NULL AND component <> 'unknown'
+WHERE line_ts >= TIMESTAMP '{start}' AND line_ts < TIMESTAMP '{end}' AND task_id IS NULL AND component <> 'unknown'
 UNION ALL
 SELECT {RECORD_COLS}, 'task' AS source FROM parsed
 WHERE contains(filename, 'application_') AND task_id IS NOT NULL
-  AND filename IN (SELECT filename FROM raw_log WHERE ts >= TIMESTAMP '{RANGE_START}' AND ts < TIMESTAMP '{RANGE_END}')
+  AND filename IN (SELECT filename FROM raw_log WHERE ts >= TIMESTAMP '{start}' AND ts < TIMESTAMP '{end}')
 """
 
 
+UNION_SQL = union_sql(RANGE_START, RANGE_END)
+ALL_UNION_SQL = union_sql(ALL_START, ALL_END)
+
+
 @register("log_union", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL) + UNION_SQL)
 def log_union(spark: SparkSession, sf_dir: str):
     prepare(spark)
     return ops.union_logs(fx.raw_log(spark, sf_dir), RANGE_START, RANGE_END).drop("line_ts")
 
 
-@register("component_counts", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL, u=UNION_SQL)
+@register("component_counts", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL, u=ALL_UNION_SQL)
           + "SELECT component, node, count(*) AS n FROM u WHERE source = 'component' GROUP BY component, node")
 def component_counts(spark: SparkSession, sf_dir: str):
     prepare(spark)
-    u = ops.union_logs(fx.raw_log(spark, sf_dir), RANGE_START, RANGE_END)
+    u = ops.union_logs(fx.raw_log(spark, sf_dir), ALL_START, ALL_END)
     return u.where(F.col("source") == "component").groupBy("component", "node").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("task_counts", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL, u=UNION_SQL)
+@register("task_counts", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL, u=ALL_UNION_SQL)
           + "SELECT task_id, node, count(*) AS n FROM u WHERE source = 'task' GROUP BY task_id, node")
 def task_counts(spark: SparkSession, sf_dir: str):
     prepare(spark)
-    u = ops.union_logs(fx.raw_log(spark, sf_dir), RANGE_START, RANGE_END)
+    u = ops.union_logs(fx.raw_log(spark, sf_dir), ALL_START, ALL_END)
     return u.where(F.col("source") == "task").groupBy("task_id", "node").agg(F.count(F.lit(1)).alias("n"))
 
 
 TASK_LINES_SQL = "SELECT * FROM parsed WHERE contains(filename, 'application_') AND task_id IS NOT NULL"
+RUN_SPAN_SQL = ("SELECT task_id, CAST(line_ts AS DATE) AS day, min(line_ts) AS first_ts, max(line_ts) AS last_ts FROM task_lines "
+                "GROUP BY task_id, CAST(line_ts AS DATE)")
 SPAN_SQL = "SELECT task_id, min(line_ts) AS first_ts, max(line_ts) AS last_ts, count(*) AS lines FROM task_lines GROUP BY task_id"
 
 
@@ -136,20 +146,20 @@ def task_time_span(spark: SparkSession, sf_dir: str):
 
 
 @register("task_window_logs", oracle=cte(**RAW, parsed=S.PARSED_SQL, store=S.STORE_SQL, task_lines=TASK_LINES_SQL,
-                                         spans=SPAN_SQL) + f"""
-SELECT w.task_id, s.event_id, s.filename, s.component, s.node, s.timestamp_ns
-FROM (SELECT task_id,
+                                         spans=RUN_SPAN_SQL) + f"""
+SELECT w.task_id, w.day, s.event_id, s.filename, s.component, s.node, s.timestamp_ns
+FROM (SELECT task_id, day,
              date_trunc('second', first_ts - INTERVAL {TASK_MINUTES_BEFORE} MINUTE) AS window_start,
              date_trunc('second', last_ts + INTERVAL {TASK_MINUTES_AFTER} MINUTE) AS window_end FROM spans) w
 JOIN store s ON s.line_ts >= w.window_start AND s.line_ts < w.window_end
 WHERE s.task_id IS NULL AND s.component <> 'unknown'""")
 def task_window_logs(spark: SparkSession, sf_dir: str):
-    """Component logs inside each task's own time span widened by minutes (range join J5)."""
+    """Component logs inside the time span of each task's run of a day, widened by minutes (range join J5)."""
     prepare(spark)
     raw = fx.raw_log(spark, sf_dir)
-    spans = ops.task_time_span(ops.task_records(raw))
+    spans = ops.task_time_span(ops.task_records(raw).withColumn("day", F.to_date("line_ts")), ["task_id", "day"])
     windows = spans.select(
-        "task_id",
+        "task_id", "day",
         F.date_trunc("second", F.col("first_ts") - F.expr(f"INTERVAL {TASK_MINUTES_BEFORE} MINUTES"))
         .cast("timestamp_ntz").alias("window_start"),
         F.date_trunc("second", F.col("last_ts") + F.expr(f"INTERVAL {TASK_MINUTES_AFTER} MINUTES"))
@@ -157,17 +167,18 @@ def task_window_logs(spark: SparkSession, sf_dir: str):
     comp = ops.store_records(raw).where(F.col("task_id").isNull() & (F.col("component") != "unknown")) \
         .select("event_id", "filename", "component", "node", "timestamp_ns", "line_ts")
     return range_join(comp, windows, "line_ts").select(
-        "task_id", "event_id", "filename", "component", "node", "timestamp_ns")
+        "task_id", "day", "event_id", "filename", "component", "node", "timestamp_ns")
+
 
+COLLECT_LIMIT = 60   # per file: cuts the busy files of the test tables
 
-COLLECT_LIMIT = 10_000   # the collector's per-file default
+CAPPED_SQL = f"""
+SELECT *, row_number() OVER (PARTITION BY filename ORDER BY line_ts, event_id) AS rn FROM store
+WHERE {IN_RANGE} AND task_id IS NULL AND component <> 'unknown'"""
 
 
-@register("collect_logs", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL) + f"""
-SELECT {RECORD_COLS}, 'component' AS source FROM (
-  SELECT *, row_number() OVER (PARTITION BY filename ORDER BY line_ts, event_id) AS rn FROM store
-  WHERE {IN_RANGE} AND task_id IS NULL AND component <> 'unknown')
-WHERE rn <= {COLLECT_LIMIT}
+@register("collect_logs", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL, capped=CAPPED_SQL) + f"""
+SELECT {RECORD_COLS}, 'component' AS source FROM capped WHERE rn <= {COLLECT_LIMIT}
 UNION ALL
 SELECT {RECORD_COLS}, 'task' AS source FROM parsed
 WHERE contains(filename, 'application_') AND task_id IS NOT NULL
@@ -179,6 +190,33 @@ def collect_logs(spark: SparkSession, sf_dir: str):
     return collect(fx.raw_log(spark, sf_dir), RANGE_START, RANGE_END, COLLECT_LIMIT).drop("line_ts")
 
 
+@register("collect_logs_dropped", oracle=cte(**RAW, store=S.STORE_SQL, capped=CAPPED_SQL)
+          + f"SELECT filename, count(*) AS dropped FROM capped WHERE rn > {COLLECT_LIMIT} GROUP BY filename")
+def collect_logs_dropped(spark: SparkSession, sf_dir: str):
+    """Rows that the collection's per-file cap leaves out, for each file that it cuts."""
+    from faultlens.plans.collect import dropped_rows
+    prepare(spark)
+    return dropped_rows(fx.raw_log(spark, sf_dir), RANGE_START, RANGE_END, COLLECT_LIMIT)
+
+
+COLLECT_TASK = "1700000000000_1005"
+
+
+@register("collect_task_logs", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL) + f"""
+, files AS (SELECT * FROM parsed WHERE contains(filename, '{COLLECT_TASK}') AND contains(filename, 'application_') AND task_id IS NOT NULL),
+span AS (SELECT date_trunc('second', min(line_ts) - INTERVAL {TASK_MINUTES_BEFORE} MINUTE) AS a,
+                date_trunc('second', max(line_ts) + INTERVAL {TASK_MINUTES_AFTER} MINUTE) AS b FROM files)
+SELECT {RECORD_COLS}, 'component' AS source FROM store, span
+WHERE line_ts >= a AND line_ts < b AND task_id IS NULL AND component <> 'unknown'
+UNION ALL
+SELECT {RECORD_COLS}, 'task' AS source FROM files""")
+def collect_task_logs(spark: SparkSession, sf_dir: str):
+    """Task-driven collection (F3): files whose path holds the task id set the window of the component logs."""
+    from faultlens.plans.collect import collect_task_logs as collect
+    prepare(spark)
+    return collect(fx.raw_log(spark, sf_dir), COLLECT_TASK, TASK_MINUTES_BEFORE, TASK_MINUTES_AFTER)
+
+
 @register("log_file_scan", oracle=cte(**RAW, parsed=S.PARSED_SQL)
           + "SELECT timestamp, timestamp_ns, component, node, filename, level, task_id, message FROM parsed")
 def log_file_scan(spark: SparkSession, sf_dir: str):
@@ -186,6 +224,6 @@ def log_file_scan(spark: SparkSession, sf_dir: str):
     from faultlens.session import scratch_path
     from faultlens.sources.files import read_log_tree, write_log_tree
     prepare(spark)
-    root = write_log_tree(fx.raw_log(spark, sf_dir), scratch_path(spark, "log_files"))
+    root = write_log_tree(fx.raw_log(spark, sf_dir), scratch_path(spark, "log_files"), key_col="event_id")
     return ops.parse_lines(read_log_tree(spark, root), keep=("filename",)) \
         .select("timestamp", "timestamp_ns", "component", "node", "filename", "level", "task_id", "message")

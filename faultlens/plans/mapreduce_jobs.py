@@ -87,9 +87,14 @@ def skew_profile(spark: SparkSession, sf_dir: str):
     return mr.key_shares(mr.skew_map(fx.skew_line(spark, sf_dir)))
 
 
-@register("skew_partitions", note="partition numbers are Spark Murmur3 hashes: rows-only")
+@register("skew_partitions", oracle=cte(skew_line=fx.SKEW_LINE_SQL) + """
+SELECT CAST(CAST('0x' || substr(md5(key), 1, 7) AS BIGINT) % 8 AS INTEGER) AS partition, count(*) AS n,
+       round(count(*) / (SELECT count(*) FROM skew_line), 6) AS share
+FROM (SELECT CASE WHEN starts_with(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 'hot_key') THEN 'hot_key' ELSE 'cold_key' END AS key
+      FROM skew_line)
+GROUP BY 1""")
 def skew_partitions(spark: SparkSession, sf_dir: str):
-    """Rows per reducer under an explicit 8-way key partitioner (W8); partition ids are engine-specific."""
+    """Rows per reducer under an explicit 8-way key partitioner (W8)."""
     prepare(spark)
     return mr.partition_shares(mr.skew_map(fx.skew_line(spark, sf_dir)), num_partitions=8)
 
@@ -123,21 +128,4 @@ def bloat_check(spark: SparkSession, sf_dir: str):
           + "SELECT doc_id, line_no, copy, record, split_part(record, chr(9), 1) AS key FROM expanded")
 def identity_shuffle(spark: SparkSession, sf_dir: str):
     prepare(spark)
-    return mr.identity_shuffle(mr.bloat_expand(fx.text_line(spark, sf_dir), copies=4))
-
-
-@register("gen_skew", oracle=gen.SKEW_SUMMARY_SQL)
-def gen_skew(spark: SparkSession, sf_dir: str):
-    """Skewed input sized like the documents corpus, then the hot-key job's sums over it."""
-    prepare(spark)
-    target = gen.corpus_bytes(read_table(spark, sf_dir, "documents"))
-    lines = gen.skew_lines(spark, target)
-    return gen.summarise_skew(lines)
-
-
-@register("gen_bloat", oracle=gen.BLOAT_SUMMARY_SQL)
-def gen_bloat(spark: SparkSession, sf_dir: str):
-    """Unique-key bloat input sized like the documents corpus, summarised."""
-    prepare(spark)
-    target = gen.corpus_bytes(read_table(spark, sf_dir, "documents"))
-    return gen.summarise_bloat(gen.bloat_lines(spark, target))
+    return mr.identity_shuffle(mr.bloat_expand(fx.text_line(spark, sf_dir), copies=4), ["doc_id", "line_no", "copy"])

@@ -13,9 +13,10 @@ from faultlens.sources import fixtures as fx
 from faultlens.sources import metricstore as ms
 from faultlens.sources.tables import read_table
 
-# Evaluation grid for the sparse test series (about one sample per 86 minutes per series):
-GRID_START, GRID_END = "2024-01-02 00:00:00", "2024-01-05 00:00:00"
+# Evaluation grid over the whole month of the test series (about one sample per 86 minutes per series):
+GRID_START, GRID_END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 STEP_S, LOOKBACK_S, RATE_RANGE_S = 3600, 7200, 21600
+COUNTER_SINCE = "2023-12-31 18:00:00"      # the grid's start less the rate range
 RECENT_MINUTES = 30
 
 MS = dict(metric_sample=fx.METRIC_SAMPLE_SQL)
@@ -104,7 +105,7 @@ GROUP BY m.hostname, m.mode, g.t""")
 def metric_instant(spark: SparkSession, sf_dir: str):
     """Gauge value at each grid step (latest sample within the look-back)."""
     prepare(spark)
-    out = ops.instant_values(fx.metric_sample(spark, sf_dir), ["hostname", "mode"], "g", GRID_START, GRID_END,
+    out = ops.instant_values(fx.gauge_sample(spark, sf_dir), ["hostname", "mode"], "g", GRID_START, GRID_END,
                              STEP_S, LOOKBACK_S)
     return out.withColumn("value", F.round("value", 6))
 
@@ -127,7 +128,7 @@ SELECT hostname, mode, t, samples, round(last_v - first_v + resets, 6) AS increa
 def metric_increase(spark: SparkSession, sf_dir: str):
     """Reset-corrected counter increase per window (no extrapolation)."""
     prepare(spark)
-    out = ops.counter_increase(fx.metric_sample(spark, sf_dir), ["hostname", "mode"], "v", GRID_START, GRID_END,
+    out = ops.counter_increase(fx.metric_sample(spark, sf_dir, COUNTER_SINCE, GRID_END), ["hostname", "mode"], "v", GRID_START, GRID_END,
                                STEP_S, RATE_RANGE_S)
     return out.withColumn("increase", F.round("increase", 6))
 
@@ -147,7 +148,7 @@ FROM y""")
 def metric_rate(spark: SparkSession, sf_dir: str):
     """Per-second counter rate with edge extrapolation."""
     prepare(spark)
-    out = ops.counter_rate(fx.metric_sample(spark, sf_dir), ["hostname", "mode"], "v", GRID_START, GRID_END,
+    out = ops.counter_rate(fx.metric_sample(spark, sf_dir, COUNTER_SINCE, GRID_END), ["hostname", "mode"], "v", GRID_START, GRID_END,
                            STEP_S, RATE_RANGE_S, extrapolate=True)
     return out.withColumn("rate", F.round("rate", 6))
 
@@ -158,7 +159,7 @@ WHERE ts >= (SELECT max(ts) FROM metric_sample) - INTERVAL {RECENT_MINUTES} MINU
 def recent_minutes(spark: SparkSession, sf_dir: str):
     """Samples of the last N minutes before the newest sample (anchor = scalar subquery)."""
     prepare(spark)
-    ms_df = fx.metric_sample(spark, sf_dir)
+    ms_df = fx.gauge_sample(spark, sf_dir)
     ev = read_table(spark, sf_dir, "events")
     anchor = ev.agg(F.max("ts")).scalar()
     recent = ms_df.where(F.col("ts") >= anchor - F.expr(f"INTERVAL {RECENT_MINUTES} MINUTES"))

@@ -107,7 +107,7 @@ def labelled_metrics(spark: SparkSession, sf_dir: str):
     prepare(spark)
     raw = fx.raw_log(spark, sf_dir)
     info = ops.with_fault_info(ops.run_windows(ops.job_runs(L.task_records(raw))))
-    samples = fx.metric_sample(spark, sf_dir).select("event_id", "hostname", "mode", "g", "ts")
+    samples = fx.gauge_sample(spark, sf_dir)
     joined = range_join(samples, info.select("run_id", "fault_type", "affected_nodes", "nodes_known",
                                              "window_start", "window_end"), "ts")
     return joined.select("run_id", "event_id", "hostname", "mode", F.round("g", 6).alias("g"), "fault_type",
@@ -139,7 +139,7 @@ def collection_summary(spark: SparkSession, sf_dir: str):
     windows = info.select("run_id", "window_start", "window_end")
     logs = range_join(L.store_records(raw).select("filename", "line_ts"), windows, "line_ts") \
         .groupBy("run_id").agg(F.count_distinct("filename").alias("log_files"), F.count(F.lit(1)).alias("log_rows"))
-    mets = range_join(fx.metric_sample(spark, sf_dir).select("hostname", "mode", "ts"), windows, "ts") \
+    mets = range_join(fx.gauge_sample(spark, sf_dir).select("hostname", "mode", "ts"), windows, "ts") \
         .groupBy("run_id").agg(F.count_distinct("hostname", "mode").alias("metric_series"),
                                F.count(F.lit(1)).alias("metric_rows"))
     out = info.join(logs, "run_id", "left").join(mets, "run_id", "left")
@@ -225,8 +225,10 @@ def fault_plan(spark: SparkSession, sf_dir: str):
     return ops.expand_plan(plan_entries(spark, sf_dir)).withColumn("i", F.col("i").cast("long"))
 
 
-@register("fault_plan_random", note="seeded hash order: rows-only")
+@register("fault_plan_random", oracle=PLAN_SQL.replace("ORDER BY order_key, position, i",
+                                                       "ORDER BY md5('42:' || position), position, i"))
 def fault_plan_random(spark: SparkSession, sf_dir: str):
+    """The plan in a random order that a seed fixes (W5)."""
     prepare(spark)
     return ops.expand_plan(plan_entries(spark, sf_dir), random_seed=42).withColumn("i", F.col("i").cast("long"))
 

@@ -15,7 +15,7 @@ from faultlens.plans import run_jobs as RJ
 from faultlens.plans import mapreduce_jobs as MR
 from faultlens.plans import sqlfrag as S
 from faultlens.plans.catalog import cte, register
-from faultlens.plans.log_jobs import RANGE_END, RANGE_START, RAW, UNION_SQL
+from faultlens.plans.log_jobs import ALL_END, ALL_START, ALL_UNION_SQL, RAW
 from faultlens.plans.collect import LOG_FILE_COLUMNS, write_logs
 from faultlens.session import prepare, scratch_path
 from faultlens.sinks.files import (read_json_lines, read_key_value_text, read_partitioned_csv, write_json_lines,
@@ -36,16 +36,16 @@ LOG_CSV_SCHEMA = T.StructType([
 assert [f.name for f in LOG_CSV_SCHEMA.fields] == LOG_FILE_COLUMNS
 
 
-@register("csv_roundtrip", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL) + UNION_SQL)
+@register("csv_roundtrip", oracle=cte(**RAW, store=S.STORE_SQL, parsed=S.PARSED_SQL) + ALL_UNION_SQL)
 def csv_roundtrip(spark: SparkSession, sf_dir: str):
     """Collected logs written as per-node component / task CSV folders in the shared folder, read back."""
     prepare(spark)
-    logs = L.union_logs(fx.raw_log(spark, sf_dir), RANGE_START, RANGE_END).drop("line_ts")
+    logs = L.union_logs(fx.raw_log(spark, sf_dir), ALL_START, ALL_END).drop("line_ts")
     path = scratch_path(spark, "csv_roundtrip")
     write_logs(logs, path)
-    back = read_partitioned_csv(spark, path, LOG_CSV_SCHEMA)
+    back = read_partitioned_csv(spark, path, LOG_CSV_SCHEMA, ["node", "log_file"])
     return back.select("event_id", "timestamp", "timestamp_ns", "component",
-                       F.col("node").cast("string"), "filename", "level", "task_id", "message", "source")
+                       "node", "filename", "level", "task_id", "message", "source")
 
 
 # --- metric sink (per host x metric folders) ---------------------------------------
@@ -69,9 +69,9 @@ def metric_csv_roundtrip(spark: SparkSession, sf_dir: str):
     flat = MJ._flat(spark, sf_dir)
     path = scratch_path(spark, "metric_csv")
     write_partitioned_csv(flat, path, ["hostname", "metric"], ["timestamp_us"], salt_source="timestamp_us")
-    back = read_partitioned_csv(spark, path, METRIC_CSV_SCHEMA)
-    return back.select("timestamp", "timestamp_us", F.col("metric").cast("string"), "category",
-                       F.col("hostname").cast("string"), "service", "device", "mode", "mountpoint",
+    back = read_partitioned_csv(spark, path, METRIC_CSV_SCHEMA, ["hostname", "metric"])
+    return back.select("timestamp", "timestamp_us", "metric", "category",
+                       "hostname", "service", "device", "mode", "mountpoint",
                        F.round("value", 6).alias("value"))
 
 
@@ -97,9 +97,9 @@ def reclass_csv_roundtrip(spark: SparkSession, sf_dir: str):
     rows = rec.select("event_id", "timestamp", "timestamp_ns", "log_type", "hostname", "level", "message", "out_name")
     path = scratch_path(spark, "reclass_csv")
     write_partitioned_csv(rows, path, ["hostname", "out_name"], ["timestamp_ns", "event_id"], salt_source="event_id")
-    back = read_partitioned_csv(spark, path, RECLASS_CSV_SCHEMA)
-    return back.select("event_id", "timestamp", "timestamp_ns", "log_type", F.col("hostname").cast("string"),
-                       "level", "message", F.col("out_name").cast("string"))
+    back = read_partitioned_csv(spark, path, RECLASS_CSV_SCHEMA, ["hostname", "out_name"])
+    return back.select("event_id", "timestamp", "timestamp_ns", "log_type", "hostname",
+                       "level", "message", "out_name")
 
 
 # --- run summary as JSON lines -----------------------------------------------------------

@@ -8,8 +8,10 @@ setting is absent (local tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -47,23 +49,28 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings every query relies on (idempotent, runtime-settable only)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    """Check the settings that queries rely on; the caller's session is never changed."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "Universal", "Etc/Universal"):
+        warnings.warn(f"event times are read as UTC, the session's time zone is {zone}", stacklevel=3)
+    if spark.conf.get("spark.sql.adaptive.enabled") != "true":
+        warnings.warn("adaptive execution is off: skewed joins are not split", stacklevel=3)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and written intermediate tables.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (tests) a fresh local folder is created and registered.
+    Reads ``spark.checkpoint.dir`` from the session.  Only a local master (tests) may leave
+    it unset: then a fresh local folder is created.  On a cluster that folder would be
+    invisible to the executors, so an unset folder raises.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if not configured:
         configured = spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="faultlens-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, configured)
     if spark.sparkContext.getCheckpointDir() is None:

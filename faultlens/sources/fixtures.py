@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from faultlens.operators.ordering import join_null_safe, materialize
 from faultlens.sources.tables import read_table
 
 # --- fixed values of the projections ------------------------------------------
@@ -113,18 +114,32 @@ FROM events
 """
 
 
-def metric_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Node-exporter-like samples: (event_id, ts, hostname, mode, g gauge, v daily-reset counter)."""
-    ev = read_table(spark, sf_dir, "events")
-    grp = [F.col("user_id") % 4, F.col("event_type"), F.to_date("ts")]
-    w = Window.partitionBy(*grp).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return ev.select(
-        "event_id", "ts",
-        F.concat(F.lit("cpf-"), (F.col("user_id") % 4 + 1).cast("string")).alias("hostname"),
-        F.col("event_type").alias("mode"),
-        F.col("value").alias("g"),
-        F.sum("value").over(w).alias("v"),
-    )
+def gauge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node-exporter-like gauge samples: (event_id, ts, hostname, mode, g)."""
+    return read_table(spark, sf_dir, "events").select(
+        "event_id", "ts", F.concat(F.lit("cpf-"), (F.col("user_id") % 4 + 1).cast("string")).alias("hostname"),
+        F.col("event_type").alias("mode"), F.col("value").alias("g"))
+
+
+def metric_sample(spark: SparkSession, sf_dir: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The gauge samples with a counter ``v`` that grows by the gauge and is reset daily.
+
+    The running sum is taken inside each minute, on top of the sums of the day's minutes before it, so a
+    busy (host, mode, day) is many small windows. ``since`` and ``until`` limit the days that are read.
+    """
+    rows = gauge_sample(spark, sf_dir)
+    if since is not None:
+        rows = rows.where(F.col("ts") >= F.lit(since[:10]).cast("timestamp_ntz"))
+    if until is not None:
+        rows = rows.where(F.col("ts") < F.lit(until).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
+    series = ["hostname", "mode", "day"]
+    rows = rows.withColumns({"day": F.to_date("ts"), "minute": F.date_trunc("minute", "ts")})
+    sums = materialize(rows.groupBy(*series, "minute").agg(F.sum("g").alias("_sum")))
+    before = Window.partitionBy(*series).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*series, "minute", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_before"))
+    inside = Window.partitionBy(*series, "minute").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return join_null_safe(rows, sums, [*series, "minute"]).select(
+        "event_id", "ts", "hostname", "mode", "g", (F.col("_before") + F.sum("g").over(inside)).alias("v"))
 
 
 METRIC_SAMPLE_SQL = """

@@ -2,29 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
-    """A landed parquet table; under-split single-file inputs are spread (see below)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread is None:
-        spread = os.environ.get("FAULTLENS_SPREAD_INPUT", "1") != "0"
-    return spread_input(df) if spread else df
-
-
-def spread_input(df: DataFrame) -> DataFrame:
-    """Guard against under-split input: a table stored as one un-splittable file (a single
-    parquet row group) scans in one task, so every narrow stage after it runs on one core.
-
-    Only in that case the rows are dealt round-robin to the session's parallelism (Spark
-    sorts before a round-robin repartition, so a retried task gets the same rows).  On a
-    cluster, where a table is thousands of files and splits, this is a no-op and adds no
-    shuffle.  Filters and column pruning still reach the scan below the repartition.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 <= target:
-        return df.repartition(target)
-    return df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A landed parquet table, split as its files and row groups are."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -8,13 +8,19 @@ stops (batch-like scheduling with streaming state and exactly-once sinks).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from faultlens.operators import logs as L
 from faultlens.sources.fixtures import raw_log_from
 
+#: Seconds between two looks at a running query's progress.
+POLL_S = 1
+
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
     T.StructField("ts", T.TimestampNTZType()),
@@ -53,18 +59,40 @@ def window_counts(records: DataFrame, ts_col: str, keys: list[str], window: str,
                          F.col("w.end").cast("timestamp_ntz").alias("window_end"), *keys, "n")
 
 
+@dataclass(frozen=True)
+class Drained:
+    """What one run over the landed input did."""
+
+    path: str
+    input_rows: int
+    #: Rows later than the watermark, which a windowed count leaves out.
+    late_rows: int
+
+
+def _drain(q: StreamingQuery, path: str, timeout_s: float | None) -> Drained:
+    """Wait for the end of a query (without a limit by default) and sum up its micro-batches."""
+    batches, waited = {}, 0.0
+    while True:
+        done = q.awaitTermination(POLL_S)
+        for p in q.recentProgress:
+            batches[p["batchId"]] = (p["numInputRows"], sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"]))
+        if done or not q.isActive:
+            break
+        waited += POLL_S
+        if timeout_s is not None and waited >= timeout_s:
+            q.stop()
+            raise TimeoutError(f"stream did not drain within {timeout_s}s")
+    if q.exception() is not None:
+        raise q.exception()
+    return Drained(path, sum(b[0] for b in batches.values()), sum(b[1] for b in batches.values()))
+
+
 def run_available_now(df: DataFrame, sink_path: str, checkpoint_path: str, output_mode: str = "append",
-                      timeout_s: int = 600) -> str:
-    """Drain the landed input into a parquet sink and stop."""
+                      timeout_s: float | None = None) -> Drained:
+    """Drain the landed input into a parquet sink and stop; says how many late rows were left out."""
     q = (df.writeStream.format("parquet").outputMode(output_mode)
          .option("checkpointLocation", checkpoint_path).trigger(availableNow=True).start(sink_path))
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream did not drain within {timeout_s}s")
-    if q.exception() is not None:
-        raise q.exception()
-    return sink_path
+    return _drain(q, sink_path, timeout_s)
 
 
 def stream_raw_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +100,7 @@ def stream_raw_log(spark: SparkSession, folder: str) -> DataFrame:
     return raw_log_from(event_stream(spark, folder))
 
 
-def stream_to_csv_layout(records: DataFrame, root: str, checkpoint_path: str, timeout_s: int = 600) -> str:
+def stream_to_csv_layout(records: DataFrame, root: str, checkpoint_path: str, timeout_s: float | None = None) -> str:
     """Tagged log records from a stream into the per-node CSV layout, one folder per micro-batch.
 
     ``foreachBatch`` overwrites ``<root>/epoch=<id>`` for each batch, so a retried batch
@@ -86,10 +114,4 @@ def stream_to_csv_layout(records: DataFrame, root: str, checkpoint_path: str, ti
 
     q = (records.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream did not drain within {timeout_s}s")
-    if q.exception() is not None:
-        raise q.exception()
-    return root
+    return _drain(q, root, timeout_s).path

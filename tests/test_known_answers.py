@@ -18,9 +18,9 @@ def test_counts(spark):
     assert QUERIES["log_parse_lines"](spark, SF).count() == 9090
     assert QUERIES["log_level"](spark, SF).count() == 48
     assert QUERIES["log_topn_per_file"](spark, SF).count() == 1400
-    assert QUERIES["metric_instant"](spark, SF).count() == 1114
-    assert QUERIES["metric_increase"](spark, SF).count() == 1358
-    assert QUERIES["metric_rate"](spark, SF).count() == 1358
+    assert QUERIES["metric_instant"](spark, SF).count() == 10828  # grid over the whole month
+    assert QUERIES["metric_increase"](spark, SF).count() == 13232
+    assert QUERIES["metric_rate"](spark, SF).count() == 13232
     assert QUERIES["silence_gaps"](spark, SF).count() == 148
 
 

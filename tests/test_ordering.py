@@ -32,6 +32,35 @@ def test_with_previous(spark):
     assert got == ref
 
 
+def test_null_groups_and_times_stay(spark):
+    """Equal to plain windows on rows with a NULL group, a NULL time or both, also with refined buckets."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 5 == 0 else f"g{i % 2}", None if i % 7 == 0 else base + dt.timedelta(seconds=(i * 37) % 9000))
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, g string, ts timestamp_ntz")
+    w = Window.partitionBy("g").orderBy("ts", "id")
+    ref = {(r.id, r.rk, r.p) for r in df.select("id", F.row_number().over(w).alias("rk"), F.lag("id").over(w).alias("p")).collect()}
+    for limit in (5, 10**6):
+        rank = running_rank(df, ["g"], "ts", "id", bucket_seconds=3600, max_bucket_rows=limit).collect()
+        assert {(r.id, r.rank) for r in rank} == {x[:2] for x in ref}
+        top = top_n_per_group(df, ["g"], "ts", "id", 9, bucket_seconds=3600, max_bucket_rows=limit).collect()
+        assert {(r.id, r.rank) for r in top} == {x[:2] for x in ref if x[1] <= 9}
+        prev = with_previous(df, ["g"], "ts", "id", ["id"], bucket_seconds=3600, max_bucket_rows=limit).collect()
+        assert {(r.id, r.prev_id) for r in prev} == {(x[0], x[2]) for x in ref}
+
+
+def test_only_hot_buckets_are_counted_again(spark):
+    from faultlens.operators.ordering import _adaptive_buckets
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, "g", base + dt.timedelta(hours=i % 3, seconds=i if i % 3 == 0 else 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, ts timestamp_ntz")
+    _, stats, seen = _adaptive_buckets(df, ["g"], "ts", 3600, 100)
+    counts = [r._cnt for r in stats.collect()]
+    assert sum(counts) == 300 and seen["rows"] == len(counts)
+    _, stats, _ = _adaptive_buckets(df, ["g"], "ts", 3600, 40)
+    assert sum(r._cnt for r in stats.collect()) == 300
+
+
 def test_global_order_number(spark):
     df = _data(spark)
     got = global_order_number(df, ["ts", "id"], num_partitions=5).select("id", "k").collect()

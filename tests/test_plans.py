@@ -35,6 +35,20 @@ def test_time_range_pushed_to_scan(spark):
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
 
 
+@pytest.mark.parametrize("name", ["metric_instant", "metric_rate", "metric_increase", "labelled_records", "labelled_metrics",
+                                  "collection_summary"])
+def test_time_bounds_reach_the_scan(spark, name):
+    """Literal bounds on the stored time, also behind an exchange that materialised windows feed."""
+    plan = _plan(spark, name)
+    if "Scan parquet" in plan:
+        assert "PushedFilters: [IsNotNull(ts), LessThan" in plan or "GreaterThan" in plan.split("PushedFilters", 1)[1][:200]
+
+
+def test_grid_aggregates_are_hash_aggregates(spark):
+    for name in ("metric_instant", "metric_rate"):
+        assert "SortAggregate" not in _plan(spark, name)
+
+
 def test_range_join_is_hash_join(spark):
     for name in ("task_window_logs", "labelled_records"):
         s = summarise(_plan(spark, name))

@@ -16,12 +16,35 @@ def test_csv_round_trip_is_lossless(spark):
     path = scratch_path(spark, "sink_test")
     write_partitioned_csv(df, path, ["node"], ["id"], salt_source="id")
     back = read_partitioned_csv(spark, path, T.StructType([T.StructField("id", T.LongType()),
-                                                           T.StructField("message", T.StringType())]))
+                                                           T.StructField("message", T.StringType())]), ["node"])
     got = {r.id: r.message for r in back.collect()}
     assert got == dict(enumerate(AWKWARD))
     assert got[4] == "" and got[5] is None
 
 
+def test_folder_names_come_back_as_they_were(spark):
+    values = ["007", "1", "2024-01-01", "", None, "__empty__", "__empty__x", "a/b=c", "x y%z", "true"]
+    rows = [(i, v, f"m{i}") for i, v in enumerate(values * 3)]
+    path = scratch_path(spark, "folder_test")
+    write_partitioned_csv(spark.createDataFrame(rows, "id long, host string, message string"), path, ["host"], ["id"],
+                          salt_source="id", rows_per_writer=2)
+    back = read_partitioned_csv(spark, path, T.StructType([T.StructField("id", T.LongType()),
+                                                           T.StructField("message", T.StringType())]), ["host"])
+    assert sorted((r.id, r.host, r.message) for r in back.collect()) == rows
+
+
+def test_log_files_keep_real_paths_and_text(spark, tmp_path):
+    from faultlens.sources.files import read_log_files, read_log_tree, write_log_tree
+    folder = tmp_path / "logs a+b%20c"
+    folder.mkdir()
+    (folder / "x.log").write_bytes(b"one\nb\xff\xfead \xef\xbf\xbd kept\n")
+    got = sorted((r.filename, r.line) for r in read_log_files(spark, str(folder)).collect())
+    assert got == [(str(folder / "x.log"), "bad \ufffd kept"), (str(folder / "x.log"), "one")]
+    lines = spark.createDataFrame([(i, "/var/x", "same line") for i in range(10)], "event_id long, filename string, line string")
+    root = write_log_tree(lines, scratch_path(spark, "tree_test"), key_col="event_id", rows_per_writer=2)
+    assert read_log_tree(spark, root).groupBy("filename", "line").count().collect()[0]["count"] == 10
+
+
 def test_json_and_text_round_trips(spark):
     df = spark.createDataFrame([("a", 1, None), ("b\tc", 2, "x")], "k string, n long, opt string")
     p = scratch_path(spark, "json_test")

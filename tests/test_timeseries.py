@@ -85,3 +85,51 @@ def test_rate_with_duplicate_instant_is_null_not_error(spark):
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, host string, v double")
     out = M.counter_rate(df, ["host"], "v", "2024-01-01 00:01:00", "2024-01-01 00:01:00", 60, 60).collect()
     assert len(out) == 1 and out[0].rate is None
+
+
+def test_instant_at_the_usual_step(spark):
+    """300 s look-back on a 15 s grid: a sample is carried to the next one or to the end of the look-back."""
+    pts = [(0, 1.0), (7, 2.0), (30, 3.0), (500, 4.0)]
+    out = M.instant_values(_samples(spark, pts), ["host"], "v", "2024-01-01 00:00:00", "2024-01-01 00:15:00", 15, 300)
+    want = {}
+    for k in range(61):
+        t = 15 * k
+        near = [(s, v) for s, v in pts if t - 300 < s <= t]
+        if near:
+            want[T0 + dt.timedelta(seconds=t)] = max(near)[1]
+    assert {r.t: r.value for r in out.collect()} == want
+
+
+def test_equal_times_take_the_larger_tiebreak(spark):
+    df = spark.createDataFrame([(2, T0, "h", 5.0), (9, T0, "h", 6.0), (-4, T0, "h", 7.0)], "event_id long, ts timestamp_ntz, host string, v double")
+    out = M.instant_values(df, ["host"], "v", "2024-01-01 00:00:00", "2024-01-01 00:00:00", 60, 300)
+    assert [r.value for r in out.collect()] == [6.0]
+
+
+def test_bad_sample_times_are_dropped(spark):
+    body = ('{"data":{"result":[{"metric":{"instance":"cpf-2:9100"},"values":'
+            '[["NaN","1"],["Infinity","1"],["1e30","1"],[null,"1"],["x","1"],[1704067207,"2"]]}]}}')
+    df = spark.createDataFrame([("node_load1", body)], "query string, body string")
+    assert [(r.timestamp_us, r.value) for r in M.flatten_metric_responses(df).collect()] == [(1704067207000000, 2.0)]
+
+
+def test_full_nanoseconds_are_not_rounded_up(spark):
+    from faultlens.operators.logs import flatten_log_responses
+    body = ('{"data":{"result":[{"stream":{"filename":"/var/log/hadoop/hdfs-datanode-cpf-2.log"},"values":'
+            '[["1704067200999999999","m"],["x","m"]]}]}}')
+    got = flatten_log_responses(spark.createDataFrame([(body,)], "body string")).collect()
+    assert [(r.timestamp, r.timestamp_ns) for r in got] == [("2024-01-01 00:00:00", 1704067200999999999)]
+
+
+def test_range_join_takes_any_window(spark):
+    """NULL, empty, reversed and very long windows; rows outside all windows."""
+    from faultlens.operators.rangejoin import range_join
+    facts = _samples(spark, [(0, 1.0), (3600, 2.0), (10**6, 3.0)]).union(
+        spark.createDataFrame([(9, None, "h", 4.0)], "event_id long, ts timestamp_ntz, host string, v double"))
+    far = T0 + dt.timedelta(days=4000)
+    rows = [("day", T0, T0 + dt.timedelta(days=1)), ("long", T0 - dt.timedelta(days=9000), far), ("null", None, far),
+            ("empty", T0, T0), ("back", far, T0)]
+    windows = spark.createDataFrame(rows, "name string, window_start timestamp_ntz, window_end timestamp_ntz")
+    got = {(r.name, r.event_id) for r in range_join(facts, windows, "ts").collect()}
+    assert got == {("day", 0), ("day", 1), ("long", 0), ("long", 1), ("long", 2)}
+    assert range_join(facts, windows.limit(0), "ts").count() == 0

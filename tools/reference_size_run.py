@@ -42,7 +42,7 @@ def main() -> None:
     out["bloat"] = chk.asDict()
     # the full job: x4 records shuffled by key and sorted in each partition (reducer = cat)
     t0 = time.perf_counter()
-    mr.identity_shuffle(mr.bloat_expand(bloat, copies=4, keep=())).write.format("noop").mode("overwrite").save()
+    mr.identity_shuffle(mr.bloat_expand(bloat, copies=4, keep=("line_id",)), ["line_id", "copy"]).write.format("noop").mode("overwrite").save()
     out["bloat_shuffle_sort_s"] = round(time.perf_counter() - t0, 1)
     print(json.dumps(out))
 
