@@ -90,3 +90,8 @@ def message_of(parts: Column) -> Column:
 def first_ipv4(m: Column) -> Column:
     """First dotted quad in a message (no octet range check), else NULL."""
     return F.nullif(F.regexp_extract(m, IPV4_PATTERN, 1), F.lit(""))
+
+
+def mounted_path(f: Column, mount: str = "/hdfs-nfs") -> Column:
+    """Where a task file is read from: paths already below the mount stay, others go below it."""
+    return F.when(f.startswith(mount), f).otherwise(F.concat(F.lit(mount.rstrip("/") + "/"), F.ltrim(f, F.lit("/"))))

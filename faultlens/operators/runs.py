@@ -2,51 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from faultlens.functions import runs as R
-from faultlens.operators.ordering import global_order_number, materialize
+from faultlens.operators.ordering import global_order_number, materialize, materialize_sized, maybe_broadcast
 from faultlens.plans import dims
 
-# Fault types that have an injection script (others fail with "script missing").
-SCRIPTED_FAULTS = ["data_skew", "data_bloat", "task_fail", "long_tail"]
-# Fault types that run no MapReduce job (their runs carry no job id).
-JOBLESS_FAULTS = ["network_latency", "cpu_load"]
-FAULT_ROTATION = ["data_skew", "data_bloat", "task_fail", "long_tail", "network_latency", "cpu_load"]
-
-PLAN_ENTRY_SCHEMA = T.StructType([
-    T.StructField("type", T.StringType()),
-    T.StructField("count", T.IntegerType()),
-    T.StructField("order", T.IntegerType()),
-    T.StructField("enabled", T.BooleanType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("params", T.StructType([
-        T.StructField("minutes_before", T.IntegerType()),
-        T.StructField("minutes_after", T.IntegerType()),
-        T.StructField("wait_minutes", T.IntegerType()),
-    ])),
-])
-
-
-def job_runs(task_lines: DataFrame) -> DataFrame:
-    """One run per (task, day) of task-log activity: job id, fault type, first/last line time."""
-    seq = F.split_part(F.col("task_id"), F.lit("_"), F.lit(2)).cast("long")
-    runs = task_lines.groupBy("task_id", F.to_date("line_ts").alias("day")).agg(
-        F.min("line_ts").alias("run_start"), F.max("line_ts").alias("run_end"))
-    fault = F.element_at(F.array(*[F.lit(f) for f in FAULT_ROTATION]),
-                         (F.pmod(seq + F.dayofmonth("day"), F.lit(len(FAULT_ROTATION))) + 1).cast("int"))
-    runs = runs.withColumn("fault_type", fault)
-    job = F.when(F.col("fault_type").isin(JOBLESS_FAULTS), F.lit(None).cast("string")) \
-        .otherwise(F.concat(F.lit("job_"), F.col("task_id")))
-    return runs.withColumn("job_id", job).withColumns({
-        "minutes_before": F.lit(dims.DEFAULT_RUN_PARAMS["minutes_before"]),
-        "minutes_after": F.lit(dims.DEFAULT_RUN_PARAMS["minutes_after"]),
-        "wait_minutes": F.lit(dims.DEFAULT_RUN_PARAMS["wait_minutes"]),
-    })
-
-
 def run_windows(runs: DataFrame) -> DataFrame:
     """Collection window per run: [end - before, end + wait + after), second precision;
     run folder id ``<fault>_<job>_<yyyyMMdd_HHmmss>`` (job part skipped when absent)."""
@@ -55,18 +17,26 @@ def run_windows(runs: DataFrame) -> DataFrame:
     stop = F.date_trunc("second", F.timestamp_add("MINUTE", F.col("wait_minutes") + F.col("minutes_after"), end)) \
         .cast("timestamp_ntz")
     run_id = R.run_folder(F.col("fault_type"), F.col("job_id"), F.date_format(end, "yyyyMMdd_HHmmss"))
+    kept = [c for c in ("script", "minutes_before", "minutes_after", "wait_minutes") if c in runs.columns]
     return runs.select(run_id.alias("run_id"), "fault_type", "job_id", "task_id", "run_start", "run_end",
-                       start.alias("window_start"), stop.alias("window_end"))
+                       start.alias("window_start"), stop.alias("window_end"), *kept)
 
 
-def with_fault_info(runs: DataFrame) -> DataFrame:
-    """Attach the fault catalogue (broadcast: fixed-size dimension); unknown types get the
-    default row.  The type is read back from the injection script path."""
-    cat = F.broadcast(dims.fault_catalogue(runs.sparkSession))
-    script = F.concat(F.lit("/scripts/"), F.col("fault_type"), F.lit("/inject_"), F.col("fault_type"), F.lit(".sh"))
+def with_fault_info(runs: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
+    """Attach the fault catalogue; unknown types get the default row.
+
+    Runs with a ``script`` column take the type from the script's path, others from ``fault_type``.  ``catalogue`` has
+    the columns of :data:`dims.FAULT_SCHEMA`; without one the built-in table is used.  A catalogue of the user's own
+    is broadcast only within the measured budget.
+    """
+    if catalogue is None:
+        cat = F.broadcast(dims.fault_catalogue(runs.sparkSession))
+    else:
+        cat, seen = materialize_sized(catalogue.select(*dims.FAULT_SCHEMA.fieldNames()))
+        cat = maybe_broadcast(cat, rows=seen["rows"], size=seen["bytes"])
+    kind = R.fault_from_script(F.col("script")) if "script" in runs.columns else F.col("fault_type")
     d = dims.UNKNOWN_FAULT
-    joined = runs.withColumn("script", script).withColumn("_ft", R.fault_from_script(F.col("script"))) \
-        .join(cat.withColumnRenamed("fault_type", "_ft"), "_ft", "left")
+    joined = runs.withColumn("_ft", kind).join(cat.withColumnRenamed("fault_type", "_ft"), "_ft", "left")
     return joined.withColumns({
         "description": F.coalesce("description", F.lit(d[0])),
         "affected_nodes": F.coalesce("affected_nodes", F.array(*[F.lit(x) for x in d[1]]).cast("array<string>")),
@@ -109,19 +79,51 @@ def expand_plan(entries: DataFrame, position_col: str = "position", random_seed:
         F.coalesce("params.wait_minutes", F.lit(dims.DEFAULT_RUN_PARAMS["wait_minutes"])).alias("wait_minutes"))
 
 
-def run_results(runs: DataFrame) -> DataFrame:
-    """Outcome per run: success when an injection script exists for the fault type."""
-    ok = F.col("fault_type").isin(SCRIPTED_FAULTS)
-    return runs.withColumns({
-        "success": ok,
-        "error": F.when(~ok, F.concat(F.lit("script missing: /scripts/"), F.col("fault_type"))),
-    })
+def expand_plans(entries: DataFrame, random_seed: int = 42) -> DataFrame:
+    """Every plan's runs, numbered ``k`` of ``total`` inside the plan.
+
+    Entries as :func:`faultlens.sources.runfiles.plan_entries` gives them.  A plan with ``random_order`` is ordered by a
+    seeded hash of its entries.  A plan is one document, so one window per plan is bounded by that document.
+    """
+    enabled = entries.where(F.coalesce("enabled", F.lit(True)))
+    seeded = F.md5(F.concat(F.lit(f"{random_seed}:"), F.col("position").cast("string")).cast("binary"))
+    reps = enabled.withColumns({
+        "order_key": F.coalesce("order", F.lit(dims.DEFAULT_ORDER)),
+        "_first": F.when(F.col("random_order"), seeded).otherwise(F.lit("")),
+        "i": F.explode(F.when(F.col("count") > 0, F.sequence(F.lit(1), F.col("count"))).otherwise(F.array().cast("array<int>")))})
+    whole = Window.partitionBy("plan")
+    number = F.row_number().over(whole.orderBy("_first", F.when(F.col("random_order"), 0).otherwise(F.col("order_key")), "position", "i"))
+    out = reps.withColumns({"k": number.cast("long"), "total": F.count(F.lit(1)).over(whole)})
+    p = dims.DEFAULT_RUN_PARAMS
+    return out.select("plan", "k", "total", F.col("type").alias("fault_type"), F.col("i").cast("long").alias("i"), "count", "order_key", "position",
+                      "description", F.round(F.col("k") * F.lit(100.0) / F.col("total"), 1).alias("percent"),
+                      *[F.coalesce(f"params.{c}", F.lit(p[c])).alias(c) for c in p])
+
+
+def known_nodes(runs: DataFrame, known: bool = True) -> DataFrame:
+    """Runs whose affected nodes are known beforehand, or (``known=False``) only found at run time."""
+    return runs.where(F.coalesce("nodes_known", F.lit(False)) == F.lit(known))
 
 
 def outcome_counts(results: DataFrame) -> DataFrame:
-    """Total / successful / failed runs per fault type plus the grand total (rollup)."""
+    """Total / successful / failed runs per fault type plus the grand total (rollup); absent ``success`` is a failure."""
+    ok = F.coalesce("success", F.lit(False))
     return results.rollup("fault_type").agg(
         F.count(F.lit(1)).alias("total_runs"),
-        F.count_if(F.col("success")).alias("successful_runs"),
-        F.count_if(~F.col("success")).alias("failed_runs"),
-        F.min("run_start").alias("start_time"))
+        F.count_if(ok).alias("successful_runs"),
+        F.count_if(~ok).alias("failed_runs"),
+        F.min("timestamp").alias("start_time"))
+
+
+def collection_totals(logs: DataFrame, metrics: DataFrame) -> DataFrame:
+    """``run_id, kind, name, node, files, rows``: rows of each run's file on each node, then files and rows of each run, of each
+    kind and overall (the finer columns are NULL there).
+
+    ``logs`` as :func:`faultlens.plans.collect.collect_runs` gives them, ``metrics(run_id, name, node)`` a row per sample.
+    """
+    name = F.coalesce(F.concat(F.lit("task_"), F.col("task_id")), F.col("component"))
+    rows = logs.select("run_id", F.lit("log").alias("kind"), name.alias("name"), "node").unionByName(
+        metrics.select("run_id", F.lit("metric").alias("kind"), "name", "node"))
+    per_file = materialize(rows.groupBy("run_id", "kind", "name", "node").agg(F.count(F.lit(1)).alias("rows")))
+    return per_file.groupingSets([["run_id", "kind", "name", "node"], ["run_id", "kind"], ["kind"], []], "run_id", "kind", "name", "node").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))

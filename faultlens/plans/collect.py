@@ -95,6 +95,25 @@ def collect_metrics(responses: DataFrame, categories: list[str] | None = None) -
     return M.flatten_metric_responses(responses).where(F.col("category").isin(categories))
 
 
+def collect_runs(store: DataFrame, runs: DataFrame, per_file_limit: int | None = None) -> DataFrame:
+    """What is collected for each run ``runs(run_id, window_start, window_end, ...)``, with the run's columns.
+
+    Component rows in the run's window (the oldest ``per_file_limit`` of each file and run, if given), and every task file
+    with a row in the window, read whole, with the level from its text.
+    """
+    carried = [c for c in runs.columns if c not in ("window_start", "window_end")]
+    comp = L.store_records(store).where(F.col("task_id").isNull() & (F.col("component") != "unknown"))
+    comp = range_join(comp, runs, "line_ts").drop("window_start", "window_end")
+    if per_file_limit is not None:
+        comp = top_n_per_group(comp, ["run_id", "filename"], "line_ts", "event_id", per_file_limit).drop("rank")
+    named = store.select("filename", "ts").where(F.col("filename").contains("application_"))
+    listed = range_join(named, runs, "ts").select("filename", *carried).distinct()
+    task = L.task_records(store).join(listed, "filename")
+    columns = [*OUT_COLUMNS, *carried]
+    return (comp.withColumn("source", F.lit("component")).select(*columns)
+            .unionByName(task.withColumn("source", F.lit("task")).select(*columns)))
+
+
 def log_file_key(task_col: str = "task_id", component_col: str = "component"):
     """Per-node file key: ``<component>`` for daemon logs, ``task_<id>`` for task logs."""
     return F.coalesce(F.concat(F.lit("task_"), F.col(task_col)), F.col(component_col))

@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 # --- fixed values (cluster description the datasets are labelled with) ----------
-MASTER = "cpf-1"
-SLAVES = ["cpf-2", "cpf-3", "cpf-4"]
-ALL_NODES = ["cpf-1", "cpf-2", "cpf-3", "cpf-4"]
 NODE_ROLES = {
     "cpf-1": ["namenode", "resourcemanager", "historyserver"],
     "cpf-2": ["datanode", "nodemanager"],

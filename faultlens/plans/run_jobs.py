@@ -12,19 +12,21 @@ from faultlens.operators.rangejoin import range_join
 from faultlens.plans import dims
 from faultlens.plans import sqlfrag as S
 from faultlens.plans.catalog import cte, register
+from faultlens.plans.collect import collect_runs
 from faultlens.plans.dims import sql_values
-from faultlens.session import prepare
+from faultlens.session import prepare, scratch_path
 from faultlens.sources import fixtures as fx
+from faultlens.sources import runfiles as RF
 from faultlens.sources.tables import read_table
 
 TASK_LINES_SQL = "SELECT * FROM parsed WHERE contains(filename, 'application_') AND task_id IS NOT NULL"
-ROT = "[" + ", ".join(f"'{f}'" for f in ops.FAULT_ROTATION) + "]"
-JOBLESS = ", ".join(f"'{f}'" for f in ops.JOBLESS_FAULTS)
+ROT = "[" + ", ".join(f"'{f}'" for f in fx.FAULT_ROTATION) + "]"
+JOBLESS = ", ".join(f"'{f}'" for f in fx.JOBLESS_FAULTS)
 P = dims.DEFAULT_RUN_PARAMS
 RUNS_SQL = f"""
 SELECT *, CASE WHEN fault_type IN ({JOBLESS}) THEN NULL ELSE 'job_' || task_id END AS job_id,
        {P['minutes_before']} AS minutes_before, {P['minutes_after']} AS minutes_after, {P['wait_minutes']} AS wait_minutes
-FROM (SELECT *, {ROT}[(CAST(split_part(task_id, '_', 2) AS BIGINT) + dayofmonth(day)) % {len(ops.FAULT_ROTATION)} + 1]
+FROM (SELECT *, {ROT}[(CAST(split_part(task_id, '_', 2) AS BIGINT) + dayofmonth(day)) % {len(fx.FAULT_ROTATION)} + 1]
                 AS fault_type
       FROM (SELECT task_id, CAST(line_ts AS DATE) AS day, min(line_ts) AS run_start, max(line_ts) AS run_end
             FROM task_lines GROUP BY task_id, CAST(line_ts AS DATE)))
@@ -55,14 +57,14 @@ FROM windows w LEFT JOIN catalogue c ON c.fault_type = w.fault_type
 
 def _windows(spark, sf_dir):
     raw = fx.raw_log(spark, sf_dir)
-    return ops.run_windows(ops.job_runs(L.task_records(raw)))
+    return ops.run_windows(fx.job_runs(L.task_records(raw)))
 
 
 @register("run_windows", oracle=cte(**BASE) + "SELECT * FROM windows")
 def run_windows(spark: SparkSession, sf_dir: str):
     """Runs (task x day of activity) with their collection windows and folder ids."""
     prepare(spark)
-    return _windows(spark, sf_dir)
+    return _windows(spark, sf_dir).select("run_id", "fault_type", "job_id", "task_id", "run_start", "run_end", "window_start", "window_end")
 
 
 @register("fault_dim_join", oracle=cte(**BASE, catalogue=CATALOGUE_SQL, info=FAULT_INFO_SQL) + """
@@ -81,20 +83,66 @@ def fault_dim_join(spark: SparkSession, sf_dir: str):
 STORE = dict(store=S.STORE_SQL)
 
 
-@register("labelled_records", oracle=cte(**BASE, **STORE, catalogue=CATALOGUE_SQL, info=FAULT_INFO_SQL) + """
-SELECT i.run_id, s.event_id, s.node, s.component, i.fault_type, list_contains(i.affected_nodes, s.node) AS in_affected,
-       i.nodes_known
-FROM info i JOIN store s ON s.line_ts >= i.window_start AND s.line_ts < i.window_end""")
+COLLECTED_SQL = """
+SELECT i.run_id, 'component' AS source, s.event_id, s.node, s.component, s.task_id, s.filename, s.level
+FROM info i JOIN store s ON s.line_ts >= i.window_start AND s.line_ts < i.window_end
+WHERE s.task_id IS NULL AND s.component <> 'unknown'
+UNION ALL
+SELECT f.run_id, 'task' AS source, p.event_id, p.node, p.component, p.task_id, p.filename, p.level
+FROM (SELECT DISTINCT i.run_id, r.filename FROM info i JOIN raw_log r ON r.ts >= i.window_start AND r.ts < i.window_end
+      WHERE contains(r.filename, 'application_')) f
+JOIN parsed p ON p.filename = f.filename WHERE p.task_id IS NOT NULL
+"""
+COLLECTED = dict(BASE, store=S.STORE_SQL, catalogue=CATALOGUE_SQL, info=FAULT_INFO_SQL, collected=COLLECTED_SQL)
+
+
+@register("labelled_records", oracle=cte(**COLLECTED) + """
+SELECT c.run_id, c.source, c.event_id, c.node, c.component, c.level, i.fault_type,
+       list_contains(i.affected_nodes, c.node) AS in_affected, i.nodes_known
+FROM collected c JOIN info i ON i.run_id = c.run_id""")
 def labelled_records(spark: SparkSession, sf_dir: str):
-    """Every log record inside a run's window, labelled with the run's fault (range join + dim)."""
+    """Every record collected for a run (component rows in its window, listed task files whole), labelled with its fault."""
+    prepare(spark)
+    raw = fx.raw_log(spark, sf_dir)
+    info = materialize(ops.with_fault_info(ops.run_windows(fx.job_runs(L.task_records(raw)))).select(
+        "run_id", "fault_type", "affected_nodes", "nodes_known", "window_start", "window_end"))
+    rows = collect_runs(raw, info)
+    return rows.select("run_id", "source", "event_id", "node", "component", "level", "fault_type",
+                       F.array_contains("affected_nodes", F.col("node")).alias("in_affected"), "nodes_known")
+
+
+@register("collection_totals", oracle=cte(**dict(COLLECTED, metric_sample=fx.METRIC_SAMPLE_SQL)) + """
+, per_file AS (
+  SELECT run_id, 'log' AS kind, coalesce('task_' || task_id, component) AS name, node, count(*) AS n FROM collected GROUP BY ALL
+  UNION ALL
+  SELECT i.run_id, 'metric', m.mode, m.hostname, count(*) FROM info i
+  JOIN metric_sample m ON m.ts >= i.window_start AND m.ts < i.window_end GROUP BY ALL)
+SELECT run_id, kind, name, node, count(*) AS files, CAST(sum(n) AS BIGINT) AS rows FROM per_file
+GROUP BY GROUPING SETS ((run_id, kind, name, node), (run_id, kind), (kind), ())""")
+def collection_totals(spark: SparkSession, sf_dir: str):
+    """Rows of each run's files by node, files and rows of each run, and in all."""
     prepare(spark)
     raw = fx.raw_log(spark, sf_dir)
-    info = ops.with_fault_info(ops.run_windows(ops.job_runs(L.task_records(raw))))
-    store = L.store_records(raw).select("event_id", "node", "component", "line_ts")
-    joined = range_join(store, info.select("run_id", "fault_type", "affected_nodes", "nodes_known",
-                                           "window_start", "window_end"), "line_ts")
-    return joined.select("run_id", "event_id", "node", "component", "fault_type",
-                         F.array_contains("affected_nodes", F.col("node")).alias("in_affected"), "nodes_known")
+    windows = materialize(_windows(spark, sf_dir).select("run_id", "window_start", "window_end"))
+    mets = range_join(fx.gauge_sample(spark, sf_dir).select("hostname", "mode", "ts"), windows, "ts")
+    return ops.collection_totals(collect_runs(raw, windows), mets.select("run_id", F.col("mode").alias("name"), F.col("hostname").alias("node")))
+
+
+@register("known_node_runs", oracle=cte(**BASE, catalogue=CATALOGUE_SQL, info=FAULT_INFO_SQL) + """
+SELECT run_id, fault_type, array_to_string(affected_nodes, ', ') AS affected_nodes FROM info WHERE nodes_known""")
+def known_node_runs(spark: SparkSession, sf_dir: str):
+    """Runs whose affected nodes are known beforehand (F7)."""
+    prepare(spark)
+    known = ops.known_nodes(ops.with_fault_info(_windows(spark, sf_dir)))
+    return known.select("run_id", "fault_type", F.array_join("affected_nodes", ", ").alias("affected_nodes"))
+
+
+@register("random_node_runs", oracle=cte(**BASE, catalogue=CATALOGUE_SQL, info=FAULT_INFO_SQL) + """
+SELECT run_id, fault_type FROM info WHERE NOT nodes_known""")
+def random_node_runs(spark: SparkSession, sf_dir: str):
+    """Runs whose affected nodes are only found at run time (F7)."""
+    prepare(spark)
+    return ops.known_nodes(ops.with_fault_info(_windows(spark, sf_dir)), known=False).select("run_id", "fault_type")
 
 
 @register("labelled_metrics", oracle=cte(**BASE, metric_sample=fx.METRIC_SAMPLE_SQL, catalogue=CATALOGUE_SQL,
@@ -106,7 +154,7 @@ def labelled_metrics(spark: SparkSession, sf_dir: str):
     """Every metric sample inside a run's window, labelled with the run's fault (range join + dim)."""
     prepare(spark)
     raw = fx.raw_log(spark, sf_dir)
-    info = ops.with_fault_info(ops.run_windows(ops.job_runs(L.task_records(raw))))
+    info = ops.with_fault_info(ops.run_windows(fx.job_runs(L.task_records(raw))))
     samples = fx.gauge_sample(spark, sf_dir)
     joined = range_join(samples, info.select("run_id", "fault_type", "affected_nodes", "nodes_known",
                                              "window_start", "window_end"), "ts")
@@ -132,7 +180,7 @@ def collection_summary(spark: SparkSession, sf_dir: str):
     """Per run: fault information, collection window, and log/metric files and rows collected in it."""
     prepare(spark)
     raw = fx.raw_log(spark, sf_dir)
-    info = materialize(ops.with_fault_info(ops.run_windows(ops.job_runs(L.task_records(raw)))).select(
+    info = materialize(ops.with_fault_info(ops.run_windows(fx.job_runs(L.task_records(raw)))).select(
         "run_id", "fault_type", "job_id", "description", F.array_join("affected_nodes", ", ").alias("affected_nodes"),
         F.array_join("affected_services", ", ").alias("affected_services"), "injection_method",
         "window_start", "window_end"))
@@ -197,7 +245,7 @@ def plan_entries(spark: SparkSession, sf_dir: str):
         F.struct((F.lit(3) + u % 2).cast("int").alias("minutes_before"), F.lit(5).alias("minutes_after"),
                  F.lit(1).alias("wait_minutes")).alias("params"))
     text = users.select(u.alias("position"), F.to_json(entry).alias("json"))
-    return text.select("position", F.from_json("json", ops.PLAN_ENTRY_SCHEMA).alias("e")).select("position", "e.*")
+    return text.select("position", F.from_json("json", RF.PLAN_ENTRY_SCHEMA).alias("e")).select("position", "e.*")
 
 
 PLAN_SQL = f"""
@@ -235,19 +283,87 @@ def fault_plan_random(spark: SparkSession, sf_dir: str):
 
 RESULTS_SQL = f"""
 SELECT fault_type, count(*) AS total_runs,
-       count(*) FILTER (WHERE fault_type IN ({', '.join(repr(f) for f in ops.SCRIPTED_FAULTS)})) AS successful_runs,
-       count(*) FILTER (WHERE fault_type NOT IN ({', '.join(repr(f) for f in ops.SCRIPTED_FAULTS)})) AS failed_runs,
+       count(*) FILTER (WHERE fault_type IN ({', '.join(repr(f) for f in fx.SCRIPTED_FAULTS)})) AS successful_runs,
+       count(*) FILTER (WHERE fault_type NOT IN ({', '.join(repr(f) for f in fx.SCRIPTED_FAULTS)})) AS failed_runs,
        min(run_start) AS start_time
 FROM runs GROUP BY ROLLUP (fault_type)
 """
 
 
+def landed_results(spark: SparkSession, sf_dir: str):
+    """Result rows of the runs, written as JSON lines and read back as a user's result files are."""
+    runs = ops.with_fault_info(_windows(spark, sf_dir))
+    path = scratch_path(spark, "run_results")
+    fx.result_lines(runs).write.json(path)
+    return RF.read_results(spark, path)
+
+
 @register("execution_summary", oracle=cte(**BASE) + RESULTS_SQL)
 def execution_summary(spark: SparkSession, sf_dir: str):
-    """Outcome counts per fault type and in total (the batch summary's totals)."""
+    """Outcome counts per fault type and in total (the batch summary's totals), from result files."""
+    prepare(spark)
+    return ops.outcome_counts(landed_results(spark, sf_dir))
+
+
+@register("run_summary", oracle=cte(**BASE, catalogue=CATALOGUE_SQL, info=FAULT_INFO_SQL) + f"""
+SELECT fault_type, CASE WHEN ok THEN job_id END AS job_id, CASE WHEN ok THEN '/out/' || fault_type || '/' || task_id END AS task_dir, ok AS success,
+       CASE WHEN NOT ok THEN 'script missing: /scripts/' || fault_type END AS error, run_start AS timestamp,
+       CASE WHEN ok THEN array_to_string(affected_nodes, ', ') END AS affected_nodes, CASE WHEN ok THEN nodes_known END AS nodes_known,
+       CASE WHEN ok THEN {P['minutes_before']} END AS minutes_before,
+       count(*) OVER () AS total_runs, count(*) FILTER (WHERE ok) OVER () AS successful_runs,
+       count(*) FILTER (WHERE NOT ok) OVER () AS failed_runs, min(run_start) OVER () AS start_time, 4 AS planned_faults, FALSE AS random_order
+FROM (SELECT *, fault_type IN ({', '.join(repr(f) for f in fx.SCRIPTED_FAULTS)}) AS ok FROM info)""")
+def run_summary(spark: SparkSession, sf_dir: str):
+    """The whole batch summary - result list, totals and configuration - written and read back."""
     prepare(spark)
-    runs = ops.job_runs(L.task_records(fx.raw_log(spark, sf_dir)))
-    return ops.outcome_counts(ops.run_results(runs))
+    root = RF.write_run_summary(landed_results(spark, sf_dir), RF.default_plan(spark), scratch_path(spark, "run_summary"))
+    totals = spark.read.schema("start_time timestamp_ntz, total_runs long, successful_runs long, failed_runs long").json(f"{root}/totals")
+    config = spark.read.schema(RF.PLAN_SCHEMA).json(f"{root}/config").select(
+        F.size("faults").alias("planned_faults"), F.col("global_settings.random_order").alias("random_order"))
+    one = F.broadcast(totals.join(F.broadcast(config.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")))   # one row each
+    rows = RF.read_results(spark, f"{root}/results").withColumn("_key", F.lit(1))
+    return rows.join(one, rows["_key"] == one["_one"]).select(
+        "fault_type", "job_id", "task_dir", "success", "error", "timestamp", F.array_join("affected_nodes", ", ").alias("affected_nodes"),
+        "nodes_known", F.col("params.minutes_before").alias("minutes_before"), "total_runs", "successful_runs", "failed_runs", "start_time",
+        "planned_faults", "random_order")
+
+
+PLAN_TYPE_OF = {"click": "data_bloat", "view": "task_fail", "purchase": "data_skew", "error": "long_tail", "signup": "network_latency"}
+PLAN_FILES_SQL = f"""
+WITH per AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
+e AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS INTEGER) AS position,
+             CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in PLAN_TYPE_OF.items())} END AS type, CAST(n % 4 AS INTEGER) AS count,
+             CASE WHEN n % 3 = 0 THEN NULL ELSE CAST(n % 5 AS INTEGER) END AS order_, CASE WHEN n % 7 = 0 THEN NULL ELSE n % 5 <> 0 END AS enabled,
+             user_id % 2 = 1 AS random_order FROM per),
+r AS (SELECT e.*, x.i FROM e, LATERAL (SELECT range AS i FROM range(1, count + 1)) x WHERE coalesce(enabled, TRUE)),
+o AS (SELECT *, coalesce(order_, {dims.DEFAULT_ORDER}) AS order_key,
+             CASE WHEN random_order THEN md5('42:' || position) ELSE '' END AS first FROM r)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY first, CASE WHEN random_order THEN 0 ELSE order_key END, position, i) AS k,
+       count(*) OVER (PARTITION BY user_id) AS total, type AS fault_type, i, order_key, position, 'entry ' || type AS description,
+       4 AS minutes_before, {P['minutes_after']} AS minutes_after
+FROM o"""
+
+
+@register("plan_json", oracle=PLAN_FILES_SQL)
+def plan_json(spark: SparkSession, sf_dir: str):
+    """Plan documents (one per user of the event table, with entries and settings) landed as JSON, read and expanded."""
+    prepare(spark)
+    n = F.col("n")
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in PLAN_TYPE_OF.items() for x in kv]), F.col("event_type"))
+    entry = F.struct(
+        F.col("event_type"), kind.alias("type"), (n % 4).cast("int").alias("count"), F.when(n % 3 != 0, (n % 5).cast("int")).alias("order"),
+        F.when(n % 7 != 0, n % 5 != 0).alias("enabled"), F.concat(F.lit("entry "), kind).alias("description"),
+        F.struct(F.lit(4).alias("minutes_before")).alias("params"))
+    per = read_table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    plans = per.groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("faults"))   # at most one entry per event type
+    path = scratch_path(spark, "plan_files")
+    settings = F.struct(F.concat(F.lit("/out/"), F.col("user_id")).alias("output_dir"), (F.col("user_id") % 2 == 1).alias("random_order"))
+    plans.select("faults", settings.alias("global_settings")).write.json(path)
+    back = RF.read_plans(spark, path, multi_line=False)
+    named = back.withColumn("plan", F.substring_index("global_settings.output_dir", "/", -1))
+    return ops.expand_plans(RF.plan_entries(named)).select(
+        F.col("plan").cast("long").alias("user_id"), "k", "total", "fault_type", "i", "order_key", "position", "description", "minutes_before",
+        "minutes_after")
 
 
 TOPO_SQL = f"""

@@ -18,9 +18,13 @@ from faultlens.plans.catalog import cte, register
 from faultlens.plans.log_jobs import ALL_END, ALL_START, ALL_UNION_SQL, RAW
 from faultlens.plans.collect import LOG_FILE_COLUMNS, write_logs
 from faultlens.session import prepare, scratch_path
-from faultlens.sinks.files import (read_json_lines, read_key_value_text, read_partitioned_csv, write_json_lines,
+from faultlens.functions.logs import first_ipv4
+from faultlens.functions.metrics import literal_map
+from faultlens.plans import dims
+from faultlens.sinks.files import (CSV_OPTIONS, read_json_lines, read_key_value_text, read_partitioned_csv, write_json_lines,
                                   write_key_value_text, write_partitioned_csv)
 from faultlens.sources import fixtures as fx
+from faultlens.sources.runfiles import read_csv_by_header
 
 LOG_CSV_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -117,9 +121,8 @@ SUMMARY_SCHEMA = T.StructType([
 def summary_json_roundtrip(spark: SparkSession, sf_dir: str):
     """Outcome totals written as JSON lines and read back with an explicit schema."""
     prepare(spark)
-    runs = RO.job_runs(L.task_records(fx.raw_log(spark, sf_dir)))
     path = scratch_path(spark, "summary_json")
-    write_json_lines(RO.outcome_counts(RO.run_results(runs)), path)
+    write_json_lines(RO.outcome_counts(RJ.landed_results(spark, sf_dir)), path)
     return read_json_lines(spark, path, SUMMARY_SCHEMA)
 
 
@@ -133,3 +136,29 @@ def wordcount_text_roundtrip(spark: SparkSession, sf_dir: str):
     path = scratch_path(spark, "wordcount_text")
     write_key_value_text(MR.wordcount(spark, sf_dir), path, "word", "n")
     return read_key_value_text(spark, path, "word", "n")
+
+
+# --- classified CSV trees of the user, by header name --------------------------------------
+
+
+@register("classified_csv_scan", oracle=cte(raw_log=fx.RAW_LOG_SQL, store=S.STORE_SQL) + f"""
+SELECT event_id, log_type, hostname, message, kind, ip FROM (
+  SELECT event_id, CASE WHEN task_id IS NULL THEN component ELSE 'unknown' END AS log_type, message,
+         CASE WHEN task_id IS NULL THEN 'component' ELSE 'task' END AS kind, ip,
+         coalesce(CASE WHEN ip IS NULL THEN NULL ELSE coalesce(MAP {{{', '.join(f"'{k}': '{v}'" for k, v in dims.IP_TO_HOST.items())}}}[ip], ip) END,
+                  CASE WHEN task_id IS NULL THEN node ELSE 'unknown' END) AS hostname
+  FROM (SELECT *, nullif(regexp_extract(message, '(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})', 1), '') AS ip FROM store))""".replace("\\\\", "\\"))
+def classified_csv_scan(spark: SparkSession, sf_dir: str):
+    """CSV trees with different headers at different depths, read by header name (absent columns get their default), re-homed by IP."""
+    prepare(spark)
+    rec = L.store_records(fx.raw_log(spark, sf_dir))
+    root = scratch_path(spark, "classified_csv")
+    comp = rec.where("task_id is null").select("event_id", F.col("node").alias("hostname"), F.col("component").alias("log_type"), "level", "message")
+    task = rec.where("task_id is not null").select("message", "timestamp", "event_id")
+    for rows, folder in ((comp, "component"), (task, "deep/er/task")):
+        rows.write.options(**CSV_OPTIONS).csv(f"{root}/{folder}")
+    back = read_csv_by_header(spark, root, {"event_id": None, "hostname": "unknown", "log_type": "unknown", "message": ""})
+    ip = first_ipv4(F.col("message"))
+    host = F.coalesce(F.element_at(literal_map(dims.IP_TO_HOST), ip), ip, F.col("hostname"))
+    kind = F.when(F.col("file").contains("/deep/er/task/"), F.lit("task")).otherwise(F.lit("component"))
+    return back.select(F.col("event_id").cast("long").alias("event_id"), "log_type", host.alias("hostname"), "message", kind.alias("kind"), ip.alias("ip"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultlens.operators.ordering import join_null_safe, materialize
+from faultlens.plans import dims
 from faultlens.sources.tables import read_table
 
 # --- fixed values of the projections ------------------------------------------
@@ -148,3 +149,41 @@ SELECT event_id, ts, 'cpf-' || (user_id % 4 + 1) AS hostname, event_type AS mode
                         ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v
 FROM events
 """
+
+
+# --- fixed values of the run projection ---------------------------------------
+FAULT_ROTATION = ["data_skew", "data_bloat", "task_fail", "long_tail", "network_latency", "cpu_load"]
+SCRIPTED_FAULTS = ["data_skew", "data_bloat", "task_fail", "long_tail"]   # the others fail: no script
+JOBLESS_FAULTS = ["network_latency", "cpu_load"]                          # run no job
+# -------------------------------------------------------------------------------
+
+
+def job_runs(task_lines: DataFrame) -> DataFrame:
+    """One run per (task, day) of task-log activity: job id, fault type, script, first/last line time."""
+    seq = F.split_part(F.col("task_id"), F.lit("_"), F.lit(2)).cast("long")
+    runs = task_lines.groupBy("task_id", F.to_date("line_ts").alias("day")).agg(
+        F.min("line_ts").alias("run_start"), F.max("line_ts").alias("run_end"))
+    fault = F.element_at(F.array(*[F.lit(f) for f in FAULT_ROTATION]),
+                         (F.pmod(seq + F.dayofmonth("day"), F.lit(len(FAULT_ROTATION))) + 1).cast("int"))
+    runs = runs.withColumn("fault_type", fault)
+    job = F.when(F.col("fault_type").isin(JOBLESS_FAULTS), F.lit(None).cast("string")) \
+        .otherwise(F.concat(F.lit("job_"), F.col("task_id")))
+    script = F.concat(F.lit("/scripts/"), F.col("fault_type"), F.lit("/inject_"), F.col("fault_type"), F.lit(".sh"))
+    return runs.withColumns({"job_id": job, "script": script}).withColumns({
+        "minutes_before": F.lit(dims.DEFAULT_RUN_PARAMS["minutes_before"]),
+        "minutes_after": F.lit(dims.DEFAULT_RUN_PARAMS["minutes_after"]),
+        "wait_minutes": F.lit(dims.DEFAULT_RUN_PARAMS["wait_minutes"]),
+    })
+
+
+def result_lines(runs: DataFrame) -> DataFrame:
+    """A result row for each run with fault information: success where the type has a script, an error otherwise."""
+    ok = F.col("fault_type").isin(SCRIPTED_FAULTS)
+    no = F.lit(None)
+    return runs.select(
+        "fault_type", F.when(ok, F.col("job_id")).alias("job_id"),
+        F.when(ok, F.concat(F.lit("/out/"), F.col("fault_type"), F.lit("/"), F.col("task_id"))).alias("task_dir"), ok.alias("success"),
+        F.when(~ok, F.concat(F.lit("script missing: /scripts/"), F.col("fault_type"))).alias("error"), F.col("run_start").alias("timestamp"),
+        F.when(ok, F.col("affected_nodes")).alias("affected_nodes"), F.when(ok, F.col("affected_services")).alias("affected_services"),
+        F.when(ok, F.col("nodes_known")).alias("nodes_known"),
+        F.when(ok, F.struct("minutes_before", "minutes_after", "wait_minutes")).otherwise(no).alias("params"))
