@@ -320,12 +320,10 @@ def run_summary(spark: SparkSession, sf_dir: str):
     totals = spark.read.schema("start_time timestamp_ntz, total_runs long, successful_runs long, failed_runs long").json(f"{root}/totals")
     config = spark.read.schema(RF.PLAN_SCHEMA).json(f"{root}/config").select(
         F.size("faults").alias("planned_faults"), F.col("global_settings.random_order").alias("random_order"))
-    one = F.broadcast(totals.join(F.broadcast(config.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one")))   # one row each
-    rows = RF.read_results(spark, f"{root}/results").withColumn("_key", F.lit(1))
-    return rows.join(one, rows["_key"] == one["_one"]).select(
+    once = [t.select(c).scalar().alias(c) for t in (totals, config) for c in t.columns]   # one row each
+    return RF.read_results(spark, f"{root}/results").select(
         "fault_type", "job_id", "task_dir", "success", "error", "timestamp", F.array_join("affected_nodes", ", ").alias("affected_nodes"),
-        "nodes_known", F.col("params.minutes_before").alias("minutes_before"), "total_runs", "successful_runs", "failed_runs", "start_time",
-        "planned_faults", "random_order")
+        "nodes_known", F.col("params.minutes_before").alias("minutes_before"), *once)
 
 
 PLAN_TYPE_OF = {"click": "data_bloat", "view": "task_fail", "purchase": "data_skew", "error": "long_tail", "signup": "network_latency"}

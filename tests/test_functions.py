@@ -105,3 +105,11 @@ def test_split_class_is_exactly_isspace(spark):
     df = spark.createDataFrame([(c,) for c in chars], "c string")
     splits = {r.c for r in df.where(F.size(F.split(F.concat(F.lit("a"), "c", F.lit("b")), _SPLIT_RUNS)) == 2).collect()}
     assert splits == {c for c in chars if c.isspace()}
+
+
+def test_mounted_path(spark):
+    from faultlens.functions.logs import mounted_path
+    rows = [("/hdfs-nfs/tmp/a",), ("/tmp/a",), ("tmp/a",), ("//x",), (None,)]
+    df = spark.createDataFrame(rows, "f string")
+    assert [r[0] for r in df.select(mounted_path(F.col("f"))).collect()] == [
+        "/hdfs-nfs/tmp/a", "/hdfs-nfs/tmp/a", "/hdfs-nfs/tmp/a", "/hdfs-nfs/x", None]
