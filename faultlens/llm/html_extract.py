@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from faultlens.llm.common import pick, whole_text
 
-PATH_DIM, WORD_DIM, NUMBER_DIM = 384, 48, 8
-INPUT = PATH_DIM + WORD_DIM + NUMBER_DIM
+PATH_DIM, WORD_DIM, NUMBER_DIM = 4096, 48, 8
+DENSE = WORD_DIM + NUMBER_DIM
 HIDDEN = 24
+GATES = 8 * HIDDEN  # both directions
 #: Leaves read as one sequence; a longer page is read in parts that overlap by CONTEXT leaves on each side.
 PART, CONTEXT = 4096, 128
 
@@ -63,7 +64,7 @@ def _features_of(tag: str, attributes: str) -> tuple[int, ...]:
         words = [w.lower() for w in _NAME_WORD.findall(value.strip("\"'"))]
         names += [f"name {w}" for w in words[:12]]
         names += [f"name {w[:-1]}" for w in words[:12] if len(w) > 3 and w.endswith("s")]
-    return tuple(zlib.crc32(n.encode()) % PATH_DIM for n in names)
+    return tuple(1 + zlib.crc32(n.encode()) % (PATH_DIM - 1) for n in names)  # 0 stands for any path
 
 
 def leaves(page: str) -> list[Leaf]:
@@ -130,35 +131,48 @@ def leaves(page: str) -> list[Leaf]:
     return out
 
 
-def vectors(blocks: list[Leaf]) -> np.ndarray:
-    """Input rows of the leaves."""
-    x = np.zeros((len(blocks), INPUT), np.float32)
+@dataclass
+class Inputs:
+    """A leaf sequence for the model: path features of all leaves in a row, their number per leaf, and the dense part."""
+
+    path: np.ndarray
+    sizes: np.ndarray
+    dense: np.ndarray
+
+
+def vectors(blocks: list[Leaf]) -> Inputs:
+    """Inputs of the leaves; every path begins with feature 0, so none is empty."""
+    paths = [(0, *sorted(set(b.path))) for b in blocks]
+    dense = np.zeros((len(blocks), DENSE), np.float32)
     words_before, total = 0, sum(len(b.text) for b in blocks) or 1
     for k, b in enumerate(blocks):
-        x[k, list(b.path)] = 1.0
         words = b.text.split()
         slots = [zlib.crc32(w.lower().encode()) % WORD_DIM for w in words[:64]]
-        np.add.at(x[k], np.array(slots, np.int64) + PATH_DIM, 1.0 / max(1, len(slots)))
+        np.add.at(dense[k], np.array(slots, np.int64), 1.0 / max(1, len(slots)))
         size = len(b.text)
-        x[k, PATH_DIM + WORD_DIM:] = (
-            np.log1p(size) / 8, np.log1p(len(words)) / 6, b.linked, sum(c in ".,;:!?" for c in b.text) / size * 5,
-            sum(c.isdigit() for c in b.text) / size, words_before / total, (k + 1) / len(blocks), float(b.text[-1] in ".!?"))
+        dense[k, WORD_DIM:] = (
+            np.log1p(size) / 8, np.log1p(len(words)) / 6, b.linked, sum(map(b.text.count, ".,;:!?")) / size * 5,
+            sum(map(b.text.count, "0123456789")) / size, words_before / total, (k + 1) / len(blocks), float(b.text[-1] in ".!?"))
         words_before += size
-    return x
+    return Inputs(np.array([x for p in paths for x in p], np.int64), np.array([len(p) for p in paths], np.int64), dense)
 
 
 @dataclass(frozen=True)
 class Labeller:
-    """Parameters of the bidirectional LSTM: for each direction input, recurrent and bias, then the output layer."""
+    """Parameters of the bidirectional LSTM: path and dense inputs and bias (both directions side by side), the recurrent
+    weights (one matrix for each direction), then the output layer."""
 
     parts: tuple[np.ndarray, ...]
 
-    def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Log-odds that each leaf is article text; ``x`` is (pages, leaves, INPUT), ``mask`` marks real leaves."""
-        wf, uf, bf, wb, ub, bb, wo, bo = self.parts
-        forward = _lstm(x @ wf + bf, uf, mask)[0]
-        backward = _lstm((x @ wb + bb)[:, ::-1], ub, mask[:, ::-1])[0][:, ::-1]
-        return np.concatenate([forward, backward], axis=2) @ wo + bo
+    def scores(self, inputs: list[Inputs]) -> list[np.ndarray]:
+        """Log-odds that each leaf is article text, for each sequence."""
+        wp, wd, bias, u, wo, bo = self.parts
+        flat = _project(wp, wd, bias, np.concatenate([i.path for i in inputs]), np.concatenate([i.sizes for i in inputs]),
+                        np.concatenate([i.dense for i in inputs]))
+        lengths = [len(i.sizes) for i in inputs]
+        both, _ = _both_ways(flat, lengths, u)
+        score = both @ wo + bo
+        return [score[k, :n] for k, n in enumerate(lengths)]
 
     def article(self, pages: list[list[Leaf]]) -> list[np.ndarray]:
         """For each page, which of its leaves are article text."""
@@ -169,40 +183,54 @@ class Labeller:
                 jobs.append((min(len(blocks), lo + PART + CONTEXT) - first, p, first, lo, min(len(blocks), lo + PART)))
         jobs.sort()
         out = [np.zeros(len(b), bool) for b in pages]
-        rows = [vectors(b) if len(b) <= PART else None for b in pages]
         at = 0
         while at < len(jobs):
             stop = at + 1
             while stop < len(jobs) and jobs[stop][0] * (stop + 1 - at) <= 2 * PART:
                 stop += 1
             group = jobs[at:stop]
-            width = group[-1][0]
-            x = np.zeros((len(group), width, INPUT), np.float32)
-            mask = np.zeros((len(group), width), np.float32)
-            for k, (size, p, first, _, _) in enumerate(group):
-                x[k, :size] = rows[p] if rows[p] is not None else vectors(pages[p][first:first + size])
-                mask[k, :size] = 1
-            score = self.scores(x, mask)
-            for k, (_, p, first, lo, hi) in enumerate(group):
-                out[p][lo:hi] = score[k, lo - first:hi - first] > 0
+            found = self.scores([vectors(pages[p][first:first + size]) for size, p, first, _, _ in group])
+            for (_, p, first, lo, hi), score in zip(group, found):
+                out[p][lo:hi] = score[lo - first:hi - first] > 0
             at = stop
         return out
 
 
+def _project(wp, wd, bias, path, sizes, dense) -> np.ndarray:
+    """Gate inputs of each leaf: the sum of its path features' rows, and the dense part."""
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return np.add.reduceat(wp[path], begins, axis=0) + dense @ wd + bias
+
+
+def _both_ways(flat: np.ndarray, lengths: list[int], u: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """Hidden states of both directions, (sequences, steps, 2 x HIDDEN), and what backpropagation needs."""
+    width = max(lengths)
+    place = np.concatenate([k * width + np.arange(n) for k, n in enumerate(lengths)])
+    mask = np.zeros(len(lengths) * width, np.float32)
+    mask[place] = 1
+    mask = mask.reshape(len(lengths), width)
+    a = np.zeros((len(lengths) * width, GATES), np.float32)
+    a[place] = flat
+    a = a.reshape(len(lengths), width, GATES)
+    forward, tf = _lstm(a[:, :, :GATES // 2], u[0], mask)
+    backward, tb = _lstm(a[:, ::-1, GATES // 2:], u[1], mask[:, ::-1])
+    return np.concatenate([forward, backward[:, ::-1]], axis=2), (place, mask, tf, tb)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def _lstm(a: np.ndarray, u: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states for input projections ``a`` (pages, leaves, 4 x HIDDEN), and what backpropagation needs."""
+    """Hidden states of one direction for input projections ``a`` (sequences, steps, 4 x HIDDEN), and what backpropagation needs."""
     n, steps, _ = a.shape
     h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
     out, tape = np.zeros((n, steps, HIDDEN), np.float32), []
     for t in range(steps):
         z = a[:, t] + h @ u
-        gates = _sigmoid(z[:, :3 * HIDDEN])
-        i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN:2 * HIDDEN], gates[:, 2 * HIDDEN:]
-        g = np.tanh(z[:, 3 * HIDDEN:])
+        gates = _sigmoid(z[..., :3 * HIDDEN])
+        i, f, o = gates[..., :HIDDEN], gates[..., HIDDEN:2 * HIDDEN], gates[..., 2 * HIDDEN:]
+        g = np.tanh(z[..., 3 * HIDDEN:])
         live = mask[:, t, None]
         new_c = live * (f * c + i * g) + (1 - live) * c
         tc = np.tanh(new_c)
@@ -218,67 +246,67 @@ def _lstm_back(grad: np.ndarray, u: np.ndarray, tape: list) -> tuple[np.ndarray,
     n, steps, _ = grad.shape
     da, du = np.zeros((n, steps, 4 * HIDDEN), np.float32), np.zeros_like(u)
     dh, dc = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+    back = np.ascontiguousarray(u.T)
     for t in reversed(range(steps)):
         h, c, i, f, o, g, tc, live = tape[t]
         dh = dh + grad[:, t]
         dho, dcc = dh * live, dc * live
         dcc = dcc + dho * o * (1 - tc * tc)
-        dz = np.concatenate([dcc * g * i * (1 - i), dcc * c * f * (1 - f), dho * tc * o * (1 - o), dcc * i * (1 - g * g)], axis=1)
+        dz = np.concatenate([dcc * g * i * (1 - i), dcc * c * f * (1 - f), dho * tc * o * (1 - o), dcc * i * (1 - g * g)], axis=-1)
         da[:, t] = dz
         du += h.T @ dz
-        dh = dz @ u.T + dh * (1 - live)
+        dh = dz @ back + dh * (1 - live)
         dc = dcc * f + dc * (1 - live)
     return da, du
 
 
-def fit(pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 5, batch: int = 24, rate: float = 6e-3, seed: int = 3) -> Labeller:
-    """Adam on the mean cross-entropy of all leaves; ``pages`` holds (input rows, 0/1 labels)."""
+def fit(pages: list[tuple[Inputs, np.ndarray]], epochs: int = 5, batch: int = 24, rate: float = 6e-3, seed: int = 3) -> Labeller:
+    """Adam on the mean cross-entropy of all leaves; ``pages`` holds (inputs, 0/1 labels)."""
     draw = np.random.default_rng(seed)
 
-    def weights(rows, cols):
-        return (draw.standard_normal((rows, cols)) / np.sqrt(rows)).astype(np.float32)
+    def weights(rows, cols, scale):
+        return (draw.standard_normal((rows, cols)) * scale).astype(np.float32)
 
-    def bias():
-        b = np.zeros(4 * HIDDEN, np.float32)
-        b[HIDDEN:2 * HIDDEN] = 1.0
-        return b
-
-    p = [weights(INPUT, 4 * HIDDEN) * 3, weights(HIDDEN, 4 * HIDDEN), bias(), weights(INPUT, 4 * HIDDEN) * 3,
-         weights(HIDDEN, 4 * HIDDEN), bias(), weights(2 * HIDDEN, 1)[:, 0], np.zeros(1, np.float32)]
+    bias = np.zeros(GATES, np.float32)
+    bias[HIDDEN:2 * HIDDEN] = bias[GATES // 2 + HIDDEN:GATES // 2 + 2 * HIDDEN] = 1.0
+    p = [weights(PATH_DIM, GATES, 0.15), weights(DENSE, GATES, 0.3), bias,
+         np.stack([weights(HIDDEN, GATES // 2, HIDDEN ** -0.5) for _ in range(2)]), weights(2 * HIDDEN, 1, 0.2)[:, 0], np.zeros(1, np.float32)]
     first, second, step = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
     order = sorted(range(len(pages)), key=lambda k: len(pages[k][1]))
     groups = [order[k:k + batch] for k in range(0, len(order), batch)]
     for epoch in range(epochs):
         for at in draw.permutation(len(groups)):
-            group = groups[at]
-            width = max(len(pages[k][1]) for k in group)
-            x = np.zeros((len(group), width, INPUT), np.float32)
-            y, mask = np.zeros((len(group), width), np.float32), np.zeros((len(group), width), np.float32)
-            for row, k in enumerate(group):
-                x[row, :len(pages[k][1])], y[row, :len(pages[k][1])] = pages[k]
-                mask[row, :len(pages[k][1])] = 1
-            # a leaf sometimes loses some of its path: the model must not lean on one name alone
-            keep = (draw.random(x.shape[:2] + (PATH_DIM,), np.float32) > 0.1).astype(np.float32)
-            x[:, :, :PATH_DIM] *= keep
-            wf, uf, bf, wb, ub, bb, wo, bo = p
-            hf, tf = _lstm(x @ wf + bf, uf, mask)
-            hb, tb = _lstm((x @ wb + bb)[:, ::-1], ub, mask[:, ::-1])
-            both = np.concatenate([hf, hb[:, ::-1]], axis=2)
-            gap = (_sigmoid(both @ wo + bo) - y) * mask / mask.sum()
-            dboth = gap[:, :, None] * wo
-            daf, duf = _lstm_back(dboth[:, :, :HIDDEN], uf, tf)
-            dab, dub = _lstm_back(dboth[:, ::-1, HIDDEN:], ub, tb)
-            flat, back = x.reshape(-1, INPUT), x[:, ::-1].reshape(-1, INPUT)
-            daf, dab = daf.reshape(-1, 4 * HIDDEN), dab.reshape(-1, 4 * HIDDEN)
-            grads = [flat.T @ daf, duf, daf.sum(axis=0), back.T @ dab, dub, dab.sum(axis=0),
-                     both.reshape(-1, 2 * HIDDEN).T @ gap.ravel(), np.array([gap.sum()], np.float32)]
+            group = [pages[k] for k in groups[at]]
+            lengths = [len(y) for _, y in group]
+            path, sizes = np.concatenate([x.path for x, _ in group]), np.concatenate([x.sizes for x, _ in group])
+            dense, y = np.concatenate([x.dense for x, _ in group]), np.concatenate([y for _, y in group])
+            # a leaf sometimes loses a part of its path: the model must not lean on one name alone
+            keep = (draw.random(len(path)) > 0.05) | (path == 0)
+            leaf = np.repeat(np.arange(len(sizes)), sizes)[keep]
+            path, sizes = path[keep], np.bincount(leaf, minlength=len(sizes))
+            both, (place, mask, tf, tb) = _both_ways(_project(*p[:3], path, sizes, dense), lengths, p[3])
+            gap = np.zeros(mask.size, np.float32)
+            gap[place] = (_sigmoid((both @ p[4] + p[5]).ravel()[place]) - y) / len(y)
+            gap = gap.reshape(mask.shape)
+            dboth = gap[:, :, None] * p[4]
+            daf, duf = _lstm_back(dboth[:, :, :HIDDEN], p[3][0], tf)
+            dab, dub = _lstm_back(dboth[:, ::-1, HIDDEN:], p[3][1], tb)
+            da, du = np.concatenate([daf, dab[:, ::-1]], axis=2).reshape(-1, GATES)[place], np.stack([duf, dub])
+            used, slot = np.unique(path, return_inverse=True)
+            count = np.zeros((len(used), len(sizes)), np.float32)
+            np.add.at(count, (slot, leaf), 1.0)
+            dwp = np.zeros_like(p[0])
+            dwp[used] = count @ da
+            grads = [dwp, dense.T @ da, da.sum(axis=0), du, both.reshape(-1, 2 * HIDDEN).T @ gap.ravel(),
+                     np.array([gap.sum()], np.float32)]
             size = np.sqrt(sum(float((g * g).sum()) for g in grads))
             step += 1
             pace = rate * min(1.0, 5.0 / (size + 1e-9)) * (0.5 ** (2 * epoch / epochs))
             for k, g in enumerate(grads):
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                p[k] = p[k] - pace * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
+                rows = used if k == 0 else slice(None)  # path features that a batch doesn't have stay as they are
+                first[k][rows] = 0.9 * first[k][rows] + 0.1 * g[rows]
+                second[k][rows] = 0.999 * second[k][rows] + 0.001 * g[rows] ** 2
+                p[k][rows] -= pace * (first[k][rows] / (1 - 0.9 ** step)) / (np.sqrt(second[k][rows] / (1 - 0.999 ** step)) + 1e-8)
     return Labeller(tuple(x.astype(np.float32) for x in p))
 
 
@@ -349,10 +377,19 @@ class Layouts:
             return self.outer("form", self.FORM, f"<label>{self.say(1, 3)}</label><input name=q>" + self.r.choice(
                 [f"<button>{self.say(1, 2)}</button>", f"<select><option>{self.say(1, 2)}<option>{self.say(1, 2)}</select>", para]))
         if pick == 7:
-            own = "".join(f"<{t} {self.name(self.COMMENT)}>{self.sentences(1, 4)}</{t}>" for t in [self.r.choice(["div", "li", "p", "article"])] * self.r.randint(1, 5))
-            return self.outer(None, self.COMMENT, head + own)
+            tag = self.r.choice(["div", "li", "p", "article", "article", "section"])
+            own = "".join(f"<{tag} {self.name(self.COMMENT) if self.r.random() < 0.8 else ''}>{self.remark(tag)}</{tag}>"
+                          for _ in range(self.r.randint(1, 5)))
+            return self.outer(None, self.COMMENT, head + (f"<ol>{own}</ol>" if tag == "li" else own))
         return self.outer(None, self.SHARE, self.r.choice([self.links(), self.say(1, 6)]))
 
+    def remark(self, tag: str) -> str:
+        """What a reader wrote, with or without a name or date."""
+        if tag == "p" or self.r.random() < 0.3:
+            return self.sentences(1, 4)
+        name = self.r.choice(["", "", f"<p {self.name(self.SHARE)}>{self.say(1, 3)}</p>", f"<div>{self.say(1, 3)}</div>", f"<h4>{self.say(1, 3)}</h4>"])
+        return name + "".join(f"<p>{self.sentences(1, 4)}</p>" for _ in range(self.r.randint(1, 3)))
+
     def paragraph(self) -> str:
         m, r = self.MARK, self.r.random()
         text = self.sentences(1, 7)
@@ -408,7 +445,7 @@ class Layouts:
         whole = head + before + self.article() + after + "</body></html>"
         return whole[:-self.r.randint(1, 25)] if self.r.random() < 0.1 else whole
 
-    def labelled(self) -> tuple[np.ndarray, np.ndarray]:
+    def labelled(self) -> tuple[Inputs, np.ndarray]:
         blocks = leaves(self.page())
         y = np.array([self.MARK in b.text for b in blocks], np.float32)
         for b in blocks:
@@ -416,7 +453,7 @@ class Layouts:
         return vectors(blocks), y
 
 
-def train(pages: DataFrame, html_col: str = "html", max_pages: int = 200, layouts: int = 2400, seed: int = 17) -> Labeller:
+def train(pages: DataFrame, html_col: str = "html", max_pages: int = 200, layouts: int = 3000, seed: int = 17) -> Labeller:
     """Train on ``layouts`` generated pages with words of about ``max_pages`` of the given ones (by a hash of the page)."""
     own = pages.select(F.col(html_col).alias("html")).where("html is not null")
     share = min(1.0, max_pages / max(1, own.count()))
