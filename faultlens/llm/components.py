@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 The links stay distributed; every round is settled in the shared folder, so a
-lost executor repeats at most one round.
+lost executor repeats at most one round.  The smallest neighbours are settled before they are joined:
+both sides of a join are then plain exchanges, and Spark can split a vertex with very many links.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = settle(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = (both.where("b > a").join(least, "a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         large = settle(large)
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = settle(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(lowest.select("a", F.col("m").alias("b"))).distinct())
         now, before = settle(small), mark

@@ -213,7 +213,7 @@ def test_vectors_odd_rows(spark, monkeypatch):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.5], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [nan, 1.0], 1),
             (6, [inf, 1.0], 1), (7, [None, 1.0], 1), (8, [1.0], 1), (9, [], 1), (None, [1.0, 0.0], 1), (2, [1.0, 0.5], 1), (100, [9.0, 9.0], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, list int")
-    monkeypatch.setattr(ann_adaptive, "SLICE", 2)
+    monkeypatch.setattr(ann_adaptive, "SLICE", 1)  # many slices, and queries in parts
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann_adaptive.search(frame).orderBy("query_id", "rank").collect()]
     near = [(0, 1, 1, 0.0), (0, 2, 2, 0.5), (0, 3, 2, 0.5), (0, 4, 100, float(np.hypot(8, 9)))]
     assert got[:4] == near and len(got) == 8 and {g[0] for g in got} == {0, 100}
