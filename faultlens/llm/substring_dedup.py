@@ -354,21 +354,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scan = land(_scan(own, window), "substring-scan")
     anchors = scan.where("anchor is not null").drop("digest")
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    found = land(anchors.join(shared, "anchor"), "substring-shared")
+    # settled, so that the join has a plain exchange on both sides and Spark can split a very common anchor
+    found = land(anchors.join(settle(shared), "anchor"), "substring-shared")
 
     distinct = found.groupBy("anchor", "region").agg(F.min(F.struct("id", "key", "place")).alias("one"), F.max("id").alias("high"))
     distinct = settle(distinct.select("anchor", "region", "one.*", "high"))
     busy = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {MANY}").select("anchor", F.lit(True).alias("many"))
-    chosen = distinct.join(busy, "anchor", "left").groupBy("id", "key").agg(F.collect_list(F.struct(
+    chosen = distinct.join(settle(busy), "anchor", "left").groupBy("id", "key").agg(F.collect_list(F.struct(
         "anchor", "region", "place", F.col("id").alias("low"), "high", F.coalesce("many", F.lit(False)).alias("many"))).alias("own"))
     listed = found.select("id", "key").distinct().join(chosen, ["id", "key"], "left")
     both = land(_contents(own, listed, window), "substring-texts")
     firsts = settle(_smallest(both.where("anchor is not null").drop("id", "key", "text"), window))
 
     # the runs of windows that have a smaller document, as word spans
-    flags = found.join(firsts, ["anchor", "region"]).select(
+    flags = found.join(firsts, ["anchor", "region"]).where("array_min(firsts) < id").select(
         "id", "key", F.expr(f"place div {PLACE}").alias("start"), F.expr("transform(firsts, f -> coalesce(f < id, false))").alias("flags"))
-    heads = flags.where("exists(flags, f -> f)").select(
+    heads = flags.select(
         "id", "key", "start", "flags",
         F.expr("filter(sequence(0, size(flags) - 1), i -> flags[i] and (i = 0 or not flags[i - 1]))").alias("heads"))
     hits = heads.select("id", "key", F.expr(
