@@ -260,7 +260,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group (all rows of a group without ids)."""
-    kept = (near_groups(docs, id_col, text_col, **options)
-            .where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct())
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__id"]), "left_semi")
+    """One row of ``docs`` for each group, with all its columns: the one with the smallest id.
+
+    A null id loses to any other; rows that share an id are told apart by a hash of their text, and of rows that repeat
+    id and text one stays.
+    """
+    key = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    keyed = docs.withColumn("__key", key)
+    groups = near_groups(keyed.select("__key", text_col), "__key", text_col, **options)
+    kept = groups.where(F.col("__key") == F.col("component_id")).select(F.col("__key").alias("__kept")).distinct()
+    names = ("absent", "id", "hash")
+    flat = keyed.select("*", *[F.col(f"__key.{n}").alias(f"__{n}") for n in names])
+    kept = kept.select(*[F.col(f"__kept.{n}").alias(f"__kept_{n}") for n in names])
+    on = [F.col(f"__{n}").eqNullSafe(F.col(f"__kept_{n}")) for n in names]
+    once = flat.join(kept, on[0] & on[1] & on[2], "left_semi").dropDuplicates([f"__{n}" for n in names])
+    return once.select(*docs.columns)

@@ -55,7 +55,17 @@ def test_near_matches_brute_force(docs, texts):
 def test_near_odd_rows(odd, empty):
     assert ordered(simhash.near_groups(odd).collect()) == ordered(near_brute(brute.ODD))
     assert simhash.near_groups(empty).count() == 0
-    assert simhash.survivors(odd).columns == odd.columns
+    left = simhash.survivors(odd)
+    assert left.columns == odd.columns
+    assert left.count() == len(set(components_of([brute.simhash(t) for _, t in brute.ODD])))
+    assert {r.doc_id for r in left.collect()} >= {1, 4, 5} and None not in {r.doc_id for r in left.collect()}
+
+
+def test_survivors_tell_rows_of_one_id_apart(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(3, b), (5, a), (5, b), (5, a), (None, a), (None, "thirteen fourteen fifteen sixteen")]
+    left = simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([(3, b), (5, a), rows[5]], key=str)
 
 
 def test_near_hot_bucket_is_cut_into_slices(spark):
