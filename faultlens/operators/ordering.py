@@ -21,6 +21,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultlens.functions.time import epoch_micros
 
@@ -29,6 +30,8 @@ BROADCAST_BYTES_KEY = "faultlens.broadcast.maxBytes"
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 DEFAULT_BUCKET_SECONDS = 3600
 MAX_BUCKET_ROWS = 5_000_000          # rows one task may sort for one bucket
+TIE_LEVELS = 8                       # rounds of cutting one instant by its tiebreak
+BUCKET = ["_bucket", "_sub"]         # time bucket, and the start of a tiebreak range where an instant is cut
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -92,14 +95,15 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(side, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def _adaptive_buckets(df: DataFrame, group_cols: list[str], ts_col: str, bucket_seconds: int,
+def _adaptive_buckets(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: str, bucket_seconds: int,
                       max_bucket_rows: int, extra_aggs=()) -> tuple[DataFrame, DataFrame, dict]:
-    """Time buckets no bigger than ``max_bucket_rows`` rows (unless one instant holds more).
+    """Buckets of at most about ``max_bucket_rows`` rows, in the order of (time, tiebreak).
 
     Rows get the start (epoch micros) of a ``bucket_seconds`` bucket; rows without a time share the
     NULL bucket, which sorts first as in a plain window.  Per-(group, bucket) counts are
     materialised; only buckets above the limit are cut into aligned finer buckets (minute, second,
-    millisecond, microsecond), and only their rows are counted again.  Bucket starts sort in time order
+    millisecond, microsecond), and only their rows are counted again.  An instant (or the NULL bucket) that
+    is still above it is cut into ranges of an integer tiebreak, ``_sub``.  Starts sort in order
     across levels because finer buckets tile their parent.  Returns the bucketed rows, the
     materialised per-bucket stats (``_cnt`` plus ``extra_aggs``) and the stats' measured size.
     Without hot buckets this is one pass.
@@ -107,39 +111,65 @@ def _adaptive_buckets(df: DataFrame, group_cols: list[str], ts_col: str, bucket_
     us = epoch_micros(F.col(ts_col))
     top = bucket_seconds * 1_000_000
     widths = [top] + [w for w in (60_000_000, 1_000_000, 1_000, 1) if w < top and top % w == 0]
-    keys = [*group_cols, "_bucket"]
+    keys = [*group_cols, *BUCKET]
+    whole = isinstance(df.schema[tiebreak].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    tie = F.col(tiebreak).cast("long") if whole else F.lit(None).cast("long")
+    bounds = [F.min(tie).alias("_lo"), F.max(tie).alias("_hi")]
 
     def start(width: int) -> Column:
         return (us - F.pmod(us, F.lit(width))).cast("long")
 
     def stats(frame: DataFrame):
-        return materialize_sized(frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"), *extra_aggs),
+        return materialize_sized(frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"), *bounds, *extra_aggs),
                                  biggest=F.max("_cnt"))
 
-    b = df.withColumn("_bucket", start(widths[0]))
+    def recut(b, st, over, finer, settled, *extra):
+        """Give the rows of the buckets ``over`` new ``finer`` bucket columns and count those rows again."""
+        hot, size = materialize_sized(st.where(over).select(*keys, *extra, F.lit(True).alias("_hot")))
+        if size["rows"] == 0:
+            return None
+        b = join_null_safe(b, maybe_broadcast(hot, rows=size["rows"], size=size["bytes"]), keys, "left")
+        b = b.withColumn("_again", F.coalesce("_hot", F.lit(False)))
+        b = b.withColumns({c: F.when(F.col("_again"), new).otherwise(F.col(c)) for c, new in finer.items()})
+        settled.append(st.where(~over))
+        again = stats(b.where("_again"))
+        return b.select(*df.columns, *BUCKET), *again
+
+    b = df.withColumns({"_bucket": start(widths[0]), "_sub": F.lit(None).cast("long")})
     st, seen = stats(b)
-    settled = []
+    settled: list[DataFrame] = []
+    over = F.col("_cnt") > max_bucket_rows
     for width in widths[1:]:
         if (seen["biggest"] or 0) <= max_bucket_rows:
             break
-        over = (F.col("_cnt") > max_bucket_rows) & F.col("_bucket").isNotNull()
-        hot, size = materialize_sized(st.where(over).select(*keys, F.lit(True).alias("_hot")))
-        if size["rows"] == 0:
+        done = recut(b, st, over & F.col("_bucket").isNotNull(), {"_bucket": start(width)}, settled)
+        if done is None:
             break
-        side = maybe_broadcast(hot, rows=size["rows"], size=size["bytes"])
-        b = (join_null_safe(b, side, keys, "left").withColumn("_again", F.coalesce("_hot", F.lit(False)))
-             .withColumn("_bucket", F.when(F.col("_again"), start(width)).otherwise(F.col("_bucket"))).drop("_hot"))
-        settled.append(st.where(~over))
-        st, seen = stats(b.where("_again"))
-        b = b.drop("_again")
+        b, st, seen = done
+    parts = F.ceil(F.col("_cnt") / F.lit(max_bucket_rows))
+    span = F.col("_hi").cast("double") - F.col("_lo").cast("double") + 1
+    splittable = over & F.coalesce((F.col("_hi") > F.col("_lo")) & (span < F.lit(2.0 ** 62)), F.lit(False))
+    if settled:
+        st = reduce(DataFrame.unionByName, settled, st)
+        settled = []
+        st, seen = materialize_sized(st, biggest=F.max("_cnt"))
+    for _ in range(TIE_LEVELS):
+        if (seen["biggest"] or 0) <= max_bucket_rows:
+            break
+        step = F.greatest(F.ceil(span / parts), F.lit(1)).cast("long").alias("_step")
+        finer = F.expr("_lo + ((cast(" + f"`{tiebreak}`" + " as long) - _lo) div _step) * _step")
+        done = recut(b, st, splittable, {"_sub": finer}, settled, "_lo", step)
+        if done is None:
+            break
+        b, st, seen = done
     if settled:
         st, seen = materialize_sized(reduce(DataFrame.unionByName, settled, st))
-    return b, st, seen
+    return b, st.drop("_lo", "_hi"), seen
 
 
 def _rows_before(group_cols: list[str]) -> Column:
     return F.coalesce(F.sum("_cnt").over(
-        Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        Window.partitionBy(*group_cols).orderBy(*BUCKET).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: str, n: int,
@@ -153,27 +183,27 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak:
        trimmed by a group-limited window (partial limit runs before the shuffle);
     3. rank = rows before the bucket + rank inside it.
     """
-    b, st, _ = _adaptive_buckets(df, group_cols, ts_col, bucket_seconds, max_bucket_rows)
+    b, st, _ = _adaptive_buckets(df, group_cols, ts_col, tiebreak, bucket_seconds, max_bucket_rows)
     keep, seen = materialize_sized(st.withColumn("_before", _rows_before(group_cols))
-                                   .where(F.col("_before") < n).select(*group_cols, "_bucket", "_before"))
-    kept = join_null_safe(b, maybe_broadcast(keep, rows=seen["rows"], size=seen["bytes"]), [*group_cols, "_bucket"])
-    local = F.row_number().over(Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak))
+                                   .where(F.col("_before") < n).select(*group_cols, *BUCKET, "_before"))
+    kept = join_null_safe(b, maybe_broadcast(keep, rows=seen["rows"], size=seen["bytes"]), [*group_cols, *BUCKET])
+    local = F.row_number().over(Window.partitionBy(*group_cols, *BUCKET).orderBy(ts_col, tiebreak))
     return (kept.withColumn("_rn", local)
             .where((F.col("_rn") <= n) & (F.col("_rn") + F.col("_before") <= n))
             .withColumn(rank_col, (F.col("_rn") + F.col("_before")).cast("int"))
-            .drop("_rn", "_before", "_bucket"))
+            .drop("_rn", "_before", *BUCKET))
 
 
 def running_rank(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: str,
                  bucket_seconds: int = DEFAULT_BUCKET_SECONDS, rank_col: str = "rank",
                  max_bucket_rows: int = MAX_BUCKET_ROWS) -> DataFrame:
     """Row number within each group by (ts, tiebreak) without one task per group or bucket."""
-    b, st, _ = _adaptive_buckets(df, group_cols, ts_col, bucket_seconds, max_bucket_rows)
+    b, st, _ = _adaptive_buckets(df, group_cols, ts_col, tiebreak, bucket_seconds, max_bucket_rows)
     offsets, seen = materialize_sized(st.withColumn("_before", _rows_before(group_cols)).drop("_cnt"))
-    local = F.row_number().over(Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak))
-    return (join_null_safe(b, maybe_broadcast(offsets, rows=seen["rows"], size=seen["bytes"]), [*group_cols, "_bucket"])
+    local = F.row_number().over(Window.partitionBy(*group_cols, *BUCKET).orderBy(ts_col, tiebreak))
+    return (join_null_safe(b, maybe_broadcast(offsets, rows=seen["rows"], size=seen["bytes"]), [*group_cols, *BUCKET])
             .withColumn(rank_col, (local + F.col("_before")).cast("long"))
-            .drop("_before", "_bucket"))
+            .drop("_before", *BUCKET))
 
 
 def with_previous(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: str, cols: list[str],
@@ -186,17 +216,17 @@ def with_previous(df: DataFrame, group_cols: list[str], ts_col: str, tiebreak: s
     """
     carried = [ts_col, tiebreak, *[c for c in cols if c not in (ts_col, tiebreak)]]
     last = F.max(F.struct(*[F.col(c) for c in carried])).alias("_last")
-    b, st, _ = _adaptive_buckets(df, group_cols, ts_col, bucket_seconds, max_bucket_rows, extra_aggs=[last])
-    w_b = Window.partitionBy(*group_cols).orderBy("_bucket")
+    b, st, _ = _adaptive_buckets(df, group_cols, ts_col, tiebreak, bucket_seconds, max_bucket_rows, extra_aggs=[last])
+    w_b = Window.partitionBy(*group_cols).orderBy(*BUCKET)
     carry, seen = materialize_sized(st.withColumn("_carry", F.lag("_last").over(w_b))
-                                    .select(*group_cols, "_bucket", "_carry"))
-    w = Window.partitionBy(*group_cols, "_bucket").orderBy(ts_col, tiebreak)
+                                    .select(*group_cols, *BUCKET, "_carry"))
+    w = Window.partitionBy(*group_cols, *BUCKET).orderBy(ts_col, tiebreak)
     prev = F.coalesce(F.lag(F.struct(*[F.col(c) for c in carried])).over(w), F.col("_carry"))
     side = maybe_broadcast(carry, rows=seen["rows"], size=seen["bytes"])
-    out = join_null_safe(b, side, [*group_cols, "_bucket"]).withColumn("_prev", prev)
+    out = join_null_safe(b, side, [*group_cols, *BUCKET]).withColumn("_prev", prev)
     for c in [ts_col, *cols]:
         out = out.withColumn(prefix + c, F.col("_prev")[c])
-    return out.drop("_prev", "_carry", "_bucket")
+    return out.drop("_prev", "_carry", *BUCKET)
 
 
 def global_order_number(df: DataFrame, order_cols: list[Column | str], col: str = "k",

@@ -54,13 +54,31 @@ def test_only_hot_buckets_are_counted_again(spark):
     base = dt.datetime(2024, 1, 1)
     rows = [(i, "g", base + dt.timedelta(hours=i % 3, seconds=i if i % 3 == 0 else 0)) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, g string, ts timestamp_ntz")
-    _, stats, seen = _adaptive_buckets(df, ["g"], "ts", 3600, 100)
+    _, stats, seen = _adaptive_buckets(df, ["g"], "ts", "id", 3600, 100)
     counts = [r._cnt for r in stats.collect()]
     assert sum(counts) == 300 and seen["rows"] == len(counts)
-    _, stats, _ = _adaptive_buckets(df, ["g"], "ts", 3600, 40)
+    _, stats, _ = _adaptive_buckets(df, ["g"], "ts", "id", 3600, 40)
     assert sum(r._cnt for r in stats.collect()) == 300
 
 
+def test_one_instant_and_null_times_are_cut_by_the_tiebreak(spark):
+    from faultlens.operators.ordering import _adaptive_buckets
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i * i - 5000, "g", None if i % 3 == 0 else base) for i in range(400)] + [(None, "g", base), (None, "h", None)]
+    df = spark.createDataFrame(rows, "id long, g string, ts timestamp_ntz")
+    _, stats, _ = _adaptive_buckets(df, ["g"], "ts", "id", 3600, 20)
+    counts = [r._cnt for r in stats.collect()]
+    assert sum(counts) == 402 and max(counts) <= 21
+    w = Window.partitionBy("g").orderBy("ts", "id")
+    ref = {(r.g, r.id, r.rk, r.p) for r in df.select("g", "id", F.row_number().over(w).alias("rk"), F.lag("id").over(w).alias("p")).collect()}
+    rank = running_rank(df, ["g"], "ts", "id", bucket_seconds=3600, max_bucket_rows=20).collect()
+    assert {(r.g, r.id, r.rank) for r in rank} == {x[:3] for x in ref}
+    prev = with_previous(df, ["g"], "ts", "id", ["id"], bucket_seconds=3600, max_bucket_rows=20).collect()
+    assert {(r.g, r.id, r.prev_id) for r in prev} == {(x[0], x[1], x[3]) for x in ref}
+    top = top_n_per_group(df, ["g"], "ts", "id", 33, bucket_seconds=3600, max_bucket_rows=20).collect()
+    assert {(r.g, r.id, r.rank) for r in top} == {x[:3] for x in ref if x[2] <= 33}
+
+
 def test_global_order_number(spark):
     df = _data(spark)
     got = global_order_number(df, ["ts", "id"], num_partitions=5).select("id", "k").collect()
@@ -117,7 +135,7 @@ def test_hot_bucket_is_refined(spark):
     rows = [(i, "hot", base + dt.timedelta(microseconds=(i * 7919) % 3_000_000_000)) for i in range(2000)]
     rows += [(10_000 + i, "cold", base + dt.timedelta(hours=i)) for i in range(30)]
     df = spark.createDataFrame(rows, "id long, g string, ts timestamp_ntz")
-    b, st, _ = _adaptive_buckets(df, ["g"], "ts", 3600, max_bucket_rows=100)
+    b, st, _ = _adaptive_buckets(df, ["g"], "ts", "id", 3600, max_bucket_rows=100)
     assert st.agg(F.max("_cnt")).first()[0] <= 100 and st.count() > 20
     w = Window.partitionBy("g").orderBy("ts", "id")
     ref_rank = {(r.id, r.rk) for r in df.select("id", F.row_number().over(w).alias("rk")).collect()}
