@@ -148,8 +148,8 @@ def build(model: Model):
     return tokenizer
 
 
-#: Distinct words that a task keeps; beyond it the cache starts anew.
-KEPT = 600_000
+#: Distinct words that a worker keeps (about 200 bytes each); beyond it the cache starts anew.
+KEPT = 1_500_000
 
 
 class Codec:
@@ -171,6 +171,7 @@ class Codec:
         self.by_word = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix \
             and self.tokenizer.pre_tokenizer is not None and not self.model.of_type(USER_DEFINED)
         self.whole_every = whole_every
+        self.marked = np.array([p.startswith(SPACE) for p, _, _ in self.model.pieces])
         #: ids of known words, as bytes; words whose ids the reference doesn't give; words that decoding doesn't give back
         self.known: dict[str, bytes] = {}
         self.unlike: set[str] = set()
@@ -186,11 +187,12 @@ class Codec:
         """Work out new words, many to a line; if a line as a whole fails a comparison, its words are held singly."""
         groups = [words[lo:lo + many] for lo in range(0, len(words), many)]
         lines = [" ".join(g) for g in groups]
-        got = self.tokenizer.encode_batch(lines, add_special_tokens=False)
-        ids = [e.ids for e in got]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
         back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for group, line, e, own, again, same in zip(groups, lines, got, ids, back, self.reference.encode(lines, num_threads=1) if lines else []):
-            if own != same or again != line:
+        for group, line, own, again, same in zip(groups, lines, ids, back, self.reference.encode(lines, num_threads=1) if lines else []):
+            # a word's first piece begins with the marker, and without a marker in the line no other does
+            begins = np.flatnonzero(self.marked[np.array(own, np.int64)])
+            if own != same or again != line or SPACE in line or len(begins) != len(group):
                 for word, (one, parity, again_equal) in zip(group, self._whole(group)):
                     self.known[word] = one
                     if not parity:
@@ -199,11 +201,8 @@ class Codec:
                         self.changed.add(word)
                 continue
             data = np.array(own, "<u4").tobytes()
-            begins = np.fromiter((o[0] for o in e.offsets), np.int64, len(own))
-            ends = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)) + 1) - 1
-            lo = 0
-            for word, hi in zip(group, (4 * np.searchsorted(begins, ends)).tolist()):
-                self.known[word], lo = data[lo:hi], hi
+            edges = [*(4 * begins).tolist(), len(data)]
+            self.known.update(zip(group, map(data.__getitem__, map(slice, edges, edges[1:]))))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """``(little-endian 32-bit ids, parity, round trip)`` of each text."""
@@ -231,6 +230,13 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
+def _of_worker(held: dict, model_path: str) -> Codec:
+    """The worker's codec: a Python worker keeps a broadcast value from task to task, here a dict that it fills itself."""
+    if "codec" not in held:
+        held["codec"] = Codec(model_path)
+    return held["codec"]
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
     """``id_col, ids, parity, round_trip`` of every row; null and empty texts have no ids.
 
@@ -240,8 +246,10 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     source = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
+    shared = docs.sparkSession.sparkContext.broadcast({})
+
     def run(batches):
-        codec = Codec(model_path)
+        codec = _of_worker(shared.value, model_path)
         for whole in batches:
             for lo in range(0, whole.num_rows, chunk):
                 batch = whole.slice(lo, chunk)
@@ -261,8 +269,10 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
     source = pick(rows, id_col, ids_col).select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     kind = source.schema["id"].dataType.simpleString()
 
+    shared = rows.sparkSession.sparkContext.broadcast({})
+
     def run(batches):
-        codec = Codec(model_path)
+        codec = _of_worker(shared.value, model_path)
         for batch in batches:
             lists = batch.column(1).to_pylist()
             texts = iter(codec.decode([x for x in lists if x is not None]))
@@ -277,8 +287,10 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     source = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
+    shared = docs.sparkSession.sparkContext.broadcast({})
+
     def run(batches):
-        codec = Codec(model_path)
+        codec = _of_worker(shared.value, model_path)
         for whole in batches:
             for lo in range(0, whole.num_rows, chunk):
                 batch = whole.slice(lo, chunk)
