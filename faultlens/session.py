@@ -78,7 +78,19 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/faultlens/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-path of the shared folder for one written table."""
-    base = shared_dir(spark).rstrip("/")
-    return f"{base}/faultlens/{name}/{uuid.uuid4().hex}"
+    """A fresh sub-path of the shared folder for one written table, below a folder of this application."""
+    return f"{_scratch_root(spark)}/{name}/{uuid.uuid4().hex}"
+
+
+def clean_scratch(spark: SparkSession, name: str | None = None) -> bool:
+    """Remove this application's written tables (those called ``name``, or all) once no DataFrame needs them.
+
+    Results that read a written table are lazy, so the library never removes one by itself.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark) + (f"/{name}" if name else ""))
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))

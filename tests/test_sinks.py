@@ -54,3 +54,23 @@ def test_json_and_text_round_trips(spark):
     kv = spark.createDataFrame([("w1", 3), ("w2", 5)], "word string, n long")
     write_key_value_text(kv, p2, "word", "n")
     assert sorted(read_key_value_text(spark, p2, "word", "n").collect()) == sorted(kv.collect())
+
+
+def test_scratch_is_removed_by_name(spark):
+    from faultlens.session import clean_scratch
+    path = scratch_path(spark, "clean_test")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert clean_scratch(spark, "clean_test") and not clean_scratch(spark, "clean_test")
+
+
+def test_cluster_needs_a_shared_folder():
+    import types
+
+    import pytest
+
+    from faultlens.session import shared_dir
+    nothing = types.SimpleNamespace(get=lambda key, default=None: default)
+    context = types.SimpleNamespace(master="spark://host:7077", getConf=lambda: nothing, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared_dir(types.SimpleNamespace(conf=nothing, sparkContext=context))
