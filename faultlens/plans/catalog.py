@@ -24,6 +24,7 @@ _MODULES = [
     "faultlens.plans.detect_jobs",
     "faultlens.plans.sink_jobs",
     "faultlens.plans.stream_jobs",
+    "faultlens.plans.rough_jobs",
 ]
 
 

@@ -134,8 +134,8 @@ def task_counts(spark: SparkSession, sf_dir: str):
 
 
 TASK_LINES_SQL = "SELECT * FROM parsed WHERE contains(filename, 'application_') AND task_id IS NOT NULL"
-RUN_SPAN_SQL = ("SELECT task_id, CAST(line_ts AS DATE) AS day, min(line_ts) AS first_ts, max(line_ts) AS last_ts FROM task_lines "
-                "GROUP BY task_id, CAST(line_ts AS DATE)")
+RUN_SPAN_SQL = ("SELECT task_id, date_trunc('hour', line_ts) AS hour, min(line_ts) AS first_ts, max(line_ts) AS last_ts FROM task_lines "
+                "GROUP BY task_id, date_trunc('hour', line_ts)")
 SPAN_SQL = "SELECT task_id, min(line_ts) AS first_ts, max(line_ts) AS last_ts, count(*) AS lines FROM task_lines GROUP BY task_id"
 
 
@@ -147,19 +147,19 @@ def task_time_span(spark: SparkSession, sf_dir: str):
 
 @register("task_window_logs", oracle=cte(**RAW, parsed=S.PARSED_SQL, store=S.STORE_SQL, task_lines=TASK_LINES_SQL,
                                          spans=RUN_SPAN_SQL) + f"""
-SELECT w.task_id, w.day, s.event_id, s.filename, s.component, s.node, s.timestamp_ns
-FROM (SELECT task_id, day,
+SELECT w.task_id, w.hour, s.event_id, s.filename, s.component, s.node, s.timestamp_ns
+FROM (SELECT task_id, hour,
              date_trunc('second', first_ts - INTERVAL {TASK_MINUTES_BEFORE} MINUTE) AS window_start,
              date_trunc('second', last_ts + INTERVAL {TASK_MINUTES_AFTER} MINUTE) AS window_end FROM spans) w
 JOIN store s ON s.line_ts >= w.window_start AND s.line_ts < w.window_end
 WHERE s.task_id IS NULL AND s.component <> 'unknown'""")
 def task_window_logs(spark: SparkSession, sf_dir: str):
-    """Component logs inside the time span of each task's run of a day, widened by minutes (range join J5)."""
+    """Component logs inside the time span of each task's activity of an hour, widened by minutes (range join J5)."""
     prepare(spark)
     raw = fx.raw_log(spark, sf_dir)
-    spans = ops.task_time_span(ops.task_records(raw).withColumn("day", F.to_date("line_ts")), ["task_id", "day"])
+    spans = ops.task_time_span(ops.task_records(raw).withColumn("hour", F.date_trunc("hour", "line_ts").cast("timestamp_ntz")), ["task_id", "hour"])
     windows = spans.select(
-        "task_id", "day",
+        "task_id", "hour",
         F.date_trunc("second", F.col("first_ts") - F.expr(f"INTERVAL {TASK_MINUTES_BEFORE} MINUTES"))
         .cast("timestamp_ntz").alias("window_start"),
         F.date_trunc("second", F.col("last_ts") + F.expr(f"INTERVAL {TASK_MINUTES_AFTER} MINUTES"))
@@ -167,7 +167,7 @@ def task_window_logs(spark: SparkSession, sf_dir: str):
     comp = ops.store_records(raw).where(F.col("task_id").isNull() & (F.col("component") != "unknown")) \
         .select("event_id", "filename", "component", "node", "timestamp_ns", "line_ts")
     return range_join(comp, windows, "line_ts").select(
-        "task_id", "day", "event_id", "filename", "component", "node", "timestamp_ns")
+        "task_id", "hour", "event_id", "filename", "component", "node", "timestamp_ns")
 
 
 COLLECT_LIMIT = 60   # per file: cuts the busy files of the test tables
