@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from faultlens.llm.common import land, pick, whole_text
+from faultlens.llm.common import land, pick, settle, whole_text
 from faultlens.session import scratch_path
 
 _SPACES = " \t\n\x0b\x0c\r"
@@ -103,7 +103,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(spark, min_docs, fan_in)
     for batch in range(batches):
         runs.add(keys.where(F.col("batch") == batch).select("h1", "h2"))
-    hits = (keys.join(runs.frequent(), ["h1", "h2"]).groupBy(F.col("id").alias("hit_id"), F.col("key").alias("hit_key"))
+    # settled, so that the join has a plain exchange on both sides and Spark can split a very common line
+    hits = (keys.join(settle(runs.frequent()), ["h1", "h2"]).groupBy(F.col("id").alias("hit_id"), F.col("key").alias("hit_key"))
             .agg(F.collect_set(F.struct("h1", "h2")).alias("drop")))
     joined = own.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     kind = own.schema["id"].dataType.simpleString()
