@@ -7,7 +7,8 @@ compares the scaled partial distance with the k-th best distance so far: a candi
 blocks are measured exactly, in double precision, on the original vectors.
 
 The coarse centroids are fitted on a bounded sample; every vector is indexed.  A list longer than ``SLICE`` is cut into
-slices that meet the queries in separate tasks, so one very common vector doesn't fill a task.
+slices that meet the queries in separate tasks, so one very common vector doesn't fill a task; the queries of a
+list are cut likewise, and each part meets each slice.
 """
 
 from __future__ import annotations
@@ -161,6 +162,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 near = own.nearest(matrix(batch.column(1)), 1)[:, 0]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32))], ["id", "v", "list"])
 
+    is_query = F.pmod("id", F.lit(query_every)) == 0
     base = settle(rows.mapInArrow(assign, "id long, v array<double>, list int"))
     held = np.zeros(lists, np.int64)
     for r in base.groupBy("list").count().collect():  # one row per list, bounded by max_lists
@@ -168,6 +170,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     slices = np.maximum(1, -(-held // SLICE))
     cuts = F.array(*[F.lit(int(s)) for s in slices])
     probes = index.probes
+    query_count = base.where(is_query).select("id", "v").distinct().count()
+    parts_of_queries = max(1, -(-query_count * probes // (lists * SLICE)))
 
     def ask(batches):
         own = CoarseIndex(*parts.value)
@@ -188,11 +192,13 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                 [pa.array(target, pa.int32()), pa.array(piece, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)],
                 ["list", "slice", "id", "v"])
 
-    queries = base.where(F.pmod("id", F.lit(query_every)) == 0).select("id", "v").distinct()
-    asked = queries.mapInArrow(ask, "list int, slice int, id long, v array<double>").withColumn("role", F.lit(1))
+    queries = base.where(is_query).select("id", "v").distinct()
+    asked = queries.mapInArrow(ask, "list int, slice int, id long, v array<double>").withColumns(
+        {"role": F.lit(1), "part": F.pmod(F.xxhash64("id"), F.lit(parts_of_queries)).cast("int")})
     stored = base.select("list", "id", "v", F.pmod(F.xxhash64("id", "v"), F.element_at(cuts, F.col("list") + 1))
-                         .cast("int").alias("slice"), F.lit(0).alias("role"))
-    both = stored.select("list", "slice", "role", "id", "v").unionByName(asked)
+                         .cast("int").alias("slice"), F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.lit(parts_of_queries - 1))).alias("part"))
+    both = stored.unionByName(asked).withColumn("slice", (F.col("slice") * parts_of_queries + F.col("part")).cast("int"))
+    both = both.select("list", "slice", "role", "id", "v")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = both.repartition(width, "list", "slice").sortWithinPartitions("list", "slice", "role", "id")
 
