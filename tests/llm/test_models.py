@@ -85,6 +85,17 @@ def test_base_spans_of_random_strings(spark, detector):
     check_base(rows, pii.report(spark.createDataFrame(rows, "doc_id long, text string"), detector).collect())
 
 
+def test_base_spans_of_addresses_with_zero_parts(spark, detector):
+    draw = random.Random(4)
+    parts = ["0", "00", "000", "0000", "007", "010", "0255", "0256", "100", "255", "256", "300", "1"]
+    found = ["10.0.0.1", "127.0.0.1", "192.168.0.1", "0.0.0.0", "00.000.0.00", *(".".join(draw.choices(parts, k=4)) for _ in range(200))]
+    rows = [(k, f"on {x} la") for k, x in enumerate(found)]
+    assert all(brute.pii(t) == [("ip", 3, len(t) - 3)] for _, t in rows[:5])
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    check_base(rows, pii.report(frame, detector).collect())
+    assert [r.text for r in pii.redact(frame, detector).orderBy("doc_id").take(5)] == ["on [IP] la"] * 5
+
+
 def test_base_spans_of_the_documents(docs, texts, detector):
     check_base(texts, pii.report(docs, detector).collect())
 
