@@ -9,6 +9,7 @@ verified on whole texts and returned.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -156,12 +157,12 @@ class Codec:
     """Encodes and decodes texts with the rebuilt tokenizer and says where the sentencepiece library agrees.
 
     If the normaliser only marks spaces, with a marker before the text, and no piece goes on past a marker, the ids of a text
-    are those of its words, so ids, decoding and parity are worked out once for each distinct word. Texts with
-    other spaces than one between words, and other models, are encoded and compared whole, and so is every
-    ``whole_every``-th text.
+    are those of its words, so they are worked out once for each distinct word. Texts that hold the marker itself or
+    other spaces than one between words, and other models, are encoded whole. Every text is given to the sentencepiece
+    library whole; one whose words together give other ids is encoded whole, and these ids count.
     """
 
-    def __init__(self, path: str, whole_every: int = 16):
+    def __init__(self, path: str):
         import sentencepiece
 
         with open(path, "rb") as f:
@@ -170,60 +171,52 @@ class Codec:
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.by_word = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix \
             and self.tokenizer.pre_tokenizer is not None and not self.model.of_type(USER_DEFINED)
-        self.whole_every = whole_every
         self.marked = np.array([p.startswith(SPACE) for p, _, _ in self.model.pieces])
-        #: ids of known words, as bytes; words whose ids the reference doesn't give; words that decoding doesn't give back
+        #: the bytes that each piece stands for, a byte piece for its byte
+        self.shown = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-Fa-f]{2}>", p) else p.replace(SPACE, " ").encode()
+                      for p, _, _ in self.model.pieces]
+        #: ids of known words, as bytes
         self.known: dict[str, bytes] = {}
-        self.unlike: set[str] = set()
-        self.changed: set[str] = set()
-
-    def _whole(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(got, skip_special_tokens=False)
-        return [(np.array(ids, "<u4").tobytes(), ids == same, text == again)
-                for ids, same, text, again in zip(got, self.reference.encode(texts, num_threads=1) if texts else [], texts, back)]
 
     def _learn(self, words: list[str], many: int = 500) -> None:
-        """Work out new words, many to a line; if a line as a whole fails a comparison, its words are held singly."""
+        """Work out new words, many to a line; if a line doesn't show where its words begin, they are encoded singly."""
         groups = [words[lo:lo + many] for lo in range(0, len(words), many)]
         lines = [" ".join(g) for g in groups]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
-        back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for group, line, own, again, same in zip(groups, lines, ids, back, self.reference.encode(lines, num_threads=1) if lines else []):
+        for group, line in zip(groups, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
             # a word's first piece begins with the marker, and without a marker in the line no other does
-            begins = np.flatnonzero(self.marked[np.array(own, np.int64)])
-            if own != same or again != line or SPACE in line or len(begins) != len(group):
-                for word, (one, parity, again_equal) in zip(group, self._whole(group)):
-                    self.known[word] = one
-                    if not parity:
-                        self.unlike.add(word)
-                    if not again_equal:
-                        self.changed.add(word)
+            data = np.array(line.ids, "<u4")
+            begins = np.flatnonzero(self.marked[data])
+            if len(begins) != len(group):
+                alone = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
+                self.known.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(group, alone))
                 continue
-            data = np.array(own, "<u4").tobytes()
+            data = data.tobytes()
             edges = [*(4 * begins).tolist(), len(data)]
             self.known.update(zip(group, map(data.__getitem__, map(slice, edges, edges[1:]))))
 
+    def _gives_back(self, ids: list[int], text: str) -> bool:
+        """Whether the ids decode to the text. Equal bytes say so: the pieces between byte pieces are whole characters, so each
+        run of byte pieces is, too. If the bytes differ, the decoder says it."""
+        start = " " if self.model.dummy_prefix else ""
+        return b"".join(map(self.shown.__getitem__, ids)) == (start + text).encode() \
+            or self.tokenizer.decode(ids, skip_special_tokens=False) == text
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         """``(little-endian 32-bit ids, parity, round trip)`` of each text."""
         if len(self.known) > KEPT:
-            for kept in (self.known, self.unlike, self.changed):
-                kept.clear()
-        split = [t.split(" ") if self.by_word else [""] for t in texts]
+            self.known.clear()
+        split = [t.split(" ") if self.by_word and SPACE not in t else [""] for t in texts]
         split = [None if "" in w else w for w in split]
         self._learn(list(set(chain.from_iterable(w for w in split if w)).difference(self.known)))
-        direct = [k for k, w in enumerate(split) if w is None or k % self.whole_every == 0]
-        whole = dict(zip(direct, self._whole([texts[k] for k in direct])))
         out = []
-        for k, words in enumerate(split):
-            if words is None:
-                out.append(whole[k])
+        for text, words in zip(texts, split):
+            same = self.reference.encode(text)
+            wanted = np.array(same, "<u4").tobytes()
+            if words is not None and b"".join(map(self.known.__getitem__, words)) == wanted:
+                out.append((wanted, True, self._gives_back(same, text)))
                 continue
-            own = (b"".join(map(self.known.__getitem__, words)), not self.unlike or self.unlike.isdisjoint(words),
-                   not self.changed or self.changed.isdisjoint(words))
-            if k in whole:  # the words together must give what the whole text gives
-                own = own[0], own[1] and whole[k][1] and whole[k][0] == own[0], own[2] and whole[k][2]
-            out.append(own)
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            out.append((np.array(ids, "<u4").tobytes(), ids == same, self._gives_back(ids, text)))
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:

@@ -260,6 +260,19 @@ def test_codec_odd_rows(odd, empty):
     assert sentencepiece_codec.digest(empty, PIECES).count() == 0
 
 
+def test_codec_holds_every_text_whole():
+    codec = sentencepiece_codec.Codec(PIECES)
+    texts = [t for t in ("x▁ 1", "x▁ 日本", "▁ ▂", "x▁", "▁", "a ▁b", "a b▁▁ c ▁", "plain words", "� é 日本 \x00") for _ in range(3)]
+    found = [(np.frombuffer(ids, "<u4").tolist(), parity) for ids, parity, _ in codec.encode(texts)]
+    assert found == [(codec.reference.encode(t), True) for t in texts]
+    for text, (ids, _, again) in zip(texts, codec.encode(texts)):
+        assert again == (codec.decode([np.frombuffer(ids, "<u4").tolist()])[0] == text), text
+    # words whose ids are wrong together show in every text, wherever it stands
+    codec.known["words"] = codec.known["plain"]
+    texts = ["plain words"] * 40
+    assert [np.frombuffer(g[0], "<u4").tolist() for g in codec.encode(texts)] == [codec.reference.encode("plain words")] * 40
+
+
 def test_unigram_model_with_normaliser_flags():
     """A tiny model file written by hand: scores pick the best path, unknown characters fall back to bytes."""
     def varint(n):
