@@ -43,8 +43,14 @@ _BARRIER = frozenset("ul ol dl table select menu body article section div nav as
 _CLOSE_P = _BLOCKS - {"button", "label", "option", "optgroup", "head", "title", "html", "body", "caption", "td", "th", "tr", "tbody",
                       "thead", "tfoot", "legend", "iframe", "noscript"}
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S | re.I)
+#: Inside an svg element, as in the HTML standard: what may hold other tags, its own tags, and the tags that end it wherever they
+#: stand (title is an svg tag, too).
+_ENDS_SVG = "|".join(sorted((_BLOCKS - {"title"}) | set("b big br code em embed i img meta nobr ruby s small span strong strike sub sup tt u var".split())))
+_IN_SVG = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|(?P<out></?(?:{_ENDS_SVG})(?=[\s/>]))|(?P<close></svg\s*>)"
+    r"|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -67,8 +73,26 @@ def _features_of(tag: str, attributes: str) -> tuple[int, ...]:
     return tuple(1 + zlib.crc32(n.encode()) % (PATH_DIM - 1) for n in names)  # 0 stands for any path
 
 
+def _after_svg(page: str, at: int) -> int:
+    """Where the svg element whose opening tag ends at ``at`` ends: behind its closing tag, or before a tag that can't be in it."""
+    depth = 1
+    for m in _IN_SVG.finditer(page, at):
+        if m["out"]:
+            return m.start()
+        if m["close"]:
+            depth -= 1
+            if not depth:
+                return m.end()
+        elif m["tag"] and m["tag"].lower() == "svg" and not m["attributes"].endswith("/"):
+            depth += 1
+    return len(page)
+
+
 def leaves(page: str) -> list[Leaf]:
-    """The leaf blocks of a page in order; unclosed and stray tags are tolerated, a tag cut off by the end is dropped."""
+    """The leaf blocks of a page in order; unclosed and stray tags are tolerated, a tag cut off by the end is dropped.
+
+    The drawing of an svg element is dropped; one that isn't closed ends before the next HTML tag. The text of math stays.
+    """
     stack: list[tuple[str, tuple[int, ...]]] = []
     out: list[Leaf] = []
     parts: list[str] = []
@@ -96,7 +120,7 @@ def leaves(page: str) -> list[Leaf]:
         del stack[depth:]
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         text_run(page[at:m.start()])
         at = m.end()
         hidden, closing, opening, attributes = m.groups()
@@ -115,6 +139,10 @@ def leaves(page: str) -> list[Leaf]:
             if tag == "br":
                 parts.append(" ")
                 continue
+            if tag == "svg":
+                if not attributes.endswith("/"):
+                    at = _after_svg(page, at)
+                continue
             if tag in _BLOCKS:
                 flush()
                 wanted = _CLOSES.get(tag, set()) | ({"p"} if tag in _CLOSE_P else set())
@@ -339,7 +367,7 @@ class Layouts:
         return self.r.choice(['class="{}"', 'id="{}"', 'class="{}"', 'role="{}"', "class='{}'"]).format(one)
 
     def links(self) -> str:
-        items = [f'<a href="/{k}">{self.say(1, 3)}</a>' for k in range(self.r.randint(2, 9))]
+        items = [f'<a href="/{k}">{self.inline()}{self.say(1, 3)}</a>' for k in range(self.r.randint(2, 9))]
         if self.r.random() < 0.7:
             tag = self.r.choice(["ul", "ul", "ol"])
             return f"<{tag}>" + "".join(f"<li>{x}</li>" for x in items) + f"</{tag}>"
@@ -390,6 +418,17 @@ class Layouts:
         name = self.r.choice(["", "", f"<p {self.name(self.SHARE)}>{self.say(1, 3)}</p>", f"<div>{self.say(1, 3)}</div>", f"<h4>{self.say(1, 3)}</h4>"])
         return name + "".join(f"<p>{self.sentences(1, 4)}</p>" for _ in range(self.r.randint(1, 3)))
 
+    def inline(self) -> str:
+        """Now and then an icon, whose text is no text of the page, or a formula."""
+        r = self.r.random()
+        if r < 0.03:
+            return ' <svg class="icon" viewBox="0 0 9 9"/>'
+        if r < 0.06:
+            return f' <svg viewBox="0 0 9 9"><title>{self.say(1, 2)}</title><path d="M0 0h9"/></svg>'
+        if r < 0.09:
+            return f" <math><mi>{self.r.choice('abnxy')}</mi><mo>=</mo><mn>{self.r.randint(0, 99)}</mn></math>"
+        return ""
+
     def paragraph(self) -> str:
         m, r = self.MARK, self.r.random()
         text = self.sentences(1, 7)
@@ -411,7 +450,9 @@ class Layouts:
             return f"<div>{text}{m}</div>"
         if r < 0.50:
             return f"<p>{self.say(1, 3)}{m}</p>"
-        return f"<p>{text}{m}</p>"
+        if r < 0.52:
+            return f'<p>{text}{m}<svg viewBox="0 0 9 9"><path d="M0 0h9"></p>'
+        return f"<p>{text}{self.inline()} {self.say(1, 5)}{m}</p>"
 
     def article(self) -> str:
         body = [f"<h1>{self.say(1, 12)}{self.MARK}</h1>"] if self.r.random() < 0.8 else []

@@ -162,6 +162,25 @@ def test_leaves_of_broken_markup():
     assert html_extract.leaves("") == [] and html_extract.leaves("</p></div>") == []
 
 
+def test_leaves_with_drawings_and_formulas():
+    def texts(page):
+        return [b.text for b in html_extract.leaves(page)]
+    assert texts('<p>one <svg class="icon"/> two</p><p>three four</p></article>') == ["one two", "three four"]
+    assert texts("<p>one <math/> two</p><p>x <math><mi>a</mi><mo>=</mo><mn>2</mn></math> y</p>") == ["one two", "x a=2 y"]
+    assert texts("<p>one<svg a='<p>'><title>t</title><!-- <p> --><svg><g/></svg><text>no</text></svg> two</p>") == ["one two"]
+    assert texts("<p>one <svg><path d='M0'><text>no</p><p>two</p> <svg><g></svg>three") == ["one", "two", "three"]
+    assert texts("<p>one <SVG><g> <b>two</b> <math><mi>x</p><p>three <svg") == ["one two x", "three"]
+    assert texts("<svg>" * 3 + "no") == [] and len(texts("<p>a <svg><svg><g>" * 3000)) == 3000
+
+
+def test_html_drawings_in_an_article(spark, labeller):
+    words = "this is a long sentence of the article, and it goes on for some words. " * 3
+    page = "<html><body><nav><a href=/>Home</a></nav><article>" + "".join(
+        f"<p>{words}{x} end</p>" for x in ("", '<svg class="i"/>', "<math><mi>E</mi></math>", "<svg><g/></svg>")) + "</article></body></html>"
+    got = html_extract.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), labeller).collect()
+    assert got[0].text == " ".join(f"{words}{x}end" for x in ("", "", "E ", ""))
+
+
 def test_html_odd_rows(spark, labeller):
     rows = [(1, "u", None, 0), (2, None, "", 0), (None, "u", "<p>" * 3000 + "x", 0), (4, "u", "<p>word</p>" * 9000, 0), (4, "u", "<", 0)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, id int")
