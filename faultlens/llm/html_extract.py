@@ -29,8 +29,8 @@ PATH_DIM, WORD_DIM, NUMBER_DIM = 4096, 48, 8
 DENSE = WORD_DIM + NUMBER_DIM
 HIDDEN = 24
 GATES = 8 * HIDDEN  # both directions
-#: Leaves read as one sequence; a longer page is read in parts that overlap by CONTEXT leaves on each side.
-PART, CONTEXT = 4096, 128
+#: Leaves read at once; a longer page is read in parts, and the state of each direction goes on from part to part.
+PART = 4096
 
 _BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav noframes noscript ol
@@ -202,24 +202,36 @@ class Labeller:
         score = both @ wo + bo
         return [score[k, :n] for k, n in enumerate(lengths)]
 
+    def long_scores(self, whole: Inputs) -> np.ndarray:
+        """Log-odds of the leaves of one page, read in parts of PART leaves: backward from the end, then forward."""
+        wp, wd, bias, u, wo, bo = self.parts
+        n, edges = len(whole.sizes), np.concatenate([[0], np.cumsum(whole.sizes)])
+        cuts = [(lo, min(n, lo + PART)) for lo in range(0, n, PART)]
+        score = np.zeros(n, np.float32)
+        for way, steps in ((1, cuts[::-1]), (0, cuts)):
+            state = [np.zeros((1, HIDDEN), np.float32) for _ in range(2)]
+            for lo, hi in steps:
+                flat = _project(wp, wd, bias, whole.path[edges[lo]:edges[hi]], whole.sizes[lo:hi], whole.dense[lo:hi])
+                a = flat[None, ::-1, GATES // 2:] if way else flat[None, :, :GATES // 2]
+                out, _ = _lstm(a, u[way], np.ones((1, hi - lo), np.float32), state)
+                score[lo:hi] += (out[0, ::-1] if way else out[0]) @ wo[way * HIDDEN:(way + 1) * HIDDEN]
+        return score + bo
+
     def article(self, pages: list[list[Leaf]]) -> list[np.ndarray]:
         """For each page, which of its leaves are article text."""
-        jobs = []
-        for p, blocks in enumerate(pages):
-            for lo in range(0, len(blocks), PART):
-                first = max(0, lo - CONTEXT)
-                jobs.append((min(len(blocks), lo + PART + CONTEXT) - first, p, first, lo, min(len(blocks), lo + PART)))
-        jobs.sort()
         out = [np.zeros(len(b), bool) for b in pages]
+        for p, blocks in enumerate(pages):
+            if len(blocks) > PART:
+                out[p] = self.long_scores(vectors(blocks)) > 0
+        jobs = sorted((len(b), p) for p, b in enumerate(pages) if 0 < len(b) <= PART)
         at = 0
         while at < len(jobs):
             stop = at + 1
             while stop < len(jobs) and jobs[stop][0] * (stop + 1 - at) <= 2 * PART:
                 stop += 1
-            group = jobs[at:stop]
-            found = self.scores([vectors(pages[p][first:first + size]) for size, p, first, _, _ in group])
-            for (_, p, first, lo, hi), score in zip(group, found):
-                out[p][lo:hi] = score[lo - first:hi - first] > 0
+            group = [p for _, p in jobs[at:stop]]
+            for p, score in zip(group, self.scores([vectors(pages[p]) for p in group])):
+                out[p] = score > 0
             at = stop
         return out
 
@@ -249,10 +261,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _lstm(a: np.ndarray, u: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-    """Hidden states of one direction for input projections ``a`` (sequences, steps, 4 x HIDDEN), and what backpropagation needs."""
+def _lstm(a: np.ndarray, u: np.ndarray, mask: np.ndarray, state: list[np.ndarray] | None = None) -> tuple[np.ndarray, list]:
+    """Hidden states of one direction for input projections ``a`` (sequences, steps, 4 x HIDDEN), and what backpropagation needs.
+
+    ``state`` [h, c] is where to go on from; it is left at the state after the last step.
+    """
     n, steps, _ = a.shape
-    h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+    h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
     out, tape = np.zeros((n, steps, HIDDEN), np.float32), []
     for t in range(steps):
         z = a[:, t] + h @ u
@@ -266,6 +281,8 @@ def _lstm(a: np.ndarray, u: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, l
         tape.append((h, c, i, f, o, g, tc, live))
         h, c = new_h, new_c
         out[:, t] = h
+    if state is not None:
+        state[:] = h, c
     return out, tape
 
 

@@ -181,6 +181,18 @@ def test_html_drawings_in_an_article(spark, labeller):
     assert got[0].text == " ".join(f"{words}{x}end" for x in ("", "", "E ", ""))
 
 
+def test_labels_of_a_long_page_do_not_depend_on_parts(labeller, monkeypatch):
+    made = html_extract.Layouts([f"wort{k}" for k in range(300)], seed=5)
+    pages = [html_extract.leaves("".join(made.page() for _ in range(k)).replace(made.MARK, " ")) for k in (1, 6, 12)]
+    whole = [html_extract.Labeller.scores(labeller, [html_extract.vectors(b)])[0] for b in pages]
+    at_once = labeller.article(pages)
+    for part in (1, 7, 50):
+        monkeypatch.setattr(html_extract, "PART", part)
+        clear = [np.abs(w) > 1e-3 for w in whole]  # sums in another order differ in the last digits
+        assert all((a[c] == b[c]).all() for a, b, c in zip(labeller.article(pages), at_once, clear))
+        assert all(np.allclose(labeller.long_scores(html_extract.vectors(b)), w, atol=1e-3) for b, w in zip(pages, whole))
+
+
 def test_html_odd_rows(spark, labeller):
     rows = [(1, "u", None, 0), (2, None, "", 0), (None, "u", "<p>" * 3000 + "x", 0), (4, "u", "<p>word</p>" * 9000, 0), (4, "u", "<", 0)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, id int")
