@@ -175,7 +175,7 @@ def vectors(blocks: list[Leaf]) -> Inputs:
     words_before, total = 0, sum(len(b.text) for b in blocks) or 1
     for k, b in enumerate(blocks):
         words = b.text.split()
-        slots = [zlib.crc32(w.lower().encode()) % WORD_DIM for w in words[:64]]
+        slots = [zlib.crc32(w.lower().encode()) % WORD_DIM for w in words]
         np.add.at(dense[k], np.array(slots, np.int64), 1.0 / max(1, len(slots)))
         size = len(b.text)
         dense[k, WORD_DIM:] = (
@@ -511,14 +511,24 @@ class Layouts:
         return vectors(blocks), y
 
 
-def train(pages: DataFrame, html_col: str = "html", max_pages: int = 200, layouts: int = 3000, seed: int = 17) -> Labeller:
-    """Train on ``layouts`` generated pages with words of about ``max_pages`` of the given ones (by a hash of the page)."""
-    own = pages.select(F.col(html_col).alias("html")).where("html is not null")
+def train(pages: DataFrame, html_col: str = "html", max_pages: int = 200, layouts: int = 3000, seed: int = 17,
+          max_words: int = 20_000) -> Labeller:
+    """Train on ``layouts`` generated pages with words of about ``max_pages`` of the given ones (by a hash of the page).
+
+    Of all words of these pages, the ``max_words`` with the smallest hash fill the generated pages; no more come to the driver.
+    """
+    own = pages.select(F.col(html_col).cast("string").alias("html")).where("html is not null")
     share = min(1.0, max_pages / max(1, own.count()))
-    rows = own.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < share * (1 << 30)).select(F.substring("html", 1, 100_000).alias("html"))
-    # only words for generated pages are taken here, so the beginning of a sampled page is enough
-    texts = sorted(r["html"] for r in rows.limit(2 * max_pages).collect())
-    words = sorted({w for t in texts for b in leaves(t) for w in b.text.split()[:400]})[:20_000]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.column(0):
+                found = sorted({w for b in leaves(page.as_py()) for w in b.text.split()})
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["word"])
+
+    chosen = own.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < share * (1 << 30))
+    found = chosen.mapInArrow(run, "word string").distinct().orderBy(F.xxhash64("word"), "word").limit(max_words)
+    words = sorted(r["word"] for r in found.collect())
     words = words or [a + b for a in "ka lo mi ne su ta".split() for b in "ra den ti vo".split()]
     made = Layouts(words, seed)
     return fit([x for x in (made.labelled() for _ in range(layouts)) if len(x[1])])

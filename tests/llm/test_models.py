@@ -193,6 +193,24 @@ def test_labels_of_a_long_page_do_not_depend_on_parts(labeller, monkeypatch):
         assert all(np.allclose(labeller.long_scores(html_extract.vectors(b)), w, atol=1e-3) for b, w in zip(pages, whole))
 
 
+def test_every_word_counts(spark, monkeypatch):
+    one, other = (html_extract.vectors([html_extract.Leaf("a " * 64 + "b " * n + "c", ())]).dense[0, :html_extract.WORD_DIM] for n in (300, 0))
+    assert one.sum() == pytest.approx(1, abs=1e-4) and np.abs(one - other).max() > 0.5
+    seen = []
+
+    class Spy(html_extract.Layouts):
+        def __init__(self, words, seed):
+            seen.append(words)
+            super().__init__(words, seed)
+    monkeypatch.setattr(html_extract, "Layouts", Spy)
+    words = [f"{c}{k:04d}" for c in "abé" for k in range(7000)]
+    frame = spark.createDataFrame([(f"<p>{' '.join(words)}</p>",), (None,), ("",)], "html string")
+    for most in (100_000, 3000):
+        html_extract.train(frame, layouts=1, max_words=most)
+    assert seen[0] == sorted(words) and len(seen[1]) == 3000 and set(seen[1]) <= set(words)
+    assert all(800 < sum(w[0] == c for w in seen[1]) < 1200 for c in "abé")
+
+
 def test_html_odd_rows(spark, labeller):
     rows = [(1, "u", None, 0), (2, None, "", 0), (None, "u", "<p>" * 3000 + "x", 0), (4, "u", "<p>word</p>" * 9000, 0), (4, "u", "<", 0)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, id int")
