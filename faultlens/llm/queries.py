@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from faultlens.llm import (ann_adaptive, exact_dedup, html_extract, langid, line_dedup, packing, pii, sentencepiece_codec, simhash,
-                           substring_dedup)
+                           spelling, substring_dedup)
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,35 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_extract.extract(pages, html_extract.train(pages))
+
+
+@_register(r"""
+WITH c AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+             lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+r AS (SELECT doc_id, run, count(*) AS n FROM (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+      WHERE length(run) >= 7 GROUP BY doc_id, run),
+x AS (SELECT run, n, doc_id, hex(encode(doc_id::VARCHAR || ':' || run)) AS h FROM r),
+b AS (SELECT run, n, list_transform(range(1, length(h), 2), lambda p: 16 * (strpos('0123456789ABCDEF', substr(h, p, 1)) - 1)
+             + strpos('0123456789ABCDEF', substr(h, p + 1, 1)) - 1) AS bytes FROM x),
+s AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, y: xor(a // 256, tab[xor(a, y) % 256 + 1])), 4294967295) AS crc
+      FROM b, c),
+d AS (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, (crc % length(run))::INT) || substr(run, (crc % length(run))::INT + 2)
+                  ELSE run END AS word, n FROM s),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+e AS (SELECT word, n, i, substr(word, 1, i::INT - 1) || substr(word, i::INT + 1) AS rest
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (SELECT a.word, b.word AS other, b.n AS other_n FROM e a JOIN e b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT e.word, w.word, w.n FROM e JOIN w ON e.rest = w.word
+      UNION SELECT w.word, e.word, e.n FROM e JOIN w ON e.rest = w.word),
+q AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near,
+             row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS nth FROM p),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+             CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n FROM w LEFT JOIN q ON w.word = q.word AND nth = 1),
+g AS (WITH RECURSIVE go AS (SELECT word, word AS root, 0 AS steps FROM f
+                            UNION ALL SELECT go.word, f.form, steps + 1 FROM go JOIN f ON go.root = f.word WHERE f.form IS NOT NULL)
+      SELECT word, arg_max(root, steps) AS root FROM go GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN g USING (word)""")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
