@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from faultlens.session import scratch_path, shared_dir
@@ -40,3 +43,12 @@ def whole_text(col: str = "text") -> Column:
 def pick(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra columns of the input can't clash with an operator's own names."""
     return docs.select(*[docs[n].alias(n) for n in names])
+
+
+def worker_state() -> dict:
+    """What this Python process keeps from task to task: the namespace of a module that exists only in memory.
+
+    Task functions travel by value, so globals of this package would be new in each task. For things that are costly to
+    build and of fixed size, such as a tokenizer; never for what is learned from rows.
+    """
+    return vars(sys.modules.setdefault("faultlens_worker_state", types.ModuleType("faultlens_worker_state")))

@@ -9,6 +9,7 @@ verified on whole texts and returned.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import zlib
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from faultlens.llm.common import pick
+from faultlens.llm.common import pick, worker_state
 
 SPACE = "\u2581"
 #: Piece and model types of the file format (fixed values).
@@ -149,8 +150,12 @@ def build(model: Model):
     return tokenizer
 
 
-#: Distinct words that a worker keeps (about 200 bytes each); beyond it the cache starts anew.
-KEPT = 1_500_000
+#: Bytes that the words and ids known to a task may take, by estimate; half of them for each of two generations.
+KEPT_BYTES = 64 << 20
+#: What a known word costs beside its characters and ids (two objects and their place in a dict).
+_PER_WORD = 210
+#: Characters of text encoded at once, and new words given to the tokenizer at once.
+_AT_ONCE, _NEW_AT_ONCE = 1 << 20, 10_000
 
 
 class Codec:
@@ -162,21 +167,45 @@ class Codec:
     library whole; one whose words together give other ids is encoded whole, and these ids count.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, model: bytes):
         import sentencepiece
 
-        with open(path, "rb") as f:
-            self.model = parse_model(f.read())
+        self.model = parse_model(model)
         self.tokenizer = build(self.model)
-        self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.reference = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.by_word = not self.model.charsmap and not self.model.squeeze and self.model.dummy_prefix \
             and self.tokenizer.pre_tokenizer is not None and not self.model.of_type(USER_DEFINED)
         self.marked = np.array([p.startswith(SPACE) for p, _, _ in self.model.pieces])
         #: the bytes that each piece stands for, a byte piece for its byte
         self.shown = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-Fa-f]{2}>", p) else p.replace(SPACE, " ").encode()
                       for p, _, _ in self.model.pieces]
-        #: ids of known words, as bytes
+        #: ids of known words, as bytes: those met lately, and those of the generation before
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.size = 0
+
+    def forget(self) -> None:
+        """Drop the known words: a worker keeps nothing of a task's texts when the task is over."""
+        self.known, self.before, self.size = {}, {}, 0
+
+    def _make_room(self) -> None:
+        """A full generation becomes the one before; a word of that one is kept only if it is met again."""
+        if self.size > KEPT_BYTES // 2:
+            self.known, self.before, self.size = {}, self.known, 0
+
+    def _keep(self, found: list[tuple[str, bytes]]) -> None:
+        self.known.update(found)
+        self.size += sum(_PER_WORD + 2 * len(w) + len(i) for w, i in found)
+
+    def _ready(self, words: set[str]) -> None:
+        """See to it that all the words are known."""
+        self._make_room()
+        new = words.difference(self.known)
+        again = new.intersection(self.before)
+        self._keep([(w, self.before[w]) for w in again])
+        new = list(new.difference(again))
+        for lo in range(0, len(new), _NEW_AT_ONCE):
+            self._learn(new[lo:lo + _NEW_AT_ONCE])
 
     def _learn(self, words: list[str], many: int = 500) -> None:
         """Work out new words, many to a line; if a line doesn't show where its words begin, they are encoded singly."""
@@ -188,11 +217,11 @@ class Codec:
             begins = np.flatnonzero(self.marked[data])
             if len(begins) != len(group):
                 alone = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
-                self.known.update((word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(group, alone))
+                self._keep([(word, np.array(e.ids, "<u4").tobytes()) for word, e in zip(group, alone)])
                 continue
             data = data.tobytes()
             edges = [*(4 * begins).tolist(), len(data)]
-            self.known.update(zip(group, map(data.__getitem__, map(slice, edges, edges[1:]))))
+            self._keep(list(zip(group, map(data.__getitem__, map(slice, edges, edges[1:])))))
 
     def _gives_back(self, ids: list[int], text: str) -> bool:
         """Whether the ids decode to the text. Equal bytes say so: the pieces between byte pieces are whole characters, so each
@@ -202,12 +231,21 @@ class Codec:
             or self.tokenizer.decode(ids, skip_special_tokens=False) == text
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
-        """``(little-endian 32-bit ids, parity, round trip)`` of each text."""
-        if len(self.known) > KEPT:
-            self.known.clear()
+        """``(little-endian 32-bit ids, parity, round trip)`` of each text; about ``_AT_ONCE`` characters are worked on at once."""
+        lo, out = 0, []
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= _AT_ONCE):
+                size += len(texts[hi])
+                hi += 1
+            out += self._encode(texts[lo:hi])
+            lo = hi
+        return out
+
+    def _encode(self, texts: list[str]) -> list[tuple[bytes, bool, bool]]:
         split = [t.split(" ") if self.by_word and SPACE not in t else [""] for t in texts]
         split = [None if "" in w else w for w in split]
-        self._learn(list(set(chain.from_iterable(w for w in split if w)).difference(self.known)))
+        self._ready(set(chain.from_iterable(w for w in split if w)))
         out = []
         for text, words in zip(texts, split):
             same = self.reference.encode(text)
@@ -223,11 +261,39 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-def _of_worker(held: dict, model_path: str) -> Codec:
-    """The worker's codec: a Python worker keeps a broadcast value from task to task, here a dict that it fills itself."""
-    if "codec" not in held:
-        held["codec"] = Codec(model_path)
-    return held["codec"]
+def _of_worker(model: bytes) -> Codec:
+    """The worker's codec: building it takes longer than a small task, so a worker builds one for a model and keeps it."""
+    held = worker_state().setdefault("sentencepiece", {})
+    key = hashlib.sha256(model).digest()
+    if key not in held:
+        held.clear()
+        held[key] = Codec(model)
+    return held[key]
+
+
+def _ship(spark, model_path: str):
+    """The model's bytes, read once by the driver: executors need no file of that path. A model file is a few MB at most."""
+    with open(model_path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _encoded(docs: DataFrame, model_path: str, id_col: str, text_col: str, chunk: int, schema: str, columns) -> DataFrame:
+    """Rows of ``columns(ids, results)`` for every row, where results are those of :meth:`Codec.encode`."""
+    source = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
+    shared = _ship(docs.sparkSession, model_path)
+
+    def run(batches):
+        codec = _of_worker(shared.value)
+        try:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, chunk):
+                    batch = whole.slice(lo, chunk)
+                    yield columns(batch.column(0), codec.encode([t or "" for t in batch.column(1).to_pylist()]))
+        finally:
+            codec.forget()
+
+    return source.mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
@@ -236,36 +302,30 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     ``parity``: the sentencepiece library gives the same ids; ``round_trip``: decoding the ids gives the text back. Repeated
     rows and null ids give a row each; an empty table gives none; extra columns are ignored.
     """
-    source = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-
-    shared = docs.sparkSession.sparkContext.broadcast({})
-
-    def run(batches):
-        codec = _of_worker(shared.value, model_path)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, chunk):
-                batch = whole.slice(lo, chunk)
-                got = codec.encode([t or "" for t in batch.column(1).to_pylist()])
-                ids = np.frombuffer(b"".join(g[0] for g in got), "<u4").astype(np.int32)
-                ends = np.cumsum([0, *[len(g[0]) // 4 for g in got]])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
-                     pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.bool_())],
-                    ["id", "ids", "parity", "round_trip"])
+    def columns(row_ids, got):
+        ids = np.frombuffer(b"".join(g[0] for g in got), "<u4").astype(np.int32)
+        ends = np.cumsum([0, *[len(g[0]) // 4 for g in got]])
+        return pa.RecordBatch.from_arrays(
+            [row_ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)),
+             pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.bool_())],
+            ["id", "ids", "parity", "round_trip"])
 
-    return source.mapInArrow(run, f"id {kind}, ids array<int>, parity boolean, round_trip boolean").withColumnRenamed("id", id_col)
+    return _encoded(docs, model_path, id_col, text_col, chunk, "ids array<int>, parity boolean, round_trip boolean", columns)
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col, text`` for rows of ids; null ids decode to null."""
+    """``id_col, text`` for rows of ids; null ids decode to null, an empty list to the empty text.
+
+    Repeated rows and null row ids give a row each; an empty table gives none; extra columns are ignored. A null or an
+    unknown id within a list raises.
+    """
     source = pick(rows, id_col, ids_col).select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     kind = source.schema["id"].dataType.simpleString()
 
-    shared = rows.sparkSession.sparkContext.broadcast({})
+    shared = _ship(rows.sparkSession, model_path)
 
     def run(batches):
-        codec = _of_worker(shared.value, model_path)
+        codec = _of_worker(shared.value)
         for batch in batches:
             lists = batch.column(1).to_pylist()
             texts = iter(codec.decode([x for x in lists if x is not None]))
@@ -277,22 +337,11 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
 
 def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
     """``id_col, n_ids, ids_crc32, parity, round_trip`` of every row, as :func:`encode` with the ids as their count and CRC-32."""
-    source = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-
-    shared = docs.sparkSession.sparkContext.broadcast({})
-
-    def run(batches):
-        codec = _of_worker(shared.value, model_path)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, chunk):
-                batch = whole.slice(lo, chunk)
-                got = codec.encode([t or "" for t in batch.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(g[0]) // 4 for g in got], pa.int64()),
-                     pa.array([zlib.crc32(g[0]) for g in got], pa.int64()),
-                     pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.bool_())],
-                    ["id", "n_ids", "ids_crc32", "parity", "round_trip"])
-
-    return source.mapInArrow(run, f"id {kind}, n_ids long, ids_crc32 long, parity boolean, round_trip boolean") \
-        .withColumnRenamed("id", id_col)
+    def columns(row_ids, got):
+        return pa.RecordBatch.from_arrays(
+            [row_ids, pa.array([len(g[0]) // 4 for g in got], pa.int64()), pa.array([zlib.crc32(g[0]) for g in got], pa.int64()),
+             pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.bool_())],
+            ["id", "n_ids", "ids_crc32", "parity", "round_trip"])
+
+    return _encoded(docs, model_path, id_col, text_col, chunk,
+                    "n_ids long, ids_crc32 long, parity boolean, round_trip boolean", columns)

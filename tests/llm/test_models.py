@@ -310,7 +310,8 @@ def test_codec_odd_rows(odd, empty):
 
 
 def test_codec_holds_every_text_whole():
-    codec = sentencepiece_codec.Codec(PIECES)
+    with open(PIECES, "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
     texts = [t for t in ("x▁ 1", "x▁ 日本", "▁ ▂", "x▁", "▁", "a ▁b", "a b▁▁ c ▁", "plain words", "� é 日本 \x00") for _ in range(3)]
     found = [(np.frombuffer(ids, "<u4").tolist(), parity) for ids, parity, _ in codec.encode(texts)]
     assert found == [(codec.reference.encode(t), True) for t in texts]
