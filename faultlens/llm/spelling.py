@@ -13,35 +13,62 @@ meets under some key, and no list of the words of a key is ever built.
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultlens.llm.common import pick, settle, whole_text
+from faultlens.llm.common import pick, settle
 
-#: The letters of a word (a fixed value of the contract) and the sums of their signature partitions.
+#: The letters of a word (a fixed value of the contract).
 LETTERS = "A-Za-z\u00C0-\u00FF"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Distinct words that a task counts before it hands them on.
+_HELD = 400_000
 
 
 def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 7, every: int = 31) -> DataFrame:
     """``(word, n)``: the words of ``least`` code points or more that occur at least twice, over all rows and whole texts.
 
     A run of letters with A-Z lower-cased loses one code point if ``every`` divides the CRC-32 of ``<id>:<run>`` (the number
-    at ``crc32 % length``); a run of a row without an id is kept as it is. Runs that are too short for a word are not listed,
-    so texts of any length are read as a whole; null texts have no runs; repeated rows count each.
+    at ``crc32 % length``); a run of a row without an id is kept as it is. Runs that are too short for a word are not looked
+    at; null texts have no runs; repeated rows count each. Tasks count their words before they are shuffled.
     """
-    source = pick(docs, id_col, text_col).select(
-        F.col(id_col).cast("string").alias("id"),
-        F.translate(whole_text(text_col).cast("string"), _UPPER, _LOWER).alias("text"))
-    runs = source.select("id", F.explode(F.regexp_extract_all("text", F.lit(f"([{LETTERS}]{{{least},}})"), 1)).alias("run"))
-    crc = F.crc32(F.encode(F.concat_ws(":", "id", "run"), "UTF-8"))
-    # the CRC of a run is worked out once: a generator's output is not folded into the expressions above it
-    coded = runs.select("run", F.explode(F.array(F.when(F.col("id").isNotNull(), crc).otherwise(1))).alias("crc"))
-    cut = (F.col("crc") % F.length("run")).cast("int")
-    shorter = F.concat(F.substring("run", F.lit(1), cut), F.substring("run", cut + 2, F.length("run")))
-    found = coded.select(F.when(F.col("crc") % every == 0, shorter).otherwise(F.col("run")).alias("word"))
-    return found.where(F.length("word") >= least).groupBy("word").agg(F.count("*").alias("n")).where("n >= 2")
+    source = pick(docs, id_col, text_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    run_of = re.compile(f"[{LETTERS}]{{{least},}}")
+
+    def count(batches):
+        seen: Counter = Counter()
+
+        def rows():
+            items = list(seen.items())
+            for lo in range(0, len(items), 1 << 16):
+                part = items[lo:lo + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())],
+                                                 ["word", "n"])
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                # bytes.lower knows A-Z alone
+                runs = run_of.findall((text or b"").lower().decode())
+                seen.update(runs)
+                if key is None:
+                    continue
+                begin = zlib.crc32(f"{key}:".encode())
+                for run in runs:
+                    crc = zlib.crc32(run.encode(), begin)
+                    if crc % every == 0:
+                        at = crc % len(run)
+                        seen[run] -= 1
+                        seen[run[:at] + run[at + 1:]] += 1
+            if len(seen) > _HELD:
+                yield from rows()
+                seen.clear()
+        yield from rows()
+
+    return (source.mapInArrow(count, "word string, n long").where(F.length("word") >= least)
+            .groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2"))
 
 
 def _dealt(letters: str, parts: int) -> list[str]:
@@ -54,54 +81,47 @@ _ORDER = "etaonrishlducmpgvbfqzyxkjwéüäöèçêàñóíáúß"
 _ORDER += "".join(chr(c) for c in [*range(97, 123), *range(0xC0, 0x100)] if chr(c) not in _ORDER)
 
 
-def signatures(vector: Column, distance: int, spare: int) -> list[Column]:
-    """The restricted vectors for every choice of ``spare + 1`` partitions out of ``distance + spare + 1``.
-
-    ``vector``: the letters of a word in order, each as often as it occurs.
-    """
+def restricted(vector: Column, distance: int, spare: int) -> list[Column]:
+    """The letters of each of the ``distance + spare + 1`` partitions, in order, each as often as the word holds it."""
     parts = _dealt(_ORDER, distance + spare + 1)
-    out = []
-    for chosen in combinations(range(len(parts)), spare + 1):
-        dropped = "".join(p for k, p in enumerate(parts) if k not in chosen)
-        # translate() takes letters without a counterpart away
-        out.append(F.concat(F.lit("".join(map(str, chosen))), F.lit("."), F.translate(vector, dropped, "")))
-    return out
+    # translate() takes letters without a counterpart away
+    return [F.translate(vector, "".join(p for j, p in enumerate(parts) if j != k), "") for k in range(len(parts))]
 
 
-def keys(found: DataFrame, spare: int = 1) -> DataFrame:
-    """``(key, role, word, n)``: one row for each signature and half of a word.
+def _entries(length: Column, distance: int, spare: int) -> Column:
+    """Keys of a word among words whose shorter one has ``length`` letters: one for each choice of partitions and half."""
+    front = F.floor(length / 2).cast("int")
+    keys = []
+    for side, half in (("<", F.substring("word", F.lit(1), front)), (">", F.right("word", (length - front).cast("int")))):
+        for chosen in combinations(range(distance + spare + 1), spare + 1):
+            name = f"{distance}{side}{','.join(map(str, chosen))}"
+            keys.append(F.xxhash64(F.lit(name), length, half, *[F.col(f"part{distance}_{k}") for k in chosen]))
+    return F.explode(F.array(*keys)).alias("key")
 
-    ``role`` 0 meets 0 (words of one length); 1, the shorter word, meets 2, the longer one.
-    """
-    size = F.length("word")
+
+def near_pairs(found: DataFrame, spare: int = 0) -> DataFrame:
+    """``(word, n, other, other_n)``, both ways, for all words one edit apart; each once."""
     vector = F.array_join(F.array_sort(F.split("word", "")), "")
-    two, one = signatures(F.col("vector"), 2, spare), signatures(F.col("vector"), 1, spare)
-    entries = []
+    cut = found.withColumn("vector", vector).select("word", "n", *[
+        c.alias(f"part{d}_{k}") for d in (2, 1) for k, c in enumerate(restricted(F.col("vector"), d, spare))])
+    size = F.length("word")
+    same = cut.select("word", "n", _entries(size, 2, spare))
     # the half is that of the shorter word: a longer word counts as one letter shorter
-    for role, length, distance, chosen in ((0, size, 2, two), (1, size, 1, one), (2, size - 1, 1, one)):
-        front = F.floor(length / 2).cast("int")
-        back = (length - front).cast("int")
-        for side, half in (("<", F.substring("word", F.lit(1), front)), (">", F.right("word", back))):
-            entries += [F.struct(F.xxhash64(F.lit(f"{distance}{side}"), length, half, s).alias("key"), F.lit(role).alias("role"))
-                        for s in chosen]
-    return (found.withColumn("vector", vector).select("word", "n", F.explode(F.array(*entries)).alias("k"))
-            .select("k.key", "k.role", "word", "n"))
+    shorter, longer = cut.select("word", "n", _entries(size, 1, spare)), cut.select("word", "n", _entries(size - 1, 1, spare))
 
+    def met(left, right, condition):
+        a, b = left.alias("a"), right.alias("b")
+        pairs = a.join(b, F.col("a.key") == F.col("b.key")).where(condition)
+        return pairs.where(F.levenshtein("a.word", "b.word", 1) == 1).select(
+            F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("other"), F.col("b.n").alias("other_n"))
 
-def near_pairs(found: DataFrame, spare: int = 1) -> DataFrame:
-    """``(word, n, other, other_n)``, both ways, for all words one edit apart; each once."""
-    entries = keys(found, spare)
-    a, b = entries.alias("a"), entries.alias("b")
-    met = a.join(b, F.col("a.key") == F.col("b.key")).where(
-        "(a.role = 0 AND b.role = 0 AND a.word < b.word) OR (a.role = 1 AND b.role = 2)")
-    near = met.where(F.levenshtein("a.word", "b.word", 1) == 1).select(
-        F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("other"), F.col("b.n").alias("other_n")).distinct()
+    near = met(same, same, F.expr("a.word < b.word")).union(met(shorter, longer, F.lit(True))).distinct()
     return near.union(near.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"),
                                   F.col("n").alias("other_n")))
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 7, every: int = 31,
-             ratio: int = 10, spare: int = 1) -> DataFrame:
+             ratio: int = 10, spare: int = 0) -> DataFrame:
     """One row per word: ``word, form, root, n, n_near, form_n``.
 
     ``form`` is the near word of largest ``n`` (ties: the smallest in code-point order) if it occurs at least ``ratio``
