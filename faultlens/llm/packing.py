@@ -15,6 +15,7 @@ the histogram of lengths alone, which has at most ``capacity`` entries at any in
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,12 +41,12 @@ class Encoder:
     token's string or a very long run, and any other kind of tokenizer, go to the tokenizers library alone.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, data: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_str(data)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranked = _ranked(path, set(self.specials))
+        self.ranked = ranked(json.loads(data), set(self.specials))
 
     def encode(self, texts: list[str], check: int = 2) -> Iterator[np.ndarray]:
         def plain(text):
@@ -66,14 +67,23 @@ class Encoder:
             yield ids
 
 
-def _ranked(path: str, specials: set[str]):
-    """The tokenizer file as ranked byte merges, or None if it is of another kind."""
-    import json
+def octets(whole: dict) -> list[bytes]:
+    """The bytes of each id of a byte-level tokenizer file."""
+    # a byte is shown as a visible character: itself, or the next unused one from 256 on
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in shown]
+    octet = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+    vocab = whole["model"]["vocab"]
+    out = [b""] * (max(vocab.values(), default=-1) + 1)
+    for token, i in vocab.items():
+        out[i] = bytes(octet[c] for c in token) if all(c in octet for c in token) else token.encode()
+    return out
+
 
+def ranked(whole: dict, specials: set[str]):
+    """The tokenizer file as ranked byte merges, or None if it is of another kind."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        whole = json.load(f)
     model, before = whole["model"], whole.get("pre_tokenizer") or {}
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.get("merges", [])]
     vocab = model.get("vocab", {})
@@ -83,12 +93,9 @@ def _ranked(path: str, specials: set[str]):
     made = [vocab[a + b] for a, b in merges]
     if any(x >= y for x, y in zip(made, made[1:])):
         return None
-    # byte-level files show a byte as a visible character: itself, or the next unused one from 256 on
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in shown]
-    octet = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
-    ranks = {bytes(octet[c] for c in token): i for token, i in vocab.items() if token not in specials}
-    return tiktoken.Encoding("ranked", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+    shown = octets(whole)
+    return tiktoken.Encoding("ranked", pat_str=_BYTE_LEVEL, mergeable_ranks={shown[i]: i for t, i in vocab.items() if t not in specials},
+                             special_tokens={})
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -102,9 +109,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """``(id, piece, start, length, ids_crc32, part, turn)``; ``turn`` counts a task's pieces of one length from 0."""
     source = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
+    with open(tokenizer_path, encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder(shared.value)
         part, turns = TaskContext.get().partitionId(), {}
         for whole in batches:
             for lo in range(0, whole.num_rows, chunk):

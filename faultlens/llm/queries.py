@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlens.llm import (ann_adaptive, exact_dedup, html_extract, langid, line_dedup, packing, pii, sentencepiece_codec, simhash,
-                           spelling, substring_dedup)
+from faultlens.llm import (ann_adaptive, exact_dedup, html_extract, langid, line_dedup, lm_score, packing, pii, sentencepiece_codec, simhash,
+                           spelling, substring_dedup,
+                           token_align)
 from faultlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +130,14 @@ g AS (WITH RECURSIVE go AS (SELECT word, word AS root, 0 AS steps FROM f
 SELECT word, form, root, n, n_near, form_n FROM f JOIN g USING (word)""")
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@_register()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                             public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_register()
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -398,9 +398,11 @@ def test_every_capacity_holds(choose):
 
 
 def test_encoder_paths_agree():
-    encoder = packing.Encoder(BPE)
+    with open(BPE, encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read())
     texts = ["", "  a  b", "a\n b\t c", "<|endoftext|> x", "don't 12ab\x85 c", "日本 é́", "z" * 9000, " " * 9000 + "a", "\n\n a"]
     for text, ids in zip(texts, encoder.encode(texts, check=len(texts))):
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert encoder.ranked is not None
-    assert packing._ranked(public_tokenizers.path("word_bpe_49k.json"), set()) is None
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        assert packing.ranked(json.load(f), set()) is None
