@@ -347,6 +347,7 @@ def align(docs: DataFrame, bpe_path: str, pieces_path: str, id_col: str = "doc_i
     held = [(bytes(r["hash"]), bytes(r["keys"]), bytes(r["counts"]))
             for r in tables.orderBy("shard").select("hash", "keys", "counts").collect()]
     table = docs.sparkSession.sparkContext.broadcast((held, top))
+    partial_table = rare is not None
 
     def run(batches):
         aligner, looked_up = _of_worker(*shared.value), Lookup(*table.value)
@@ -366,7 +367,7 @@ def align(docs: DataFrame, bpe_path: str, pieces_path: str, id_col: str = "doc_i
                 sha, cold = [], []
                 for ok, p in zip(fine.tolist(), place):
                     sha.append(hashlib.sha256(";".join(map(aligner.shown.__getitem__, p)).encode()).hexdigest() if ok else "")
-                    unknown = Counter(x for k in p for x in aligner.numbers[k][6]) if ok and rare is not None else {}
+                    unknown = Counter(x for k in p for x in aligner.numbers[k][6]) if ok and partial_table else {}
                     cold.append([{"pair": x, "times": n} for x, n in unknown.items()])
                 n_a, n_b, n_groups, n_best, count_sum = (pa.array(got[:, k]) for k in range(5))
                 yield pa.RecordBatch.from_arrays(
@@ -378,7 +379,7 @@ def align(docs: DataFrame, bpe_path: str, pieces_path: str, id_col: str = "doc_i
 
     columns = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     rows = source.mapInArrow(run, f"id {kind}, {columns}, cold array<struct<pair:long,times:long>>")
-    if rare is not None:
+    if partial_table:
         rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))
         asked = rows.select("row", F.inline("cold"))
         told = asked.join(rare, "pair").groupBy("row").agg(
