@@ -2,7 +2,7 @@
 
 Both tokenizers cut the same bytes. Where tokens of both end, a group ends, and the last token of each is a link.
 
-* First pass: tasks align their documents and give each of their distinct (A id, B id) pairs with its count there.
+* First pass: tasks count the units of their documents, align each, and give their distinct (A id, B id) pairs with counts.
 * The distinct pairs are dealt to shards by a hash; each shard gets a minimal perfect hash and the list of its keys in the
   order of their numbers. Leaves (some tasks' pairs of one shard) become dense count vectors indexed by that number, with
   the key at each number compared; vectors are summed up a tree, eight to a node.
@@ -12,7 +12,7 @@ Pairs beyond ``table_keys`` are not broadcast: the more frequent ones are, and t
 that choice, are joined, so no key of that join is hot.
 
 White space cuts a text into units (a run of it with the visible characters behind). No token of A or B goes on into the
-next unit, so a task aligns each unit once while it remembers it; texts with rarer white space are aligned as a whole.
+next unit, so equal units of many texts are aligned once; texts with rarer white space are aligned as a whole.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import hashlib
 import json
 import re
 from collections import Counter
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,13 +33,14 @@ from pyspark.sql import DataFrame, functions as F
 from faultlens.llm.common import pick, settle, worker_state
 from faultlens.llm.mphf import Mphf, mix
 from faultlens.llm.packing import octets, ranked
+from faultlens.llm.sentencepiece_codec import BYTE, USER_DEFINED, parse_model
 
 MARK = "▁"
-_UNIT = re.compile(r"[ \t\n\r]+[^ \t\n\r]*")
-#: White space (and separators that some libraries count as such) by which units could not be told apart safely.
-_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Characters aligned at once, and bytes of remembered units of a task, by estimate.
-_AT_ONCE, _KEPT_BYTES = 1 << 20, 64 << 20
+_UNIT = re.compile(r"[ \t\n]+[^ \t\n]*")
+#: White space by which units could not be told apart safely: rare kinds, and the carriage return, which pieces end in.
+_RARE = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Characters whose units are aligned together, and distinct units that a task counts before it aligns them.
+_AT_ONCE, _UNITS = 1 << 22, 300_000
 #: Keys of a shard, rows of a leaf, and vectors summed by a node.
 SHARD_KEYS, LEAF_ROWS, FAN_IN = 1 << 18, 1 << 19, 8
 _BUCKETS = 1 << 16
@@ -48,8 +51,23 @@ def buckets(pairs: np.ndarray) -> np.ndarray:
     return (mix(pairs, 1000) >> np.uint64(48)).astype(np.int32)
 
 
+@dataclass
+class Aligned:
+    """Units in the order of ``place``: token and group numbers, and the links of all their groups one after the other."""
+
+    place: dict[str, int]
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    #: ``A id << 32 | B id`` of each group's last tokens
+    pairs: np.ndarray
+    #: whether the tokens don't give the unit's bytes back (it has no tokens then)
+    bad: np.ndarray
+    shown: list[str]
+
+
 class Aligner:
-    """Both tokenizers, and the units that a task remembers."""
+    """Both tokenizers and the alignment of units of text."""
 
     def __init__(self, bpe: str, pieces: bytes):
         import sentencepiece
@@ -63,25 +81,17 @@ class Aligner:
         shown = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(shown)]
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
-        # units are independent if no piece goes on from a visible character to white space and the normaliser changes nothing
-        self.by_unit = not any(re.search(rf"[^\s{MARK}][\s{MARK}]", p) for p in shown) \
-            and self.b.normalize("a  b\n \xbd\u3000 ") == "\u2581a\u2581\u2581b\n\u2581\xbd\u3000\u2581"
-        self.forget()
-
-    def forget(self) -> None:
-        #: unit -> its place in the lists below
-        self.place: dict[str, int] = {}
-        self.pairs: list[bytes] = []
-        self.shown: list[str | None] = []
-        self.numbers: list[tuple] = []
-        #: units whose tokens don't give their bytes back
-        self.bad: set[str] = set()
-        self.size = 0
-
-    def units(self, text: str) -> list[str] | None:
-        """The units of a text; None if it has no tokens by rule (empty, or the marker in it would change its bytes)."""
+        model = parse_model(pieces)
+        # units are independent if the normaliser only marks spaces, every byte has a piece, and no piece goes on from a
+        # visible character to white space
+        self.by_unit = (not model.charsmap and not model.squeeze and model.dummy_prefix and not model.of_type(USER_DEFINED)
+                        and len(set(model.of_type(BYTE))) == 256
+                        and not any(re.search(rf"[^ \t\n{MARK}][ \t\n{MARK}]", p) for p in shown))
+
+    def units(self, text: str) -> list[str]:
+        """The units of a text; none if it has no tokens by rule (empty, or the marker in it would change its bytes)."""
         if not text or MARK in text:
-            return None
+            return []
         text = " " + text
         return _UNIT.findall(text) if self.by_unit and not _RARE.search(text) else [text]
 
@@ -94,66 +104,61 @@ class Aligner:
             return None
         return a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
 
-    def learn(self, units: set[str], looked_up=None, strings: bool = False) -> None:
-        """Align the units that are not remembered. ``looked_up(pairs)`` gives ``(count, top, known)`` of pairs."""
-        if self.size > _KEPT_BYTES:
-            self.forget()
-        new = [u for u in units if u not in self.place]
-        # a unit that ends in white space, a whole text, or one that may change in company is aligned alone
-        together = [u for u in new if u[-1] not in " \t\n\r" and not _RARE.search(u)]
-        got = self._encode(" x" + "".join(together)) if together else None
-        if got is not None and not self._take(together, 2, *got, looked_up, strings):
-            got = None
-        for unit in new if got is None else [u for u in new if u not in self.place]:
-            skip = 0 if unit[0] == " " else 2
+    def align(self, units: list[str], strings: bool = False) -> Aligned:
+        """Distinct units, each as it is cut in any text that holds it."""
+        # a unit that is white space alone, or a whole text, is aligned alone; the others in a line of them
+        together = [u for u in units if u[-1] not in " \t\n" and not _RARE.search(u)] if self.by_unit else []
+        known = set(together)
+        alone = [u for u in units if u not in known]
+        parts = []
+        for line in _lines(together):
+            got = self._encode(" x" + "".join(line))
+            if got is None:
+                raise ValueError("a unit's tokens don't give its bytes back")
+            parts.append(self._cut(line, 2, *got, strings))
+        for unit in alone:
+            skip = 2 if self.by_unit and not _RARE.search(unit) else 0
             got = self._encode(" x"[:skip] + unit)
-            if got is None or not self._take([unit], skip, *got, looked_up, strings):
-                self._remember(unit, b"", None, (0, 0, 0, 0, 0, 1), [])
-                self.bad.add(unit)
-
-    def _remember(self, unit, pairs, shown, numbers, unknown) -> None:
-        self.place[unit] = len(self.numbers)
-        self.pairs.append(pairs)
-        self.shown.append(shown)
-        self.numbers.append((*numbers, unknown))
-        self.size += 300 + 2 * len(unit) + len(pairs) + len(shown or "")
-
-    def _take(self, units, skip, a, b, a_end, b_end, looked_up, strings) -> bool:
-        """Remember units that stand one after the other behind ``skip`` bytes; False if one doesn't end with tokens of both."""
-        ends = skip + np.cumsum([len(u.encode()) for u in units])
+            none = np.zeros(1, np.int64)
+            parts.append((none, none, none, none[:0], np.ones(1, bool), [""]) if got is None else self._cut([unit], skip, *got, strings))
+        place = dict(zip(together + alone, range(len(units))))
+        if not parts:
+            none = np.zeros(0, np.int64)
+            return Aligned(place, none, none, none, none, none.astype(bool), [])
+        *arrays, shown = zip(*parts)
+        return Aligned(place, *map(np.concatenate, arrays), list(chain.from_iterable(shown)))
+
+    def _cut(self, units, skip, a, b, a_end, b_end, strings) -> tuple:
+        """The fields of :class:`Aligned` for units that stand one after the other behind ``skip`` bytes."""
+        ends = np.concatenate(([skip], skip + np.cumsum(list(map(len, map(str.encode, units))))))
         at = np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)
         last_a = np.flatnonzero(b_end[at] == a_end)
         last_b = at[last_a]
-        common = a_end[last_a]
-        group = np.searchsorted(common, np.concatenate(([skip], ends)), side="right")
-        edges = common[group - 1] if skip else np.concatenate(([0], common[group[1:] - 1]))
-        if not np.array_equal(edges, np.concatenate(([skip], ends))):
-            return False
-        pairs = a[last_a] << 32 | b[last_b]
+        common = np.concatenate(([0], a_end[last_a]))
+        group = np.searchsorted(common, ends)
+        if group[-1] >= len(common) or not np.array_equal(common[group], ends):
+            raise ValueError("a unit doesn't end with tokens of both")
         first_a, first_b = np.concatenate(([0], last_a + 1)), np.concatenate(([0], last_b + 1))
-        n_a, n_b = np.diff(first_a[group]), np.diff(first_b[group])
-        n_best = total = np.zeros(len(units), np.int64)
-        known = np.ones(len(pairs), bool)
-        if looked_up is not None:
-            count, top, known = looked_up(pairs)
-            sums = np.concatenate(([0], np.cumsum(np.where(known, count, 0))))
-            tops = np.concatenate(([0], np.cumsum(known & top)))
-            total, n_best = np.diff(sums[group]), np.diff(tops[group])
-        texts = [None] * len(units)
+        shown = [""] * len(units)
         if strings:
             sa, sb = list(map(str, a.tolist())), list(map(str, b.tolist()))
-            fa, fb = first_a.tolist(), first_b.tolist()
-            groups = [",".join(sa[fa[g]:fa[g + 1]]) + "|" + ",".join(sb[fb[g]:fb[g + 1]]) for g in range(len(common))]
-            g = group.tolist()
-            texts = [";".join(groups[lo:hi]) for lo, hi in zip(g, g[1:])]
-        raw, g = pairs.tobytes(), group.tolist()
-        numbers = zip(n_a.tolist(), n_b.tolist(), np.diff(group).tolist(), n_best.tolist(), total.tolist())
-        sure = bool(known.all())
-        for k, (unit, five) in enumerate(zip(units, numbers)):
-            lo, hi = g[k], g[k + 1]
-            unknown = [] if sure else pairs[lo:hi][~known[lo:hi]].tolist()
-            self._remember(unit, raw[8 * lo:8 * hi], texts[k], (*five, 0), unknown)
-        return True
+            fa, fb, g = first_a.tolist(), first_b.tolist(), group.tolist()
+            groups = [",".join(sa[i:j]) + "|" + ",".join(sb[k:m]) for i, j, k, m in zip(fa, fa[1:], fb, fb[1:])]
+            shown = [";".join(groups[lo:hi]) for lo, hi in zip(g, g[1:])]
+        pairs = (a[last_a] << 32 | b[last_b])[group[0]:]
+        return (np.diff(first_a[group]), np.diff(first_b[group]), np.diff(group), pairs, np.zeros(len(units), bool), shown)
+
+
+def _lines(units: list[str]):
+    """The units in lists of about a million characters."""
+    lo = size = 0
+    for hi, unit in enumerate(units):
+        size += len(unit)
+        if size > 1 << 20:
+            yield units[lo:hi + 1]
+            lo, size = hi + 1, 0
+    if lo < len(units):
+        yield units[lo:]
 
 
 def _of_worker(bpe: str, pieces: bytes) -> Aligner:
@@ -165,17 +170,17 @@ def _of_worker(bpe: str, pieces: bytes) -> Aligner:
     return held[key]
 
 
-def _slices(batches, id_at: int = 0, text_at: int = 1):
-    """``(ids, texts)`` of at most about ``_AT_ONCE`` characters (or one text)."""
+def _slices(batches, limit: int):
+    """``(ids, texts)`` of at most about ``limit`` characters (or one text)."""
     for whole in batches:
-        texts = [t or "" for t in whole.column(text_at).to_pylist()]
+        texts = [t or "" for t in whole.column(1).to_pylist()]
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= _AT_ONCE):
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= limit):
                 size += len(texts[hi])
                 hi += 1
-            yield whole.column(id_at).slice(lo, hi - lo), texts[lo:hi]
+            yield whole.column(0).slice(lo, hi - lo), texts[lo:hi]
             lo = hi
 
 
@@ -184,12 +189,22 @@ def pair_counts(source: DataFrame, shared) -> DataFrame:
 
     def run(batches):
         aligner, leaf = _of_worker(*shared.value), TaskContext.get().partitionId()
-        kept, weights, size = [], [], 0
+        kept, weights, size, times = [], [], 0, Counter()
+
+        def add(units: list[str], n: list[int]):
+            nonlocal size
+            got = aligner.align(units)
+            order = np.fromiter(map(got.place.__getitem__, units), np.int64, len(units))
+            each = np.empty(len(units), np.int64)
+            each[order] = n
+            kept.append(got.pairs)
+            weights.append(np.repeat(each, got.n_groups))
+            size += len(got.pairs)
 
         def merged():
             pairs, at = np.unique(np.concatenate(kept), return_inverse=True)
             # counts are whole numbers below 2^53, so summing them as doubles is exact
-            return pairs, np.bincount(at, np.concatenate(weights).astype(np.float64)).astype(np.int64)
+            return pairs, np.bincount(at, np.concatenate(weights).astype(np.float64), len(pairs)).astype(np.int64)
 
         def rows(pairs, n):
             for lo in range(0, len(pairs), 1 << 16):
@@ -197,26 +212,25 @@ def pair_counts(source: DataFrame, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(buckets(p)), pa.array(p), pa.array(n[lo:lo + (1 << 16)]), pa.array(np.full(len(p), leaf, np.int32))],
                     ["bucket", "pair", "n", "leaf"])
-        try:
-            for _, texts in _slices(batches):
-                cut = [u for u in map(aligner.units, texts) if u]
-                aligner.learn({x for u in cut for x in u})
-                # a unit whose bytes differ takes its whole text away
-                times = Counter(x for u in cut if not aligner.bad or aligner.bad.isdisjoint(u) for x in u)
-                own = [aligner.pairs[aligner.place[u]] for u in times]
-                kept.append(np.frombuffer(b"".join(own), np.int64))
-                weights.append(np.repeat(np.fromiter(times.values(), np.int64, len(times)), [len(x) // 8 for x in own]))
-                size += len(kept[-1])
-                if size > 1 << 21:
-                    pairs, n = merged()
-                    kept, weights, size = [pairs], [n], len(pairs)
-                    if size > 1 << 20:
-                        yield from rows(pairs, n)
-                        kept, weights, size = [], [], 0
-            if kept:
-                yield from rows(*merged())
-        finally:
-            aligner.forget()
+
+        for _, texts in _slices(batches, 1 << 20):
+            for text in texts:
+                units = aligner.units(text)
+                if len(units) > 1:
+                    times.update(units)
+                elif units:
+                    add(units, [1])
+            if len(times) > _UNITS:
+                add(list(times), list(times.values()))
+                times.clear()
+            if size > 1 << 21:
+                pairs, n = merged()
+                kept, weights, size = [pairs], [n], len(pairs)
+                if size > 1 << 20:
+                    yield from rows(pairs, n)
+                    kept, weights, size = [], [], 0
+        add(list(times), list(times.values()))
+        yield from rows(*merged())
 
     return source.mapInArrow(run, "bucket int, pair long, n long, leaf int")
 
@@ -351,31 +365,32 @@ def align(docs: DataFrame, bpe_path: str, pieces_path: str, id_col: str = "doc_i
 
     def run(batches):
         aligner, looked_up = _of_worker(*shared.value), Lookup(*table.value)
-        try:
-            for ids, texts in _slices(batches):
-                cut = [u or [] for u in map(aligner.units, texts)]
-                aligner.learn({x for u in cut for x in u}, looked_up, True)
-                place = [list(map(aligner.place.__getitem__, u)) for u in cut]
-                used = sorted({k for p in place for k in p})
-                fields = np.array([aligner.numbers[k][:6] for k in used], np.int64).reshape(-1, 6)
-                flat = np.searchsorted(used, np.fromiter((k for p in place for k in p), np.int64))
-                sums = np.concatenate((np.zeros((1, 6), np.int64), np.cumsum(fields[flat], axis=0)))
-                ends = np.cumsum([0, *map(len, place)])
-                got = sums[ends[1:]] - sums[ends[:-1]]
-                fine = (got[:, 5] == 0) & (np.diff(ends) > 0)
-                got[~fine] = 0
-                sha, cold = [], []
-                for ok, p in zip(fine.tolist(), place):
-                    sha.append(hashlib.sha256(";".join(map(aligner.shown.__getitem__, p)).encode()).hexdigest() if ok else "")
-                    unknown = Counter(x for k in p for x in aligner.numbers[k][6]) if ok and partial_table else {}
-                    cold.append([{"pair": x, "times": n} for x, n in unknown.items()])
-                n_a, n_b, n_groups, n_best, count_sum = (pa.array(got[:, k]) for k in range(5))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, n_a, n_b, n_groups, n_groups, n_best, count_sum, pa.array(sha, pa.string()),
-                     pa.array(cold, pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())])))],
-                    ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "cold"])
-        finally:
-            aligner.forget()
+        for ids, texts in _slices(batches, _AT_ONCE):
+            cut = list(map(aligner.units, texts))
+            got = aligner.align(list(set(chain.from_iterable(cut))), True)
+            count, top, known = looked_up(got.pairs)
+            edges = np.concatenate(([0], np.cumsum(got.n_groups)))
+            best, total = (np.diff(np.concatenate(([0], np.cumsum(x * known)))[edges]) for x in (top, count))
+            fields = np.column_stack((got.n_a, got.n_b, got.n_groups, best, total, got.bad))
+            place = np.fromiter(map(got.place.__getitem__, chain.from_iterable(cut)), np.int64)
+            ends = np.cumsum([0, *map(len, cut)])
+            sums = np.concatenate((np.zeros((1, 6), np.int64), np.cumsum(fields[place], axis=0)))
+            sums = sums[ends[1:]] - sums[ends[:-1]]
+            fine = (sums[:, 5] == 0) & (np.diff(ends) > 0)
+            sums[~fine] = 0
+            at, sha, cold = place.tolist(), [], []
+            for ok, lo, hi in zip(fine.tolist(), ends.tolist(), ends[1:].tolist()):
+                sha.append(hashlib.sha256(";".join(map(got.shown.__getitem__, at[lo:hi])).encode()).hexdigest() if ok else "")
+                unknown = {}
+                if partial_table and ok:
+                    own = np.concatenate([got.pairs[edges[k]:edges[k + 1]][~known[edges[k]:edges[k + 1]]] for k in at[lo:hi]])
+                    unknown = dict(zip(*(x.tolist() for x in np.unique(own, return_counts=True))))
+                cold.append([{"pair": x, "times": n} for x, n in unknown.items()])
+            n_a, n_b, n_groups, n_best, count_sum = (pa.array(sums[:, k]) for k in range(5))
+            yield pa.RecordBatch.from_arrays(
+                [ids, n_a, n_b, n_groups, n_groups, n_best, count_sum, pa.array(sha, pa.string()),
+                 pa.array(cold, pa.list_(pa.struct([("pair", pa.int64()), ("times", pa.int64())])))],
+                ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "cold"])
 
     columns = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     rows = source.mapInArrow(run, f"id {kind}, {columns}, cold array<struct<pair:long,times:long>>")

@@ -80,7 +80,7 @@ def test_alignment_equals_plain(spark, odd, docs, table_keys):
 def test_alignment_does_not_depend_on_slices(spark, docs, monkeypatch):
     some = docs.where("doc_id < 40")
     whole = ordered(token_align.align(some, BPE, PIECES).collect())
-    for name, value in (("_AT_ONCE", 2000), ("_KEPT_BYTES", 50_000), ("SHARD_KEYS", 300), ("LEAF_ROWS", 200), ("FAN_IN", 2)):
+    for name, value in (("_AT_ONCE", 2000), ("_UNITS", 50), ("SHARD_KEYS", 300), ("LEAF_ROWS", 200), ("FAN_IN", 2)):
         monkeypatch.setattr(token_align, name, value)
     assert ordered(token_align.align(some.repartition(7), BPE, PIECES).collect()) == whole
 
