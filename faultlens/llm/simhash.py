@@ -251,9 +251,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = settle(fingerprints(docs, id_col, text_col, shingle))
     distinct = settle(prints.groupBy("fp").agg(F.min("id").alias("low")))
     parts = connected_components(near_links(distinct.select("fp"), radius, blocks, slice_rows))
-    rooted = distinct.join(parts.withColumnRenamed("vertex", "fp"), "fp", "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    rooted = settle(distinct.join(parts.withColumnRenamed("vertex", "fp"), "fp", "left").select(
+        "fp", "low", F.coalesce("root", "fp").alias("root")))
+    # settled, so that both sides of the next join are plain exchanges and a very large component can be split
+    lowest = settle(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -40,7 +40,7 @@ _UNIT = re.compile(r"[ \t\n]+[^ \t\n]*")
 #: White space by which units could not be told apart safely: rare kinds, and the carriage return, which pieces end in.
 _RARE = re.compile("[\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Characters whose units are aligned together, and distinct units that a task counts before it aligns them.
-_AT_ONCE, _UNITS = 1 << 22, 300_000
+_AT_ONCE, _UNITS = 1 << 23, 500_000
 #: Keys of a shard, rows of a leaf, and vectors summed by a node.
 SHARD_KEYS, LEAF_ROWS, FAN_IN = 1 << 18, 1 << 19, 8
 _BUCKETS = 1 << 16
@@ -76,11 +76,10 @@ class Aligner:
         self.a = ranked(whole, {t["content"] for t in whole.get("added_tokens", [])})
         if self.a is None:
             raise ValueError("only byte-level BPE files with merges in id order are supported as A")
-        self.a_bytes = octets(whole)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         shown = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(shown)]
-        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (octets(whole), self.b_bytes))
         model = parse_model(pieces)
         # units are independent if the normaliser only marks spaces, every byte has a piece, and no piece goes on from a
         # visible character to white space
@@ -100,9 +99,11 @@ class Aligner:
         a = self.a.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
         b = np.array(self.b.encode(text[1:]), np.int64)
         data = text.encode()
-        if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data or b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data:
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        # A merges the text's own bytes, so its length says all; B marks spaces and may change bytes
+        if not len(b) or a_end[-1] != len(data) or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
             return None
-        return a, b, np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        return a, b, a_end, b_end
 
     def align(self, units: list[str], strings: bool = False) -> Aligned:
         """Distinct units, each as it is cut in any text that holds it."""

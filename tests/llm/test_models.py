@@ -1,6 +1,7 @@
 """Language ID, personal data, HTML extraction, nearest neighbours, tokenisers and packing."""
 
 import hashlib
+import json
 import random
 import struct
 
@@ -116,6 +117,25 @@ def test_method_adds_what_base_patterns_miss(spark, detector):
     assert clean == {1: "on [PHONE] [CARD] la", 2: rows[1][1], 3: rows[2][1]}
 
 
+def test_prose_is_left_alone(spark, detector):
+    texts = ["meet me (at) home. Then we go. ok", "price (at) 5.00 each", "see you (at) 10.30 or [at] noon. We wait", "room {at} inn.  Next day"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in pii.redact(frame, detector).orderBy("doc_id").collect()] == texts
+
+
+def test_added_spans_on_labelled_lines(spark, detector):
+    """Precision and recall of all spans on made-up lines of another seed, by kind; the labels come from how lines are made."""
+    lines = pii.examples(100, seed=77)
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(lines)], "doc_id long, text string")
+    found = {r.doc_id: {tuple(p.split(":")) for p in r.spans.split(",") if p} for r in pii.report(frame, detector).collect()}
+    for kind in pii.KINDS:
+        got = {(k, *map(int, s[1:])) for k, spans in found.items() for s in spans if s[0] == kind}
+        want = {(k, lo, hi) for k, (_, spans) in enumerate(lines) for name, lo, hi in spans if name == kind}
+        right = len(got & want)
+        print(kind, "precision", right / max(1, len(got)), "recall", right / len(want))
+        assert right >= 0.95 * len(want) and right >= 0.9 * len(got), kind
+
+
 def test_boosting_separates_patterns():
     x = np.array([[0, 1], [0, 5], [1, 1], [1, 5]])
     trees = pii.boost(x, np.array([9., 0, 0, 0]), np.array([0., 9, 9, 9]), depth=2)
@@ -323,6 +343,21 @@ def test_codec_holds_every_text_whole():
     assert [np.frombuffer(g[0], "<u4").tolist() for g in codec.encode(texts)] == [codec.reference.encode("plain words")] * 40
 
 
+def test_codec_with_little_memory(monkeypatch, texts):
+    """Generations of a few words give the same ids, and the known words stay within their bytes."""
+    with open(PIECES, "rb") as f:
+        codec = sentencepiece_codec.Codec(f.read())
+    some = [t or "" for _, t in texts[:60]]
+    whole = codec.encode(some)
+    codec.forget()
+    monkeypatch.setattr(sentencepiece_codec, "KEPT_BYTES", 60_000)
+    monkeypatch.setattr(sentencepiece_codec, "_AT_ONCE", 3_000)
+    monkeypatch.setattr(sentencepiece_codec, "_NEW_AT_ONCE", 7)
+    assert codec.encode(some) == whole
+    longest = max(map(len, some))
+    assert codec.size < 30_000 + 300 * longest and len(codec.known) + len(codec.before) < 2 * (30_000 // 210 + longest)
+
+
 def test_unigram_model_with_normaliser_flags():
     """A tiny model file written by hand: scores pick the best path, unknown characters fall back to bytes."""
     def varint(n):
