@@ -119,11 +119,10 @@ def collection_totals(logs: DataFrame, metrics: DataFrame) -> DataFrame:
     """``run_id, kind, name, node, files, rows``: rows of each run's file on each node, then files and rows of each run, of each
     kind and overall (the finer columns are NULL there).
 
-    ``logs`` as :func:`faultlens.plans.collect.collect_runs` gives them, ``metrics(run_id, name, node)`` a row per sample.
+    ``logs(run_id, name, node, rows)`` as :func:`faultlens.plans.collect.count_runs` gives them, ``metrics(run_id, name, node)`` a
+    row per sample.
     """
-    name = F.coalesce(F.concat(F.lit("task_"), F.col("task_id")), F.col("component"))
-    rows = logs.select("run_id", F.lit("log").alias("kind"), name.alias("name"), "node").unionByName(
-        metrics.select("run_id", F.lit("metric").alias("kind"), "name", "node"))
-    per_file = materialize(rows.groupBy("run_id", "kind", "name", "node").agg(F.count(F.lit(1)).alias("rows")))
+    samples = metrics.groupBy("run_id", "name", "node").agg(F.count(F.lit(1)).alias("rows"))
+    per_file = materialize(logs.withColumn("kind", F.lit("log")).unionByName(samples.withColumn("kind", F.lit("metric"))))
     return per_file.groupingSets([["run_id", "kind", "name", "node"], ["run_id", "kind"], ["kind"], []], "run_id", "kind", "name", "node").agg(
         F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))

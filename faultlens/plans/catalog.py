@@ -25,6 +25,7 @@ _MODULES = [
     "faultlens.plans.sink_jobs",
     "faultlens.plans.stream_jobs",
     "faultlens.plans.rough_jobs",
+    "faultlens.plans.analysis_jobs",
 ]
 
 

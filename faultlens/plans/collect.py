@@ -114,6 +114,20 @@ def collect_runs(store: DataFrame, runs: DataFrame, per_file_limit: int | None =
             .unionByName(task.withColumn("source", F.lit("task")).select(*columns)))
 
 
+def count_runs(store: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(run_id, name, node, rows)``: how many rows :func:`collect_runs` gives for each run's file on a node.
+
+    Task files are counted once, whatever the number of runs that list them; their counts are joined to the listing.
+    """
+    comp = L.store_records(store).where(F.col("task_id").isNull() & (F.col("component") != "unknown")).select("line_ts", "component", "node")
+    in_window = range_join(comp, runs, "line_ts").groupBy("run_id", F.col("component").alias("name"), "node").agg(F.count(F.lit(1)).alias("rows"))
+    per_file = L.task_records(store).groupBy("filename", log_file_key().alias("name"), "node").agg(F.count(F.lit(1)).alias("rows"))
+    named = store.select("filename", "ts").where(F.col("filename").contains("application_"))
+    listed = range_join(named, runs, "ts").select("filename", "run_id").distinct()
+    of_tasks = listed.join(per_file, "filename").groupBy("run_id", "name", "node").agg(F.sum("rows").alias("rows"))
+    return in_window.unionByName(of_tasks)
+
+
 def log_file_key(task_col: str = "task_id", component_col: str = "component"):
     """Per-node file key: ``<component>`` for daemon logs, ``task_<id>`` for task logs."""
     return F.coalesce(F.concat(F.lit("task_"), F.col(task_col)), F.col(component_col))

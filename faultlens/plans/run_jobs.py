@@ -12,7 +12,7 @@ from faultlens.operators.rangejoin import range_join
 from faultlens.plans import dims
 from faultlens.plans import sqlfrag as S
 from faultlens.plans.catalog import cte, register
-from faultlens.plans.collect import collect_runs
+from faultlens.plans.collect import collect_runs, count_runs
 from faultlens.plans.dims import sql_values
 from faultlens.session import prepare, scratch_path
 from faultlens.sources import fixtures as fx
@@ -125,7 +125,7 @@ def collection_totals(spark: SparkSession, sf_dir: str):
     raw = fx.raw_log(spark, sf_dir)
     windows = materialize(_windows(spark, sf_dir).select("run_id", "window_start", "window_end"))
     mets = range_join(fx.gauge_sample(spark, sf_dir).select("hostname", "mode", "ts"), windows, "ts")
-    return ops.collection_totals(collect_runs(raw, windows), mets.select("run_id", F.col("mode").alias("name"), F.col("hostname").alias("node")))
+    return ops.collection_totals(count_runs(raw, windows), mets.select("run_id", F.col("mode").alias("name"), F.col("hostname").alias("node")))
 
 
 @register("known_node_runs", oracle=cte(**BASE, catalogue=CATALOGUE_SQL, info=FAULT_INFO_SQL) + """

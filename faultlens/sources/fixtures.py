@@ -117,7 +117,12 @@ FROM events
 
 def gauge_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Node-exporter-like gauge samples: (event_id, ts, hostname, mode, g)."""
-    return read_table(spark, sf_dir, "events").select(
+    return gauge_from(read_table(spark, sf_dir, "events"))
+
+
+def gauge_from(ev: DataFrame) -> DataFrame:
+    """The gauge projection of an events DataFrame (batch or streaming)."""
+    return ev.select(
         "event_id", "ts", F.concat(F.lit("cpf-"), (F.col("user_id") % 4 + 1).cast("string")).alias("hostname"),
         F.col("event_type").alias("mode"), F.col("value").alias("g"))
 

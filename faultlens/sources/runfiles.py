@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultlens.operators.ordering import materialize_sized, maybe_broadcast
+from faultlens.operators.ordering import materialize, materialize_sized, maybe_broadcast
 from faultlens.plans import dims
 from faultlens.sources.files import real_path
 
@@ -42,6 +42,8 @@ RESULT_SCHEMA = T.StructType([
 ])
 # --- fixed values: the plan that runs when none is given ------------------------
 DEFAULT_PLAN_ENTRIES = [("data_bloat", 2, 1, True), ("task_fail", 2, 2, True), ("data_skew", 2, 3, True), ("long_tail", 1, 4, False)]
+#: Columns beyond this are not looked for in a header (the CSV parser's own limit).
+MAX_CSV_COLUMNS = 16_384
 DEFAULT_PLAN_SETTINGS = ("/tmp/fault_test_results", False, 120, 300)
 # --------------------------------------------------------------------------------
 
@@ -49,12 +51,20 @@ DEFAULT_PLAN_SETTINGS = ("/tmp/fault_test_results", False, 120, 300)
 def read_plans(spark: SparkSession, paths: str | list[str], multi_line: bool = True) -> DataFrame:
     """``plan, faults, global_settings`` of plan files: a JSON document per file, or per line with ``multi_line=False``.
 
-    Each file or line is one plan; ``plan`` names it by path and place.
+    Each file or line is one plan. ``plan`` is the path, for lines with their place: the start of the file block that the line
+    was read in and its number among the rows of that read. Equal plans stay apart; places are fixed by a
+    checkpoint. Blank lines are no plans.
     """
-    rows = spark.read.schema(PLAN_SCHEMA).option("multiLine", str(multi_line).lower()).json(paths)
     path = real_path(F.col("_metadata.file_path"))
-    plan = path if multi_line else F.concat(path, F.lit("#"), F.md5(F.to_json(F.struct("faults", "global_settings")).cast("binary")))
-    return rows.select(plan.alias("plan"), "faults", "global_settings")
+    if multi_line:
+        rows = spark.read.schema(PLAN_SCHEMA).option("multiLine", "true").json(paths)
+        return rows.select(path.alias("plan"), "faults", "global_settings")
+    lines = spark.read.text(paths).select(
+        path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), "value")
+    # the lower 33 bits of the place count the rows of a task
+    placed = materialize(lines.withColumn("place", F.col("place").bitwiseAND((1 << 33) - 1)).where(F.trim("value") != ""))
+    name = F.concat_ws("#", "path", F.concat_ws(":", "block", "place"))
+    return placed.select(name.alias("plan"), F.from_json("value", PLAN_SCHEMA).alias("p")).select("plan", "p.faults", "p.global_settings")
 
 
 def default_plan(spark: SparkSession) -> DataFrame:
@@ -92,30 +102,37 @@ def write_run_summary(results: DataFrame, config: DataFrame, root: str) -> str:
     return root
 
 
-def read_csv_by_header(spark: SparkSession, paths: str | list[str], columns: dict[str, str | None],
-                       max_columns: int = 64) -> DataFrame:
-    """Rows of CSV files at any depth, by the column names in each file's own header.
+def read_csv_by_header(spark: SparkSession, paths: str | list[str], columns: dict[str, str | None], width: int = 64) -> DataFrame:
+    """Rows of CSV files at any depth, by the column names in each file's own header, its first record.
 
-    ``columns`` maps the wanted names to their default where a file has no such column; files may order and omit
-    columns as they like, further ones are ignored. A file's header is its row that names at least one
-    wanted column and stands before all others; ``file`` is the path.
+    ``columns`` maps the wanted names to their default where a file has no such column (a file may have none of them: its rows
+    hold the defaults); files may order and omit columns as they like, further ones are ignored, and of columns
+    of one name the last counts. Only the first record of a file is its header: rows that repeat it stay. A cell that a
+    short row lacks is NULL. ``file`` is the path. ``width`` is how many columns are read at first; it is doubled until
+    every header fits.
     """
-    cells = [f"_c{k}" for k in range(max_columns)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
-    raw = (spark.read.schema(schema).option("header", "false").option("multiLine", "true").option("escape", '"')
-           .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("nullValue", "\\N").csv(paths))
-    rows = raw.select(real_path(F.col("_metadata.file_path")).alias("file"), F.array(*cells).alias("cells"))
-    named = rows.where(F.arrays_overlap("cells", F.array(*[F.lit(c) for c in columns])))
-    # files are read whole and in order, so a header comes first; a data cell that equals a name has fewer names beside it
-    names = F.size(F.array_intersect("cells", F.array(*[F.lit(c) for c in columns])))
-    headers = named.groupBy("file").agg(F.max(F.struct(names.alias("n"), F.col("cells").alias("header"))).alias("h")) \
-        .select("file", "h.header")
-    headers, seen = materialize_sized(headers)
+    while True:
+        cells = [f"_c{k}" for k in range(width)]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
+        raw = (spark.read.schema(schema).option("header", "false").option("multiLine", "true").option("escape", '"').option("maxColumns", 2 * width)
+               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("nullValue", "\\N").csv(paths))
+        rows = raw.select(real_path(F.col("_metadata.file_path")).alias("file"), F.array(*cells).alias("cells"))
+        # a multi-line file is one split, read in order by one task: its first row has the smallest number
+        first = rows.withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("cells", "at").alias("header"))
+        headers, seen = materialize_sized(first, full=F.max(F.size(F.filter(F.slice("header", width // 2 + 1, width), lambda c: c.isNotNull()))))
+        if not seen["full"] or width >= MAX_CSV_COLUMNS:
+            break
+        width *= 2
     joined = rows.join(maybe_broadcast(headers, rows=seen["rows"], size=seen["bytes"]), "file")
-    body = joined.where(~F.col("cells").eqNullSafe(F.col("header")))
+    same = F.col("cells").eqNullSafe(F.col("header"))
+    # rows equal to the header are alike: all but one of them are data
+    again = joined.where(same).groupBy("file", "header").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "file", F.col("header").alias("cells"), "header", F.explode(F.sequence(F.lit(2).cast("long"), "n"))).drop("col")
+    body = joined.where(~same).select("file", "cells", "header").unionByName(again)
 
     def cell(name: str, default: str | None):
-        at = F.array_position("header", F.lit(name))
-        return F.when(at > 0, F.get("cells", (at - 1).cast("int"))).otherwise(F.lit(default).cast("string")).alias(name)
+        at = F.lit(width) - F.array_position(F.reverse("header"), F.lit(name))
+        return F.when(F.array_contains(F.coalesce("header", F.array()), F.lit(name)), F.get("cells", at.cast("int"))) \
+            .otherwise(F.lit(default).cast("string")).alias(name)
 
     return body.select("file", *[cell(n, d) for n, d in columns.items()])

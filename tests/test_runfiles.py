@@ -63,3 +63,40 @@ def test_catalogue_of_the_users_own(spark):
     by_script = ops.with_fault_info(runs.where("script is not null"), own).first()
     assert by_script.description == "mine"
     assert [r.run_id for r in ops.known_nodes(ops.with_fault_info(runs.drop("script"), own)).collect()] == ["r1"]
+
+
+def test_equal_plans_stay_apart(spark, tmp_path):
+    (tmp_path / "p.json").write_text("\n".join([json.dumps(PLAN), "", json.dumps(PLAN)]) + "\n")
+    plans = RF.read_plans(spark, str(tmp_path / "p.json"), multi_line=False)
+    rows = ops.expand_plans(RF.plan_entries(plans)).collect()
+    assert len({r.plan for r in rows}) == 2 and all(r.plan.startswith(str(tmp_path / "p.json")) for r in rows)
+    assert sorted((r.k, r.total, r.fault_type) for r in rows) == sorted(2 * [(1, 3, "a"), (2, 3, "a"), (3, 3, "b")])
+
+
+WANTED = {"message": "", "node": "unknown", "level": "unknown"}
+
+
+def read_csv(spark, path, **options):
+    return sorted((r.file.rsplit("/", 1)[-1], r.message, r.node, r.level)
+                  for r in RF.read_csv_by_header(spark, str(path), WANTED, **options).collect())
+
+
+def test_csv_without_a_known_name(spark, tmp_path):
+    (tmp_path / "none.csv").write_text("a,b\n1,2\n3,4\n")
+    (tmp_path / "some.csv").write_text("message\nm\n")
+    assert read_csv(spark, tmp_path) == [("none.csv", "", "unknown", "unknown")] * 2 + [("some.csv", "m", "unknown", "unknown")]
+
+
+def test_csv_of_many_columns(spark, tmp_path):
+    names = [f"x{k}" for k in range(70)] + ["node", "level"] + [f"y{k}" for k in range(90)] + ["message"]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(f"v{k}" for k in range(len(names))) + "\n")
+    assert read_csv(spark, tmp_path) == [("wide.csv", "v162", "v70", "v71")]
+    assert read_csv(spark, tmp_path, width=2) == [("wide.csv", "v162", "v70", "v71")]
+
+
+def test_csv_header_is_the_first_record(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("level,node,z\nnode,level,zz\nlevel,node,z\nlevel,node,z\nl,n\n")
+    (tmp_path / "twice.csv").write_text("node,message,node\na,b,c\n")
+    assert read_csv(spark, tmp_path) == sorted([
+        ("h.csv", "", "level", "node"), ("h.csv", "", "node", "level"), ("h.csv", "", "node", "level"), ("h.csv", "", "n", "l"),
+        ("twice.csv", "b", "c", "unknown")])
