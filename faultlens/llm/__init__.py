@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators, each usable on any DataFrame of documents, pages or vectors.
+"""Training-data operators: thirteen corpus operators, each usable on any DataFrame of documents, pages or vectors.
 
 Nothing else in the package imports this subpackage.
 """
