@@ -45,6 +45,14 @@ def pick(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*[docs[n].alias(n) for n in names])
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``docs`` has it (Spark ignores case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def worker_state() -> dict:
     """What this Python process keeps from task to task: the namespace of a module that exists only in memory.
 

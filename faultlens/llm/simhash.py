@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from faultlens.llm.common import pick, settle
+from faultlens.llm.common import pick, settle, unused
 from faultlens.llm.components import connected_components
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -266,13 +266,14 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     A null id loses to any other; rows that share an id are told apart by a hash of their text, and of rows that repeat
     id and text one stays.
     """
+    mark = unused(docs, "near_key")
     key = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
-    keyed = docs.withColumn("__key", key)
-    groups = near_groups(keyed.select("__key", text_col), "__key", text_col, **options)
-    kept = groups.where(F.col("__key") == F.col("component_id")).select(F.col("__key").alias("__kept")).distinct()
-    names = ("absent", "id", "hash")
-    flat = keyed.select("*", *[F.col(f"__key.{n}").alias(f"__{n}") for n in names])
-    kept = kept.select(*[F.col(f"__kept.{n}").alias(f"__kept_{n}") for n in names])
-    on = [F.col(f"__{n}").eqNullSafe(F.col(f"__kept_{n}")) for n in names]
-    once = flat.join(kept, on[0] & on[1] & on[2], "left_semi").dropDuplicates([f"__{n}" for n in names])
-    return once.select(*docs.columns)
+    groups = near_groups(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", **options)
+
+    def flat(part):
+        return F.concat_ws(":", part("hash").cast("string"), part("id").cast("string"))
+
+    kept = groups.where(F.col("key") == F.col("component_id")).select(flat(lambda n: F.col(f"key.{n}")).alias(mark)).distinct()
+    own = flat({"id": F.col(id_col), "hash": F.xxhash64(text_col)}.__getitem__)
+    # both steps need the rows of a key together: one exchange serves them
+    return docs.withColumn(mark, own).join(kept, mark, "left_semi").dropDuplicates([mark]).drop(mark)

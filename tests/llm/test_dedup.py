@@ -31,6 +31,33 @@ def test_exact_tree_shrinks_a_hot_text(spark):
     assert got[3999].keep_id == 0 and got[3999].group_size == 1334 and got[1].group_size == 1
 
 
+def test_merges_read_their_runs_in_order(spark):
+    rows = spark.range(0, 2000, numPartitions=8).selectExpr("id as doc_id", "cast(id % 300 as string) as text")
+    level = exact_dedup.digests(rows).selectExpr("run", "digest", "n_bytes", "sha", "struct(id is null as absent, id, row) as best",
+                                                 "1L as group_size")
+    plan = exact_dedup.merged(level)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("rangepartitioning(") == 1
+    # one sort by the ranges' keys, which the aggregates go on with
+    assert plan.count("Sort [") == 1
+    whole = exact_dedup.merged(exact_dedup.merged(level).withColumn("run", level.run * 0)).collect()
+    assert len(whole) == 300 and sum(r.group_size for r in whole) == 2000
+    assert sorted(r.best.id for r in whole) == list(range(300))
+
+
+def test_survivors_keep_columns_of_any_name(spark):
+    rows = [(5, "one  two three four", 1, "x", 2), (2, "one two three four", 2, "y", 3), (None, "one two three four", 3, "z", 4),
+            (2, "one two three four", 4, "w", 5), (7, None, 5, "", 6), (8, "", 6, None, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kept_key long, Near_Key string, __sha long")
+    for stage in (exact_dedup.survivors, simhash.survivors):
+        left = stage(frame)
+        assert left.columns == frame.columns and left.schema == frame.schema
+        assert sorted(r.doc_id for r in left.collect()) == [2, 7]
+        assert all(tuple(r) in rows for r in left.collect())
+        # whole rows are dealt once: one exchange by the key on each side of the join
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("hashpartitioning(_kept_key") + plan.count("hashpartitioning(_near_key") == 2
+
+
 def near_brute(rows):
     prints = [brute.simhash(t) for _, t in rows]
     root = components_of(prints)
