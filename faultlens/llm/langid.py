@@ -9,8 +9,8 @@ Training reads only rows that are labelled and not held out:
    penalties on softmax gradients; the L1 part leaves most weights zero;
 4. one temperature, fitted on a part of the sample kept from step 3.
 
-A prediction reads the text alone.  TF is a gram's share of the text's grams, so
-a score is a mean of weights over the whole text and long texts need no vector.
+A prediction reads the text alone.  In training and prediction alike, TF is a gram's count divided by the
+Euclidean length of the text's counts, which are taken over the whole text, piece by piece.
 """
 
 from __future__ import annotations
@@ -50,6 +50,16 @@ def gram_buckets(text: str) -> Iterator[np.ndarray]:
             yield ((code * _MULTIPLIERS[2]) >> np.uint32(16))[:own].astype(np.int64)
 
 
+def unit_tf(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of the text's grams, and their counts scaled to Euclidean length one."""
+    whole = np.zeros(BUCKETS, np.int64)
+    for buckets in gram_buckets(text):
+        whole += np.bincount(buckets, minlength=BUCKETS)
+    at = np.flatnonzero(whole)
+    tf = whole[at].astype(np.float64)
+    return at, (tf / np.sqrt(tf @ tf)).astype(np.float32)
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -67,12 +77,8 @@ class LanguageModel:
         """Label and calibrated probability; ``und`` with score 0 if the text is null or has no letter."""
         if not self.labels or not has_letter(text):
             return UNDETERMINED, 0.0
-        total, seen = np.zeros(len(self.labels)), 0
-        for buckets in gram_buckets(text):
-            total += np.bincount(buckets, minlength=BUCKETS) @ self.weights if len(buckets) > BUCKETS \
-                else self.weights[buckets].sum(axis=0)
-            seen += len(buckets)
-        share = softmax((total / seen + self.bias) / self.temperature)
+        at, tf = unit_tf(text)
+        share = softmax((tf @ self.weights[at] + self.bias) / self.temperature)
         best = int(np.argmax(share))
         return self.labels[best], float(share[best])
 
@@ -124,12 +130,8 @@ def sample_vectors(labelled: DataFrame, per_label: int) -> list[tuple[str, np.nd
     def run(batches):
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
-                whole = np.zeros(BUCKETS, np.int64)
-                for buckets in gram_buckets(text):
-                    whole += np.bincount(buckets, minlength=BUCKETS)
-                at = np.flatnonzero(whole)
-                if len(at):
-                    tf = (whole[at] / whole.sum()).astype(np.float32)
+                if text:
+                    at, tf = unit_tf(text)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([label]), pa.array([at.astype("<i4").tobytes()]), pa.array([tf.tobytes()])],
                         ["label", "at", "tf"])
@@ -208,16 +210,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return LanguageModel((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     idf = np.log((1.0 + rows) / (1.0 + df)) + 1.0
     classes = np.array([labels.index(s[0]) for s in sample])
-    vectors = []
-    for _, at, tf in sample:
-        x = tf * idf[at]
-        vectors.append((at, x / np.sqrt((tf * tf).sum())))
+    vectors = [(at, tf * idf[at]) for _, at, tf in sample]
     aside = np.arange(len(sample)) % max(2, round(1 / calibration_part)) == 1
     learn = np.flatnonzero(~aside)
     w, bias = ftrl([vectors[k] for k in learn], classes[learn], len(labels))
-    # vectors were scaled to unit TF norm for learning; predictions use plain means, so the mean scale is folded in
-    scale = float(np.mean([1 / np.sqrt((tf * tf).sum()) for _, _, tf in sample]))
-    weights = w * idf[:, None] * scale
+    weights = w * idf[:, None]
     held = np.flatnonzero(aside)
     logits = np.array([sample[k][2] @ weights[sample[k][1]] + bias for k in held]).reshape(len(held), len(labels))
     return LanguageModel(labels, weights.astype(np.float32), bias, fit_temperature(logits, classes[held]))

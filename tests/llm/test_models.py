@@ -56,6 +56,16 @@ def test_weights_are_sparse_and_labels_never_input(language_model):
     assert 0.05 <= language_model.temperature <= 20
 
 
+def test_scale_does_not_depend_on_length(language_model, texts):
+    """Counts of a text said forty times over differ only where its copies meet."""
+    for _, text in texts[:50]:
+        if langid.has_letter(text) and len(text) > 200:
+            at, tf = langid.unit_tf(text)
+            assert abs((tf.astype(float) ** 2).sum() - 1) < 1e-4 and (np.diff(at) > 0).all()
+            once, often = language_model.predict(text), language_model.predict(" ".join([text] * 40))
+            assert once[0] == often[0] and abs(once[1] - often[1]) < 0.02
+
+
 def test_long_text_goes_in_pieces(monkeypatch):
     text = "abc déf " * 500
     whole = np.sort(np.concatenate(list(langid.gram_buckets(text))))
