@@ -6,11 +6,14 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.functions.sqlfuncs import register_sql_functions
+from faultlens.functions.time import epoch_micros
 from faultlens.operators import intervals as I
 from faultlens.operators import logs as L
 from faultlens.operators.asof import asof_join
 from faultlens.operators.multiset import multiset_diff
+from faultlens.operators.quantiles import grouped_quantiles
 from faultlens.operators.rolling import rolling_sums
+from faultlens.plans import detect_jobs as DJ
 from faultlens.plans import run_jobs as RJ
 from faultlens.plans import sqlfrag as S
 from faultlens.plans.catalog import cte, register
@@ -66,6 +69,32 @@ def rolling_error_rate(spark: SparkSession, sf_dir: str):
     return sums.select("node", "line_ts", "n", "errors", F.round(F.col("errors") / F.col("n"), 6).alias("error_rate"))
 
 
+QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+QUANTILES_SQL = ", ".join(f"round(quantile_cont({{0}}, {q}), 6) AS {name}" for name, q in QUANTILES.items())
+
+
+@register("span_quantiles", oracle=cte(**DJ.TL, spans="""
+SELECT task_id, node, (epoch_us(max(line_ts)) - epoch_us(min(line_ts))) / 1e6 AS span_s
+FROM task_lines GROUP BY task_id, node""") + f"SELECT node, count(*) AS n, {QUANTILES_SQL.format('span_s')} FROM spans GROUP BY node")
+def span_quantiles(spark: SparkSession, sf_dir: str):
+    """How long a node's tasks took: median, 90th and 99th percentile of their spans."""
+    prepare(spark)
+    lines = L.task_records(fx.raw_log(spark, sf_dir))
+    spans = lines.groupBy("task_id", "node").agg(
+        ((epoch_micros(F.max("line_ts")) - epoch_micros(F.min("line_ts"))) / F.lit(1e6)).alias("span_s"))
+    found = grouped_quantiles(spans, ["node"], "span_s", QUANTILES)
+    return found.select("node", "n", *[F.round(q, 6).alias(q) for q in QUANTILES])
+
+
+@register("gauge_quantiles", oracle=cte(metric_sample=fx.METRIC_SAMPLE_SQL) + f"""
+SELECT hostname, count(*) AS n, {QUANTILES_SQL.format('g')} FROM metric_sample WHERE g IS NOT NULL GROUP BY hostname""")
+def gauge_quantiles(spark: SparkSession, sf_dir: str):
+    """Median, 90th and 99th percentile of each host's gauge samples."""
+    prepare(spark)
+    found = grouped_quantiles(fx.gauge_sample(spark, sf_dir), ["hostname"], "g", QUANTILES)
+    return found.select("hostname", "n", *[F.round(q, 6).alias(q) for q in QUANTILES])
+
+
 MERGED_SQL = """
 , swept AS (SELECT fault_type, run_id, window_start, window_end, max(window_end) OVER (ORDER BY window_start, window_end, run_id
                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM windows WHERE window_start < window_end),
