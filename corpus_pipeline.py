@@ -13,7 +13,7 @@ from faultlens.llm import exact_dedup, langid, packing, pii, simhash
 from faultlens.llm.common import land, table
 
 #: A text's best language needs at least this calibrated probability (chance is 0.25 with four languages).
-MIN_LANGUAGE_SCORE = 0.3
+MIN_LANGUAGE_SCORE = 0.26
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
