@@ -2,7 +2,8 @@
 
 Both sides are put in one sequence per key and cut into time buckets (hot buckets finer, as in :mod:`ordering`), so no task
 holds a whole series. Inside a bucket the match is the last right row before a left row; where a bucket has none yet, it is
-carried from the nearest earlier bucket with one, from a table of one row per (key, bucket).
+carried from the nearest earlier bucket with one, from a table of one row per (key, bucket). Looking forward, both go in the
+opposite order, so each row of a bucket is read once either way.
 """
 
 from __future__ import annotations
@@ -41,17 +42,13 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
     both = lefts.unionByName(rights, allowMissingColumns=True)
     edge = (F.max if back else F.min)("_right").alias("_edge")
     cut, stats, _ = _adaptive_buckets(both, keys, "_ts", "_kind", bucket_seconds, max_bucket_rows, extra_aggs=[edge])
-    series = Window.partitionBy(*keys).orderBy(*BUCKET)
-    if back:
-        carry = F.last("_edge", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        carry = F.first("_edge", ignorenulls=True).over(series.rowsBetween(1, Window.unboundedFollowing))
+    # looking forward is looking back in the opposite order: a frame up to the end would be read anew for each row
+    ordered = F.asc if back else F.desc
+    series = Window.partitionBy(*keys).orderBy(*map(ordered, BUCKET))
+    carry = F.last("_edge", ignorenulls=True).over(series.rowsBetween(Window.unboundedPreceding, -1))
     carried, seen = materialize_sized(stats.withColumn("_carry", carry).select(*keys, *BUCKET, "_carry"))
-    inside = Window.partitionBy(*keys, *BUCKET).orderBy("_ts", "_kind", F.col("_right._tie"))
-    if back:
-        near = F.last("_right", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    else:
-        near = F.first("_right", ignorenulls=True).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    inside = Window.partitionBy(*keys, *BUCKET).orderBy(*map(ordered, ("_ts", "_kind", "_right._tie")))
+    near = F.last("_right", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     side = maybe_broadcast(carried, rows=seen["rows"], size=seen["bytes"])
     matched = join_null_safe(cut, side, [*keys, *BUCKET]).withColumn("_near", F.coalesce(near, F.col("_carry"))).where(F.col("_kind") == last)
     fits = known & F.col("_ts").isNotNull()

@@ -62,6 +62,14 @@ def test_asof_keeps_repeated_rows_and_empty_sides(spark):
         asof_join(left, right, ["k"], "t", "t", "tie", ["v"], "sideways")
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_reads_each_row_of_a_bucket_once(spark, direction):
+    """A frame that ends with its partition is built anew for each row: time would grow with the square of a bucket."""
+    side = spark.range(20).select(F.lit("a").alias("k"), F.lit(T0).cast("timestamp_ntz").alias("t"), F.col("id").alias("i"))
+    plan = asof_join(side, side, ["k"], "t", "t", "i", ["i"], direction, prefix="r_")._jdf.queryExecution().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 @pytest.mark.parametrize("max_rows", [5_000_000, 9])
 def test_rolling_sums(spark, max_rows):
     df = spark.createDataFrame([(k, at(t), i) for k, t, i in LEFT], "k string, t timestamp_ntz, i int")
