@@ -4,8 +4,9 @@
    matches always stay, and looser or tighter ones whose spans may overlap them
    (a card number right behind a phone number, an obfuscated address, ...).
 2. Format and context features of each candidate are small integers, computed
-   in SQL.  Labelled candidates of a bounded sample shrink to a count for each
-   feature pattern, and boosted trees are fitted to those counts.
+   in SQL.  The labelled candidates of all documents shrink to a count for each
+   feature pattern, and boosted trees are fitted to those counts: a level of a
+   tree needs the sums of gradients by feature and value only.
 3. Platt scaling and, for each kind, the smallest threshold with the wanted
    precision on held-out documents decide which candidates are added.
 
@@ -16,6 +17,7 @@ needs no shuffle, no join and no function outside Spark SQL.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -56,7 +58,11 @@ FEATURES = ("kind", "digits", "others", "luhn", "octets", "plus", "parens", "bef
             "blanks", "tail", "caps")
 #: Prefix sums of match lengths go by blocks of this size.
 _BLOCK = 256
-_CAP = 24
+#: The greatest value of a feature, and a bound above all of them.
+_CAP, _VALUES = 24, 32
+#: Gradients are whole multiples of 1 / _UNIT, so that they add up exactly in any order and place; leaf values are
+#: multiples of 1 / _STEP and at most _MOST, so that candidates have a bounded number of different margins.
+_UNIT, _STEP, _MOST = 1 << 20, 64, 8.0
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -111,8 +117,11 @@ def _features(kind: int) -> str:
     return _let("regexp_replace(x.m, '[^0-9]+', '')", "d", body)
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, base, extra)``: arrays of candidate structs of every row; ``base`` keeps failing matches, marked not valid."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: bool = True) -> DataFrame:
+    """``(id, base, extra)``: arrays of candidate structs of every row; ``base`` keeps failing matches, marked not valid.
+
+    Without ``more`` there is no ``extra``.
+    """
     text = pick(docs, id_col, text_col).select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
 
     def spans(kind: str, pattern: str, guard: str) -> str:
@@ -120,28 +129,30 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     base = ", ".join(spans(k, BASE[k], _GUARD[k]) for k in KINDS)
     extra = ", ".join(spans(*e) for e in EXTRA)
-    return settle(text.select("id", F.expr(f"concat({base})").alias("base"), F.expr(f"concat({extra})").alias("extra")))
+    found = [F.expr(f"concat({base})").alias("base"), F.expr(f"concat({extra})").alias("extra")]
+    return settle(text.select("id", *found[:2 if more else 1]))
 
 
 @dataclass
 class Node:
-    """A regression tree's node: a leaf has no feature."""
+    """A regression tree's node: a leaf has no feature. While a tree grows, ``place`` numbers the leaves to be split."""
 
     value: float = 0.0
     feature: int = -1
     cut: int = 0
     low: Node | None = None
     high: Node | None = None
+    place: int = -1
 
-    def sql(self, c: str) -> str:
+    def sql(self, c: str, of: Callable[[Node], str] = lambda leaf: f"{leaf.value:.6f}D") -> str:
         if self.feature < 0:
-            return f"{self.value:.6f}D"
-        return f"(case when {c}.{FEATURES[self.feature]} <= {self.cut} then {self.low.sql(c)} else {self.high.sql(c)} end)"
+            return of(self)
+        return f"(case when {c}.{FEATURES[self.feature]} <= {self.cut} then {self.low.sql(c, of)} else {self.high.sql(c, of)} end)"
 
-    def apply(self, x: np.ndarray) -> np.ndarray:
+    def apply(self, x: np.ndarray, of: Callable[[Node], float] = lambda leaf: leaf.value) -> np.ndarray:
         if self.feature < 0:
-            return np.full(len(x), self.value)
-        return np.where(x[:, self.feature] <= self.cut, self.low.apply(x), self.high.apply(x))
+            return np.full(len(x), of(self))
+        return np.where(x[:, self.feature] <= self.cut, self.low.apply(x, of), self.high.apply(x, of))
 
 
 @dataclass
@@ -161,34 +172,95 @@ class Detector:
         return f"element_at(array({', '.join(f'{self.thresholds.get(k, 2.0):.6f}D' for k in KINDS)}), {c}.kind + 1)"
 
 
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float, penalty: float = 1.0) -> Node:
-    """Newton tree on weighted gradients; ties take the first feature and cut."""
-    node = Node(value=float(-rate * g.sum() / (h.sum() + penalty)))
-    if depth == 0:
-        return node
-    best, found = 1e-6, None
-    for f in range(x.shape[1]):
-        for cut in np.unique(x[:, f])[:-1]:
-            low = x[:, f] <= cut
-            gl, hl, gr, hr = g[low].sum(), h[low].sum(), g[~low].sum(), h[~low].sum()
-            gain = gl * gl / (hl + penalty) + gr * gr / (hr + penalty) - g.sum() ** 2 / (h.sum() + penalty)
-            if gain > best:
-                best, found = gain, (f, int(cut), low)
-    if found:
-        node.feature, node.cut, low = found
-        node.low = _grow(x[low], g[low], h[low], depth - 1, rate, penalty)
-        node.high = _grow(x[~low], g[~low], h[~low], depth - 1, rate, penalty)
-    return node
+#: Of the trees so far and one that grows: gradient and second derivative, ``(2, places, features, values)``.
+Sums = Callable[[list[Node], Node, int], np.ndarray]
+
+
+def _leaf(g: float, h: float, rate: float, penalty: float) -> float:
+    """The Newton step of a leaf, a multiple of 1 / _STEP."""
+    return float(np.clip(np.rint(-rate * g / (h + penalty) * _STEP) / _STEP, -_MOST, _MOST))
+
+
+def _grow(sums: Callable[[Node, int], np.ndarray], depth: int, rate: float, penalty: float = 1.0) -> Node:
+    """Newton tree on weighted gradients, level by level; ties take the first feature and cut."""
+    root = Node()
+    level = [root]
+    for _ in range(depth):
+        for k, node in enumerate(level):
+            node.place = k
+        below = []
+        for node, g, h in zip(level, *sums(root, len(level))):
+            node.place = -1
+            g_all, h_all = g[0].sum(), h[0].sum()
+            if node is root:
+                root.value = _leaf(g_all, h_all, rate, penalty)
+            gl, hl = np.cumsum(g, axis=1)[:, :-1], np.cumsum(h, axis=1)[:, :-1]
+            gr, hr = g_all - gl, h_all - hl
+            gain = gl * gl / (hl + penalty) + gr * gr / (hr + penalty) - g_all * g_all / (h_all + penalty)
+            f, cut = np.unravel_index(np.argmax(gain), gain.shape)
+            if gain[f, cut] > 1e-6:
+                node.feature, node.cut = int(f), int(cut)
+                node.low = Node(_leaf(gl[f, cut], hl[f, cut], rate, penalty))
+                node.high = Node(_leaf(gr[f, cut], hr[f, cut], rate, penalty))
+                below += [node.low, node.high]
+        level = below
+        if not level:
+            break
+    return root
+
+
+def _boosted(sums: Sums, rounds: int = 25, depth: int = 4, rate: float = 0.4) -> list[Node]:
+    trees: list[Node] = []
+    for _ in range(rounds):
+        trees.append(_grow(lambda root, places: sums(trees, root, places), depth, rate))
+    return trees
+
+
+def _sums_here(x: np.ndarray, pos: np.ndarray, n: np.ndarray) -> Sums:
+    """The sums over patterns in memory."""
+    held = [0, np.zeros(len(x))]
+    features = x.shape[1]
+
+    def sums(trees: list[Node], root: Node, places: int) -> np.ndarray:
+        for t in trees[held[0]:]:
+            held[1] = held[1] + t.apply(x)
+        held[0] = len(trees)
+        p = 1 / (1 + np.exp(-held[1]))
+        place = root.apply(x, lambda leaf: leaf.place).astype(np.int64)
+        some = place >= 0
+        cell = (place[some, None] * features + np.arange(features)) * _VALUES + x[some]
+        both = [np.bincount(cell.ravel(), np.repeat(np.floor(v[some] * _UNIT + 0.5), features), places * features * _VALUES)
+                for v in (n * p - pos, n * p * (1 - p))]
+        return np.stack(both).reshape(2, places, features, _VALUES) / _UNIT
+    return sums
+
+
+def _sums_spread(patterns: DataFrame, weight: float) -> Sums:
+    """The sums over patterns of a table: a row for each place, feature and value comes to the driver."""
+    count = f"case when own then {weight!r}D else 1D end * "
+    held = [0, settle(patterns.select(*FEATURES, F.expr(count + "pos").alias("pos"), F.expr(count + "n").alias("n"),
+                                      F.lit(0.0).alias("margin")))]
+
+    def sums(trees: list[Node], root: Node, places: int) -> np.ndarray:
+        if held[0] < len(trees):
+            new = " + ".join(t.sql("t") for t in trees[held[0]:])
+            held[1] = settle(held[1].alias("t").select(*FEATURES, "pos", "n", F.expr(f"margin + {new}").alias("margin")))
+            held[0] = len(trees)
+        rows = held[1].alias("t").select(F.expr(root.sql("t", lambda leaf: str(leaf.place))).alias("place"), "pos", "n",
+                                         F.expr("1D / (1D + exp(-margin))").alias("p"), F.array(*FEATURES).alias("x"))
+        rows = rows.where("place >= 0").select(
+            "place", F.expr(f"cast(floor((n * p - pos) * {_UNIT} + 0.5D) as bigint)").alias("g"),
+            F.expr(f"cast(floor(n * p * (1D - p) * {_UNIT} + 0.5D) as bigint)").alias("h"), F.posexplode("x").alias("f", "v"))
+        out = np.zeros((2, places, len(FEATURES), _VALUES))
+        for r in rows.groupBy("place", "f", "v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            out[:, r["place"], r["f"], r["v"]] = r["g"], r["h"]
+        return out / _UNIT
+    return sums
 
 
 def boost(x: np.ndarray, pos: np.ndarray, neg: np.ndarray, rounds: int = 25, depth: int = 4, rate: float = 0.4) -> list[Node]:
     """Logistic boosting on feature patterns with counts of positive and negative candidates."""
-    margin, trees = np.zeros(len(x)), []
-    for _ in range(rounds if len(x) else 0):
-        p = 1 / (1 + np.exp(-margin))
-        trees.append(_grow(x, (pos + neg) * p - pos, (pos + neg) * p * (1 - p), depth, rate))
-        margin += trees[-1].apply(x)
-    return trees
+    return _boosted(_sums_here(x, pos, pos + neg), rounds if len(x) else 0, depth, rate)
 
 
 def platt(margin: np.ndarray, pos: np.ndarray, neg: np.ndarray, steps: int = 200) -> tuple[float, float]:
@@ -268,42 +340,64 @@ def _made(spark, lines: list[tuple[str, set]]) -> list[tuple[bool, bool, list[in
     return [((KINDS[r["kind"]], r["start"], r["end"]) in lines[r["id"]][1], r["id"] % 4 == 0, [r[f] for f in FEATURES]) for r in found]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 20_000,
-          max_patterns: int = 20_000, precision: float = 0.99) -> Detector:
-    """Fit a detector on candidates of about ``max_docs`` documents (by a hash of id and text) and of :func:`examples`.
+def patterns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+    """``(own, aside, features..., pos, n)`` and the number of rows of ``docs``.
 
-    A candidate of a base pattern in a document is positive if it passes that pattern's check; a candidate in a made-up
-    line if it is one of that line's spans. The driver sees counts of feature patterns only, ``max_patterns`` at most (the
-    most frequent), and the made-up lines. A quarter of the documents and lines only calibrates. Null and empty texts
-    have no candidates; repeated rows count each; an empty table leaves the made-up lines.
+    Counts of each feature pattern over the base candidates of all rows (``own``) and all candidates of the made-up lines.
     """
-    spark = docs.sparkSession
     own = pick(docs, id_col, text_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    share = min(1.0, max_docs / max(1, own.count()))
-    own = own.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < share * (1 << 30))
-    rows = (candidates(own, "id", "text").select("id", F.explode("base").alias("c"))
-            .select(F.col("c.valid").alias("y"), (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("aside"),
-                    *[F.col(f"c.{f}").alias(f) for f in FEATURES])
-            .groupBy("aside", *FEATURES).agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n"))
-            .orderBy(F.desc("n"), "aside", *FEATURES).limit(max_patterns).collect())
-    made = _made(spark, examples())
-    x = np.array([[r[f] for f in FEATURES] for r in rows] + [f for _, _, f in made], np.int64).reshape(-1, len(FEATURES))
-    pos = np.array([r["pos"] for r in rows] + [y for y, _, _ in made], float)
-    neg = np.array([r["n"] for r in rows] + [1] * len(made), float) - pos
-    aside = np.array([r["aside"] for r in rows] + [a for _, a, _ in made], bool)
-    trees = boost(x[~aside], pos[~aside], neg[~aside])
-    margin = sum((t.apply(x[aside]) for t in trees), np.zeros(int(aside.sum())))
-    detector = Detector(trees, *platt(margin, pos[aside], neg[aside]))
+    found = candidates(own, "id", "text", more=False)
+    rows = found.select("id", F.explode("base").alias("c")).select(
+        F.lit(True).alias("own"), (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("aside"), F.col("c.valid").alias("y"),
+        *[F.col(f"c.{f}").cast("int").alias(f) for f in FEATURES])
+    made = [(False, bool(a), bool(y), *map(int, x)) for y, a, x in _made(docs.sparkSession, examples())]
+    made = docs.sparkSession.createDataFrame(made, "own boolean, aside boolean, y boolean, " + ", ".join(f"{f} int" for f in FEATURES))
+    counted = rows.unionByName(made).groupBy("own", "aside", *FEATURES).agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n"))
+    return settle(counted), found.count()
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", worth: int = 20_000, at_driver: int = 50_000,
+          precision: float = 0.99) -> Detector:
+    """Fit a detector on the candidates of all documents and of :func:`examples`.
+
+    A candidate of a base pattern in a document is positive if it passes that pattern's check; a candidate in a made-up
+    line if it is one of that line's spans. Every candidate of every document is counted; beyond ``worth`` documents the
+    counts are scaled to the weight of so many, so that the made-up lines weigh the same in any corpus. Of at most
+    ``at_driver`` feature patterns the driver holds the counts; of more, Spark adds up the gradients, to the same trees.
+    A quarter of the documents and lines only calibrates. Null and empty texts have no candidates; repeated rows count
+    each; an empty table leaves the made-up lines.
+    """
+    found, rows = patterns(docs, id_col, text_col)
+    weight = min(1.0, worth / max(1, rows))
+    fitted = found.where("not aside")
+    if fitted.count() <= at_driver:
+        fitted = fitted.collect()
+        x = np.array([[r[f] for f in FEATURES] for r in fitted], np.int64).reshape(-1, len(FEATURES))
+        pos, n = (np.array([(weight if r["own"] else 1.0) * r[c] for r in fitted]) for c in ("pos", "n"))
+        sums = _sums_here(x, pos, n)
+    else:
+        sums = _sums_spread(fitted, weight)
+    trees = _boosted(sums)
+    # candidates that only calibrate, by kind and margin: leaf values are few, so are these
+    margin = " + ".join(t.sql("t") for t in trees)
+    rest = (found.where("aside").alias("t").select("own", "kind", "pos", "n", F.expr(margin).alias("margin"))
+            .groupBy("own", "kind", "margin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+            .orderBy("kind", "margin", "own").collect())
+    margin = np.array([r["margin"] for r in rest], float)
+    pos, n = (np.array([(weight if r["own"] else 1.0) * r[c] for r in rest], float) for c in ("pos", "n"))
+    detector = Detector(trees, *platt(margin, pos, n - pos))
     score = 1 / (1 + np.exp(-(detector.scale * margin + detector.shift)))
     for k, kind in enumerate(KINDS):
-        mine = x[aside][:, 0] == k
-        s, good, bad = score[mine], pos[aside][mine], neg[aside][mine]
-        for cut in np.unique(s[good > 0]) if good.sum() else []:
-            if cut >= 0.5 and good[s >= cut].sum() >= precision * (good + bad)[s >= cut].sum():
-                # half-way down to the next score below, so that equal patterns pass on any platform
-                below = s[s < cut]
-                detector.thresholds[kind] = float((cut + max(0.5, below.max())) / 2 if len(below) else max(0.5, cut * 0.99))
-                break
+        mine = np.array([r["kind"] == k for r in rest], bool)
+        s, at = np.unique(score[mine], return_inverse=True)
+        good, every = (np.bincount(at, v[mine], len(s)) for v in (pos, n))
+        # all candidates of at least each score
+        above = [v[::-1].cumsum()[::-1] for v in (good, every)]
+        fits = np.flatnonzero((good > 0) & (s >= 0.5) & (above[0] >= precision * above[1]))
+        if len(fits):
+            cut = s[fits[0]]
+            # half-way down to the next score below, so that equal patterns pass on any platform
+            detector.thresholds[kind] = float((cut + max(0.5, s[fits[0] - 1])) / 2 if fits[0] else max(0.5, cut * 0.99))
     return detector
 
 

@@ -153,6 +153,25 @@ def test_boosting_separates_patterns():
     assert (margin > 0).tolist() == [True, False, False, False]
 
 
+def test_every_candidate_of_every_document_is_counted(spark):
+    """Also in more documents than the counts are scaled to, and with a pattern that one document has."""
+    frame = spark.range(0, 30_000, 1, 4).selectExpr("id as doc_id", "if(id = 77, 'call +1 (234) 567 89 01 la', concat('on 1.2.3.', id % 300)) as text")
+    counted, rows = pii.patterns(frame)
+    got = {pii.KINDS[r.kind]: (r.n, r.pos) for r in counted.where("own").groupBy("kind").sum("n", "pos").toDF("kind", "n", "pos").collect()}
+    assert rows == 30_000 and got.pop("card")[1] == 0
+    assert got == {"ip": (29_999, sum(k % 300 < 256 for k in range(30_000) if k != 77)), "phone": (1, 1)}
+
+
+def test_trees_are_the_same_wherever_gradients_are_added_up(spark, docs):
+    counted = pii.patterns(docs.where("doc_id < 300"))[0].where("not aside")
+    rows = counted.collect()
+    x = np.array([[r[f] for f in pii.FEATURES] for r in rows])
+    pos, n = (np.array([(0.3 if r.own else 1.0) * r[c] for r in rows]) for c in ("pos", "n"))
+    here = pii._boosted(pii._sums_here(x, pos, n), rounds=3)
+    spread = pii._boosted(pii._sums_spread(counted.repartition(3), 0.3), rounds=3)
+    assert here == spread and any(t.feature >= 0 for t in here)
+
+
 # --- HTML
 
 @pytest.fixture(scope="module")
