@@ -114,13 +114,15 @@ class Attention:
         n, w = ids.shape
         d, scale = self.width, np.float32(1 / np.sqrt(self.width))
         x = p["embed"][ids] + p["place"][:w]
-        q, k, v = x @ p["query"], x @ p["key"], x @ p["value"]
+        parts = ("query", "key", "value", "carry")
+        into = np.concatenate([p[name] for name in parts], axis=1)
+        q, k, v, carry = (np.ascontiguousarray(a) for a in np.split((x.reshape(-1, d) @ into).reshape(n, w, 4 * d), 4, axis=2))
         s = np.matmul(q, k.transpose(0, 2, 1)) * scale
         s -= s.max(axis=2, keepdims=True)
         a = np.exp(s) * _mask(w)
         a /= a.sum(axis=2, keepdims=True)
         o = np.matmul(a, v)
-        h = np.tanh(x @ p["carry"] + o @ p["out"] + p["bias"])
+        h = np.tanh(carry + (o.reshape(-1, d) @ p["out"]).reshape(o.shape) + p["bias"])
         state, goal = h[valid], target[valid]
         m = len(goal)
         each = np.arange(m)
@@ -135,38 +137,42 @@ class Attention:
         g["class_b"][...] = prob.sum(axis=0)
         d_state = prob @ p["class_w"].T
         order, edges = self._by_class(goal)
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[c]:edges[c + 1]]
-            own, place = state[rows], goal[rows] % self.per_class
-            prob = _softmax(own @ p["slot_w"][c] + p["slot_b"][c])
-            at = np.arange(len(rows))
-            loss -= np.log(prob[at, place]).sum(dtype=np.float64)
-            prob[at, place] -= 1
-            prob /= m
-            g["slot_w"][c] = own.T @ prob
-            g["slot_b"][c] = prob.sum(axis=0)
-            d_state[rows] += prob @ p["slot_w"][c].T
+        some = np.flatnonzero(np.diff(edges))
+        own, place = state[order], (goal % self.per_class)[order]
+        prob = np.repeat(p["slot_b"], np.diff(edges), axis=0)
+        for c in some:
+            prob[edges[c]:edges[c + 1]] += own[edges[c]:edges[c + 1]] @ p["slot_w"][c]
+        prob = _softmax(prob)
+        loss -= np.log(prob[each, place]).sum(dtype=np.float64)
+        prob[each, place] -= 1
+        prob /= m
+        back = np.empty_like(own)
+        for c in some:
+            rows = slice(edges[c], edges[c + 1])
+            g["slot_w"][c] = own[rows].T @ prob[rows]
+            np.matmul(prob[rows], p["slot_w"][c].T, out=back[rows])
+        g["slot_b"][some] = np.add.reduceat(prob, edges[some], axis=0)
+        d_state[order] += back
         # the layer
         d_pre = np.zeros_like(h)
         d_pre[valid] = d_state * (1 - state * state)
         flat = d_pre.reshape(-1, d)
         g["bias"][...] = flat.sum(axis=0)
-        g["carry"][...] = x.reshape(-1, d).T @ flat
         g["out"][...] = o.reshape(-1, d).T @ flat
-        d_x = d_pre @ p["carry"].T
-        d_o = d_pre @ p["out"].T
+        d_o = (flat @ p["out"].T).reshape(o.shape)
         d_v = np.matmul(a.transpose(0, 2, 1), d_o)
         d_a = np.matmul(d_o, v.transpose(0, 2, 1))
-        d_s = a * (d_a - (d_a * a).sum(axis=2, keepdims=True)) * scale
+        d_s = a * (d_a - (d_o * o).sum(axis=2, keepdims=True)) * scale
         d_q, d_k = np.matmul(d_s, k), np.matmul(d_s.transpose(0, 2, 1), q)
-        for name, part in (("query", d_q), ("key", d_k), ("value", d_v)):
-            g[name][...] = x.reshape(-1, d).T @ part.reshape(-1, d)
-            d_x += part @ p[name].T
+        behind = np.concatenate((d_q, d_k, d_v, d_pre), axis=2).reshape(-1, 4 * d)
+        for name, part in zip(parts, np.split(x.reshape(-1, d).T @ behind, 4, axis=1)):
+            g[name][...] = part
+        d_x = (behind @ into.T).reshape(x.shape)
         g["place"][:w] = d_x.sum(axis=0)
-        slot = ids.ravel()
+        slot = ids.ravel().astype(np.uint16)
         order = np.argsort(slot, kind="stable")
-        present, begin = np.unique(slot[order], return_index=True)
-        g["embed"][present] = np.add.reduceat(d_x.reshape(-1, d)[order], begin, axis=0)
+        begin = np.flatnonzero(np.diff(slot[order], prepend=-1))
+        g["embed"][slot[order[begin]]] = np.add.reduceat(d_x.reshape(-1, d)[order], begin, axis=0)
         return float(loss / m), grad
 
     def learn(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, rate: float = 0.01, batch: int = 32, epochs: int = 1) -> None:

@@ -2,9 +2,9 @@
 
 * Every word of every training text is counted (the counts of the base score). Subword counts follow from the word counts;
   they choose the model's slots, its starting biases and the shares of the ids that have no slot of their own.
-* Every training text gives windows to the training of the attention weights: runs of ``RUN`` words, one in ``SHARE`` by a hash of
-  the text and the run's number, so what is gathered grows with the corpus. Tasks train on parts of bounded size from common
-  weights, which are then averaged up a tree; rounds use different windows.
+* Every training text is cut into windows for the training of the attention weights, and each of its tokens, and its end, is the
+  target of one of them. Tasks train on parts of bounded size from common weights, which are then averaged up a tree; rounds use
+  different windows, all together every one.
 * Scoring reads whole texts in windows that overlap: the first scores all its tokens, each later one only those behind the
   overlap, so each token counts once and (but for the first) has at least ``window - stride`` others before it.
 
@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import zlib
 from collections import Counter
 from itertools import chain
 
@@ -36,8 +35,6 @@ from faultlens.llm.packing import octets, ranked
 _RARE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 #: Bytes of text whose words are encoded together, and tokens scored at once.
 _AT_ONCE, _TOKENS = 1 << 22, 1 << 13
-#: Words of a training run, and one run in so many is used.
-RUN, SHARE = 24, 16
 #: Windows of a training task, weights averaged by a node of the tree, and distinct words counted before a task hands them on.
 TASK_WINDOWS, FAN_IN, _WORDS = 1 << 14, 16, 400_000
 #: Longer words are never in the broadcast table.
@@ -107,6 +104,20 @@ def _split(batches, text_at: int, limit: int = 1 << 20):
             lo = hi
 
 
+def _ids_of(words: Words, split: list[list[bytes]]):
+    """Ids of the texts' words one after the other, where each word's begin, and ``(words, place of each in them, their ids, edges)``.
+
+    Each different word is encoded once.
+    """
+    listed, ids, counts = words.flat(list(set(chain.from_iterable(split))))
+    place = dict(zip(listed, range(len(listed))))
+    at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64)
+    start = np.concatenate(([0], np.cumsum(counts)))
+    length = counts[at]
+    before = np.concatenate(([0], np.cumsum(length)))
+    return ids[np.arange(before[-1]) + np.repeat(start[at] - before[:-1], length)], before, (listed, at, ids, start)
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """``(word, n)`` over all words of ``training(text)``; words are bytes."""
 
@@ -170,17 +181,29 @@ class Slots:
         self.counts = np.append(counts[own], counts[rest].sum()).astype(np.float64)
 
 
-def _windows(slots: np.ndarray, window: int):
-    """``(inputs, targets, valid)`` of one run: windows without overlap, the last one padded."""
-    rows = -(-(len(slots) - 1) // window)
-    inputs, targets = np.zeros((rows, window), np.int16), np.zeros((rows, window), np.int16)
-    inputs.ravel()[:len(slots) - 1] = slots[:-1]
-    targets.ravel()[:len(slots) - 1] = slots[1:]
-    return inputs, targets, np.arange(rows * window).reshape(rows, window) < len(slots) - 1
+def _windows(slots: np.ndarray, edges: np.ndarray, end: int, window: int) -> np.ndarray:
+    """Rows of ``window + 1`` slots and how many of the last ``window`` are targets, for texts ``slots[edges[i]:edges[i + 1]]``.
+
+    A text's stream is the end slot, its slots, the end slot. Windows share one slot with the next, so that all but the first are
+    a target once; behind the last slot come end slots that are none.
+    """
+    size = np.diff(edges) + 1
+    many = -(-size // window)
+    begin = np.concatenate(([0], np.cumsum(many)))
+    out = np.full((begin[-1], window + 2), end, np.int16)
+    number = np.arange(len(slots)) - np.repeat(edges[:-1], np.diff(edges))
+    first = np.repeat(begin[:-1], np.diff(edges))
+    out[first + number // window, number % window + 1] = slots
+    # the last slot of a window begins the next one
+    next_up = np.flatnonzero((number + 1) % window == 0)
+    out[first[next_up] + (number[next_up] + 1) // window, 0] = slots[next_up]
+    out[:, -1] = window
+    out[begin[1:] - 1, -1] = size - (many - 1) * window
+    return out
 
 
 def training_windows(training: DataFrame, shared, slots, window: int) -> DataFrame:
-    """``(turn, data)``: training windows as ``window`` inputs, ``window`` targets (16-bit slots) and the number of valid ones.
+    """``(turn, data)``: all windows of the training texts, as ``window + 1`` slots (16 bits) and the number of targets.
 
     ``turn`` deals windows at random by their place, not by their content: copies go to different tasks.
     """
@@ -188,27 +211,15 @@ def training_windows(training: DataFrame, shared, slots, window: int) -> DataFra
     def run(batches):
         words, known = _of_worker(shared.value), slots.value
         task, done = TaskContext.get().partitionId(), 0
-        for _, split in _split(batches, 0):
-            runs = []
-            for text in split:
-                mark = zlib.crc32(b" ".join(text[:64])) + 31 * len(text)
-                for k in range(-mark % SHARE, -(-(len(text) + 1) // RUN), SHARE):
-                    part = text[k * RUN:(k + 1) * RUN]
-                    before = text[k * RUN - 1:k * RUN] if k else []
-                    runs.append((before, part, len(text) < (k + 1) * RUN))
-            every = sorted({w for b, p, _ in runs for w in (*b, *p)})
-            ids = words.encode(every)
-            out = []
-            for before, part, last in runs:
-                start = ids[before[0]][-1:] if before else [words.end]
-                line = np.concatenate([start, *[ids[w] for w in part], [words.end] if last else []]).astype(np.int64)
-                if len(line) < 2:
-                    continue
-                for i, t, v in zip(*_windows(known.slot[line], window)):
-                    out.append(np.concatenate((i, t, [v.sum()])).astype("<i2").tobytes())
-            turns = mix((np.arange(done, done + len(out)) << 24) + task, 0) >> np.uint64(16)
-            done += len(out)
-            yield pa.RecordBatch.from_arrays([pa.array(turns.astype(np.int64)), pa.array(out, pa.binary())], ["turn", "data"])
+        end = int(known.slot[words.end])
+        for _, split in _split(batches, 0, _AT_ONCE):
+            ids, before, _ = _ids_of(words, split)
+            edges = before[np.cumsum([0, *map(len, split)])]
+            rows = _windows(known.slot[ids], edges, end, window)
+            turns = mix((np.arange(done, done + len(rows)) << 24) + task, 0) >> np.uint64(16)
+            done += len(rows)
+            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1] * 2), len(rows), [None, pa.py_buffer(rows.astype("<i2"))])
+            yield pa.RecordBatch.from_arrays([pa.array(turns.astype(np.int64)), data.cast(pa.binary())], ["turn", "data"])
 
     return training.select("text").mapInArrow(run, "turn long, data binary")
 
@@ -226,9 +237,9 @@ def train(windows: DataFrame, model: Attention, rounds: int = 2, rate: float = 0
             *shape, flat = now.value
             own = Attention(*shape, flat=flat)
             frame = frame.sort_values(["turn", "data"])
-            data = np.frombuffer(b"".join(frame["data"]), "<i2").reshape(-1, 2 * size + 1).astype(np.int64)
-            valid = np.arange(size)[None, :] < data[:, 2 * size:]
-            own.learn(data[:, :size], data[:, size:2 * size], valid, rate)
+            data = np.frombuffer(b"".join(frame["data"]), "<i2").reshape(-1, size + 2).astype(np.int64)
+            valid = np.arange(size)[None, :] < data[:, size + 1:]
+            own.learn(data[:, :size], data[:, 1:size + 1], valid, rate)
             return pd.DataFrame({"part": frame["part"].iloc[:1].to_numpy(), "weight": [float(len(data))],
                                  "flat": [(own.flat.astype(np.float64) * len(data)).tobytes()]})
         return learn
@@ -336,17 +347,11 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
         last = int(subwords.slot[words.end])
         end_log = np.log10((texts + 1) / bottom)
         for batch, split in _split(batches, 1, _AT_ONCE):
-            listed, ids, counts = words.flat(list(set(chain.from_iterable(split))))
-            place = dict(zip(listed, range(len(listed))))
-            at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64)
+            ids, before, (listed, at, of_word, start) = _ids_of(words, split)
             edges = np.cumsum([0, *map(len, split)])
             of_text = lambda x, edges=edges: np.diff(np.concatenate(([0], np.cumsum(x)))[edges])
-            # ids of each word, then of each text
-            start = np.concatenate(([0], np.cumsum(counts)))
-            extra = np.diff(np.concatenate(([0], np.cumsum(subwords.extra[ids])))[start])
-            length = counts[at]
-            before = np.concatenate(([0], np.cumsum(length)))
-            slot = subwords.slot[ids][np.arange(before[-1]) + np.repeat(start[at] - before[:-1], length)].astype(np.int64)
+            extra = np.diff(np.concatenate(([0], np.cumsum(subwords.extra[of_word])))[start])
+            slot = subwords.slot[ids].astype(np.int64)
             logs = score_texts(own, slot, before[edges], last, stride) + of_text(extra[at]) + subwords.extra[words.end]
             n = np.array([table.get(w, -1) for w in listed], np.int64)
             base = np.where(n > 0, np.log10(np.maximum(n + 1, 1) / bottom), 0.0)

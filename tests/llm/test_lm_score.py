@@ -52,6 +52,31 @@ def test_nothing_to_learn_from(spark, empty):
     assert all(r.held_out and r.n_known == r.train_tokens == 0 and r.base_score == 0 and math.isfinite(r.score) for r in got)
 
 
+def test_every_token_is_a_training_target_once(spark):
+    """The windows of all training texts hold each token, and each end, behind what stands before it."""
+    texts = ["", None, "a", " ".join(f"w{k}" for k in range(40)), *["one two three four five six seven eight " * 12 + str(k) for k in range(30)]]
+    with open(BPE, encoding="utf-8") as f:
+        data = f.read()
+    words = lm_score.Words(data)
+    known = lm_score.Slots(np.zeros(words.ids, np.int64), words.end, 0, 1024)
+    known.slot = (np.arange(words.ids) % 30_000).astype(np.int16)
+    end = words.end % 30_000
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    share = spark.sparkContext.broadcast
+    got = lm_score.training_windows(frame, share(data), share(known), 8).collect()
+    pairs = Counter()
+    for r in got:
+        *line, valid = np.frombuffer(r.data, "<i2").tolist()
+        assert len(line) == 9 and 1 <= valid <= 8
+        pairs.update(zip(line[:valid], line[1:valid + 1]))
+    want = Counter()
+    for t in texts:
+        found = words.encode([w.encode() for w in (t or "").split()])
+        line = [end, *[int(i) % 30_000 for w in (t or "").split() for i in found[w.encode()]], end]
+        want.update(zip(line, line[1:]))
+    assert pairs == want
+
+
 def test_windows_score_each_token_once():
     """Batched overlapping windows give what one window after the other gives, token by token."""
     draw = np.random.default_rng(4)
