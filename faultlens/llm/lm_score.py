@@ -17,12 +17,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,8 +32,8 @@ from faultlens.llm.packing import octets, ranked
 
 #: White space by which words could not be told apart safely in a line of them.
 _RARE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: Bytes of text whose words are encoded together, and tokens scored at once.
-_AT_ONCE, _TOKENS = 1 << 22, 1 << 13
+#: Tokens scored at once.
+_TOKENS = 1 << 13
 #: Windows of a training task, weights averaged by a node of the tree, and distinct words counted before a task hands them on.
 TASK_WINDOWS, FAN_IN, _WORDS = 1 << 14, 16, 400_000
 #: Longer words are never in the broadcast table.
@@ -55,30 +54,37 @@ class Words:
         self.size_of = np.array(list(map(len, octets(whole))), np.int64)
         self.ids = max(len(self.size_of), 1 + max(specials.values()))
 
-    def flat(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The words in another order, their ids behind a space one after the other, and how many ids each has.
+    def flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Another order of the words, their ids behind a space one after the other in it, and how many ids each has.
 
         Words of odd white space are encoded alone, the others in lines of some thousand.
         """
-        text = [w.decode("utf-8", "replace") for w in words]
-        alone = [k for k, t in enumerate(text) if _RARE.search(t)]
-        odd = set(alone)
-        many = [k for k in range(len(text)) if k not in odd] if odd else range(len(text))
-        ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for lo in range(0, len(many), 20_000):
-            line = [" " + text[k] for k in many[lo:lo + 20_000]]
-            ids.append(self.ranked.encode_to_numpy("".join(line), disallowed_special=()).astype(np.int64))
-            ends = np.cumsum(list(map(len, map(str.encode, line))))
-            counts.append(np.diff(np.searchsorted(np.cumsum(self.size_of[ids[-1]]), ends, side="right"), prepend=0))
-        for k in alone:
-            ids.append(self.ranked.encode_to_numpy(" " + text[k], disallowed_special=()).astype(np.int64))
-            counts.append(np.array([len(ids[-1])]))
-        return [words[k] for k in (*many, *alone)], np.concatenate(ids), np.concatenate(counts)
+        order, ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(words), 20_000):
+            part = words[lo:lo + 20_000]
+            many, alone, line, sizes = range(len(part)), [], b" " + b" ".join(part), [1 + len(w) for w in part]
+            try:
+                line = line.decode()
+            except UnicodeDecodeError:
+                line = None
+            if line is None or _RARE.search(line):
+                text = [" " + w.decode("utf-8", "replace") for w in part]
+                alone = [k for k, t in enumerate(text) if _RARE.search(t)]
+                odd = set(alone)
+                many = [k for k in many if k not in odd]
+                line, sizes = "".join(text[k] for k in many), [len(text[k].encode()) for k in many]
+            order += [lo + np.array(many, np.int64), lo + np.array(alone, np.int64)]
+            ids.append(self.ranked.encode_to_numpy(line, disallowed_special=()).astype(np.int64))
+            counts.append(np.diff(np.searchsorted(np.cumsum(self.size_of[ids[-1]]), np.cumsum(sizes), side="right"), prepend=0))
+            for k in alone:
+                ids.append(self.ranked.encode_to_numpy(text[k], disallowed_special=()).astype(np.int64))
+                counts.append(np.array([len(ids[-1])]))
+        return np.concatenate(order), np.concatenate(ids), np.concatenate(counts)
 
     def encode(self, words: list[bytes]) -> dict[bytes, np.ndarray]:
         """Ids of each word behind a space."""
         order, ids, counts = self.flat(words)
-        return dict(zip(order, np.split(ids, np.cumsum(counts)[:-1])))
+        return dict(zip((words[k] for k in order), np.split(ids, np.cumsum(counts)[:-1])))
 
 
 def _of_worker(data: str) -> Words:
@@ -90,53 +96,67 @@ def _of_worker(data: str) -> Words:
     return held[key]
 
 
-def _split(batches, text_at: int, limit: int = 1 << 20):
-    """``(batch slice, words of each text)`` for about ``limit`` bytes of text; bytes.lower and bytes.split know ASCII alone."""
+def _split(batches, text_at: int, limit: int = 1 << 22):
+    """``(batch slice, its different words, place of each word in them, edges of the texts)`` for about ``limit`` bytes of text.
+
+    Arrow's functions for ASCII know the letters A-Z and the white space of the contract alone, as those of bytes do.
+    """
     for whole in batches:
-        texts = [t or b"" for t in whole.column(text_at).cast(pa.binary()).to_pylist()]
+        texts = whole.column(text_at).cast(pa.string()).fill_null("")
+        sizes = pc.binary_length(texts).to_numpy()
         lo = 0
         while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= limit):
-                size += len(texts[hi])
-                hi += 1
-            yield whole.slice(lo, hi - lo), [t.lower().split() for t in texts[lo:hi]]
+            hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(sizes[lo:lo + limit]), limit, side="right")))
+            split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(lo, hi - lo)))
+            coded = split.flatten().dictionary_encode()
+            listed, at, edges = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy()
+            # white space at an end of a text leaves an empty word there
+            none = pc.index(listed, pa.scalar(b"", pa.binary())).as_py()
+            if none >= 0:
+                some = at != none
+                edges = np.concatenate(([0], np.cumsum(some)))[edges]
+                at = at[some]
+                at -= at > none
+                listed = listed.filter(pc.not_equal(listed, pa.scalar(b"", pa.binary())))
+            yield whole.slice(lo, hi - lo), listed, at, edges.astype(np.int64)
             lo = hi
 
 
-def _ids_of(words: Words, split: list[list[bytes]]):
-    """Ids of the texts' words one after the other, where each word's begin, and ``(words, place of each in them, their ids, edges)``.
+def _ids_of(words: Words, listed: pa.Array, at: np.ndarray):
+    """Ids of the words ``listed[at]`` one after the other, where each word's begin, and ``(ids of the listed words, edges, their places)``.
 
     Each different word is encoded once.
     """
-    listed, ids, counts = words.flat(list(set(chain.from_iterable(split))))
-    place = dict(zip(listed, range(len(listed))))
-    at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64)
+    order, ids, counts = words.flat(listed.to_pylist())
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at = place[at]
     start = np.concatenate(([0], np.cumsum(counts)))
     length = counts[at]
     before = np.concatenate(([0], np.cumsum(length)))
-    return ids[np.arange(before[-1]) + np.repeat(start[at] - before[:-1], length)], before, (listed, at, ids, start)
+    return ids[np.arange(before[-1]) + np.repeat(start[at] - before[:-1], length)], before, (ids, start, place)
 
 
 def word_counts(training: DataFrame) -> DataFrame:
     """``(word, n)`` over all words of ``training(text)``; words are bytes."""
 
     def run(batches):
-        seen: Counter = Counter()
-
-        def rows():
-            items = list(seen.items())
-            for lo in range(0, len(items), 1 << 16):
-                part = items[lo:lo + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())],
-                                                 ["word", "n"])
-        for _, split in _split(batches, 0):
-            for words in split:
-                seen.update(words)
-            if len(seen) > _WORDS:
-                yield from rows()
-                seen.clear()
-        yield from rows()
+        held, fresh = [], 0
+        empty = pa.table({"word": pa.array([], pa.binary()), "n": pa.array([], pa.int64())})
+
+        def summed():
+            found = pa.concat_tables([empty, *held]).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return found.select(["word", "n_sum"]).rename_columns(["word", "n"])
+
+        for _, listed, at, _ in _split(batches, 0):
+            held.append(pa.table({"word": listed, "n": np.bincount(at, minlength=len(listed))}))
+            fresh += len(listed)
+            if fresh > _WORDS:
+                held, fresh = [summed()], 0
+                if len(held[0]) > _WORDS:
+                    yield from held[0].to_batches(1 << 16)
+                    held = []
+        yield from summed().to_batches(1 << 16)
 
     return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -148,9 +168,8 @@ def subword_counts(counts: DataFrame, shared) -> np.ndarray:
         words = _of_worker(shared.value)
         total = np.zeros(words.ids, np.int64)
         for batch in batches:
-            n_of = dict(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()))
-            order, ids, counts = words.flat(list(n_of))
-            weights = np.repeat(np.fromiter(map(n_of.__getitem__, order), np.float64, len(order)), counts)
+            order, ids, counts = words.flat(batch.column("word").to_pylist())
+            weights = np.repeat(batch.column("n").to_numpy()[order].astype(np.float64), counts)
             # whole numbers below 2^53 are exact as doubles
             total += np.bincount(ids, weights, words.ids).astype(np.int64)
         some = np.flatnonzero(total)
@@ -212,10 +231,9 @@ def training_windows(training: DataFrame, shared, slots, window: int) -> DataFra
         words, known = _of_worker(shared.value), slots.value
         task, done = TaskContext.get().partitionId(), 0
         end = int(known.slot[words.end])
-        for _, split in _split(batches, 0, _AT_ONCE):
-            ids, before, _ = _ids_of(words, split)
-            edges = before[np.cumsum([0, *map(len, split)])]
-            rows = _windows(known.slot[ids], edges, end, window)
+        for _, listed, at, edges in _split(batches, 0):
+            ids, before, _ = _ids_of(words, listed, at)
+            rows = _windows(known.slot[ids], before[edges], end, window)
             turns = mix((np.arange(done, done + len(rows)) << 24) + task, 0) >> np.uint64(16)
             done += len(rows)
             data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1] * 2), len(rows), [None, pa.py_buffer(rows.astype("<i2"))])
@@ -346,21 +364,19 @@ def score(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col
         own.prepare()
         last = int(subwords.slot[words.end])
         end_log = np.log10((texts + 1) / bottom)
-        for batch, split in _split(batches, 1, _AT_ONCE):
-            ids, before, (listed, at, of_word, start) = _ids_of(words, split)
-            edges = np.cumsum([0, *map(len, split)])
+        for batch, listed, at, edges in _split(batches, 1):
+            ids, before, (of_word, start, place) = _ids_of(words, listed, at)
             of_text = lambda x, edges=edges: np.diff(np.concatenate(([0], np.cumsum(x)))[edges])
-            extra = np.diff(np.concatenate(([0], np.cumsum(subwords.extra[of_word])))[start])
+            extra = np.diff(np.concatenate(([0], np.cumsum(subwords.extra[of_word])))[start])[place]
             slot = subwords.slot[ids].astype(np.int64)
             logs = score_texts(own, slot, before[edges], last, stride) + of_text(extra[at]) + subwords.extra[words.end]
-            n = np.array([table.get(w, -1) for w in listed], np.int64)
+            n = np.array([table.get(w, -1) for w in listed.to_pylist()], np.int64)
             base = np.where(n > 0, np.log10(np.maximum(n + 1, 1) / bottom), 0.0)
             # words that the table lacks, with how often each text holds them
             where = np.flatnonzero(n[at] < 0)
             key, times = np.unique((np.searchsorted(edges, where, side="right") - 1) << 32 | at[where], return_counts=True)
-            rare = pa.StructArray.from_arrays([pa.array([listed[k] for k in (key & 0xFFFFFFFF).tolist()], pa.binary()),
-                                               pa.array(times, pa.int64())], ["word", "times"])
-            rare_edges = np.searchsorted(key >> 32, np.arange(len(split) + 1)).astype(np.int32)
+            rare = pa.StructArray.from_arrays([listed.take(pa.array(key & 0xFFFFFFFF)), pa.array(times, pa.int64())], ["word", "times"])
+            rare_edges = np.searchsorted(key >> 32, np.arange(len(edges))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(np.diff(edges) + 1), pa.array(of_text((n > 0)[at]).astype(np.int64) + (texts > 0)),
                  pa.array(of_text(base[at]) + end_log), pa.array(logs / np.log(10)), pa.ListArray.from_arrays(pa.array(rare_edges), rare)],
